@@ -11,6 +11,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import bpe
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.bpe_digest(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -18,6 +27,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_byte_bpe": op7_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
 }
 
