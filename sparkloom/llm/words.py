@@ -99,15 +99,21 @@ def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.n
     return out
 
 
+def range_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A hash of each run of word hashes [start, end); which picks one of two independent families."""
+    up, down = powers(_STEP[which], len(hashes) + 1)
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[:-1], out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64), 3 + which)
+
+
 def window_hashes(hashes: np.ndarray, width: int, which: int = 0) -> np.ndarray:
-    """A hash of every run of width consecutive word hashes (len - width + 1 of them); which picks one of two families."""
+    """A hash of every run of width consecutive word hashes (len - width + 1 of them)."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = powers(_STEP[which], len(hashes) + 1)
-    total = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * up[:-1], out=total[1:])
-    return mix((total[width:] - total[:-width]) * down[:n], 3 + which)
+    at = np.arange(n)
+    return range_hashes(hashes, at, at + width, which)
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
