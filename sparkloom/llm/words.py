@@ -78,27 +78,35 @@ def spans(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.n
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, in blocks of BLOCK bytes (more only if one word is longer).
+def hash_prefixes(raw: np.ndarray, starts: np.ndarray, ends: list[np.ndarray], fold: np.ndarray | None = None) -> list[np.ndarray]:
+    """64-bit hashes of the bytes from each start to each of several ends; the first ends are the furthest.
 
-    fold maps bytes first, for instance to lower case.
+    Works in blocks of BLOCK bytes (more only if one word is longer). fold maps bytes first, for instance to lower case.
     """
-    out = np.empty(len(starts), np.uint64)
+    out = [np.empty(len(starts), np.uint64) for _ in ends]
     values = _BYTE if fold is None else _BYTE[fold]
     i = 0
     while i < len(starts):
         at = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, at + BLOCK, "right")))
-        part = raw[at : ends[j - 1]]
+        j = max(i + 1, int(np.searchsorted(ends[0], at + BLOCK, "right")))
+        part = raw[at : ends[0][j - 1]]
         up, down = powers(_BASE, len(part) + 1)
         total = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(values[part] * up[:-1], out=total[1:])
-        s, e = starts[i:j] - at, ends[i:j] - at
-        out[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64), 1)
+        s = starts[i:j] - at
+        first, scale = total[s], down[s]
+        for k, end in enumerate(ends):
+            e = end[i:j] - at
+            out[k][i:j] = mix((total[e] - first) * scale + (e - s).astype(np.uint64), 1)
         i = j
     return out
 
 
+def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each span's bytes."""
+    return hash_prefixes(raw, starts, [ends], fold)[0]
+
+
 def range_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
     """A hash of each run of word hashes [start, end); which picks one of two independent families."""
     up, down = powers(_STEP[which], len(hashes) + 1)
