@@ -29,6 +29,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_text
+
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_toxicity": op3_toxicity,
+    "op6_html_text": op6_html_text,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_quality_rules": op9_quality_rules,
