@@ -29,6 +29,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    return warc.warc_digest(table(spark, sf_dir, "pages"))
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import html_text
 
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_toxicity": op3_toxicity,
+    "op5_warc": op5_warc,
     "op6_html_text": op6_html_text,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_minhash_dedup": op8_minhash_dedup,
