@@ -29,6 +29,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import tool_calls
+
+    return tool_calls.tool_call_digest(table(spark, sf_dir, "conversations"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import warc
 
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_toxicity": op3_toxicity,
+    "op4_tool_calls": op4_tool_calls,
     "op5_warc": op5_warc,
     "op6_html_text": op6_html_text,
     "op7_byte_bpe": op7_byte_bpe,
@@ -84,6 +91,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_tool_calls": """
+        with c as (
+            select conv_id, cast(turn as varchar) as call_id, min_by(turn, (text is null, text)) as turn, min_by(text, (text is not null, text)) as text
+            from conversations where role = 'user' and conv_id is not null and turn is not null group by 1, 2
+        ), r as (
+            select conv_id, cast(turn - 1 as varchar) as call_id, min_by(text, (text is not null, text)) as content
+            from conversations where role = 'assistant' and conv_id is not null and turn is not null group by 1, 2
+        )
+        select c.conv_id, c.turn, c.call_id,
+               case when c.call_id = '0' or not exists (select 1 from c z where z.conv_id = c.conv_id and z.call_id = '0') then 0 else 1 end as level,
+               r.call_id is not null as linked, c.text is not null as valid,
+               sha256('{"arguments":{"role":"user",' || coalesce('"text":' || cast(to_json(c.text) as varchar) || ',', '') || '"turn":' || c.turn
+                      || '},"id":"' || c.call_id || '","name":"reply","result":' || coalesce(cast(to_json(r.content) as varchar), 'null') || '}') as json_sha256
+        from c left join r on c.conv_id = r.conv_id and c.call_id = r.call_id""",
     "op1_exact_topk": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings

@@ -275,4 +275,4 @@ def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """docs without the rows whose score reaches the threshold of their language."""
     name = next(n for n in (f"_score{i or ''}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
-    return score_documents(docs, model, name).filter(F.col(name) < threshold(model)).drop(name)
+    return score_documents(docs, model, name).filter(F.col(name) < (threshold(model) if "lang" in docs.columns else F.lit(CUT))).drop(name)
