@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sparkloom.llm import common, minhash, packing, quality, substring_dedup, toxicity
 
@@ -22,8 +21,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the learned list reject go."""
-    rules = quality.fit(docs, _labels(spark, sf_dir))
-    return quality.apply_rules(docs, rules).filter("q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return quality.keep_good(docs, quality.fit(docs, _labels(spark, sf_dir)))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +41,8 @@ def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with the sequence and the offset each is packed to."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), CAPACITIES)
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), CAPACITIES, ranks=ranks)
 
 
 STAGES = [

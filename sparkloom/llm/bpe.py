@@ -303,10 +303,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
     """docs and the array of token ids of every whole text.
 
     A null or empty text has no ids; repeated rows are encoded alike; other columns pass through, and one named as
-    ids raises an error. Very long texts are encoded whole: time grows with their length, memory too.
+    ids is replaced. Very long texts are encoded whole: time grows with their length, memory too.
     """
-    if ids in docs.columns:
-        raise ValueError(f"docs has a column named {ids}")
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != ids])
     schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -43,3 +44,14 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
                 yield from [made] if isinstance(made, pa.RecordBatch) else made
 
     return df.mapInArrow(run, schema)
+
+
+def shielded(df: DataFrame, *known: str) -> tuple[DataFrame, dict[str, str]]:
+    """df with all columns but the known ones under names of their own, so that none can clash; and name -> name there."""
+    names = {c: c if c in known else f"_c{i}_" for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def unshielded(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of shielded()'s input, under their own names."""
+    return df.select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -105,12 +105,10 @@ def statistics(column: pa.Array) -> dict[str, np.ndarray]:
 
 
 def with_statistics(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns of docs named in keep (default: all), and COUNTS, prefixed q_."""
+    """The columns of docs named in keep (default: all), and COUNTS, prefixed q_, in place of columns of these names."""
     keep = docs.columns if keep is None else keep
     names = [f"q_{c}" for c in COUNTS]
-    clash = set(names) & set(keep)
-    if clash:
-        raise ValueError(f"columns named {sorted(clash)} clash with the statistics")
+    keep = [c for c in keep if c not in names]
     source = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])])
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(n, T.LongType()) for n in names])
 
@@ -284,13 +282,19 @@ def apply_rules(docs: DataFrame, rules: DecisionList, keep: list[str] | None = N
     """Every row of docs with its statistics (q_*), q_rule (the rule that rejected it, 0: none), q_base_failed and q_kept.
 
     Nulls: a null text has no words and fails the base rules; other nulls pass through. Empty tables give no rows;
-    repeated rows are judged alike; further columns pass through unless their names start with the names made here.
+    repeated rows are judged alike; further columns pass through, and those named as the columns made here are replaced.
     """
     rows = with_statistics(docs, keep=keep)
     rows = rows.withColumn("q_base_failed", base_failed()).withColumn("q_rule", rules.first(ratio_columns()))
     return rows.withColumn("q_kept", ~F.col("q_base_failed") & (F.col("q_rule") == 0))
 
 
+def keep_good(docs: DataFrame, rules: DecisionList) -> DataFrame:
+    """docs without the rows that the base rules or the list reject; columns of any name pass through."""
+    rows, names = common.shielded(docs, "text")
+    return common.unshielded(apply_rules(rows, rules).filter("q_kept"), names)
+
+
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The contract's columns for every document."""
     rows = apply_rules(docs, fit(docs, labels), keep=["doc_id"])

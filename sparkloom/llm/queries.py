@@ -74,7 +74,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
     caps = packing.Capacities(tokens=1024, documents=1024, attention=1024 * 1024)
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), caps)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), caps, ranks=(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -21,29 +21,20 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common
+from . import common, countmin
 from . import words as W
 
 #: Words of the gram whose least hash is a window's anchor.
 GRAM = 16
-SEGMENT = 1 << 20
-ROWS = 2
+#: About so many bytes of text have one anchor.
+ANCHOR_BYTES = 110
 _WORD = W.word_bytes()
 
 
-def sketch_width(n_bytes: int, most: int = 1 << 26) -> int:
-    """Counters a row: about four an anchor (an anchor for some 110 bytes of text), between SEGMENT and most."""
-    return min(most, max(SEGMENT, 1 << max(0, n_bytes // 27).bit_length()))
-
-
-def cells(anchors: np.ndarray, row: int, width: int) -> np.ndarray:
-    return (W.mix(anchors, 20 + row) & W.U64(width - 1)).astype(np.int64)
-
-
 class Windows:
     """The windows of a slice of texts: word hashes, valid window starts, their owners and anchors."""
 
@@ -74,57 +65,16 @@ class Windows:
 
 
 def sketch(docs: DataFrame, width: int, counters: int) -> np.ndarray:
-    """The merged sketch's bits of counters that reached two, ROWS x counters / 8 bytes."""
-    schema = T.StructType([T.StructField("segment", T.IntegerType()), T.StructField("once", T.BinaryType()), T.StructField("twice", T.BinaryType())])
-    size = SEGMENT // 8
-
-    def shut(bits: np.ndarray) -> bytes:
-        return pa.compress(bits.tobytes(), codec="zstd", asbytes=True)
-
-    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((ROWS, counters), np.uint8)
-        for batch in parts:
-            for part in W.batches(batch, "text"):
-                w = Windows(part.column("text"), width)
-                first = w.runs()
-                anchors, owner = w.anchor[first], w.owner[first]
-                _, kept = np.unique(anchors ^ W.mix(owner.astype(np.uint64), 9), return_index=True)  # once a document
-                for row in range(ROWS):
-                    at, n = np.unique(cells(anchors[kept], row, counters), return_counts=True)
-                    table[row, at] = np.minimum(table[row, at] + n, 2)
-        flat = table.reshape(-1, SEGMENT)
-        for k in range(len(flat)):
-            if flat[k].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([shut(np.packbits(flat[k] >= 1))]), pa.array([shut(np.packbits(flat[k] >= 2))])], ["segment", "once", "twice"])
-
-    def merge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
-        for batch in parts:
-            for k, once, twice in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                o, t = (np.frombuffer(pa.decompress(x, size, codec="zstd", asbytes=True), np.uint8) for x in (once, twice))
-                if k in held:
-                    had = held[k]
-                    had[1] = had[1] | t | (had[0] & o)
-                    had[0] = had[0] | o
-                else:
-                    held[k] = [o, t]
-        for k, (o, t) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([b""], pa.binary()), pa.array([shut(t)])], ["segment", "once", "twice"])
-
-    n_segments = ROWS * counters // SEGMENT
-    merged = docs.select("text").mapInArrow(count, schema).repartition(min(n_segments, 64), "segment").mapInArrow(merge, schema)
-    bits = np.zeros((n_segments, size), np.uint8)
-    for row in merged.select("segment", "twice").toLocalIterator():  # bounded: n_segments rows of 128 KB at most
-        bits[row.segment] = np.frombuffer(pa.decompress(bytes(row.twice), size, codec="zstd", asbytes=True), np.uint8)
-    return bits.reshape(ROWS, -1)
-
-
-def _repeated(anchors: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    out = np.ones(len(anchors), bool)
-    for row in range(ROWS):
-        at = cells(anchors, row, bits.shape[1] * 8)
-        out &= (bits[row][at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-    return out
+    """The merged count-min sketch's bits of counters that reached two; every document counts an anchor once."""
+
+    def anchors(part: pa.RecordBatch) -> np.ndarray:
+        w = Windows(part.column("text"), width)
+        first = w.runs()
+        keys, owner = w.anchor[first], w.owner[first]
+        _, kept = np.unique(keys ^ W.mix(owner.astype(np.uint64), 9), return_index=True)
+        return keys[kept]
+
+    return countmin.repeated_bits(docs.select("text"), anchors, counters)
 
 
 def candidate_runs(docs: DataFrame, width: int, bits) -> DataFrame:
@@ -144,7 +94,7 @@ def candidate_runs(docs: DataFrame, width: int, bits) -> DataFrame:
             if not len(first):
                 continue
             n = np.diff(np.append(first, len(w.at)))
-            keep = _repeated(w.anchor[first], held)
+            keep = countmin.repeated(w.anchor[first], held)
             mask = np.repeat(keep, n)
             first, n = first[keep], n[keep]
             at = w.at[first]
@@ -173,7 +123,7 @@ def covered_spans(docs: DataFrame, width: int = 50, most_counters: int = 1 << 26
     spark = docs.sparkSession
     docs = docs.filter("doc_id is not null and text is not null")
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = spark.sparkContext.broadcast(sketch(docs, width, sketch_width(n_bytes, most_counters)))
+    bits = spark.sparkContext.broadcast(sketch(docs, width, countmin.width_for(n_bytes // ANCHOR_BYTES, most_counters)))
     runs = common.written(candidate_runs(docs, width, bits), "runs")
 
     key = ["anchor", "r1", "r2", "n"]
@@ -191,10 +141,8 @@ def covered_spans(docs: DataFrame, width: int = 50, most_counters: int = 1 << 26
 
 
 def with_spans(docs: DataFrame, width: int = 50) -> DataFrame:
-    """docs, and spans of words to remove (null: none), and rk."""
-    if {"rk", "spans"} & set(docs.columns):
-        raise ValueError("docs has a column named rk or spans")
-    docs = docs.withColumn("rk", F.xxhash64("text"))
+    """docs, with spans of words to remove (null: none) and rk in place of columns of these names."""
+    docs = docs.withColumn("rk", F.xxhash64("text")).drop("spans")
     return docs.join(covered_spans(docs, width), ["doc_id", "rk"], "left")
 
 
@@ -234,9 +182,10 @@ def deduplicate_passages(docs: DataFrame, width: int = 50) -> DataFrame:
 
     A text that loses words becomes its kept words joined by one space. A null text or a null id loses nothing, and a
     row with a null id removes nothing elsewhere. Rows that repeat one id with one text lose the same words. Other
-    columns pass through, except n_chars, which follows the text. An empty table gives an empty table.
+    columns of any name pass through, except n_chars, which follows the text. An empty table gives an empty table.
     """
-    names = docs.columns
+    rows, names = common.shielded(docs, "doc_id", "text")
+    inner = list(names.values())
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in W.batches(batch, "text"):
@@ -244,11 +193,7 @@ def deduplicate_passages(docs: DataFrame, width: int = 50) -> DataFrame:
             for i, spans in enumerate(part.column("spans").to_pylist()):
                 if spans:
                     texts[i] = b" ".join(cut(texts[i], spans)[0]).decode()
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else part.column(c) for c in names], names)
-
-    out = common.arrow_map(with_spans(docs, width).select(*[F.col(f"`{c}`") for c in names], "spans"), run, docs.schema)
-    return out.withColumn("n_chars", _chars(docs)) if "n_chars" in names else out
-
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else part.column(c) for c in inner], inner)
 
-def _chars(docs: DataFrame) -> Column:
-    return F.length("text").cast(docs.schema["n_chars"].dataType)
+    out = common.unshielded(common.arrow_map(with_spans(rows, width).select(*inner, "spans"), run, rows.schema), names)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -240,11 +240,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 3000) -> Model:
 def score_documents(docs: DataFrame, model: Model, score: str = "score", keep: list[str] | None = None) -> DataFrame:
     """The columns of docs named in keep (default: all) and the score of every whole text.
 
-    A null or empty text has the score of no words; repeated rows score alike; a column named as score raises an error.
+    A null or empty text has the score of no words; repeated rows score alike; a column named as score is replaced.
     """
-    keep = docs.columns if keep is None else keep
-    if score in keep:
-        raise ValueError(f"docs has a column named {score}")
+    keep = [c for c in (docs.columns if keep is None else keep) if c != score]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # about 17 MB whatever the corpus
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(score, T.DoubleType())])
 
@@ -273,6 +271,7 @@ def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without the rows whose score reaches the threshold of their language."""
-    name = next(n for n in (f"_score{i or ''}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
-    return score_documents(docs, model, name).filter(F.col(name) < (threshold(model) if "lang" in docs.columns else F.lit(CUT))).drop(name)
+    """docs without the rows whose score reaches the threshold of their language; columns of any name pass through."""
+    rows, names = common.shielded(docs, "text", "lang")
+    limit = threshold(model) if "lang" in docs.columns else F.lit(CUT)
+    return common.unshielded(score_documents(rows, model).filter(F.col("score") < limit), names)
