@@ -53,12 +53,15 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _exact(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """By definition, with integers of any size: for components so large that doubles would round their products."""
+    """By definition, with integers of any size: for components so large that doubles would round their products.
+
+    Scores outside the range of long are ordered as they are and reported as its end.
+    """
     out, xs = [], x.astype(object)
     for i in range(len(q)):
         score = xs @ q[i].astype(object)
         at = [j for j in sorted(range(len(x)), key=lambda j: (-score[j], ids[j])) if ids[j] != q_ids[i]][:k]
-        out.append((np.array(at, np.int64), np.array([score[j] for j in at], np.int64)))
+        out.append((np.array(at, np.int64), np.array([min(max(score[j], -(2**63)), 2**63 - 1) for j in at], np.int64)))
     return out
 
 

@@ -14,7 +14,7 @@ import json
 import struct
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -128,8 +128,6 @@ def _holds(filters: list[tuple[str, str, object]], row: dict) -> bool:
             ok = x is None
         elif x is None:
             ok = False
-        elif kind == "notnull":
-            ok = True
         elif kind == "eq":
             ok = x == value
         elif kind == "in":
@@ -141,17 +139,29 @@ def _holds(filters: list[tuple[str, str, object]], row: dict) -> bool:
     return True
 
 
+def _spec(column: str, kind: str, value: object) -> tuple[str, str, str]:
+    return column, kind, json.dumps(sorted(value, key=str) if isinstance(value, (list, tuple)) else value)
+
+
 class WarcReader(ds.DataSourceReader):
-    def __init__(self, path: str, schema: T.StructType) -> None:
+    """Takes on the header predicates that its options list, and no others.
+
+    Spark 4.1 keeps what was pushed with the relation, for all plans over one frame. As every such plan has the listed
+    predicates, all push the same; a filter added later stays with Spark and cannot take rows from the frame it came from.
+    """
+
+    def __init__(self, path: str, schema: T.StructType, listed: str = "[]") -> None:
         self.path, self.schema = path, schema
+        self.listed = {tuple(x) for x in json.loads(listed)}
         self.filters: list[tuple[str, str, object]] = []
 
     def pushFilters(self, filters: list[ds.Filter]) -> Iterable[ds.Filter]:
+        kinds = {ds.EqualTo: "eq", ds.In: "in", ds.StringStartsWith: "prefix", ds.IsNull: "null"}
         for f in filters:
             column = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
-            kinds = {ds.EqualTo: "eq", ds.In: "in", ds.StringStartsWith: "prefix", ds.IsNull: "null", ds.IsNotNull: "notnull"}
-            if column in HEADERS and type(f) in kinds:
-                self.filters.append((column, kinds[type(f)], getattr(f, "value", None)))
+            kind, value = kinds.get(type(f)), getattr(f, "value", None)
+            if column in HEADERS and kind and _spec(column, kind, value) in self.listed:
+                self.filters.append((column, kind, value))
             else:
                 yield f
 
@@ -166,7 +176,9 @@ class WarcReader(ds.DataSourceReader):
         found = fs.get_file_info(pafs.FileSelector(base, recursive=True))
         return [FilePart(f.path) for f in found if f.path.endswith((".warc", ".warc.gz"))]
 
-    def read(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: FilePart | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no files
+            return
         fs, _ = _filesystem(self.path)
         names = self.schema.names
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -274,7 +286,7 @@ def records(f: pa.NativeFile, wanted: bool, filters: list[tuple[str, str, object
 
 
 class WarcSource(ds.DataSource):
-    """format("sparkloom_warc"), with the options path and roll (bytes of a file, 64 MB by default)."""
+    """format("sparkloom_warc"), with the options path, roll (bytes of a file, 64 MB by default) and push (see read_archives)."""
 
     @classmethod
     def name(cls) -> str:
@@ -284,7 +296,7 @@ class WarcSource(ds.DataSource):
         return SCHEMA
 
     def reader(self, schema: T.StructType) -> WarcReader:
-        return WarcReader(self.options["path"], schema)
+        return WarcReader(self.options["path"], schema, self.options.get("push", "[]"))
 
     def writer(self, schema: T.StructType, overwrite: bool) -> WarcWriter:
         return WarcWriter(self.options["path"], int(self.options.get("roll", 1 << 26)))
@@ -314,10 +326,29 @@ def write_pages(pages: DataFrame, path: str, least: int = 0) -> None:
     out.write.format(FORMAT).mode("append").save(path)
 
 
-def read_archives(spark: SparkSession, path: str, schema: str = SCHEMA) -> DataFrame:
-    """The records of all archives under path; columns that schema leaves out are not read."""
+def read_archives(spark: SparkSession, path: str, schema: str = SCHEMA, where: Mapping[str, object] | None = None) -> DataFrame:
+    """The records of all archives under path; columns that schema leaves out are not read.
+
+    where: predicates on header columns, evaluated before payloads are inflated: a value, a list of values, a text that
+    ends in % (a prefix), or None (no such header).
+    """
     register(spark)
-    return spark.read.format(FORMAT).schema(schema).load(path)
+    cond, push = F.lit(True), []
+    for column, value in (where or {}).items():
+        if column not in HEADERS:
+            raise ValueError(f"{column} is no header column")
+        c = F.col(column)
+        if value is None:
+            cond, spec = cond & c.isNull(), _spec(column, "null", None)
+        elif isinstance(value, (list, tuple)) and len(set(value)) > 1:
+            cond, spec = cond & c.isin(list(value)), _spec(column, "in", list(set(value)))
+        elif isinstance(value, str) and value.endswith("%"):
+            cond, spec = cond & c.startswith(value[:-1]), _spec(column, "prefix", value[:-1])
+        else:
+            one = value[0] if isinstance(value, (list, tuple)) else value
+            cond, spec = cond & (c == one), _spec(column, "eq", one)
+        push.append(spec)
+    return spark.read.format(FORMAT).schema(schema).option("push", json.dumps(push)).load(path).filter(cond)
 
 
 def warc_digest(pages: DataFrame, least: int = 0) -> DataFrame:
@@ -325,6 +356,5 @@ def warc_digest(pages: DataFrame, least: int = 0) -> DataFrame:
     spark = pages.sparkSession
     path = common.scratch(spark, "warc")
     write_pages(pages, path, least)
-    rows = read_archives(spark, path, "record_type string, payload_digest string, page_id long, refers_to_page long, http_length long")
-    rows = rows.filter(F.col("record_type").isin("response", "revisit"))
+    rows = read_archives(spark, path, "record_type string, payload_digest string, page_id long, refers_to_page long, http_length long", {"record_type": ["response", "revisit"]})
     return rows.select("page_id", F.col("http_length").alias("payload_bytes"), "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to"))
