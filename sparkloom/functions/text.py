@@ -151,7 +151,7 @@ def query_terms(query: Column) -> Column:
 
 def balance(text: Column, pair: str) -> Column:
     """How many more of the first character than of the second."""
-    return F.length(F.replace(text, F.lit(pair[1]), F.lit(""))) - F.length(F.replace(text, F.lit(pair[0]), F.lit("")))
+    return (F.length(F.replace(text, F.lit(pair[1]), F.lit(""))) - F.length(F.replace(text, F.lit(pair[0]), F.lit("")))).cast("long")
 
 
 def last_segments(qualified: Column, n: int = 2) -> Column:

@@ -457,7 +457,7 @@ def object_prefix(spark, sf_dir):
     return history.resolve(objects, cited)[1].select("tag", "doc_id")
 
 
-@query("""select l_orderkey, l_linenumber, sum(d) over (partition by l_orderkey order by l_linenumber rows unbounded preceding) as shift from (
+@query("""select l_orderkey, l_linenumber, cast(sum(d) over (partition by l_orderkey order by l_linenumber rows unbounded preceding) as bigint) as shift from (
     select l_orderkey, l_linenumber, cast(floor(l_quantity) as bigint) - 25 as d from (select l_orderkey, l_linenumber, max(l_quantity) as l_quantity from lineitem group by 1, 2)) qualify d <> 0""")
 def line_shift(spark, sf_dir):
     e = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg((F.floor(F.max("l_quantity")) - 25).alias("delta"))
