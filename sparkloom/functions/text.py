@@ -102,7 +102,7 @@ def extension(path: Column) -> Column:
 
 
 def is_indexable(path: Column) -> Column:
-    return extension(path).isin(EXTENSIONS)
+    return extension(path).isin(list(EXTENSIONS))
 
 
 def under_any(path: Column, prefixes: Sequence[str]) -> Column:

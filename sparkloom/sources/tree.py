@@ -39,16 +39,19 @@ def prune(files: DataFrame, skipped: list[str], path: str = "path") -> DataFrame
 def scan(spark: SparkSession, root: str, max_bytes: int = X.MAX_BYTES) -> tuple[DataFrame, DataFrame]:
     """(files(path, text, tag, n_bytes), counts(files, oversized)) of a tree that Spark can read.
 
-    Files over the cap are counted, not read: the content column is pruned from the count.
+    Files over the cap are counted, not read: the content column is pruned from the count. Hidden and empty files are no
+    part of what Spark lists.
     """
     base = root.rstrip("/")
     if base in ("", os.path.expanduser("~")):
         raise ValueError("a workspace is neither / nor the home directory")
     names = set(X.SKIPPED) | {X.OWN_DIRECTORY}
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    shown = spark.read.format("binaryFile").load(base).filter(X.basename(F.col("path")).isin(list(X.IGNORE_FILES)))  # the root's own, two at most
-    for row in shown.select("content").collect():
-        names |= ignored_names(bytes(row.content).decode("utf-8", "replace").split("\n"))
+    for name in X.IGNORE_FILES:  # Spark's listing leaves hidden files out, so these two are asked for by name
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            content = spark.read.format("binaryFile").load(f"{base}/{name}").select("content").first()
+            names |= ignored_names(bytes(content[0]).decode("utf-8", "replace").split("\n")) if content else set()
     relative = F.regexp_replace(F.col("path"), "^.*?" + _quoted(base) + "/", "")
     rows = prune(raw.select(relative.alias("path"), "length", "content"), sorted(names)).filter(X.is_indexable(F.col("path")))
     counts = rows.agg(F.count_if(F.col("length") <= max_bytes).alias("files"), F.count_if(F.col("length") > max_bytes).alias("oversized"))
