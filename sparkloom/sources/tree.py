@@ -49,9 +49,11 @@ def scan(spark: SparkSession, root: str, max_bytes: int = X.MAX_BYTES) -> tuple[
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     for name in X.IGNORE_FILES:  # Spark's listing leaves hidden files out, so these two are asked for by name
         at = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
-        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-            content = spark.read.format("binaryFile").load(f"{base}/{name}").select("content").first()
-            names |= ignored_names(bytes(content[0]).decode("utf-8", "replace").split("\n")) if content else set()
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(at):
+            stream = fs.open(at)
+            names |= ignored_names(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n"))
+            stream.close()
     relative = F.regexp_replace(F.col("path"), "^.*?" + _quoted(base) + "/", "")
     rows = prune(raw.select(relative.alias("path"), "length", "content"), sorted(names)).filter(X.is_indexable(F.col("path")))
     counts = rows.agg(F.count_if(F.col("length") <= max_bytes).alias("files"), F.count_if(F.col("length") > max_bytes).alias("oversized"))
