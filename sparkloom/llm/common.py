@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,13 +14,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_own: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in a local session without it a new folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in a session without it, as in tests, a new one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="sparkloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    if where:
+        return where.rstrip("/")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="sparkloom-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return _own[0]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
