@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: list[str] = []
+
+
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or in a session without it a new folder."""
+    """spark.checkpoint.dir; in a session without it, as in tests, a new folder of this driver."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="sparkloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    if where:
+        return where.rstrip("/")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="sparkloom-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return _own[0]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
