@@ -180,3 +180,20 @@ def elide(xs: Column, head: int = 12, tail: int = 40) -> Column:
     """An array's head and tail around a marker, if it is longer than both."""
     gap = F.concat(F.lit("... "), (F.size(xs) - head - tail).cast("string"), F.lit(" lines ..."))
     return F.when(F.size(xs) <= head + tail, xs).otherwise(F.concat(F.slice(xs, 1, head), F.array(gap), F.slice(xs, -tail, tail)))
+
+
+def stays_inside(path: Column) -> Column:
+    """A relative path none of whose prefixes leaves the root; .. inside the tree is allowed."""
+    parts = F.filter(F.split(path, "/", -1), lambda p: ~p.isin("", "."))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("least"))
+
+    def step(s: Column, p: Column) -> Column:
+        depth = s["depth"] + F.when(p == "..", -1).otherwise(1)
+        return F.struct(depth.alias("depth"), F.least(s["least"], depth).alias("least"))
+
+    return ~path.startswith("/") & (F.aggregate(parts, start, step)["least"] >= 0)
+
+
+def plain_path(path: Column) -> Column:
+    """The stricter test of history: relative, and no segment is . or .. ."""
+    return ~path.startswith("/") & ~F.exists(F.split(path, "/", -1), lambda p: p.isin(".", ".."))

@@ -75,3 +75,9 @@ def seen_ranges(text: Column) -> Column:
         return F.struct(a.alias("start"), F.greatest(a, F.when(b != "", b.cast("int")).otherwise(a)).alias("end"))
 
     return F.transform(tokens, run)
+
+
+def distance(points: DataFrame, regions: DataFrame, by: list[str], at: str = "line") -> DataFrame:
+    """points(by, at) with the distance to the nearest of regions(by, start, end); 0 inside. Files without a region drop out."""
+    near = F.greatest(F.lit(0), F.col("start") - F.col(at), F.col(at) - F.col("end"))
+    return points.join(regions.select(*by, "start", "end"), by).groupBy(*by, at).agg(F.min(near).alias("distance"))

@@ -638,3 +638,29 @@ def _contains(o: str, i: str) -> str:
     and not exists (select 1 from p x where x.policy = a.policy and x.side = 'deny' and not exists (select 1 from p y where y.policy = b.policy and y.side = 'deny' and {_contains('y', 'x')})) as narrows from n a, n b""")
 def policy_narrow(spark, sf_dir):
     return policy.narrowing(policy.rows(spark, POLICIES))
+
+
+# Paths and distances
+
+
+@query("select p_partkey, p_size % 4 <= 1 as inside, p_size % 4 = 0 as plain from part")
+def path_safety(spark, sf_dir):
+    path = F.concat(F.lit("a/"), F.repeat(F.lit("../"), (F.col("p_size") % 4).cast("int")), F.lit("b"))
+    return table(spark, sf_dir, "part").select("p_partkey", X.stays_inside(path).alias("inside"), X.plain_path(path).alias("plain"))
+
+
+@query("""with p as (select distinct user_id, cast(floor(value) as int) as line from events where event_type = 'error'),
+    r as (select user_id, cast(floor(value) as int) as s, cast(floor(value) as int) + 3 as e from events where event_type = 'view')
+    select user_id, line, min(greatest(0, s - line, line - e)) as distance from p join r using (user_id) group by 1, 2""")
+def edit_distance(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", F.floor("value").cast("int").alias("line"))
+    regions = e.filter("event_type = 'view'").select("user_id", F.col("line").alias("start"), (F.col("line") + 3).alias("end"))
+    return intervals.distance(e.filter("event_type = 'error'").select("user_id", "line").distinct(), regions, ["user_id"])
+
+
+@query(f"""with t as (select {TAG.format('text')} as tag, doc_id from documents), k as (select tag from t where doc_id % 2 = 0) select doc_id, tag in (select tag from k) as unchanged from t""")
+def unchanged_files(spark, sf_dir):
+    t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), X.tag(F.col("text")).alias("tag"))
+    known = t.filter("path % 2 = 0").select("tag").distinct()
+    hit = t.join(known, "tag", "left_semi").select(F.col("path").alias("doc_id"), F.lit(True).alias("unchanged"))
+    return hit.unionByName(t.join(known, "tag", "left_anti").select(F.col("path").alias("doc_id"), F.lit(False).alias("unchanged")))
