@@ -5,10 +5,13 @@ cost 64 evaluations; both agree between two sets with the probability of their J
 values (two minima, two maxima) make pairs of similarity 0.8 meet with a probability above 1 - 1e-7.
 
 1. Equal shingle sets are one class, told by a 128-bit fingerprint; only its smallest document goes on.
-2. In each bucket of a band every member is compared with the smallest one, on full sets, as a stream.
-3. After connected components, buckets that still hold several components have their remaining pairs across components
-   compared as well, but for pairs that set sizes or the distances to the smallest member (the Jaccard distance is a
-   metric) rule out. Pairs inside one component need no comparison. So no pair that a bucket holds is lost.
+2. In each bucket of a band every member is compared with a pivot, on full sets, as a stream. The pivot is the member
+   that shares buckets with the most others, which in a group of edited copies is the one the others were copied from.
+3. After connected components, members outside their pivot's component are still open: towards every member that meets
+   the pivot. They are compared in blocks of some 64 open members, past which the others are streamed; only links come
+   out. Exact bounds leave out what cannot be linked: the distances to the pivot (the Jaccard distance is a metric) and
+   how many shingles of a document occur in no other one here, by a count-min sketch, whose counts are never too low.
+   Members of the pivot's component need no comparison with each other. So no pair that a bucket holds is lost.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common, components
+from . import common, components, countmin
 from . import words as W
 
 PERMUTATIONS = 64
@@ -98,7 +101,7 @@ def compare(docs: DataFrame, pairs: DataFrame, k: int, share: int = 64) -> DataF
     dealt = pairs.join(count, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / share)).cast("int").alias("salt"))
     dealt = common.written(dealt, "pairs")
     wanted = dealt.select(F.col("b").alias("doc_id"), "a", "salt", F.lit(1).alias("role")).union(dealt.select(F.col("a"), "a", "salt", F.lit(0)).distinct())
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id")
+    texts = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id")
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b", "inter", "total")])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,13 +124,91 @@ def compare(docs: DataFrame, pairs: DataFrame, k: int, share: int = 64) -> DataF
     return texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(run, schema)
 
 
+def shared_sizes(docs: DataFrame, k: int, n_shingles: int) -> DataFrame:
+    """(doc_id, v): at least as many as the shingles of a document that another document of docs(doc_id, text) has."""
+    bits = docs.sparkSession.sparkContext.broadcast(countmin.repeated_bits(docs.select("text"), lambda part: np.concatenate(shingle_sets(part.column("text"), k)), countmin.width_for(n_shingles)))
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("v", T.LongType())])
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in W.batches(batch, "text"):
+            v = [int(countmin.repeated(s, bits.value).sum()) for s in shingle_sets(part.column("text"), k)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(v, pa.int64())], schema.names)
+
+    return common.arrow_map(docs, run, schema)
+
+
+def overlaps(block: tuple[np.ndarray, np.ndarray, int], shingles: np.ndarray) -> np.ndarray:
+    """How many shingles each set of a block shares with one set; block is its sets' sorted hashes, their owners and the number of sets."""
+    values, owners, n = block
+    at = np.searchsorted(values, shingles)
+    end = np.searchsorted(values, shingles, "right")
+    count = end - at
+    hit = count > 0
+    at, count = at[hit], count[hit]
+    where = np.repeat(at - np.cumsum(np.append(0, count[:-1])), count) + np.arange(count.sum())
+    return np.bincount(owners[where], minlength=n)
+
+
+def open_links(members: DataFrame, comp: DataFrame, docs: DataFrame, k: int, percent: int, share: int = 64, steps: int = 50) -> DataFrame | None:
+    """(a, b): links between members of a pivot of which one at least is outside its component.
+
+    members is (a, b, n, d): b's set size and distance to the pivot a. Open members are dealt to blocks by pivot, distance
+    (in 1 / steps) and a salt; a block's texts come first, then those of all members at a distance that may be linked.
+    """
+    named = members.join(comp.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left").join(comp.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left")
+    named = common.written(named.select("a", "b", "n", "d", (F.coalesce("cb", "b") != F.coalesce("ca", "a")).alias("open")), "named")
+    near = named.join(named.filter("open").select("a").distinct(), "a", "left_semi")
+    total = near.select("b", "n").distinct().agg(F.sum("n")).first()[0]
+    if not total:
+        return None
+    ids = near.select(F.col("b").alias("doc_id")).distinct()
+    text = common.written(docs.join(ids.hint("merge"), "doc_id", "left_semi"), "open-text")
+    # A document alone with more than 100 - percent of its shingles is linked with nothing here.
+    near = near.join(shared_sizes(text, k, total).withColumnRenamed("doc_id", "b"), "b")
+    near = common.written(near.filter(F.expr(f"100 * v >= {percent} * n")).select("a", "b", "d", "open"), "open")
+    step = F.floor(F.col("d") * steps).cast("int").alias("step")
+    sizes = near.filter("open").groupBy("a", step).agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("salts"))
+    first = near.filter("open").withColumn("step", step).join(sizes, ["a", "step"]).select(F.col("b").alias("doc_id"), "a", "step", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(0).alias("role"))
+    reach = 1 - percent / 100 + 1e-9
+    then = near.join(sizes, "a").filter((F.col("d") >= F.col("step") / steps - reach) & (F.col("d") <= (F.col("step") + 1) / steps + reach))
+    then = then.select(F.col("b").alias("doc_id"), "a", "step", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(1).alias("role"))
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b")])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, sets = None, [], []
+        table = sizes_ = None
+        for batch in parts:
+            for part in W.batches(batch, "text"):
+                out: list[tuple[int, int]] = []
+                rows = zip(shingle_sets(part.column("text"), k), *(part.column(c).to_pylist() for c in ("a", "step", "salt", "role", "doc_id")), strict=True)
+                for s, a, step_, salt, role, b in rows:
+                    if (a, step_, salt) != block:
+                        block, ids, sets, table = (a, step_, salt), [], [], None
+                    if role == 0:
+                        ids.append(b)
+                        sets.append(s)
+                        continue
+                    if table is None:
+                        values = np.concatenate(sets)
+                        order = np.argsort(values, kind="stable")
+                        table = values[order], np.repeat(np.arange(len(sets)), list(map(len, sets)))[order], len(sets)
+                        sizes_ = np.array(list(map(len, sets)))
+                    inter = overlaps(table, s)
+                    out += [(min(b, ids[i]), max(b, ids[i])) for i in np.flatnonzero(100 * inter >= percent * (sizes_ + len(s) - inter)).tolist() if ids[i] != b]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema.names)
+
+    texts = text.select("doc_id", "text").join(first.union(then).hint("merge"), "doc_id")
+    return texts.repartition("a", "step", "salt").sortWithinPartitions("a", "step", "salt", "role").mapInArrow(run, schema)
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n, component) for every row of docs(doc_id, text).
 
     Links documents whose shingle sets have 100 * intersection >= percent * union; component is the smallest id reachable.
     A row without words, or with a null id, is linked with nothing. Rows that share an id and a text are one document; if
-    rows share an id but not the text, every text is a document of its own in its classes, compared by the first text
-    met under the id. Empty tables give empty tables; further columns play no part.
+    rows share an id but not the text, every text is a document of its own in its classes, compared by any text under the
+    id. Empty tables give empty tables; further columns play no part.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = common.written(signatures(docs, k), "signatures")
@@ -135,29 +216,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     full = rows.filter("n > 0 and doc_id is not null")
     classes = common.written(full.groupBy(*key).agg(F.min(F.struct("doc_id", "bands")).alias("x")).select(*key, "x.*"), "classes")
     members = classes.select(F.col("doc_id").alias("b"), "n", F.explode("bands").alias("band"))
-    pivots = members.groupBy("band").agg(F.min(F.struct("b", "n")).alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("band", F.col("p.b").alias("a"))
-    buckets = common.written(members.join(pivots, "band").filter("a <> b"), "buckets")
-
-    text = docs.filter("doc_id is not null").join(classes.select("doc_id"), "doc_id", "left_semi")
+    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    buckets = common.written(members.join(sizes, "band"), "buckets")
+    central = buckets.join(buckets.groupBy("b").agg(F.sum("c").alias("score")), "b")
+    pivots = central.groupBy("band").agg(F.max(F.struct("score", (-F.col("b")).alias("m"))).alias("p")).select("band", (-F.col("p.m")).alias("a"))
+    pairs = common.written(buckets.join(pivots, "band").filter("a <> b").select("a", "b", "n").distinct(), "pairs")
+
+    ids = pairs.select(F.col("b").alias("doc_id")).union(pairs.select("a")).distinct()
+    # Texts are always sent by a merge join: whether the ids would fit a broadcast depends on the corpus.
+    text = common.written(docs.join(ids.hint("merge"), "doc_id", "left_semi"), "candidates")
     near = F.expr(f"100 * inter >= {percent} * total")
-    first = common.written(compare(text, buckets.select("a", "b").distinct(), k), "compared")
-    comp = components.components(first.filter(near).select("a", "b"))
-
-    # Buckets with members outside the smallest one's component: pairs across components are still open.
-    named = buckets.join(first, ["a", "b"]).join(comp.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left").join(comp.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left")
-    named = named.select("band", "b", "n", F.coalesce("cb", "b").alias("c"), F.coalesce("ca", "a").alias("ca"), (1 - F.col("inter") / F.col("total")).alias("d"))
-    named = common.written(named, "named")
-    outside = named.filter("c <> ca").select("band", *[F.col(x).alias(f"x{x}") for x in ("b", "n", "c", "d")])
-    other = named.join(outside.select("band").distinct(), "band", "left_semi").withColumn("inside", F.col("c") == F.col("ca")).drop("ca")
-    open_pairs = (
-        outside.join(other, "band")
-        .filter(F.expr(f"c <> xc and (inside or xb < b) and 100 * least(n, xn) >= {percent} * greatest(n, xn) and abs(d - xd) <= {1 - percent / 100} + 1e-9"))
-        .select(F.least("b", "xb").alias("a"), F.greatest("b", "xb").alias("b")).distinct()
-    )
-    open_pairs = common.written(open_pairs, "open")
-    if not open_pairs.isEmpty():
-        second = common.written(compare(text, open_pairs, k), "compared")
-        comp = components.components(first.union(second).filter(near).select("a", "b"))
+    links = common.written(compare(text, pairs.select("a", "b"), k), "compared")
+    comp = components.components(links.filter(near).select("a", "b"))
+    distance = (1 - F.col("inter") / F.col("total")).alias("d")
+    more = open_links(pairs.join(links.select("a", "b", distance), ["a", "b"]), comp, text, k, percent)
+    if more is not None:
+        comp = components.components(links.filter(near).select("a", "b").union(more))
 
     of_class = classes.select(*key, F.col("doc_id").alias("node")).join(comp, "node", "left").select(*key, F.coalesce("component", "node").alias("component"))
     linked = full.select("doc_id", *key).join(of_class, key).select("doc_id", "n", "component")
@@ -174,4 +248,4 @@ def minhash_digest(docs: DataFrame, k: int = 2) -> DataFrame:
 def keep_one(docs: DataFrame, k: int = 5) -> DataFrame:
     """docs without the documents that are linked, directly or through others, to one with a smaller id."""
     gone = near_duplicates(docs, k).filter("doc_id <> component").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
