@@ -295,7 +295,7 @@ def encoder(path: str, pattern: str) -> Encoder:
 
 def encoded(batch: pa.RecordBatch, text: str, path: str, pattern: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of a batch with the ids of their texts (null: empty)."""
-    for part in W.batches(batch, text):
+    for part in W.batches(batch, text, 1 << 22):
         yield part, encoder(path, pattern).encode([t or "" for t in part.column(text).to_pylist()])
 
 

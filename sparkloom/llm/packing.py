@@ -227,7 +227,7 @@ def pieces(docs: DataFrame, path: str, caps: Capacities, end: int = 2, with_ids:
         seen: Counter[int] = Counter()
         number = TaskContext.get().partitionId()
         for batch in parts:
-            for part in W.batches(batch, "text"):
+            for part in W.batches(batch, "text", 1 << 22):
                 got = _tokenizers[path].encode([t or "" for t in part.column("text").to_pylist()])
                 rows: list[tuple] = []
                 owner: list[int] = []

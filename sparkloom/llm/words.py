@@ -134,7 +134,7 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return least
 
 
-def batches(batch: pa.RecordBatch, text: str, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def batches(batch: pa.RecordBatch, text: str, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about limit bytes of text each, one row at least."""
     _, at = column_bytes(batch.column(text))
     i = 0
