@@ -169,9 +169,6 @@ def query_terms(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(X.query_terms(F.col("text")), "|").alias("terms"))
 
 
-SNIFF = """select *, {} from (select doc_id, 'use x::y; pub fn f() -> u { let ' || text as t from documents where doc_id % 3 = 0 union all select doc_id, 'def f(self): import None ' || text from documents where doc_id % 3 = 1 union all select doc_id, text from documents where doc_id % 3 = 2)"""
-
-
 def _score(lang: str) -> str:
     return " + ".join(f"cast(contains(t[1:4096], '{n}') as int)" for n in X.NEEDLES[lang])
 
@@ -201,10 +198,7 @@ def chunk_stream(spark, sf_dir):
     return search.chunks(X.lines(d), d.select("path", X.tag(F.col("text")).alias("tag")), 10)
 
 
-# Resolution: parts are functions, suppliers types, nations traits; line items are calls.
-
-CALLS = """calls as (select distinct cast(l_partkey as varchar) as caller, (select count(*) from part) as np, cast(l_suppkey as varchar) as s, l_partkey, l_suppkey, l_linenumber from lineitem where l_orderkey % 20 = 0)"""
-
+# Resolution: parts are functions, brands types, regions traits; line items are calls.
 
 def call_tables(spark, sf_dir):
     """symbols, calls and impls built from part, supplier, nation and lineitem."""
