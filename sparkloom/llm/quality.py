@@ -264,13 +264,12 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, most: int) -> DataFr
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 12000) -> DecisionList:
     """Learns the list from a bounded sample of labelled rows (most), on the driver."""
-    rows = labelled_statistics(docs, labels, most).select("doc_id", "quality", *[c.alias(k) for k, c in ratio_columns().items()]).toPandas()
-    if not len(rows):
+    table = labelled_statistics(docs, labels, most).select("doc_id", "quality", *[c.alias(k) for k, c in ratio_columns().items()]).toArrow()
+    ids = table["doc_id"].to_pylist()
+    order = np.array(sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), ids[i])), np.int64)
+    if not len(order):
         return DecisionList()
-    rows = rows.sort_values(["doc_id"], kind="stable")
-    order = np.argsort([zlib.crc32(str(i).encode()) for i in rows["doc_id"]], kind="stable")
-    rows = rows.iloc[order]
-    return learn({k: rows[k].to_numpy(float) for k in RATIOS}, rows["quality"].to_numpy() == 0)
+    return learn({k: table[k].to_numpy()[order].astype(float) for k in RATIOS}, table["quality"].to_numpy()[order] == 0)
 
 
 def base_failed() -> Column:

@@ -229,7 +229,7 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = 3000, most_bytes: int
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("toxic").cast(pa.int32()), batch.column("lang").cast(pa.string()), pa.array(made, pa.binary())], schema.names)
 
     got = sorted(common.arrow_map(rows.select("doc_id", "toxic", "lang", "text"), run, schema).collect(), key=lambda r: (r.doc_id, bytes(r.ids)))
-    texts = [np.frombuffer(bytes(r.ids), "<u2").reshape(-1, TABLES).astype(np.int32) for r in got]
+    texts = [np.frombuffer(bytes(r.ids), "<u2").reshape(-1, TABLES) for r in got]
     return texts, np.array([r.toxic for r in got], np.int64), [r.lang for r in got]
 
 
