@@ -93,12 +93,22 @@ def impl_of(impls: DataFrame, symbols: DataFrame) -> DataFrame:
     return _edges(impls.filter("trait_name is not null").join(types, "type_name").join(traits, "trait_name"), "direct", kind="impl_of", src="type_id")
 
 
-def resolve_edges(calls: DataFrame, symbols: DataFrame, impls: DataFrame, methods: DataFrame, refs: DataFrame) -> DataFrame:
-    """All edges without repeats, with file, the file of src (edges of unknown sources are dropped)."""
+def first_tiers(calls: DataFrame, symbols: DataFrame, impls: DataFrame) -> DataFrame:
+    """The edges of all tiers before the name tier."""
     tiers = [resolve_free(calls, symbols), resolve_path(calls, symbols), resolve_typed(calls, symbols), resolve_dyn(calls, symbols, impls)]
-    first = tiers[0].unionByName(tiers[1]).unionByName(tiers[2]).unionByName(tiers[3])
+    return tiers[0].unionByName(tiers[1]).unionByName(tiers[2]).unionByName(tiers[3])
+
+
+def resolved_calls(edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(caller, callee_name) of the calls that these edges resolve."""
     names = symbols.select(F.col("id").alias("dst"), F.col("name").alias("callee_name")).distinct()
-    resolved = first.join(names, "dst").select(F.col("src").alias("caller"), "callee_name").distinct()
+    return edges.join(names, "dst").select(F.col("src").alias("caller"), "callee_name").distinct()
+
+
+def resolve_edges(calls: DataFrame, symbols: DataFrame, impls: DataFrame, methods: DataFrame, refs: DataFrame) -> DataFrame:
+    """All edges without repeats, with file, the file of src (edges of unknown sources are dropped)."""
+    first = first_tiers(calls, symbols, impls)
+    resolved = resolved_calls(first, symbols)
     out = first.unionByName(resolve_name(calls, symbols, resolved)).unionByName(type_references(refs, symbols)).unionByName(method_of(methods, symbols)).unionByName(impl_of(impls, symbols))
     owner = symbols.select(F.col("id").alias("src"), "file").dropDuplicates(["src"])
     return out.dropDuplicates(list(EDGE)).join(owner, "src")

@@ -213,7 +213,7 @@ def call_tables(spark, sf_dir):
     traits = r.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), F.col("r_name").alias("name"), F.col("r_name").alias("qualified"), F.lit("trait").alias("kind"), F.lit("traits").alias("file"), F.col("r_regionkey").alias("start_line"), F.col("r_regionkey").alias("end_line"), F.lit(-1).cast("long").alias("arity"))
     symbols = fns.unionByName(types).unionByName(traits)
     impls = p.select(brand.alias("type_name")).distinct().withColumn("k", (F.regexp_extract("type_name", r"(\d+)", 1).cast("int") % 5)).join(r, F.col("k") == F.col("r_regionkey")).select("type_name", F.col("r_name").alias("trait_name"))
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 20 = 0").select("l_partkey", "l_suppkey", "l_linenumber").distinct()
+    li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber").distinct()
     named = p.select(F.col("p_partkey").alias("l_partkey"), F.regexp_replace("p_name", " ", "_").alias("pname"), brand.alias("pbrand"))
     rows = li.withColumn("kind", F.col("l_suppkey") % 5).join(named, "l_partkey")
     kinds = F.element_at(F.array(*[F.lit(k) for k in ("free", "path", "typed", "dyn", "unknown")]), (F.col("kind") + 1).cast("int"))
@@ -267,9 +267,9 @@ def resolve_dyn(spark, sf_dir):
           from (select distinct callee_name, given from u) a join fns on name = callee_name and (fns.arity < 0 or fns.arity = given))
     select u.caller as src, c.id as dst, {EDGE_SQL.format('name', chr(39) * 2)} from u join c using (callee_name, given) where rn <= 8 and c.id <> u.caller""")
 def resolve_name(spark, sf_dir):
-    symbols, calls, _ = call_tables(spark, sf_dir)
-    unknown = calls.filter("recv_kind = 'unknown'")
-    return resolve.resolve_name(unknown, symbols, unknown.select("caller", "callee_name").limit(0))
+    symbols, calls, impls = call_tables(spark, sf_dir)
+    resolved = resolve.resolved_calls(resolve.first_tiers(calls, symbols, impls), symbols)
+    return resolve.resolve_name(calls.filter("recv_kind = 'unknown'"), symbols, resolved)
 
 
 @query("""select 'm' || s_suppkey as src, 'n' || n_nationkey as dst, 'method_of' as kind, 'direct' as confidence, '' as detail from supplier join nation on s_nationkey = n_nationkey""")
