@@ -462,7 +462,7 @@ def line_shift(spark, sf_dir):
     g as (select *, max(e) over (partition by l_suppkey order by s, e rows between unbounded preceding and 1 preceding) as m from s)
     select l_suppkey, s, e, cast(sum(case when m is null or s - m > 6 then 1 else 0 end) over (partition by l_suppkey order by s, e rows unbounded preceding) as bigint) as hunk from g""")
 def hunk_groups(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0").select("l_suppkey", F.col("l_partkey").alias("s"), (F.col("l_partkey") + F.col("l_linenumber")).alias("e")).distinct()
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_partkey").alias("s"), (F.col("l_partkey") + F.col("l_linenumber")).alias("e")).distinct()
     return intervals.hunk_groups(li, ["l_suppkey"], "s", "e")
 
 
@@ -495,7 +495,7 @@ def apply_hunks(spark, sf_dir):
 @query("""with t as (select l_orderkey as path, cast(l_partkey % 60 as int) as line from lineitem where l_orderkey % 5 = 0), s as (select o_orderkey as path, cast(o_custkey % 50 as int) as s, cast(o_custkey % 50 + 20 as int) as e from orders)
     select distinct path, line from t where not exists (select 1 from s where s.path = t.path and t.line between s.s and s.e)""")
 def unseen_lines(spark, sf_dir):
-    t = table(spark, sf_dir, "lineitem").filter("l_orderkey % 5 = 0").select(F.col("l_orderkey").alias("path"), (F.col("l_partkey") % 60).cast("int").alias("line")).distinct()
+    t = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), (F.col("l_partkey") % 60).cast("int").alias("line")).distinct()
     s = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), (F.col("o_custkey") % 50).cast("int").alias("start"), (F.col("o_custkey") % 50 + 20).cast("int").alias("end"))
     return intervals.unseen(t, s, ["path"])
 
@@ -503,7 +503,7 @@ def unseen_lines(spark, sf_dir):
 @query("""with e as (select l_orderkey as path, cast(l_partkey % 30 as int) as s, cast(l_partkey % 30 + l_linenumber as int) as e from lineitem where l_orderkey % 5 = 0)
     select path, cast(line as int) as line, count(*) as n from e, unnest(range(s, e + 1)) as u(line) group by 1, 2 having count(*) > 1""")
 def edit_overlaps(spark, sf_dir):
-    e = table(spark, sf_dir, "lineitem").filter("l_orderkey % 5 = 0").select(F.col("l_orderkey").alias("path"), (F.col("l_partkey") % 30).cast("int").alias("start"), (F.col("l_partkey") % 30 + F.col("l_linenumber")).cast("int").alias("end"))
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), (F.col("l_partkey") % 30).cast("int").alias("start"), (F.col("l_partkey") % 30 + F.col("l_linenumber")).cast("int").alias("end"))
     return intervals.overlaps(e, ["path"])
 
 

@@ -33,3 +33,8 @@ def test_name_tier_leaves_resolved_calls(spark):
     typed = calls.filter("recv_kind = 'typed'").join(resolved, ["caller", "callee_name"], "left_semi")
     assert typed.count() > 0 and resolve.resolve_name(typed, symbols, resolved).count() == 0
     assert resolve.resolve_name(typed.withColumn("caller", F.lit("other")), symbols, resolved).count() > 0
+
+
+@pytest.mark.parametrize("name", ["hunk_groups", "unseen_lines", "edit_overlaps"])
+def test_spans_of_all_orders(spark, db, name):
+    assert oracle.difference(spark, db, queries.QUERIES[name], whole(name), SF) is None
