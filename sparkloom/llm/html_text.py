@@ -5,7 +5,8 @@
 2. Votes are added up by host and path in Spark (partial sums, so a hot host is no group); a host's winning paths are
    those with the most votes.
 3. Pages are extracted again from the containers on the winning paths of their host; a page that has none of them uses
-   its own best container.
+   its own best container. The article or main around such a container is taken whole, or else the lowest container that
+   holds text beside it.
 """
 
 from __future__ import annotations
@@ -197,8 +198,29 @@ def best_container(page: Page) -> tuple[int, float]:
     return best, 0.0 if best < 0 else points[best] * (1 - links[best] / max(1, size[best]))
 
 
+def _whole(page: Page, chosen: set[int]) -> set[int]:
+    """For each of these containers the outermost article or main around it, or else the lowest container in which, beside
+    them and outside boilerplate, is more unlinked than linked text; itself if there is neither."""
+    beside: dict[int, int] = {}
+    for i, text, linked in page.blocks:
+        if i < 0 or page.boiler[i] or _within(page, i, chosen):
+            continue
+        while i >= 0:
+            beside[i] = beside.get(i, 0) + len(text) - 2 * linked
+            i = page.parents[i]
+    out = set()
+    for i in chosen:
+        around = [i]
+        while page.parents[around[-1]] >= 0:
+            around.append(page.parents[around[-1]])
+        named = [j for j in around if page.tags[j] in ("article", "main")]
+        out.add(named[-1] if named else next((j for j in around if beside.get(j, 0) > 0), i))
+    return out
+
+
 def extract(text: str, paths: list[str]) -> str:
-    """The text of the containers on the first of these paths that the page has, else of its own best container."""
+    """The text of the containers on the first of these paths that the page has, else of its own best container, each
+    with what belongs to it."""
     page = parse(text)
     chosen: set[int] = set()
     for path in paths:
@@ -212,6 +234,7 @@ def extract(text: str, paths: list[str]) -> str:
         if own < 0:  # no container at all
             return "\n".join(t for i, t, _ in page.blocks if i < 0 or not page.boiler[i])
         chosen = {own}
+    chosen = _whole(page, chosen)
     return "\n".join(t for i, t, _ in page.blocks if i >= 0 and not page.boiler[i] and _within(page, i, chosen))
 
 
