@@ -41,6 +41,11 @@ _BOILER_WORDS = frozenset(
     " discussion disqus footer form gdpr header legal login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo"
     " promotion related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Words that may stand beside those in a token that marks; any other, as in has-sidebar or social-science, makes it none.
+_LAYOUT_WORDS = frozenset(
+    "area articles bar block body bottom box btn button buttons col column container content count global group icon icons inner item items left link links list main media"
+    " mobile module outer page panel post posts primary region respond right row secondary section site slot stories sub text thread title tools top unit wrap wrapper zone".split()
+)
 _RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW.split("|")}
 _TAG = re.compile(r"<(?:!--|(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*)?)>|(?P<odd>[a-zA-Z/!?][^>]*(?:>|\Z)))", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -74,7 +79,7 @@ def _label(tag: str, attrs: str) -> tuple[str, bool]:
         value = a or b or c
         for token in value.split():
             parts = {p.lower() for p in _PART.findall(token)}
-            marked = marked or bool(parts & _BOILER_WORDS)
+            marked = marked or bool(parts & _BOILER_WORDS) and all(len(p) == 1 or p in _BOILER_WORDS or p in _LAYOUT_WORDS for p in parts)
             if name.lower() == "class":
                 label.append(re.sub(r"\d+", "#", token.lower()))
     return ".".join([label[0], *sorted(set(label[1:]))]), marked
@@ -85,6 +90,8 @@ def parse(text: str) -> Page:
     page = Page()
     stack: list[int] = []
     chunks: list[str] = []
+    by_tag: list[bool] = []
+    by_class: list[bool] = []
     linked = 0
     in_link = 0
 
@@ -168,13 +175,62 @@ def parse(text: str) -> Page:
         page.tags.append(tag)
         page.labels.append(label)
         page.parents.append(parent)
-        page.boiler.append((parent >= 0 and page.boiler[parent]) or (tag in _BOILER_TAGS and not inside) or (marked and tag not in ("html", "body", "article", "main")))
+        by_tag.append(tag in _BOILER_TAGS and not inside)
+        by_class.append(marked and tag not in ("html", "body", "article", "main"))
         stack.append(len(page.tags) - 1)
         in_link += tag == "a"
     flush()
+    page.boiler = _boilerplate(page, by_tag, by_class)
     return page
 
 
+def _inherited(page: Page, own: list[bool]) -> list[bool]:
+    out: list[bool] = []
+    for parent, mark in zip(page.parents, own, strict=True):
+        out.append(mark or (parent >= 0 and out[parent]))
+    return out
+
+
+def _boilerplate(page: Page, by_tag: list[bool], by_class: list[bool]) -> list[bool]:
+    """Elements in boilerplate. Marks by class are not those of wrappers around a main, around the largest article if no
+    article or main is outside them, or, if the page has neither, around ten times the unlinked text left outside."""
+    hard = _inherited(page, by_tag)
+    if not any(by_class):
+        return hard
+    plain: dict[int, int] = {}  # unlinked characters outside boilerplate tags, by element
+    for i, text, linked in page.blocks:
+        if i >= 0 and hard[i]:
+            continue
+        j = i
+        while j >= 0:
+            plain[j] = plain.get(j, 0) + len(text) - linked
+            j = page.parents[j]
+    own = [a or b for a, b in zip(by_tag, by_class, strict=True)]
+
+    def lift(i: int) -> None:
+        while i >= 0:
+            own[i] = by_tag[i]
+            i = page.parents[i]
+
+    named = [i for i in plain if page.tags[i] in ("article", "main") and plain[i]]
+    for i in named:
+        if page.tags[i] == "main":
+            lift(i)
+    boiler = _inherited(page, own)
+    if named:
+        if all(boiler[i] for i in named):
+            lift(max(named, key=lambda i: (plain[i], -i)))
+            boiler = _inherited(page, own)
+        return boiler
+    while True:
+        outside = sum(len(t) - linked for i, t, linked in page.blocks if i < 0 or not boiler[i])
+        wrappers = [i for i in sorted(plain) if own[i] and not by_tag[i] and plain[i] > 10 * outside]
+        if not wrappers:
+            return boiler
+        lift(max(wrappers, key=lambda i: (plain[i], -i)))
+        boiler = _inherited(page, own)
+
+
 def best_container(page: Page) -> tuple[int, float]:
     """The container with the most points, -1 if there is no text outside boilerplate."""
     points: dict[int, float] = {}

@@ -30,3 +30,27 @@ def test_parts_of_different_classes(spark):
 def test_linked_and_marked_text_beside_stays_out(spark):
     page = f'<div class="links"><a href="/a">one</a> <a href="/b">two</a></div><div class="body">{BODY}</div><div id="comments"><p>nice, nice</p></div>'
     assert extracted(spark, page) == ["\n".join(PARTS)]
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    ['class="page has-sidebar"', 'class="no-sidebar"', 'class="with-comments"', 'class="header-fixed"', 'id="search-result-page"', 'class="login-page"', 'id="search"', 'role="form"'],
+)
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<main><div>{}</div></main>", '<div class="story">{}</div>'])
+def test_marked_wrapper_keeps_the_article(spark, wrapper, inner):
+    rest = '<div class="sidebar"><p>more, more</p></div><div id="comments"><article><p>nice, nice</p></article></div>'
+    if "story" in inner:
+        rest = '<div class="sidebar"><p>more, more</p></div>'
+    page = f"<div {wrapper}>{inner.format('<h1>T</h1><p>lead</p>' + BODY)}{rest}</div>"
+    assert extracted(spark, page) == [WHOLE]
+
+
+def test_marks_still_drop(spark):
+    kept = f"<article><h1>T</h1><p>lead</p>{BODY}</article>"
+    for mark in ('class="site-footer"', 'class="related-posts"', 'id="comments-section"', 'class="cookieConsentBar"', 'role="banner"', 'class="ad-300x250"'):
+        assert extracted(spark, f"{kept}<div {mark}><article><p>{'out, ' * 99}</p></article></div>") == [WHOLE], mark
+
+
+def test_many_nested_wrappers(spark):
+    deep = '<div class="search">' * 40 + f"<p>{PARTS[0]}</p>" + "</div>" * 40
+    assert extracted(spark, deep) == [PARTS[0]]
