@@ -1,8 +1,8 @@
 """Chat formatting: links tool calls to their results, orders, validates and serialises them, in DataFrame operations.
 
 Calls and results meet in a hash join on conversation and identifier; the earliest result of an identifier answers it.
-Calls are ordered topologically by rounds: a call's level is one more than the highest level among the calls it depends
-on; what a cycle holds back gets no level. Arguments are parsed as variants, checked against their tool's schema, and
+Calls are ordered topologically: a call's level is one more than the highest level among the calls it depends on; chains
+are followed by doubling, other calls by rounds; what a cycle holds back gets no level. Arguments are parsed as variants, checked against their tool's schema, and
 written as canonical JSON: object keys sorted, no blanks.
 """
 
@@ -60,28 +60,57 @@ def _text(value: Column) -> Column:
     return F.when(value.isNull(), F.lit("null")).otherwise(F.substr(wrapped, F.lit(6), F.length(wrapped) - 6))
 
 
-def levels(calls: DataFrame, most: int = 1000) -> DataFrame:
+def _chains(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(conv_id, call_id, root, dist): the first call on the way up from each call that does not depend on exactly one,
+    and the steps to it; root is null on a cycle or behind one. The steps looked back double with every round."""
+    key = ["conv_id", "call_id"]
+    single = links.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("on").alias("root")).filter("n = 1").drop("n")
+    rows = nodes.join(single, key, "left").withColumn("open", F.col("root").isNotNull()).withColumn("dist", F.col("open").cast("long")).withColumn("root", F.coalesce("root", "call_id"))
+    rows = common.written(rows, "chains")
+    left = rows.filter("open").count()
+    while left:
+        up = rows.select("conv_id", F.col("call_id").alias("root"), F.col("root").alias("up"), F.col("open").alias("on"), F.col("dist").alias("more"))
+        # The calls next to a root reach it first; while any open call can, some do in every round.
+        jumped = rows.filter("open").join(up, ["conv_id", "root"]).select(*key, F.col("up").alias("root"), F.col("on").alias("open"), (F.col("dist") + F.col("more")).alias("dist"))
+        rows = common.written(rows.filter("not open").select(jumped.columns).unionByName(jumped), "chains")
+        now = rows.filter("open").count()
+        if now == left:
+            break
+        left = now
+    return rows.select(*key, F.when(~F.col("open"), F.col("root")).alias("root"), "dist")
+
+
+def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of calls(conv_id, call_id, depends_on array<string>).
 
-    Dependencies on calls that the conversation does not have are ignored. One round a level; every round's nodes are
-    written, and the rounds end when nothing new is free, so calls on a cycle or behind one get no level.
+    Dependencies on calls that the conversation does not have are ignored. Calls with one dependency take their level from
+    the root of their chain; the others are freed in rounds, as many as it takes; every round's calls are written, and the
+    rounds end when nothing new is free, so calls on a cycle or behind one get no level.
     """
-    nodes = calls.select("conv_id", "call_id").distinct()
-    links = calls.select("conv_id", "call_id", F.explode("depends_on").alias("on")).distinct()
+    key = ["conv_id", "call_id"]
+    nodes = calls.select(*key).distinct()
+    links = calls.select(*key, F.explode("depends_on").alias("on")).distinct()
     links = common.written(links.join(nodes.withColumnRenamed("call_id", "on"), ["conv_id", "on"], "left_semi"), "links")
-    done = common.written(nodes.join(links, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "levels")
-    newest = done
-    for level in range(1, most):
+    chains = _chains(nodes, links)
+    done = common.written(nodes.join(links, key, "left_anti").withColumn("level", F.lit(0).cast("long")), "levels")
+    forks = links.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key)
+    # From a call with several dependencies to the roots of their chains.
+    spans = links.join(forks, key, "left_semi").join(chains.withColumnRenamed("call_id", "on"), ["conv_id", "on"], "left")
+    spans = common.written(spans.groupBy(*key, "root").agg((F.max("dist") + 1).alias("steps")), "spans")
+    newest, rounds = done, 0
+    while True:
         # Only calls behind the newest ones can have become free.
-        near = links.join(newest.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"], "left_semi").select("conv_id", "call_id").distinct()
-        if near.isEmpty():
-            break
-        waits = links.join(near, ["conv_id", "call_id"], "left_semi").join(done.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"], "left_anti")
-        newest = common.written(near.join(waits, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)), "levels")
+        near = spans.join(newest.select("conv_id", F.col("call_id").alias("root")), ["conv_id", "root"], "left_semi").select(*key).distinct()
+        ways = spans.join(near, key, "left_semi").join(done.select("conv_id", F.col("call_id").alias("root"), "level"), ["conv_id", "root"], "left")
+        free = ways.groupBy(*key).agg(F.max(F.col("level") + F.col("steps")).alias("level"), F.bool_and(F.col("level").isNotNull()).alias("free"))
+        newest = common.written(free.filter("free").drop("free"), "levels")
         if newest.isEmpty():
             break
-        done = done.union(newest)
-    return done
+        done, rounds = done.union(newest), rounds + 1
+        if rounds % 32 == 0:
+            done = common.written(done, "levels")  # one table again, so that plans stay small
+    top = done.withColumnRenamed("call_id", "root")
+    return chains.join(top, ["conv_id", "root"]).select(*key, (F.col("level") + F.col("dist")).cast("int").alias("level"))
 
 
 def link(calls: DataFrame, results: DataFrame, tools: Mapping[str, Tool]) -> DataFrame:
