@@ -81,35 +81,61 @@ def _label(tag: str, attrs: str) -> tuple[str, bool]:
             parts = {p.lower() for p in _PART.findall(token)}
             marked = marked or bool(parts & _BOILER_WORDS) and all(len(p) == 1 or p in _BOILER_WORDS or p in _LAYOUT_WORDS for p in parts)
             if name.lower() == "class":
-                label.append(re.sub(r"\d+", "#", token.lower()))
+                label.append(re.sub(r"\d+", "#", token.lower()).replace(">", "_"))
     return ".".join([label[0], *sorted(set(label[1:]))]), marked
 
 
+class _Open:
+    """The open elements, with the places of each tag among them, so that no search walks the stack."""
+
+    def __init__(self, page: Page) -> None:
+        self.page = page
+        self.stack: list[int] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost open element of a tag, -1 if there is none."""
+        at = self.places.get(tag)
+        return at[-1] if at else -1
+
+    def push(self, i: int) -> None:
+        tag = self.page.tags[i]
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in _BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(i)
+
+    def close(self, k: int) -> None:
+        """Ends the element at place k and all inside it; every element is ended once."""
+        for i in self.stack[k:]:
+            self.places[self.page.tags[i]].pop()
+        while self.blocks and self.blocks[-1] >= k:
+            self.blocks.pop()
+        del self.stack[k:]
+
+
 def parse(text: str) -> Page:
-    """Elements and blocks of a page; unclosed and misnested tags end where HTML ends them, as far as blocks go."""
+    """Elements and blocks of a page; unclosed and misnested tags end where HTML ends them, as far as blocks go.
+
+    The time is in proportion to the page, however deep it nests and whatever its end tags match.
+    """
     page = Page()
-    stack: list[int] = []
+    opened = _Open(page)
     chunks: list[str] = []
     by_tag: list[bool] = []
     by_class: list[bool] = []
     linked = 0
-    in_link = 0
 
     def flush() -> None:
         nonlocal linked
         if chunks:
             joined = " ".join(html.unescape("".join(chunks)).split())
             if joined:
-                page.blocks.append((stack[-1] if stack else -1, joined, min(linked, len(joined))))
+                page.blocks.append((opened.stack[-1] if opened.stack else -1, joined, min(linked, len(joined))))
             chunks.clear()
         linked = 0
 
-    def close(k: int) -> None:
-        nonlocal in_link
-        for i in stack[k:]:
-            in_link -= page.tags[i] == "a"
-        del stack[k:]
-
     at, n = 0, len(text)
     while at < n:
         m = _TAG.search(text, at)
@@ -118,7 +144,7 @@ def parse(text: str) -> Page:
             break
         if m.start() > at:
             chunks.append(text[at : m.start()])
-            if in_link:
+            if opened.last("a") >= 0:
                 linked += m.start() - at
         tag = m["tag"]
         if tag is None:
@@ -133,10 +159,8 @@ def parse(text: str) -> Page:
         if m["end"]:
             if tag in _BLOCK:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if page.tags[stack[k]] == tag:
-                    close(k)
-                    break
+            if opened.last(tag) >= 0:
+                opened.close(opened.last(tag))
             continue
         if tag in _RAW_END:
             end = _RAW_END[tag].search(text, at)
@@ -151,60 +175,59 @@ def parse(text: str) -> Page:
             continue
         if tag in _BLOCK:
             flush()
-            for k in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph
-                name = page.tags[stack[k]]
-                if name == "p":
-                    close(k)
-                    break
-                if name in _BLOCK:
-                    break
+            if opened.blocks and opened.last("p") == opened.blocks[-1]:  # a block ends an open paragraph
+                opened.close(opened.blocks[-1])
             ends, bounds = _ENDS.get(tag, ((), ()))
-            for k in range(len(stack) - 1, -1, -1) if ends else ():
-                name = page.tags[stack[k]]
-                if name in bounds:
-                    break
-                if name in ends:
-                    close(k)
-                    break
+            if ends:
+                inner = max(opened.last(x) for x in ends)
+                if inner > max(opened.last(x) for x in bounds):
+                    opened.close(inner)
             if tag == "body":
-                close(1 if stack and page.tags[stack[0]] == "html" else 0)
+                opened.close(1 if opened.stack and page.tags[opened.stack[0]] == "html" else 0)
         label, marked = _label(tag, m["attrs"])
-        parent = stack[-1] if stack else -1
         # A heading group inside an article belongs to it.
-        inside = tag == "header" and any(page.tags[i] == "article" for i in stack)
+        inside = tag == "header" and opened.last("article") >= 0
         page.tags.append(tag)
         page.labels.append(label)
-        page.parents.append(parent)
+        page.parents.append(opened.stack[-1] if opened.stack else -1)
         by_tag.append(tag in _BOILER_TAGS and not inside)
         by_class.append(marked and tag not in ("html", "body", "article", "main"))
-        stack.append(len(page.tags) - 1)
-        in_link += tag == "a"
+        opened.push(len(page.tags) - 1)
     flush()
     page.boiler = _boilerplate(page, by_tag, by_class)
     return page
 
 
 def _inherited(page: Page, own: list[bool]) -> list[bool]:
+    """True for the marked elements and all inside them. An element's parent comes before it."""
     out: list[bool] = []
     for parent, mark in zip(page.parents, own, strict=True):
         out.append(mark or (parent >= 0 and out[parent]))
     return out
 
 
+def _gathered(page: Page, own: list[int]) -> list[int]:
+    """The sums over every element and all inside it."""
+    out = list(own)
+    for i in range(len(out) - 1, -1, -1):
+        if page.parents[i] >= 0:
+            out[page.parents[i]] += out[i]
+    return out
+
+
 def _boilerplate(page: Page, by_tag: list[bool], by_class: list[bool]) -> list[bool]:
-    """Elements in boilerplate. Marks by class are not those of wrappers around a main, around the largest article if no
-    article or main is outside them, or, if the page has neither, around ten times the unlinked text left outside."""
+    """Elements in boilerplate. Marks by class are not those of wrappers around a main, or around the largest article if no
+    article or main is outside them. After that a marked element is judged by its text too: while one holds more than ten
+    times the unlinked text that would be left of the articles and mains around it (of the page, if it has neither), it and
+    what is around it are no boilerplate."""
     hard = _inherited(page, by_tag)
     if not any(by_class):
         return hard
-    plain: dict[int, int] = {}  # unlinked characters outside boilerplate tags, by element
+    direct = [0] * len(page.tags)  # unlinked characters outside boilerplate tags
     for i, text, linked in page.blocks:
-        if i >= 0 and hard[i]:
-            continue
-        j = i
-        while j >= 0:
-            plain[j] = plain.get(j, 0) + len(text) - linked
-            j = page.parents[j]
+        if i >= 0 and not hard[i]:
+            direct[i] += len(text) - linked
+    plain = _gathered(page, direct)
     own = [a or b for a, b in zip(by_tag, by_class, strict=True)]
 
     def lift(i: int) -> None:
@@ -212,66 +235,93 @@ def _boilerplate(page: Page, by_tag: list[bool], by_class: list[bool]) -> list[b
             own[i] = by_tag[i]
             i = page.parents[i]
 
-    named = [i for i in plain if page.tags[i] in ("article", "main") and plain[i]]
+    named = [i for i, tag in enumerate(page.tags) if tag in ("article", "main") and plain[i]]
+    lifted = [False] * len(page.tags)
     for i in named:
         if page.tags[i] == "main":
-            lift(i)
+            lifted[i] = True
+    for i, yes in enumerate(_gathered(page, [int(x) for x in lifted])):
+        if yes:
+            own[i] = by_tag[i]
     boiler = _inherited(page, own)
-    if named:
-        if all(boiler[i] for i in named):
-            lift(max(named, key=lambda i: (plain[i], -i)))
-            boiler = _inherited(page, own)
-        return boiler
-    while True:
-        outside = sum(len(t) - linked for i, t, linked in page.blocks if i < 0 or not boiler[i])
-        wrappers = [i for i in sorted(plain) if own[i] and not by_tag[i] and plain[i] > 10 * outside]
-        if not wrappers:
-            return boiler
-        lift(max(wrappers, key=lambda i: (plain[i], -i)))
+    if named and all(boiler[i] for i in named):
+        lift(max(named, key=lambda i: (plain[i], -i)))
         boiler = _inherited(page, own)
+    around = {i for i in named if not boiler[i]}
+    kept = _within(page, around) if named else [True] * len(own)
+    nearest: list[int] = []  # of every element: itself or the closest one around it that is marked
+    for i, parent in enumerate(page.parents):
+        nearest.append(i if own[i] else nearest[parent] if parent >= 0 else -1)
+    free = [0] * len(own)  # unlinked characters by the marked element that leaves them out
+    outside = sum(len(t) - linked for i, t, linked in page.blocks if i < 0) if not named else 0
+    for i, amount in enumerate(direct):
+        if nearest[i] >= 0:
+            free[nearest[i]] += amount
+        elif kept[i]:
+            outside += amount
+    # What is around an element holds no less than it and comes first, so one lifted has no marked one around it.
+    for i in sorted((i for i in range(len(own)) if own[i] and not by_tag[i] and kept[i]), key=lambda i: (-plain[i], i)):
+        if plain[i] <= 10 * outside:
+            break
+        own[i] = False
+        outside += free[i]
+    return _inherited(page, own)
 
 
 def best_container(page: Page) -> tuple[int, float]:
     """The container with the most points, -1 if there is no text outside boilerplate."""
+    nearest: list[int] = []  # of every element: itself or the closest one around it that is a container
+    for i, parent in enumerate(page.parents):
+        nearest.append(i if page.tags[i] in _CONTAINERS else nearest[parent] if parent >= 0 else -1)
     points: dict[int, float] = {}
-    size: dict[int, int] = {}
-    links: dict[int, int] = {}
+    size, links = [0] * len(page.tags), [0] * len(page.tags)
     for i, text, linked in page.blocks:
-        if i >= 0 and page.boiler[i]:
+        if i < 0 or page.boiler[i]:
             continue
-        worth = 1 + text.count(",") * 0.2 + min(len(text) / 100, 3)
-        share, j, first = 1.0, i, True
-        while j >= 0:
-            if page.tags[j] in _CONTAINERS:
-                if share:
-                    points[j] = points.get(j, 0.0) + worth * share
-                    share = 0.5 if first else 0.0
-                    first = False
-                size[j] = size.get(j, 0) + len(text)
-                links[j] = links.get(j, 0) + linked
-            j = page.parents[j]
+        size[i] += len(text)
+        links[i] += linked
+        j = nearest[i]
+        if j >= 0:
+            worth = 1 + text.count(",") * 0.2 + min(len(text) / 100, 3)
+            points[j] = points.get(j, 0.0) + worth
+            k = nearest[page.parents[j]] if page.parents[j] >= 0 else -1
+            if k >= 0:
+                points[k] = points.get(k, 0.0) + worth * 0.5
+    size, links = _gathered(page, size), _gathered(page, links)
     best = max(points, key=lambda j: (points[j] * (1 - links[j] / max(1, size[j])), -j), default=-1)
     return best, 0.0 if best < 0 else points[best] * (1 - links[best] / max(1, size[best]))
 
 
+def _within(page: Page, chosen: set[int]) -> list[bool]:
+    return _inherited(page, [i in chosen for i in range(len(page.tags))])
+
+
 def _whole(page: Page, chosen: set[int]) -> set[int]:
     """For each of these containers the outermost article or main around it, or else the lowest container in which, beside
     them and outside boilerplate, is more unlinked than linked text; itself if there is neither."""
-    beside: dict[int, int] = {}
+    inside = _within(page, chosen)
+    direct = [0] * len(page.tags)
     for i, text, linked in page.blocks:
-        if i < 0 or page.boiler[i] or _within(page, i, chosen):
-            continue
-        while i >= 0:
-            beside[i] = beside.get(i, 0) + len(text) - 2 * linked
-            i = page.parents[i]
-    out = set()
-    for i in chosen:
-        around = [i]
-        while page.parents[around[-1]] >= 0:
-            around.append(page.parents[around[-1]])
-        named = [j for j in around if page.tags[j] in ("article", "main")]
-        out.add(named[-1] if named else next((j for j in around if beside.get(j, 0) > 0), i))
-    return out
+        if i >= 0 and not page.boiler[i] and not inside[i]:
+            direct[i] += len(text) - 2 * linked
+    beside = _gathered(page, direct)
+    named: list[int] = []  # the outermost article or main around every element
+    lowest: list[int] = []  # itself or the closest one around it with text beside
+    for i, parent in enumerate(page.parents):
+        around = named[parent] if parent >= 0 else -1
+        named.append(around if around >= 0 else i if page.tags[i] in ("article", "main") else -1)
+        lowest.append(i if beside[i] > 0 else lowest[parent] if parent >= 0 else -1)
+    return {named[i] if named[i] >= 0 else lowest[i] if lowest[i] >= 0 else i for i in chosen}
+
+
+def _on_path(page: Page, path: str) -> set[int]:
+    """The elements on a path outside boilerplate."""
+    labels = path.split(">")
+    met: list[int] = []  # how many labels of the path lead to every element, 0 if it is off the path
+    for label, parent in zip(page.labels, page.parents, strict=True):
+        k = met[parent] if parent >= 0 else 0
+        met.append(k + 1 if (k or parent < 0) and k < len(labels) and labels[k] == label else 0)
+    return {i for i, k in enumerate(met) if k == len(labels) and not page.boiler[i]}
 
 
 def extract(text: str, paths: list[str]) -> str:
@@ -280,9 +330,9 @@ def extract(text: str, paths: list[str]) -> str:
     page = parse(text)
     chosen: set[int] = set()
     for path in paths:
-        leaf = path.rpartition(">")[2]
-        chosen = {i for i, label in enumerate(page.labels) if label == leaf and not page.boiler[i] and page.path(i) == path}
-        if chosen and any(_within(page, i, chosen) for i, *_ in page.blocks):
+        chosen = _on_path(page, path)
+        inside = _within(page, chosen) if chosen else []
+        if chosen and any(i >= 0 and inside[i] for i, *_ in page.blocks):
             break
         chosen = set()
     if not chosen:
@@ -290,16 +340,8 @@ def extract(text: str, paths: list[str]) -> str:
         if own < 0:  # no container at all
             return "\n".join(t for i, t, _ in page.blocks if i < 0 or not page.boiler[i])
         chosen = {own}
-    chosen = _whole(page, chosen)
-    return "\n".join(t for i, t, _ in page.blocks if i >= 0 and not page.boiler[i] and _within(page, i, chosen))
-
-
-def _within(page: Page, i: int, chosen: set[int]) -> bool:
-    while i >= 0:
-        if i in chosen:
-            return True
-        i = page.parents[i]
-    return False
+    inside = _within(page, _whole(page, chosen))
+    return "\n".join(t for i, t, _ in page.blocks if i >= 0 and not page.boiler[i] and inside[i])
 
 
 def with_host(pages: DataFrame, name: str = "host") -> DataFrame:
@@ -311,7 +353,8 @@ def with_host(pages: DataFrame, name: str = "host") -> DataFrame:
 def host_paths(pages: DataFrame, most: int = 5, share: float = 0.05) -> DataFrame:
     """(host, paths): up to `most` winning paths, those with at least `share` of their host's votes, best first.
 
-    A page's vote weighs its best container's points, 20 at most.
+    A page's vote weighs its best container's points, 20 at most. Pages of a host with more templates than that lose
+    nothing: where none of the winning paths leads to text, a page's own best container is taken.
     """
     schema = T.StructType([T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("points", T.DoubleType())])
 
@@ -338,8 +381,9 @@ def host_paths(pages: DataFrame, most: int = 5, share: float = 0.05) -> DataFram
 def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages(page_id, url, html).
 
-    A null html or one without main text gives an empty text; a null url votes with the other urls without a host.
-    Repeated rows are extracted alike; other columns play no part; an empty table gives an empty table.
+    A null html or one without main text gives an empty text; a null url votes with the other urls without a host. Pages
+    of any length and nesting are read whole, in time in proportion to their length. Repeated rows are extracted alike;
+    other columns play no part; an empty table gives an empty table.
     """
     pages = pages.select("page_id", "url", "html")
     winners = common.written(host_paths(pages), "paths")  # its size on disk decides how it is joined

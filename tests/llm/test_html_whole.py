@@ -1,5 +1,7 @@
 """Main text in nested containers and in wrappers whose classes name boilerplate."""
 
+import time
+
 import pytest
 
 from sparkloom.llm import html_text
@@ -54,3 +56,11 @@ def test_marks_still_drop(spark):
 def test_many_nested_wrappers(spark):
     deep = '<div class="search">' * 40 + f"<p>{PARTS[0]}</p>" + "</div>" * 40
     assert extracted(spark, deep) == [PARTS[0]]
+
+
+def test_deep_pages_take_time_in_proportion():
+    n = 100_000
+    for page in ("<div>" * n + "x", "<div class='search'>" * n + "x", "<div>text, text" * n, "<div><b>" + "</i></p></div>" * n + "x", "<span>" * n + "<div>x</div>" * n):
+        began = time.process_time()
+        html_text.extract(page, ["div>div"])
+        assert time.process_time() - began < 8, page[:30]
