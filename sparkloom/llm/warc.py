@@ -5,12 +5,18 @@ compressed length in an `sl` extra field. On commit the driver writes a manifest
 read. Reading: one partition a file; equality, IN, prefix and null predicates on record type and header columns are
 pushed down; of a record only the headers are inflated first, and the payload of a record that is not wanted, or that
 the schema leaves out, is skipped by its compressed length without being inflated.
+
+Records that break the format (no end of the WARC head, no length, or cut off by the end of the file) fail the read; with
+the option mode DROPMALFORMED they are left out: one of a known length is skipped, and one of an unknown length ends its file.
+A page id that is no number reads as null.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -32,7 +38,9 @@ HEADERS = {
     "record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date",
     "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to", "page_id": "x-page-id", "refers_to_page": "x-refers-to-page",
 }
-SCHEMA = "record_type string, record_id string, target_uri string, date string, payload_digest string, refers_to string, page_id long, refers_to_page long, http_length long, payload binary"
+#: Columns that need the block, not just the headers: the length that the HTTP head states, the payload, and the payload's own
+#: length and digest, which are worked out from its bytes.
+SCHEMA = "record_type string, record_id string, target_uri string, date string, payload_digest string, refers_to string, page_id long, refers_to_page long, http_length long, payload binary, payload_length long, payload_sha1 string"
 _LONGS = ("page_id", "refers_to_page")
 _HEAD = b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff" + struct.pack("<H", 12) + b"sl" + struct.pack("<H", 8)
 _FIRST = 1024
@@ -76,7 +84,10 @@ class Written(ds.WriterCommitMessage):
 
 
 class WarcWriter(ds.DataSourceArrowWriter):
-    """Rows (page_id, url, payload, sha1, response): response is the page_id of the record that holds the payload, null for itself."""
+    """Rows (page_id, url, payload, sha1, response): response is the page_id of the record that holds the payload, null for itself.
+
+    A task keeps one file open and one record in memory.
+    """
 
     def __init__(self, path: str, roll: int) -> None:
         self.path, self.roll = path, roll
@@ -150,8 +161,10 @@ class WarcReader(ds.DataSourceReader):
     predicates, all push the same; a filter added later stays with Spark and cannot take rows from the frame it came from.
     """
 
-    def __init__(self, path: str, schema: T.StructType, listed: str = "[]") -> None:
-        self.path, self.schema = path, schema
+    def __init__(self, path: str, schema: T.StructType, listed: str = "[]", mode: str = "FAILFAST") -> None:
+        if mode not in ("FAILFAST", "DROPMALFORMED"):
+            raise ValueError("mode is FAILFAST or DROPMALFORMED")
+        self.path, self.schema, self.strict = path, schema, mode == "FAILFAST"
         self.listed = {tuple(x) for x in json.loads(listed)}
         self.filters: list[tuple[str, str, object]] = []
 
@@ -184,11 +197,10 @@ class WarcReader(ds.DataSourceReader):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         shape = to_arrow_schema(self.schema)
-        wanted = "payload" in names
         rows: list[dict] = []
         size = 0
         with fs.open_input_file(partition.file) as f:
-            for row in records(f, wanted, self.filters):
+            for row in records(f, frozenset(names), self.filters, self.strict):
                 rows.append(row)
                 size += len(row.get("payload") or b"")
                 if len(rows) >= 4096 or size >= 1 << 23:
@@ -206,87 +218,145 @@ def parse_headers(raw: bytes) -> dict[str, str]:
     return out
 
 
+def _number(text: str | None) -> int | None:
+    return int(text) if text and re.fullmatch(r"-?[0-9]{1,18}", text) else None
+
+
 def _row(headers: dict[str, str]) -> dict:
+    """The header columns; a header that is missing, or a page id that is no number, is null."""
     row: dict = {c: headers.get(h) for c, h in HEADERS.items()}
     for c in ("record_id", "refers_to"):
         row[c] = row[c][1:-1] if row[c] and row[c].startswith("<") else row[c]
     for c in _LONGS:
-        row[c] = None if row[c] is None else int(row[c])
+        row[c] = _number(row[c])
     if row["payload_digest"]:
         row["payload_digest"] = row["payload_digest"].rpartition(":")[2]
     return row
 
 
-def _fill(row: dict, block: bytes, whole: bool) -> None:
-    """http_length and payload from the start of a block, or all of it."""
-    at = block.find(b"\r\n\r\n")
-    if block.startswith(b"HTTP/") and at >= 0:
-        length = parse_headers(block[:at]).get("content-length")
-        row["http_length"] = int(length) if length and length.isdigit() else None
+class Malformed(ValueError):
+    """A record that breaks the format, and its place."""
+
+
+class _Bytes:
+    """A record's bytes from its start on: plain, or the content of one gzip member. Reads no further than asked."""
+
+    def __init__(self, f: pa.NativeFile, at: int) -> None:
+        self.f, self.at, self.used = f, at, 0
+        f.seek(at)
+        first = f.read(_FIRST)
+        self.used = len(first)
+        self.zip = first[:2] == b"\x1f\x8b"
+        # The member's compressed length, where its header has one.
+        self.long = struct.unpack_from("<I", first, 16)[0] if self.zip and len(first) >= 24 and first[3] & 4 and first[12:14] == b"sl" else None
+        self.inflate = zlib.decompressobj(31) if self.zip else None
+        self.raw = first
+        self.data = bytearray(b"" if self.zip else first)
+
+    def more(self, n: int) -> bool:
+        """Some n further bytes; False at the end."""
+        if self.inflate is None:
+            got = self.f.read(n)
+            self.used += len(got)
+            self.data += got
+            return bool(got)
+        if self.inflate.eof:
+            return False
+        if not self.raw:
+            self.raw = self.f.read(1 << 16 if n > _FIRST else _FIRST)
+            self.used += len(self.raw)
+            if not self.raw:
+                return False
+        try:
+            self.data += self.inflate.decompress(self.raw, n)
+        except zlib.error as error:
+            raise Malformed(f"the member at byte {self.at} cannot be inflated: {error}") from error
+        self.raw = self.inflate.unconsumed_tail
+        return True
+
+    def until(self, mark: bytes, start: int = 0, stop: int | None = None) -> int:
+        """The place of mark at or after start, -1 if there is none (before stop)."""
+        seen = start
+        while True:
+            found = self.data.find(mark, max(start, seen - len(mark) + 1))
+            if found >= 0 or stop is not None and len(self.data) >= stop:
+                return found if found >= 0 and (stop is None or found < stop) else -1
+            seen = len(self.data)
+            if not self.more(_FIRST):
+                return -1
+
+    def fill(self, n: int) -> bool:
+        """Whether there are n bytes, read up to there."""
+        while len(self.data) < n:
+            if not self.more(min(1 << 20, n - len(self.data))):
+                return False
+        return True
+
+    def next(self, n: int) -> int:
+        """Where the following record begins; n is the length of this one with its end."""
+        if self.long is not None:
+            return self.at + self.long
+        if self.inflate is None:
+            return self.at + n
+        while not self.inflate.eof:  # another writer's member: its length is known when it is inflated
+            self.data.clear()
+            if not self.more(1 << 20):
+                raise Malformed(f"the member at byte {self.at} is cut off")
+        return self.at + self.used - len(self.inflate.unused_data)
+
+
+def _block(source: _Bytes, cut: int, length: int, row: dict, names: frozenset[str]) -> None:
+    """The columns that need the block, of `length` bytes from cut on; the payload is inflated only for columns that need it."""
+    whole = bool(names & {"payload", "payload_length", "payload_sha1"})
+    if not whole and "http_length" not in names:
+        return
+    if whole and not source.fill(cut + length):
+        raise Malformed(f"the record at byte {source.at} is cut off")
+    end = source.until(b"\r\n\r\n", cut, cut + length) if source.fill(min(cut + 5, cut + length)) and source.data[cut : cut + 5] == b"HTTP/" else -1
+    if end >= 0:
+        row["http_length"] = _number(parse_headers(bytes(source.data[cut:end])).get("content-length"))
     if whole:
-        row["payload"] = block[at + 4 :] if block.startswith(b"HTTP/") and at >= 0 else block
+        payload = bytes(source.data[cut if end < 0 else end + 4 : cut + length])
+        row["payload"], row["payload_length"] = payload, len(payload)
+        if "payload_sha1" in names:
+            row["payload_sha1"] = base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def records(f: pa.NativeFile, wanted: bool, filters: list[tuple[str, str, object]]) -> Iterator[dict]:
-    """The records of an open file that pass the filters; payload only if wanted."""
+def records(f: pa.NativeFile, names: frozenset[str], filters: list[tuple[str, str, object]], strict: bool = True) -> Iterator[dict]:
+    """The records of an open file that pass the filters, with the columns named. The filters see a record right after its
+    WARC head; of one that they refuse nothing more is read than its length takes. See the module on malformed records."""
     size, at = f.size(), 0
     while at < size:
-        f.seek(at)
-        start = f.read(_FIRST)
-        if start[:2] == b"\x1f\x8b":
-            long = None
-            if start[3] & 4 and start[12:14] == b"sl":
-                long = struct.unpack_from("<I", start, 16)[0]
-            inflate = zlib.decompressobj(31)
-            head = inflate.decompress(start, _FIRST)
-            used = len(start)
-            while b"\r\n\r\n" not in head or b"\r\n\r\n" not in head[head.index(b"\r\n\r\n") + 4 :]:
-                more = inflate.unconsumed_tail or f.read(_FIRST)
-                if not more or inflate.eof:
-                    break
-                used += 0 if inflate.unconsumed_tail else len(more)
-                head += inflate.decompress(more, _FIRST)
-            cut = head.index(b"\r\n\r\n") + 4
-            headers = parse_headers(head[: cut - 4])
+        source = _Bytes(f, at)
+        try:
+            end = source.until(b"\r\n\r\n")
+            if end < 0:
+                if not source.zip and not bytes(source.data).strip():
+                    return  # blank lines at the end
+                raise Malformed(f"the record at byte {at} has no end of its head")
+            headers = parse_headers(bytes(source.data[:end]).lstrip())
+            length, cut = _number(headers.get("content-length")), end + 4
+            if length is None or length < 0:
+                raise Malformed(f"the record at byte {at} has no length")
+            if source.long is not None and at + source.long > size or not source.zip and at + cut + length > size:
+                raise Malformed(f"the record at byte {at} is cut off")
             row = _row(headers)
             good = _holds(filters, row)
-            if good and wanted or long is None:  # inflate the rest
-                length = int(headers.get("content-length", 0))
-                data = [head]
-                while not inflate.eof:
-                    more = inflate.unconsumed_tail or f.read(1 << 16)
-                    if not more:
-                        break
-                    used += 0 if inflate.unconsumed_tail else len(more)
-                    data.append(inflate.decompress(more, 1 << 20))
-                if good:
-                    _fill(row, b"".join(data)[cut : cut + length], wanted)
-                at += used - len(inflate.unused_data)
-            else:
-                if good:
-                    _fill(row, head[cut:], False)
-                at += long
             if good:
-                yield row
-            continue
-        while b"\r\n\r\n" not in start:
-            more = f.read(_FIRST)
-            if not more:
+                _block(source, cut, length, row, names)
+            at = source.next(cut + length + 4)
+            if good:
+                yield {k: v for k, v in row.items() if k in names}
+        except Malformed:
+            if strict:
+                raise
+            if source.long is None:
                 return
-            start += more
-        cut = start.index(b"\r\n\r\n") + 4
-        headers = parse_headers(start[: cut - 4].lstrip())
-        length = int(headers.get("content-length", 0))
-        row = _row(headers)
-        if _holds(filters, row):
-            f.seek(at + cut)
-            _fill(row, f.read(length if wanted else min(length, _FIRST)), wanted)
-            yield row
-        at += cut + length + 4
+            at += source.long
 
 
 class WarcSource(ds.DataSource):
-    """format("sparkloom_warc"), with the options path, roll (bytes of a file, 64 MB by default) and push (see read_archives)."""
+    """format("sparkloom_warc"), with the options path, roll (bytes of a file, 64 MB by default), mode and push (see read_archives)."""
 
     @classmethod
     def name(cls) -> str:
@@ -296,13 +366,14 @@ class WarcSource(ds.DataSource):
         return SCHEMA
 
     def reader(self, schema: T.StructType) -> WarcReader:
-        return WarcReader(self.options["path"], schema, self.options.get("push", "[]"))
+        return WarcReader(self.options["path"], schema, self.options.get("push", "[]"), self.options.get("mode", "FAILFAST").upper())
 
     def writer(self, schema: T.StructType, overwrite: bool) -> WarcWriter:
         return WarcWriter(self.options["path"], int(self.options.get("roll", 1 << 26)))
 
 
 def register(spark: SparkSession) -> None:
+    """Registers the format and lets Spark hand predicates to Python sources, which a session does not do by itself."""
     spark.dataSource.register(WarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
@@ -318,19 +389,20 @@ def write_pages(pages: DataFrame, path: str, least: int = 0) -> None:
     register(spark)
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
-    largest = rows.groupBy("sha1", "size").agg(F.max("page_id").alias("largest"))
-    joined = rows.join(largest, ["sha1", "size"])
+    rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("size", F.octet_length("payload")).withColumn("same", F.sha2("payload", 256))
+    largest = rows.groupBy("same").agg(F.max("page_id").alias("largest"))  # by SHA-256: SHA-1 has known collisions
+    joined = rows.join(largest, "same")
     own = F.col("largest").isNull() | (F.col("size") < least) | F.coalesce(F.col("page_id") == F.col("largest"), F.lit(False))
     out = joined.select("page_id", "url", "payload", "sha1", F.when(own, F.lit(None)).otherwise(F.col("largest")).cast("long").alias("response"))
     out.write.format(FORMAT).mode("append").save(path)
 
 
-def read_archives(spark: SparkSession, path: str, schema: str = SCHEMA, where: Mapping[str, object] | None = None) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, schema: str = SCHEMA, where: Mapping[str, object] | None = None, mode: str = "FAILFAST") -> DataFrame:
     """The records of all archives under path; columns that schema leaves out are not read.
 
     where: predicates on header columns, evaluated before payloads are inflated: a value, a list of values, a text that
-    ends in % (a prefix), or None (no such header).
+    ends in % (a prefix), or None (no such header). mode: see the module. An archive without records, or a folder without
+    archives, gives an empty table.
     """
     register(spark)
     cond, push = F.lit(True), []
@@ -348,13 +420,22 @@ def read_archives(spark: SparkSession, path: str, schema: str = SCHEMA, where: M
             one = value[0] if isinstance(value, (list, tuple)) else value
             cond, spec = cond & (c == one), _spec(column, "eq", one)
         push.append(spec)
-    return spark.read.format(FORMAT).schema(schema).option("push", json.dumps(push)).load(path).filter(cond)
+    return spark.read.format(FORMAT).schema(schema).option("push", json.dumps(push)).option("mode", mode).load(path).filter(cond)
 
 
 def warc_digest(pages: DataFrame, least: int = 0) -> DataFrame:
-    """The contract's columns, from archives written to the shared folder and read back."""
+    """The contract's columns, from archives written to the shared folder and read back.
+
+    The length and the digest of a response are worked out from the payload that is read; a revisit has no payload, and
+    its record states both. Nulls, repeats, long payloads and empty tables are as in write_pages().
+    """
     spark = pages.sparkSession
     path = common.scratch(spark, "warc")
     write_pages(pages, path, least)
-    rows = read_archives(spark, path, "record_type string, payload_digest string, page_id long, refers_to_page long, http_length long", {"record_type": ["response", "revisit"]})
-    return rows.select("page_id", F.col("http_length").alias("payload_bytes"), "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to"))
+    schema = "record_type string, payload_digest string, page_id long, refers_to_page long, http_length long, payload_length long, payload_sha1 string"
+    rows = read_archives(spark, path, schema, {"record_type": ["response", "revisit"]})
+    own = F.col("record_type") == "response"
+    return rows.select(
+        "page_id", F.when(own, F.col("payload_length")).otherwise(F.col("http_length")).alias("payload_bytes"),
+        F.when(own, F.col("payload_sha1")).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", F.col("refers_to_page").alias("refers_to"),
+    )
