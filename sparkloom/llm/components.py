@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import common
@@ -26,17 +26,20 @@ def _small(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, component): the least node reachable, for every node that has an edge in edges(a, b); self-links and nulls are ignored.
 
-    Each round's edges are written to the shared folder, and rounds go on until the edges stay the same.
+    Each round's edges are written to the shared folder, counted and hashed by the job that writes them, and rounds go on
+    until the edges stay the same. Only the last round's table is kept.
     """
 
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def settled(df: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        table = common.written(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), "edges")
+        return table, (seen.get.get("n"), seen.get.get("h"))
 
-    now = common.written(edges.select("a", "b").filter("a <> b").distinct(), "edges")
-    was = mark(now)
+    now, was = settled(edges.select("a", "b").filter("a <> b").distinct())
     for _ in range(most):
-        now = common.written(_small(_large(now)), "edges")
-        got = mark(now)
+        after, got = settled(_small(_large(now)))
+        common.dropped(now)
+        now = after
         if got == was:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
         was = got

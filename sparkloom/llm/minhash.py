@@ -73,11 +73,9 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, f1, f2, bands) for every row; n is the size of the shingle set, f1 and f2 its fingerprint."""
+    """(doc_id, rk, n, f1, f2, bands) for every row of docs(doc_id, rk, text); n is the size of the shingle set, f1 and f2 its fingerprint."""
     kind = pa.list_(pa.field("element", pa.int64(), False))
-    schema = T.StructType(
-        [T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType(), False))]
-    )
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "rk", "n", "f1", "f2")] + [T.StructField("bands", T.ArrayType(T.LongType(), False))])
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in W.batches(batch, "text"):
@@ -86,20 +84,20 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             bands = [band_keys(signature(s)).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
             at = pa.array(np.cumsum([0, *map(len, bands)], dtype=np.int32))
             made = pa.ListArray.from_arrays(at, pa.array(np.concatenate(bands))).cast(kind)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(f[0]), pa.array(f[1]), made], schema.names)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("rk"), pa.array([len(s) for s in sets], pa.int64()), pa.array(f[0]), pa.array(f[1]), made], schema.names)
 
-    return common.arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
+    return common.arrow_map(docs, run, schema)
 
 
 def compare(docs: DataFrame, pairs: DataFrame, k: int, share: int = 64) -> DataFrame:
-    """(a, b, inter, total) for every pair (a, b), on full shingle sets.
+    """(a, b, inter, total) for every pair (a, b), on full shingle sets; a written table.
 
     The members of a pair's group are dealt to blocks of about `share`; each block gets the text of a and streams the
     texts of its b's past it, so a hot a is spread and memory holds one set and one batch.
     """
     count = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c"))
     dealt = pairs.join(count, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / share)).cast("int").alias("salt"))
-    dealt = common.written(dealt, "pairs")
+    dealt = common.written(dealt, "dealt")
     wanted = dealt.select(F.col("b").alias("doc_id"), "a", "salt", F.lit(1).alias("role")).union(dealt.select(F.col("a"), "a", "salt", F.lit(0)).distinct())
     texts = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id")
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b", "inter", "total")])
@@ -121,12 +119,13 @@ def compare(docs: DataFrame, pairs: DataFrame, k: int, share: int = 64) -> DataF
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema.names)
 
     # The sort puts a's text before those of its block.
-    return texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(run, schema)
+    out = common.written(texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(run, schema), "compared")
+    common.dropped(dealt)
+    return out
 
 
-def shared_sizes(docs: DataFrame, k: int, n_shingles: int) -> DataFrame:
-    """(doc_id, v): at least as many as the shingles of a document that another document of docs(doc_id, text) has."""
-    bits = docs.sparkSession.sparkContext.broadcast(countmin.repeated_bits(docs.select("text"), lambda part: np.concatenate(shingle_sets(part.column("text"), k)), countmin.width_for(n_shingles)))
+def shared_sizes(docs: DataFrame, k: int, bits) -> DataFrame:
+    """(doc_id, v): at least as many as the shingles of a document that another one has, by the bits of a sketch (a broadcast variable)."""
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("v", T.LongType())])
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -160,12 +159,17 @@ def open_links(members: DataFrame, comp: DataFrame, docs: DataFrame, k: int, per
     near = named.join(named.filter("open").select("a").distinct(), "a", "left_semi")
     total = near.select("b", "n").distinct().agg(F.sum("n")).first()[0]
     if not total:
+        common.dropped(named)
         return None
     ids = near.select(F.col("b").alias("doc_id")).distinct()
     text = common.written(docs.join(ids.hint("merge"), "doc_id", "left_semi"), "open-text")
     # A document alone with more than 100 - percent of its shingles is linked with nothing here.
-    near = near.join(shared_sizes(text, k, total).withColumnRenamed("doc_id", "b"), "b")
+    sketch = countmin.repeated_bits(text.select("text"), lambda part: np.concatenate(shingle_sets(part.column("text"), k)), countmin.width_for(total))
+    bits = docs.sparkSession.sparkContext.broadcast(sketch)
+    near = near.join(shared_sizes(text, k, bits).withColumnRenamed("doc_id", "b"), "b")
     near = common.written(near.filter(F.expr(f"100 * v >= {percent} * n")).select("a", "b", "d", "open"), "open")
+    bits.destroy()
+    common.dropped(named)
     step = F.floor(F.col("d") * steps).cast("int").alias("step")
     sizes = near.filter("open").groupBy("a", step).agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("salts"))
     first = near.filter("open").withColumn("step", step).join(sizes, ["a", "step"]).select(F.col("b").alias("doc_id"), "a", "step", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(0).alias("role"))
@@ -199,18 +203,20 @@ def open_links(members: DataFrame, comp: DataFrame, docs: DataFrame, k: int, per
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema.names)
 
     texts = text.select("doc_id", "text").join(first.union(then).hint("merge"), "doc_id")
-    return texts.repartition("a", "step", "salt").sortWithinPartitions("a", "step", "salt", "role").mapInArrow(run, schema)
+    links = common.written(texts.repartition("a", "step", "salt").sortWithinPartitions("a", "step", "salt", "role").mapInArrow(run, schema), "open-links")
+    common.dropped(text, near)
+    return links
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n, component) for every row of docs(doc_id, text).
+    """(doc_id, rk, n, component) for every row of docs(doc_id, text); rk is a hash of the row's text.
 
     Links documents whose shingle sets have 100 * intersection >= percent * union; component is the smallest id reachable.
     A row without words, or with a null id, is linked with nothing. Rows that share an id and a text are one document; if
     rows share an id but not the text, every text is a document of its own in its classes, compared by any text under the
-    id. Empty tables give empty tables; further columns play no part.
+    id. Very long texts are hashed a slice at a time. Empty tables give empty tables; further columns play no part.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rk"), "text")
     rows = common.written(signatures(docs, k), "signatures")
     key = ["n", "f1", "f2"]
     full = rows.filter("n > 0 and doc_id is not null")
@@ -221,31 +227,44 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     central = buckets.join(buckets.groupBy("b").agg(F.sum("c").alias("score")), "b")
     pivots = central.groupBy("band").agg(F.max(F.struct("score", (-F.col("b")).alias("m"))).alias("p")).select("band", (-F.col("p.m")).alias("a"))
     pairs = common.written(buckets.join(pivots, "band").filter("a <> b").select("a", "b", "n").distinct(), "pairs")
+    common.dropped(buckets)
 
     ids = pairs.select(F.col("b").alias("doc_id")).union(pairs.select("a")).distinct()
     # Texts are always sent by a merge join: whether the ids would fit a broadcast depends on the corpus.
-    text = common.written(docs.join(ids.hint("merge"), "doc_id", "left_semi"), "candidates")
+    text = common.written(docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi"), "candidates")
     near = F.expr(f"100 * inter >= {percent} * total")
-    links = common.written(compare(text, pairs.select("a", "b"), k), "compared")
+    links = compare(text, pairs.select("a", "b"), k)
     comp = components.components(links.filter(near).select("a", "b"))
     distance = (1 - F.col("inter") / F.col("total")).alias("d")
     more = open_links(pairs.join(links.select("a", "b", distance), ["a", "b"]), comp, text, k, percent)
+    common.dropped(pairs, text, links)
     if more is not None:
-        comp = components.components(links.filter(near).select("a", "b").union(more))
+        comp = components.components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+        common.dropped(more)
 
     of_class = classes.select(*key, F.col("doc_id").alias("node")).join(comp, "node", "left").select(*key, F.coalesce("component", "node").alias("component"))
-    linked = full.select("doc_id", *key).join(of_class, key).select("doc_id", "n", "component")
-    alone = rows.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component"))
+    linked = full.select("doc_id", "rk", *key).join(of_class, key).select("doc_id", "rk", "n", "component")
+    alone = rows.filter("n = 0 or doc_id is null").select("doc_id", "rk", "n", F.col("doc_id").alias("component"))
     return linked.union(alone)
 
 
 def minhash_digest(docs: DataFrame, k: int = 2) -> DataFrame:
-    """The contract's columns for every document."""
+    """The contract's columns for every row of docs(doc_id, text).
+
+    A null or empty text, or one without words, has n_shingles 0 and is its own component; a null id has a null component
+    and is kept; repeated rows share a component. Long texts, empty tables and other columns are as in near_duplicates().
+    """
     rows = near_duplicates(docs, k)
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, k: int = 5) -> DataFrame:
-    """docs without the documents that are linked, directly or through others, to one with a smaller id."""
-    gone = near_duplicates(docs, k).filter("doc_id <> component").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs without the rows that are linked, directly or through others, to a document with a smaller id.
+
+    Of rows that share an id each goes or stays by its own text. Rows with null ids or without words stay, as do all
+    repeats of a row that stays; columns of any name pass through.
+    """
+    rows, names = common.shielded(docs, "doc_id", "text")
+    gone = near_duplicates(rows, k).filter("doc_id <> component").select(F.col("doc_id").alias("gone_id"), "rk").distinct()
+    match = (F.col("doc_id").cast("long") == F.col("gone_id")) & (F.xxhash64("text") == F.col("rk"))
+    return common.unshielded(rows.join(gone.hint("merge"), match, "left_anti"), names)
