@@ -9,6 +9,7 @@ it sets the operating point and a threshold for each language. Scores depend on
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -211,8 +212,9 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = 3000, most_bytes: int = 1 << 16) -> tuple[list[np.ndarray], np.ndarray, list[str | None]]:
-    """Word buckets, labels and languages of at most `most` rows of each class, those whose ids hash lowest.
+def sample(docs: DataFrame, labels: DataFrame, most: int = 3000, most_bytes: int = 1 << 16) -> DataFrame:
+    """(doc_id, toxic, lang, ids): word buckets, labels and languages of at most `most` rows of each class, those whose ids
+    hash lowest.
 
     Held-out rows, texts over most_bytes and rows with nulls are left out; an id with several labels takes the largest.
     """
@@ -228,13 +230,20 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = 3000, most_bytes: int
         made = [ids[a:b].astype("<u2").tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("toxic").cast(pa.int32()), batch.column("lang").cast(pa.string()), pa.array(made, pa.binary())], schema.names)
 
-    got = sorted(common.arrow_map(rows.select("doc_id", "toxic", "lang", "text"), run, schema).collect(), key=lambda r: (r.doc_id, bytes(r.ids)))
-    texts = [np.frombuffer(bytes(r.ids), "<u2").reshape(-1, TABLES) for r in got]
-    return texts, np.array([r.toxic for r in got], np.int64), [r.lang for r in got]
+    return common.arrow_map(rows.select("doc_id", "toxic", "lang", "text"), run, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 3000) -> Model:
-    return train(*sample(docs, labels, most))
+    """Trains on sample() in one task, as the sample is bounded by `most`; the driver gets the parameters alone."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for part in parts for r in zip(*(part.column(c).to_pylist() for c in ("doc_id", "ids", "toxic", "lang")), strict=True)), key=lambda r: r[:2])
+        texts = [np.frombuffer(ids, "<u2").reshape(-1, TABLES) for _, ids, _, _ in rows]
+        model = train(texts, np.array([r[2] for r in rows], np.int64), [r[3] for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    got = sample(docs, labels, most).repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(got[0]) if got else train([], np.zeros(0, np.int64), [])  # an empty table may have no partition
 
 
 def score_documents(docs: DataFrame, model: Model, score: str = "score", keep: list[str] | None = None) -> DataFrame:
@@ -263,8 +272,15 @@ def threshold(model: Model) -> Column:
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The contract's columns, and the language's threshold with what it predicts."""
+    """The contract's columns, and the language's threshold with what it predicts.
+
+    Every row of docs(doc_id, text[, lang]) is scored: a null text as an empty one, a text of any length whole, repeated
+    rows alike; a null id is not held out; without lang, or where it is null, the threshold is CUT. Without labels of both
+    classes all scores are one low value. An empty table gives an empty table; other columns play no part.
+    """
     model = fit(docs, labels)
+    if "lang" not in docs.columns:
+        docs = docs.withColumn("lang", F.lit(None).cast("string"))
     rows = score_documents(docs, model, keep=["doc_id", "lang"])
     rows = rows.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), threshold(model).alias("lang_threshold"))
     return rows.withColumn("lang_predicted", (F.col("score") >= F.col("lang_threshold")).cast("int"))
