@@ -7,7 +7,9 @@ and their rows removed before the next rule is grown. The list is read top down;
 
 from __future__ import annotations
 
+import pickle
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -263,13 +265,19 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, most: int) -> DataFr
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 12000) -> DecisionList:
-    """Learns the list from a bounded sample of labelled rows (most), on the driver."""
-    table = labelled_statistics(docs, labels, most).select("doc_id", "quality", *[c.alias(k) for k, c in ratio_columns().items()]).toArrow()
-    ids = table["doc_id"].to_pylist()
-    order = np.array(sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), ids[i])), np.int64)
-    if not len(order):
-        return DecisionList()
-    return learn({k: table[k].to_numpy()[order].astype(float) for k in RATIOS}, table["quality"].to_numpy()[order] == 0)
+    """Learns the list from a bounded sample of labelled rows (most), in one task; the driver gets the list alone."""
+    columns = ["doc_id", "quality", *RATIOS]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [part for part in parts if part.num_rows]
+        table = {c: np.concatenate([part.column(c).to_numpy(zero_copy_only=False) for part in got]) if got else np.zeros(0) for c in columns}
+        order = np.array(sorted(range(len(table["doc_id"])), key=lambda i: (zlib.crc32(str(int(table["doc_id"][i])).encode()), table["doc_id"][i])), np.int64)
+        rules = learn({k: table[k][order].astype(float) for k in RATIOS}, table["quality"][order] == 0) if len(order) else DecisionList()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(rules)], pa.binary())], ["rules"])
+
+    rows = labelled_statistics(docs, labels, most).select("doc_id", "quality", *[c.alias(k) for k, c in ratio_columns().items()])
+    got = rows.repartition(1).mapInArrow(run, "rules binary").first()
+    return pickle.loads(got[0]) if got else DecisionList()  # an empty table may have no partition
 
 
 def base_failed() -> Column:
