@@ -125,6 +125,7 @@ def covered_spans(docs: DataFrame, width: int = 50, most_counters: int = 1 << 26
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = spark.sparkContext.broadcast(sketch(docs, width, countmin.width_for(n_bytes // ANCHOR_BYTES, most_counters)))
     runs = common.written(candidate_runs(docs, width, bits), "runs")
+    bits.destroy()
 
     key = ["anchor", "r1", "r2", "n"]
     classes = common.written(runs.groupBy(*key).agg(F.min("doc_id").alias("m"), F.first("hashes").alias("hashes")), "classes")
