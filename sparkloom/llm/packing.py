@@ -139,7 +139,8 @@ class Tokenizer:
     """Ids by the tokenizers library; parts of texts between spaces, which never share a token, are cached (bounded).
 
     ranks: the same vocabulary as a rank file, with its pattern. Parts that are not in the cache are then encoded with
-    it, which gives the same ids at a third of the cost (the tests hold both against each other).
+    it, which gives the same ids at a third of the cost (the tests hold both against each other). A text that holds the
+    string of an added token, such as <|endoftext|>, goes to the library whole, which gives that token's id.
     """
 
     def __init__(self, path: str, ranks: tuple[str, str] | None = None, cache: int = 500_000) -> None:
@@ -147,7 +148,7 @@ class Tokenizer:
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         vocabulary = self.library.get_vocab(with_added_tokens=False)
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of a token: a character stands for a byte
         for token, i in vocabulary.items():
@@ -191,7 +192,10 @@ class Tokenizer:
         """The ids of every text as little-endian unsigned 32-bit integers."""
         from .bpe import _CUT, _ODD
 
-        parts = [_CUT.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
+        whole = {i: None for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        if whole:
+            whole = dict(zip(whole, self._ids([texts[i] for i in whole]), strict=True))
+        parts = [[""] if i in whole else _CUT.split(t) if _ODD.search(t) else t.split(" ") for i, t in enumerate(texts)]
         seen: set[str] = set()
         for p in parts:
             seen.update(p[1:])
@@ -205,6 +209,8 @@ class Tokenizer:
         for u in new:
             if len(u) > 64:
                 del units[u]
+        for i, ids in whole.items():
+            out[i] = ids
         return out
 
 
