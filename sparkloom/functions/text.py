@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+FOLD = str.maketrans(UPPER, UPPER.lower())
 
 #: Extensions of the files that are indexed.
 EXTENSIONS = (
@@ -34,6 +36,7 @@ NEEDLES = {
     "python": ("def ", "import ", "self", "elif ", "None"),
     "cpp": ("#include", "void ", "template<", "std::", "uint"),
 }
+HEAD_BYTES = 4096
 
 
 def ascii_lower(x: Column) -> Column:
@@ -89,6 +92,11 @@ def is_sensitive(pattern: Column) -> Column:
     return pattern.rlike("\\p{Lu}")
 
 
+def is_upper(pattern: str) -> bool:
+    """is_sensitive of a literal."""
+    return any(unicodedata.category(c) == "Lu" for c in pattern)
+
+
 def smart_contains(x: Column, pattern: Column) -> Column:
     return F.when(is_sensitive(pattern), F.contains(x, pattern)).otherwise(F.contains(ascii_lower(x), ascii_lower(pattern)))
 
@@ -125,8 +133,9 @@ def language_of_path(path: Column) -> Column:
 
 
 def language_scores(text: Column) -> dict[str, Column]:
-    head = F.substr(text, F.lit(1), F.lit(4096))
-    return {lang: sum((F.contains(head, F.lit(n)).cast("int") for n in needles), F.lit(0)) for lang, needles in NEEDLES.items()}
+    """Needles found in the first 4096 bytes; the needles are ASCII, so a character that the cut parts makes no difference."""
+    head = F.substring(F.encode(text, "UTF-8"), 1, HEAD_BYTES)
+    return {lang: sum((F.contains(head, F.lit(n.encode())).cast("int") for n in needles), F.lit(0)) for lang, needles in NEEDLES.items()}
 
 
 def language_of_content(text: Column) -> Column:

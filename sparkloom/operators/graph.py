@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: how far a blast radius reaches.
 BLAST_DEPTH = 3
 
 
-def callers_of(edges: DataFrame, targets: DataFrame | None = None) -> DataFrame:
-    """(dst, confirmed, dynamic, named): sorted callers by tier, of all symbols or of targets(dst)."""
+def caller_rows(edges: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """(dst, tier, src, detail): a row for every caller of all symbols or of targets(dst); tier is confirmed, dynamic or
+    named, detail the trait of a dynamic one. Rows, not lists: a function that everything calls is no group in memory."""
     calls = edges.filter("kind = 'call'")
     if targets is not None:
         calls = calls.join(targets.select("dst").distinct(), "dst", "left_semi")
     tier = F.when(F.col("confidence").isin("direct", "typed"), "confirmed").when(F.col("confidence") == "dyn", "dynamic").otherwise("named")
+    return calls.select("dst", tier.alias("tier"), "src", F.when(F.col("confidence") == "dyn", F.col("detail")).otherwise("").alias("detail")).distinct()
 
+
+def callers_of(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """(dst, confirmed, dynamic, named): the sorted callers by tier of a few targets(dst), such as one exploration shows."""
     def of(name: str):
         return F.array_sort(F.collect_set(F.when(F.col("tier") == name, F.col("src")))).alias(name)
 
-    return calls.withColumn("tier", tier).groupBy("dst").agg(of("confirmed"), of("dynamic"), of("named"))
+    return caller_rows(edges, targets).groupBy("dst").agg(of("confirmed"), of("dynamic"), of("named"))
 
 
 def blast_radius(edges: DataFrame, starts: DataFrame, depth: int = BLAST_DEPTH) -> DataFrame:
@@ -40,40 +45,61 @@ def blast_radius(edges: DataFrame, starts: DataFrame, depth: int = BLAST_DEPTH)
     return out.groupBy("start", "id").agg(F.min("hops").alias("hops"), F.min("dyn").alias("dyn"))
 
 
-def call_path(edges: DataFrame, sources: DataFrame, targets: DataFrame, most: int = 64) -> list[tuple[str, str]]:
-    """The fewest-hop path over call edges of all tiers from one of sources(id) to one of targets(id), as (node,
-    confidence of the hop that leads to it), the first with ''. Empty if there is none within `most` hops.
+def call_levels(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> tuple[DataFrame | None, int]:
+    """The levels of a breadth-first search over call edges of all tiers as one table (id, parent, confidence, hops), and
+    the number of hops at which a target was met first; (None, -1) if none is reachable. sources and targets are (id).
 
-    Only the frontier's counts and the final path (at most `most` rows) reach the driver; each step's frontier, with the
-    parent of each node, is written to the shared folder.
+    A level is written with its own number, counted by the job that writes it, and what has been reached lives in the
+    tables of the levels, which are merged to one now and then, so plans stay small. It ends when a target is met or a level is empty.
     """
     from ..sources import shared
 
-    hops = edges.filter("kind = 'call'").groupBy("src", "dst").agg(F.min("confidence").alias("confidence"))
-    wanted = targets.select("id").distinct()
-    level = shared.written(sources.select("id").distinct().withColumn("parent", F.lit(None).cast("string")).withColumn("confidence", F.lit("")), "frontier")
-    levels = [level]
-    seen = level.select("id")
-    for _ in range(most + 1):
-        hit = levels[-1].join(wanted, "id", "left_semi").orderBy("id").limit(1).collect()
-        if hit:
-            break
-        near = levels[-1].select(F.col("id").alias("src")).join(hops, "src").groupBy("dst").agg(F.min(F.struct("src", "confidence")).alias("by")).select(F.col("dst").alias("id"), F.col("by.src").alias("parent"), F.col("by.confidence").alias("confidence"))
-        fresh = shared.written(near.join(seen, "id", "left_anti"), "frontier")
-        if fresh.isEmpty():
-            return []
-        levels.append(fresh)
-        seen = seen.union(fresh.select("id"))
-    else:
+    hops = shared.written(edges.filter("kind = 'call'").groupBy("src", "dst").agg(F.min("confidence").alias("confidence")), "calls")
+    wanted = targets.select("id", F.lit(True).alias("wanted")).distinct()
+
+    def settle(rows: DataFrame) -> tuple[DataFrame, int, int]:
+        seen = Observation()
+        marked = rows.join(wanted, "id", "left").observe(seen, F.count(F.lit(1)).alias("n"), F.count("wanted").alias("met"))
+        table = shared.written(marked, "level")
+        return table, seen.get["n"], seen.get["met"]
+
+    start = sources.select("id").distinct().select("id", F.lit(None).cast("string").alias("parent"), F.lit("").alias("confidence"), F.lit(0).alias("hops"))
+    level, n, met = settle(start)
+    reached, depth = level, 0
+    while n and not met:
+        depth += 1
+        near = level.select(F.col("id").alias("src")).join(hops, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("src", "confidence")).alias("by"))
+        fresh = near.join(reached.select("id"), "id", "left_anti").select("id", F.col("by.src").alias("parent"), F.col("by.confidence").alias("confidence"), F.lit(depth).alias("hops"))
+        level, n, met = settle(fresh)
+        reached = reached.union(level)
+        if depth % 16 == 0:
+            reached = shared.written(reached, "reached")
+    return (reached, depth) if met else (None, -1)
+
+
+def call_path(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> list[tuple[str, str]]:
+    """The fewest-hop path over call edges of all tiers from one of sources(id) to one of targets(id), as (node,
+    confidence of the hop that leads to it), the first with ''; of several the one to the smallest target, through the
+    smallest parents. Empty if there is none. Only the path reaches the driver.
+    """
+    reached, depth = call_levels(edges, sources, targets)
+    if reached is None:
         return []
-    row = hit[0]
+    row = reached.filter(F.col("wanted") & (F.col("hops") == depth)).orderBy("id").first()
     path = [(row["id"], row["confidence"])]
-    for earlier in reversed(levels[:-1]):
-        row = earlier.filter(F.col("id") == row["parent"]).first()
+    for hop in range(depth - 1, -1, -1):
+        row = reached.filter((F.col("id") == row["parent"]) & (F.col("hops") == hop)).first()
         path.append((row["id"], row["confidence"]))
     return path[::-1]
 
 
+def named(symbols: DataFrame, text: str, most: int = 16) -> DataFrame:
+    """(id) of the functions that text names: those whose name or qualified name it is, among the first `most` matches of a search for it."""
+    from .search import symbols_matching
+
+    return symbols_matching(symbols, text, most).filter((F.col("kind") == "fn") & ((F.col("name") == text) | (F.col("qualified") == text))).select("id")
+
+
 def path_between(edges: DataFrame, a: DataFrame, b: DataFrame) -> tuple[list[tuple[str, str]], bool]:
     """A call path from a to b, or if there is none whether one leads back."""
     path = call_path(edges, a, b)

@@ -60,8 +60,12 @@ def overview(journals: DataFrame) -> DataFrame:
 
 
 def changelog(journals: DataFrame, most: int = 20, tags: int = 3) -> DataFrame:
-    """The last `tags` versions, newest first, of the paths changed last."""
-    return overview(journals).limit(most).withColumn("tags", F.slice(F.reverse("tags"), 1, tags))
+    """The last `tags` versions, newest first, of the paths changed last; no more versions than that are gathered."""
+    newest = journals.groupBy("path").agg(F.max("modified").alias("modified")).orderBy(F.desc("modified"), "path").limit(most)
+    rank = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("revision")))
+    recent = journals.join(newest.select("path"), "path", "left_semi").withColumn("rank", rank).filter(F.col("rank") <= tags)
+    shown = recent.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "tag"))), lambda x: x["tag"]).alias("tags"))
+    return newest.join(shown, "path").select("path", "tags", "modified").orderBy(F.desc("modified"), "path")
 
 
 def undo_target(versions: DataFrame, live: DataFrame, by: str = "path") -> DataFrame:
@@ -92,9 +96,13 @@ def fingerprint(files: DataFrame) -> DataFrame:
 
 
 def fan_out(items: DataFrame) -> DataFrame:
-    """items(ord, workspace, tag, item) merged by tag: the first item, and the workspaces in the order met."""
-    rows = items.groupBy("tag").agg(F.min(F.struct("ord", "item")).alias("x"), F.array_sort(F.collect_set(F.struct("ord", "workspace"))).alias("ws"))
-    return rows.select("tag", F.col("x.ord").alias("ord"), F.col("x.item").alias("item"), F.array_distinct(F.transform("ws", lambda w: w["workspace"])).alias("workspaces"))
+    """items(ord, workspace, tag, item) merged by tag: the first item, and the workspaces in the order met.
+
+    First one row for each tag and workspace, in partial sums, so a tag that all items share gathers its workspaces alone.
+    """
+    each = items.groupBy("tag", "workspace").agg(F.min(F.struct("ord", "item")).alias("x"))
+    rows = each.groupBy("tag").agg(F.min("x").alias("x"), F.array_sort(F.collect_list(F.struct("x.ord", "workspace"))).alias("ws"))
+    return rows.select("tag", F.col("x.ord").alias("ord"), F.col("x.item").alias("item"), F.transform("ws", lambda w: w["workspace"]).alias("workspaces"))
 
 
 def first_equal(items: DataFrame, digest: str = "digest") -> DataFrame:

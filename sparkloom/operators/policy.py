@@ -1,13 +1,14 @@
-"""Operation policies: patterns, verdicts, narrowing and the state machine that only narrows.
+"""Operation policies: verdicts, narrowing and the enforcement that only narrows.
 
-`op.` stands for what is below op. A bare `op` stands for itself in an allow list, and for itself and what is below it in
-a deny list. A policy denies first, then allows; an empty allow list admits any op.
+Ops form a tree by their dotted names. A policy names sets of ops by what it takes of that tree: the op at a place (AT), or
+all ops below a place (BELOW; the root, '', has all ops below it). In an allow list `x` is AT x and `x.` is BELOW x; in a
+deny list `x` is both. An op may run if the allow set has it and the deny set has not; no allow list at all is BELOW ''.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,49 +20,50 @@ CHECK_OPS = ("verify.check", "verify.diagnose", "verify.build")
 MUTATE_OPS = ("mutate.edit", "mutate.create", "mutate.delete", "mutate.undo")
 OBSERVE_OPS = ("session.request", "session.requests")
 
+AT, BELOW = "at", "below"
+Taken = frozenset[tuple[str, str]]
+EVERYTHING: Taken = frozenset({(BELOW, "")})
 
-@dataclass(frozen=True)
-class Pattern:
-    base: str
-    exact: bool
-    subtree: bool
 
-    @staticmethod
-    def parse(text: str, deny: bool) -> Pattern:
-        dotted = text.endswith(".")
-        base = text[:-1] if dotted else text
-        if not base or any(c.isspace() for c in text):
+def _above(place: str) -> list[str]:
+    """The places that place is below, from the root down."""
+    dots = [i for i, c in enumerate(place) if c == "." and i < len(place) - 1]
+    return ["", *(place[:i] for i in dots)]
+
+
+def _taken(texts: Iterable[str], bare: Sequence[str]) -> Taken:
+    """What a list of patterns takes of the tree; bare is what one without a dot at its end takes."""
+    out = set()
+    for text in texts:
+        place = text.removesuffix(".")
+        if place == "" or place != "".join(place.split()):
             raise ValueError(f"bad pattern {text!r}")
-        return Pattern(base, not dotted, dotted or deny)
+        out |= {(kind, place) for kind in ((BELOW,) if text != place else bare)}
+    return frozenset(out)
 
-    def matches(self, op: str) -> bool:
-        below = op.startswith(self.base + ".") and len(op) > len(self.base) + 1
-        return self.exact and op == self.base or self.subtree and below
 
-    def contains(self, other: Pattern) -> bool:
-        """Every op that other matches, this matches."""
-        below = self.subtree and (other.base == self.base or other.base.startswith(self.base + "."))
-        return (not other.exact or self.matches(other.base)) and (not other.subtree or below)
+def _has(taken: Taken, part: tuple[str, str]) -> bool:
+    """Whether a part of the tree lies in what is taken: it is taken itself, or is below a place whose ops all are."""
+    return part in taken or any((BELOW, place) in taken for place in _above(part[1]) if part != (BELOW, ""))
 
 
 @dataclass(frozen=True)
 class Policy:
-    """allow None: any op."""
+    """What is allowed and what is denied of the tree of ops."""
 
-    allow: tuple[Pattern, ...] | None
-    deny: tuple[Pattern, ...] = ()
+    allow: Taken
+    deny: Taken = frozenset()
 
     @staticmethod
     def of(allow: Sequence[str], deny: Sequence[str] = ()) -> Policy:
-        return Policy(tuple(Pattern.parse(p, False) for p in allow) or None, tuple(Pattern.parse(p, True) for p in deny))
+        return Policy(_taken(allow, (AT,)) or EVERYTHING, _taken(deny, (AT, BELOW)))
 
     def permits(self, op: str) -> bool:
-        return not any(p.matches(op) for p in self.deny) and (self.allow is None or any(p.matches(op) for p in self.allow))
+        return _has(self.allow, (AT, op)) and not _has(self.deny, (AT, op))
 
     def narrows(self, current: Policy) -> bool:
-        """No op is permitted here that current does not permit, as the patterns show it."""
-        allowed = current.allow is None or self.allow is not None and all(any(c.contains(p) for c in current.allow) for p in self.allow)
-        return allowed and all(any(p.contains(d) for p in self.deny) for d in current.deny)
+        """All that is allowed here is allowed in current, and all that current denies is denied here."""
+        return all(_has(current.allow, part) for part in self.allow) and all(_has(self.deny, part) for part in current.deny)
 
 
 PROFILES = {
@@ -84,7 +86,7 @@ def advance(active: Policy | None, request: Policy | None) -> tuple[Policy | Non
 
 
 def stored(text: str | None) -> Policy | None:
-    """A stored policy: absent is off, what cannot be read is lockdown."""
+    """A stored policy, {"allow": [...], "deny": [...]}: absent is off, what cannot be read is lockdown."""
     if text is None:
         return None
     try:
@@ -95,11 +97,12 @@ def stored(text: str | None) -> Policy | None:
 
 
 def rows(spark: SparkSession, policies: dict[str, Policy]) -> DataFrame:
-    """(policy, side, base, exact, subtree); an allow list that admits any op has one row with the base '*'."""
+    """(policy, side, base, exact, subtree): a row for each place that a side takes something of; the root's base is '*'."""
     out = []
     for name, p in policies.items():
-        out += [(name, "allow", "*", True, True)] if p.allow is None else [(name, "allow", x.base, x.exact, x.subtree) for x in p.allow]
-        out += [(name, "deny", x.base, x.exact, x.subtree) for x in p.deny]
+        for side, taken in (("allow", p.allow), ("deny", p.deny)):
+            for place in sorted({place for _, place in taken}):
+                out.append((name, side, place or "*", place == "" or (AT, place) in taken, (BELOW, place) in taken))
     return spark.createDataFrame(out, "policy string, side string, base string, exact boolean, subtree boolean")
 
 

@@ -25,46 +25,75 @@ def functions(symbols: DataFrame) -> DataFrame:
     return symbols.filter("kind = 'fn'")
 
 
-def resolve_free(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Free calls go to every function of that qualified name, in any file."""
+#: What tells one call from another: calls that agree in all of these resolve alike.
+CALL = ("caller", "callee_name", "arity", "recv_kind", "recv_arg")
+
+
+def _calls(calls: DataFrame, kind: str) -> DataFrame:
+    return calls.filter(F.col("recv_kind") == kind).select(*CALL).distinct()
+
+
+def match_free(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Free calls with every function of that qualified name, in any file: the columns of CALL and id."""
     fns = functions(symbols).select("id", F.col("qualified").alias("callee_name"))
-    return _edges(calls.filter("recv_kind = 'free'").join(fns, "callee_name"), "direct")
+    return _calls(calls, "free").join(fns, "callee_name").select(*CALL, "id")
 
 
-def resolve_path(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Path calls go by their last two segments: to functions of that qualified name if any symbol at all has it, else to functions that end in it."""
+def match_path(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Path calls by their last two segments: with functions of that qualified name if any symbol at all has it, else with functions that end in it."""
     needle = X.last_segments(F.concat_ws("::", F.when(F.col("recv_arg") != "", F.col("recv_arg")), "callee_name"))
-    paths = calls.filter("recv_kind = 'path'").withColumn("needle", needle)
+    paths = _calls(calls, "path").withColumn("needle", needle)
     known = symbols.select(F.col("qualified").alias("needle")).distinct()
     fns = functions(symbols)
     exact = paths.join(fns.select("id", F.col("qualified").alias("needle")), "needle")
     suffix = fns.filter(F.contains("qualified", F.lit("::"))).select("id", X.last_segments(F.col("qualified")).alias("needle"))
     rest = paths.join(known, "needle", "left_anti").join(suffix, "needle")
-    return _edges(exact.select("caller", "id").unionByName(rest.select("caller", "id")), "direct")
+    return exact.select(*CALL, "id").unionByName(rest.select(*CALL, "id"))
 
 
-def resolve_typed(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Calls on a receiver of known type go to type::name and type.name."""
+def match_typed(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Calls on a receiver of known type with type::name and type.name."""
     keys = F.explode(F.array(F.concat_ws("::", "recv_arg", "callee_name"), F.concat_ws(".", "recv_arg", "callee_name")))
     fns = functions(symbols).select("id", F.col("qualified").alias("key"))
-    return _edges(calls.filter("recv_kind = 'typed'").withColumn("key", keys).join(fns, "key"), "typed", F.col("recv_arg"))
+    return _calls(calls, "typed").withColumn("key", keys).join(fns, "key").select(*CALL, "id")
 
 
-def resolve_dyn(calls: DataFrame, symbols: DataFrame, impls: DataFrame) -> DataFrame:
-    """Calls through a trait go to the trait's own method and to that of every type that implements it."""
+def match_dyn(calls: DataFrame, symbols: DataFrame, impls: DataFrame) -> DataFrame:
+    """Calls through a trait with the trait's own method and that of every type that implements it."""
     fns = functions(symbols).select("id", F.col("qualified").alias("key"))
-    dyn = calls.filter("recv_kind = 'dyn'")
+    dyn = _calls(calls, "dyn")
     types = impls.filter("trait_name is not null").select(F.col("trait_name").alias("recv_arg"), F.col("type_name").alias("owner")).distinct()
     own = dyn.withColumn("owner", F.col("recv_arg"))
     both = own.unionByName(dyn.join(types, "recv_arg").select(own.columns)).withColumn("key", F.concat_ws("::", "owner", "callee_name"))
-    return _edges(both.join(fns, "key"), "dyn", F.col("recv_arg"))
+    return both.join(fns, "key").select(*CALL, "id")
+
+
+def resolve_free(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    return _edges(match_free(calls, symbols), "direct")
+
+
+def resolve_path(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    return _edges(match_path(calls, symbols), "direct")
+
+
+def resolve_typed(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    return _edges(match_typed(calls, symbols), "typed", F.col("recv_arg"))
+
+
+def resolve_dyn(calls: DataFrame, symbols: DataFrame, impls: DataFrame) -> DataFrame:
+    return _edges(match_dyn(calls, symbols, impls), "dyn", F.col("recv_arg"))
 
 
 def resolve_name(calls: DataFrame, symbols: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Calls that nothing else resolved, without ::, go to functions of that name and arity (-1 fits all): the first
-    NAME_CANDIDATES by (file, start), of which the caller itself is dropped afterwards. resolved holds (caller, callee_name)."""
+    """Calls that no tier before resolved, without ::, with functions of that name and arity (-1 fits all): the first
+    NAME_CANDIDATES by (file, start), of which the caller itself is dropped afterwards.
+
+    resolved holds the calls that did resolve. Whether a call falls back is its own matter: another call of the same name
+    in the same function does not decide it.
+    """
     fns = functions(symbols)
-    left = calls.filter(~F.contains("callee_name", F.lit("::"))).join(resolved, ["caller", "callee_name"], "left_anti").select("caller", "callee_name", F.col("arity").alias("given")).distinct()
+    open_ = calls.filter(~F.contains("callee_name", F.lit("::"))).select(*CALL).distinct().join(resolved, list(CALL), "left_anti")
+    left = open_.select("caller", "callee_name", F.col("arity").alias("given")).distinct()
     # Candidates depend on name and arity alone, so they are ranked once for each such pair, not for each call.
     asked = left.select("callee_name", "given").distinct()
     fits = asked.join(fns.select("id", F.col("name").alias("callee_name"), "arity", "file", "start_line"), "callee_name").filter("arity < 0 or arity = given")
@@ -73,9 +102,16 @@ def resolve_name(calls: DataFrame, symbols: DataFrame, resolved: DataFrame) -> D
     return _edges(left.join(top, ["callee_name", "given"]).filter("id <> caller"), "name")
 
 
+def _last_traits(symbols: DataFrame) -> DataFrame:
+    """(id, trait_name): of traits that share a name the last one in file and line order."""
+    w = Window.partitionBy("name").orderBy(F.desc("file"), F.desc("start_line"), F.desc("id"))
+    return symbols.filter("kind = 'trait'").withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("id", F.col("name").alias("trait_name"))
+
+
 def type_references(refs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """refs(referrer, type_name) -> the types and traits of that qualified name."""
-    named = symbols.filter("kind in ('type', 'trait')").select("id", F.col("qualified").alias("type_name"))
+    """refs(referrer, type_name) -> all types of that name, and the last trait of that name."""
+    types = symbols.filter("kind = 'type'").select("id", F.col("name").alias("type_name"))
+    named = types.unionByName(_last_traits(symbols).withColumnRenamed("trait_name", "type_name"))
     return _edges(refs.join(named, "type_name"), "direct", kind="reference", src="referrer")
 
 
@@ -86,31 +122,36 @@ def method_of(methods: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def impl_of(impls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Types -> the last trait symbol, in file and line order, of the name they implement."""
-    w = Window.partitionBy("name").orderBy(F.desc("file"), F.desc("start_line"), F.desc("id"))
-    traits = symbols.filter("kind = 'trait'").withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("id", F.col("name").alias("trait_name"))
-    types = symbols.filter("kind = 'type'").select(F.col("id").alias("type_id"), F.col("qualified").alias("type_name"))
-    return _edges(impls.filter("trait_name is not null").join(types, "type_name").join(traits, "trait_name"), "direct", kind="impl_of", src="type_id")
+    """All types of a name -> the last trait of the name they implement, which is the edge's detail."""
+    types = symbols.filter("kind = 'type'").select(F.col("id").alias("type_id"), F.col("name").alias("type_name"))
+    pairs = impls.filter("trait_name is not null").select("type_name", "trait_name").distinct()
+    return _edges(pairs.join(types, "type_name").join(_last_traits(symbols), "trait_name"), "direct", F.col("trait_name"), kind="impl_of", src="type_id")
 
 
-def first_tiers(calls: DataFrame, symbols: DataFrame, impls: DataFrame) -> DataFrame:
-    """The edges of all tiers before the name tier."""
-    tiers = [resolve_free(calls, symbols), resolve_path(calls, symbols), resolve_typed(calls, symbols), resolve_dyn(calls, symbols, impls)]
+def _matches(calls: DataFrame, symbols: DataFrame, impls: DataFrame) -> DataFrame:
+    tiers = [match_free(calls, symbols), match_path(calls, symbols), match_typed(calls, symbols), match_dyn(calls, symbols, impls)]
     return tiers[0].unionByName(tiers[1]).unionByName(tiers[2]).unionByName(tiers[3])
 
 
-def resolved_calls(edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(caller, callee_name) of the calls that these edges resolve."""
-    names = symbols.select(F.col("id").alias("dst"), F.col("name").alias("callee_name")).distinct()
-    return edges.join(names, "dst").select(F.col("src").alias("caller"), "callee_name").distinct()
+def resolved(calls: DataFrame, symbols: DataFrame, impls: DataFrame) -> DataFrame:
+    """The calls (the columns of CALL) that a tier before the name tier resolves."""
+    return _matches(calls, symbols, impls).select(*CALL).distinct()
+
+
+def resolve_calls(calls: DataFrame, symbols: DataFrame, impls: DataFrame) -> DataFrame:
+    """The call edges of all tiers; a call reaches the name tier only if its own tier found nothing."""
+    calls = calls.select(*[F.coalesce(c, F.lit("")).alias(c) if c in ("recv_kind", "recv_arg") else F.col(c) for c in CALL])
+    hits = _matches(calls, symbols, impls)
+    tier = F.when(F.col("recv_kind") == "typed", "typed").when(F.col("recv_kind") == "dyn", "dyn").otherwise("direct")
+    detail = F.when(F.col("recv_kind").isin("typed", "dyn"), F.col("recv_arg")).otherwise("")
+    first = hits.select(F.col("caller").alias("src"), F.col("id").alias("dst"), F.lit("call").alias("kind"), tier.alias("confidence"), detail.alias("detail"))
+    return first.unionByName(resolve_name(calls, symbols, hits.select(*CALL).distinct()))
 
 
 def resolve_edges(calls: DataFrame, symbols: DataFrame, impls: DataFrame, methods: DataFrame, refs: DataFrame) -> DataFrame:
     """All edges without repeats, with file, the file of src (edges of unknown sources are dropped)."""
-    first = first_tiers(calls, symbols, impls)
-    resolved = resolved_calls(first, symbols)
-    out = first.unionByName(resolve_name(calls, symbols, resolved)).unionByName(type_references(refs, symbols)).unionByName(method_of(methods, symbols)).unionByName(impl_of(impls, symbols))
-    owner = symbols.select(F.col("id").alias("src"), "file").dropDuplicates(["src"])
+    out = resolve_calls(calls, symbols, impls).unionByName(type_references(refs, symbols)).unionByName(method_of(methods, symbols)).unionByName(impl_of(impls, symbols))
+    owner = symbols.groupBy(F.col("id").alias("src")).agg(F.min("file").alias("file"))
     return out.dropDuplicates(list(EDGE)).join(owner, "src")
 
 

@@ -17,9 +17,15 @@ SHOWN = 12
 
 
 def matches(rows: DataFrame, patterns: Sequence[str], column: str) -> DataFrame:
-    """Rows by pattern: smart-case substring search of every pattern (a literal list) in one scan."""
-    hits = F.array(*[F.when(X.smart_contains(F.col(column), F.lit(p)), F.lit(p)) for p in dict.fromkeys(patterns)])
-    return rows.select("*", F.explode(F.array_compact(hits)).alias("pattern"))
+    """Rows by pattern: smart-case substring search of every pattern (a literal list) in one scan, in which every row is
+    folded once. Rows without a hit go before anything is made of them."""
+    found = [(p, F.contains(column, F.lit(p)) if X.is_upper(p) else F.contains("_low", F.lit(p.translate(X.FOLD)))) for p in dict.fromkeys(patterns)]
+    folded = rows.withColumn("_low", X.ascii_lower(F.col(column)))
+    some = F.lit(False)
+    for _, hit in found:
+        some = some | hit
+    hits = F.array_compact(F.array(*[F.when(hit, F.lit(p)) for p, hit in found]))
+    return folded.filter(some).select("*", F.explode(hits).alias("pattern")).drop("_low")
 
 
 def capped(rows: DataFrame, group: str, order: Sequence[Column], most: int) -> DataFrame:
@@ -74,22 +80,39 @@ def outline(lines: DataFrame, spans: DataFrame, path: str = "path") -> DataFrame
     return kept.unionByName(marks)
 
 
+def _is_heading(text: Column) -> Column:
+    return text.rlike("^\\s*#{1,6} ")
+
+
+def _level(text: Column) -> Column:
+    return F.length(F.regexp_extract(text, "^\\s*(#{1,6}) ", 1))
+
+
+def _title(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, "^\\s*#{1,6} ", ""))
+
+
 def headings(lines: DataFrame, path: str = "path") -> DataFrame:
     """Markdown headings: path, line, level, title, qualified path#title. Fences are not looked at."""
-    level = F.length(F.regexp_extract("text", "^\\s*(#{1,6}) ", 1))
-    title = F.trim(F.regexp_replace("text", "^\\s*#{1,6} ", ""))
-    rows = lines.filter(F.col("text").rlike("^\\s*#{1,6} ")).select(path, "line", level.alias("level"), title.alias("title"))
+    rows = lines.filter(_is_heading(F.col("text"))).select(path, "line", _level(F.col("text")).alias("level"), _title(F.col("text")).alias("title"))
     return rows.withColumn("qualified", F.concat_ws("#", F.col(path).cast("string"), "title"))
 
 
 def sections(lines: DataFrame, path: str = "path") -> DataFrame:
     """A heading's span runs to the line before the next heading of its level or less, without blank lines at its end."""
-    heads = headings(lines, path)
-    later = heads.select(F.col(path).alias("p2"), F.col("line").alias("l2"), F.col("level").alias("v2"))
-    until = heads.join(later, (F.col(path) == F.col("p2")) & (F.col("l2") > F.col("line")) & (F.col("v2") <= F.col("level")), "left").groupBy(path, "line", "level", "title").agg(F.min("l2").alias("next"))
-    full = lines.filter(F.trim("text") != "").select(F.col(path).alias("p3"), F.col("line").alias("l3"))
-    inside = until.join(full, (F.col(path) == F.col("p3")) & (F.col("l3") >= F.col("line")) & (F.col("l3") < F.coalesce("next", F.lit(2**31 - 1))))
-    return inside.groupBy(path, "line", "level", "title").agg(F.max("l3").alias("end"))
+    # One shuffle by path, without the texts: every line that is not blank with the one before it, then, from the end of the
+    # file up, for every level the line before the next heading of that level or less.
+    full = lines.filter(F.trim("text") != "").select(path, "line", "text")
+    title, level = _title(F.col("text")), _level(F.col("text"))
+    full = full.select(path, "line", F.when(_is_heading(F.col("text")), F.struct(level.alias("level"), title.alias("title"))).alias("h"))
+    rows = full.withColumn("before", F.lag("line").over(Window.partitionBy(path).orderBy("line")))
+    later = Window.partitionBy(path).orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
+    until = F
+    for k in range(1, 7):
+        until = until.when(F.col("h.level") == k, F.min(F.when(F.col("h.level") <= k, F.struct("line", "before"))).over(later))
+    last = F.max("line").over(Window.partitionBy(path).orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("until", until).withColumn("last", last).filter("h is not null")
+    return rows.select(path, "line", "h.level", "h.title", F.when(F.col("until").isNull(), F.col("last")).otherwise(F.col("until.before")).alias("end"))
 
 
 def symbols_matching(symbols: DataFrame, term: str, most: int, name: str = "name", qualified: str = "qualified", file: str = "file", start: str = "start_line") -> DataFrame:
@@ -104,7 +127,7 @@ def symbols_matching(symbols: DataFrame, term: str, most: int, name: str = "name
 
 def ranked(symbols: DataFrame, terms: DataFrame, most: int = TERM_CAP) -> DataFrame:
     """symbols_matching for a table of terms(ord, term) at once: `most` hits of each term, rank from 1. terms is a query's (eight rows at most) and is broadcast."""
-    t = F.broadcast(terms.select("ord", "term", X.ascii_lower(F.col("term")).alias("low")).limit(TERM_CAP))
+    t = F.broadcast(terms.select("ord", "term", X.ascii_lower(F.col("term")).alias("low")).orderBy("ord").limit(TERM_CAP))
     exact = F.col("name") == F.col("term")
     rows = symbols.join(t, exact | F.contains(X.ascii_lower(F.col("name")), F.col("low")) | F.contains(X.ascii_lower(F.col("qualified")), F.col("low")))
     rows = rows.withColumn("bucket", F.when(exact, 0).otherwise(1)).withColumn("size", F.when(exact, 0).otherwise(F.octet_length("name")))

@@ -51,11 +51,47 @@ def miss_runs(events: DataFrame, by: list[str], order: list[Column], miss: Colum
     return rows.filter("miss").groupBy(*by, "run").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
 
 
-def in_flight(events: DataFrame, by: list[str], order: list[Column], begin: Column, finish: Column) -> DataFrame:
-    """events with `open`, the commands begun and not finished, and `refused`, a begin beyond IN_FLIGHT."""
-    step = F.when(begin, 1).when(finish, -1).otherwise(0)
-    rows = events.withColumn("step", step).withColumn("open", F.sum("step").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.withColumn("refused", (F.col("step") == 1) & (F.col("open") > IN_FLIGHT)).drop("step")
+def in_flight(events: DataFrame, by: list[str], order: list[Column], begin: Column, finish: Column, block: int = 512) -> DataFrame:
+    """events with `open`, the commands that run after each, and `refused`: a begin while IN_FLIGHT commands run.
+
+    A refused begin opens nothing, and a finish while nothing runs does nothing. So every event moves the count by one and
+    clamps it to 0..IN_FLIGHT. Such moves compose to one move and clamp (least, most, by), which is how the rows of a key
+    are folded: each block of rows to its own move, the blocks of a key to the count that each begins with, and the rows
+    of a block from there. No array holds more than a block's rows or a key's blocks.
+    """
+    def clamp(x: Column) -> Column:
+        return F.greatest(F.lit(0), F.least(F.lit(IN_FLIGHT), x))
+
+    def then(f: Column, least: Column, most: Column, by_: Column) -> Column:
+        """f and after it another move."""
+        inside = lambda x: F.greatest(least, F.least(most, x + by_))
+        return F.struct(inside(f["least"]).alias("least"), inside(f["most"]).alias("most"), (f["by"] + by_).alias("by"))
+
+    def moved(f: Column, x: Column) -> Column:
+        return F.greatest(f["least"], F.least(f["most"], x + f["by"]))
+
+    nothing = F.struct(F.lit(0).alias("least"), F.lit(IN_FLIGHT).alias("most"), F.lit(0).alias("by"))
+    rows = events.withColumn("_step", F.when(begin, 1).when(finish, -1).otherwise(0))
+    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).withColumn("_block", F.floor(F.col("_at") / block))
+    own = F.struct("_at", "_step", F.struct(*[F.col(f"`{c}`") for c in events.columns]).alias("row"))
+    blocks = rows.groupBy(*by, "_block").agg(F.array_sort(F.collect_list(own)).alias("_rows"))
+    blocks = blocks.withColumn("_move", F.aggregate("_rows", nothing, lambda f, r: then(f, F.lit(0), F.lit(IN_FLIGHT), r["_step"])))
+    moves = blocks.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_block", "_move"))).alias("_moves"))
+    first = F.aggregate(
+        "_moves", F.struct(F.lit(0).alias("open"), F.array().cast("array<struct<_block:bigint,_open:int>>").alias("out")),
+        lambda s, m: F.struct(moved(m["_move"], s["open"]).alias("open"), F.array_append(s["out"], F.struct(m["_block"].alias("_block"), s["open"].alias("_open"))).alias("out")),
+    )["out"]
+    starts = moves.select(*by, F.explode(first).alias("x")).select(*by, "x.*")
+    kind = f"array<struct<open:int,refused:boolean,row:{events.schema.simpleString()}>>"
+    folded = F.aggregate(
+        "_rows", F.struct(F.col("_open").alias("open"), F.array().cast(kind).alias("out")),
+        lambda s, r: F.struct(
+            clamp(s["open"] + r["_step"]).alias("open"),
+            F.array_append(s["out"], F.struct(clamp(s["open"] + r["_step"]).alias("open"), ((r["_step"] == 1) & (s["open"] >= IN_FLIGHT)).alias("refused"), r["row"].alias("row"))).alias("out"),
+        ),
+    )["out"]
+    out = blocks.select(*by, "_block", "_rows").join(starts, [*by, "_block"]).select(F.explode(folded).alias("x"))
+    return out.select("x.row.*", F.col("x.open").cast("long").alias("open"), "x.refused")
 
 
 def expired(rows: DataFrame, touched: str, now: Column, ttl: str) -> DataFrame:

@@ -170,15 +170,16 @@ def query_terms(spark, sf_dir):
 
 
 def _score(lang: str) -> str:
-    return " + ".join(f"cast(contains(t[1:4096], '{n}') as int)" for n in X.NEEDLES[lang])
+    return " + ".join(f"cast(contains(h, '{n}') as int)" for n in X.NEEDLES[lang])
 
 
 @query(f"""with s as (select doc_id, {_score('rust')} as r, {_score('python')} as p, {_score('cpp')} as c from (
-        select doc_id, case doc_id % 3 when 0 then 'use x::y; pub fn f() -> u {{ let ' when 1 then 'def f(self): import None ' else '' end || text as t from documents))
+        select doc_id, coalesce(try(decode(b[1:4096])), try(decode(b[1:4095])), try(decode(b[1:4094])), decode(b[1:4093])) as h from (
+            select doc_id, encode(case doc_id % 3 when 0 then 'use x::y; pub fn f() -> u {{ let ' when 1 then repeat('é', 2045) || 'def f(self): import None ' else '' end || text) as b from documents)))
     select doc_id, case when greatest(r, p, c) < 3 then null when r = greatest(r, p, c) then 'rust' when p = greatest(r, p, c) then 'python' else 'cpp' end as language from s""")
 def lang_sniff(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    head = F.when(F.col("doc_id") % 3 == 0, "use x::y; pub fn f() -> u { let ").when(F.col("doc_id") % 3 == 1, "def f(self): import None ").otherwise("")
+    head = F.when(F.col("doc_id") % 3 == 0, "use x::y; pub fn f() -> u { let ").when(F.col("doc_id") % 3 == 1, "é" * 2045 + "def f(self): import None ").otherwise("")  # the last needles are beyond the first 4096 bytes
     return d.select("doc_id", X.language_of_content(F.concat(head, F.col("text"))).alias("language"))
 
 
@@ -204,11 +205,14 @@ def call_tables(spark, sf_dir):
     """symbols, calls and impls built from part, supplier, nation and lineitem."""
     p = table(spark, sf_dir, "part")
     brand = F.regexp_replace("p_brand", "#", "")
+    name = F.regexp_replace("p_name", " ", "_")
+    # Some are in a package, some are methods in the dotted form.
+    qualified = F.when(F.col("p_partkey") % 7 == 0, F.concat_ws("::", F.lit("pkg"), brand, name)).when(F.col("p_partkey") % 11 == 0, F.concat_ws(".", brand, name)).otherwise(F.concat_ws("::", brand, name))
     fns = p.select(
-        F.concat(F.lit("f"), "p_partkey").alias("id"), F.regexp_replace("p_name", " ", "_").alias("name"), F.concat_ws("::", brand, F.regexp_replace("p_name", " ", "_")).alias("qualified"),
+        F.concat(F.lit("f"), "p_partkey").alias("id"), name.alias("name"), qualified.alias("qualified"),
         F.lit("fn").alias("kind"), F.col("p_type").alias("file"), F.col("p_size").alias("start_line"), (F.col("p_size") + 5).alias("end_line"), (F.col("p_partkey") % 4 - 1).alias("arity"),
     )
-    types = p.select(brand.alias("name")).distinct().select(F.concat(F.lit("t"), "name").alias("id"), "name", F.col("name").alias("qualified"), F.lit("type").alias("kind"), F.lit("types").alias("file"), F.lit(1).alias("start_line"), F.lit(9).alias("end_line"), F.lit(-1).cast("long").alias("arity"))
+    types = p.select(brand.alias("name")).distinct().select(F.concat(F.lit("t"), "name").alias("id"), "name", F.when(F.col("name").endswith("1"), F.concat(F.lit("m::"), "name")).otherwise(F.col("name")).alias("qualified"), F.lit("type").alias("kind"), F.lit("types").alias("file"), F.lit(1).alias("start_line"), F.lit(9).alias("end_line"), F.lit(-1).cast("long").alias("arity"))
     r = table(spark, sf_dir, "region")
     traits = r.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), F.col("r_name").alias("name"), F.col("r_name").alias("qualified"), F.lit("trait").alias("kind"), F.lit("traits").alias("file"), F.col("r_regionkey").alias("start_line"), F.col("r_regionkey").alias("end_line"), F.lit(-1).cast("long").alias("arity"))
     symbols = fns.unionByName(types).unionByName(traits)
@@ -226,50 +230,89 @@ def call_tables(spark, sf_dir):
     return symbols, calls, impls
 
 
-GRAPH = """fns as (select 'f' || p_partkey as id, replace(p_name, ' ', '_') as name, replace(p_brand, '#', '') || '::' || replace(p_name, ' ', '_') as qualified, p_type as file, p_size as start_line, p_partkey % 4 - 1 as arity, replace(p_brand, '#', '') as brand, p_partkey from part),
+GRAPH = """fns as (select 'f' || p_partkey as id, replace(p_name, ' ', '_') as name, replace(p_brand, '#', '') as brand, p_type as file, p_size as start_line, p_partkey % 4 - 1 as arity, p_partkey,
+        case when p_partkey % 7 = 0 then 'pkg::' || replace(p_brand, '#', '') || '::' || replace(p_name, ' ', '_') when p_partkey % 11 = 0 then replace(p_brand, '#', '') || '.' || replace(p_name, ' ', '_')
+             else replace(p_brand, '#', '') || '::' || replace(p_name, ' ', '_') end as qualified from part),
+    types as (select distinct 't' || brand as id, brand as name, case when ends_with(brand, '1') then 'm::' || brand else brand end as qualified, 'types' as file from fns),
+    traits as (select 'r' || r_regionkey as id, r_name as name, 'traits' as file from region),
+    known as (select qualified from fns union select qualified from types union select name from traits),
     trait_of as (select distinct brand as type_name, ['AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST'][cast(regexp_extract(brand, '([0-9]+)', 1) as int) % 5 + 1] as trait_name from fns),
     impls as (select t.* from trait_of t where trait_name in (select r_name from region)),
     calls as (select distinct 'f' || l_suppkey as caller, case when l_suppkey % 5 = 0 then brand || '::' || name else name end as callee_name, l_linenumber % 4 as arity,
             ['free', 'path', 'typed', 'dyn', 'unknown'][l_suppkey % 5 + 1] as recv_kind,
             case when l_suppkey % 5 in (1, 2) then brand when l_suppkey % 5 = 3 then trait_name else '' end as recv_arg
-        from lineitem join fns on l_partkey = p_partkey join trait_of on brand = type_name where l_orderkey % 20 = 0)"""
-EDGE_SQL = "'call' as kind, '{}' as confidence, {} as detail"
-
-
-@query(f"with {GRAPH} select caller as src, id as dst, {EDGE_SQL.format('direct', chr(39) * 2)} from calls join fns on callee_name = qualified where recv_kind = 'free'")
+        from lineitem join fns on l_partkey = p_partkey join trait_of on brand = type_name),
+    owners as (select distinct recv_arg, recv_arg as owner from calls where recv_kind = 'dyn' union select trait_name, type_name from impls),
+    hits as (
+        select c.*, id, 'direct' as confidence, '' as detail from calls c join fns on callee_name = qualified where recv_kind = 'free'
+        union all select c.*, id, 'direct', '' from calls c join fns on recv_arg || '::' || callee_name = qualified where recv_kind = 'path'
+        union all select c.*, id, 'direct', '' from calls c join fns on recv_arg || '::' || callee_name = regexp_extract(qualified, '[^:]+::[^:]+$') where recv_kind = 'path' and recv_arg || '::' || callee_name not in (select qualified from known)
+        union all select c.*, id, 'typed', recv_arg from calls c join fns on recv_arg || '::' || callee_name = qualified where recv_kind = 'typed'
+        union all select c.*, id, 'typed', recv_arg from calls c join fns on recv_arg || '.' || callee_name = qualified where recv_kind = 'typed'
+        union all select c.*, id, 'dyn', recv_arg from calls c join owners using (recv_arg) join fns on owner || '::' || callee_name = qualified where recv_kind = 'dyn'),
+    u as (select distinct caller, callee_name, arity as given from calls c where not contains(callee_name, '::') and not exists
+        (select 1 from hits h where h.caller = c.caller and h.callee_name = c.callee_name and h.arity = c.arity and h.recv_kind = c.recv_kind and h.recv_arg = c.recv_arg)),
+    cand as (select callee_name, given, id, row_number() over (partition by callee_name, given order by file, start_line, id) as rn
+        from (select distinct callee_name, given from u) a join fns on name = callee_name and (fns.arity < 0 or fns.arity = given)),
+    named as (select u.caller, cand.id from u join cand using (callee_name, given) where rn <= 8 and cand.id <> u.caller)"""
+
+
+def tier_sql(kind: str) -> str:
+    return f"with {GRAPH} select caller as src, id as dst, 'call' as kind, confidence, detail from hits where recv_kind = '{kind}'"
+
+
+@query(tier_sql("free"))
 def resolve_free(spark, sf_dir):
     symbols, calls, _ = call_tables(spark, sf_dir)
     return resolve.resolve_free(calls, symbols)
 
 
-@query(f"with {GRAPH} select caller as src, id as dst, {EDGE_SQL.format('direct', chr(39) * 2)} from calls join fns on recv_arg || '::' || callee_name = qualified where recv_kind = 'path'")
+@query(tier_sql("path"))
 def resolve_path(spark, sf_dir):
     symbols, calls, _ = call_tables(spark, sf_dir)
     return resolve.resolve_path(calls, symbols)
 
 
-@query(f"with {GRAPH} select caller as src, id as dst, {EDGE_SQL.format('typed', 'recv_arg')} from calls join fns on recv_arg || '::' || callee_name = qualified or recv_arg || '.' || callee_name = qualified where recv_kind = 'typed'")
+@query(tier_sql("typed"))
 def resolve_typed(spark, sf_dir):
     symbols, calls, _ = call_tables(spark, sf_dir)
     return resolve.resolve_typed(calls, symbols)
 
 
-@query(f"""with {GRAPH}, o as (select caller, callee_name, recv_arg, recv_arg as owner from calls where recv_kind = 'dyn'
-        union all select caller, callee_name, recv_arg, type_name from (select distinct caller, callee_name, recv_arg, arity from calls where recv_kind = 'dyn') join impls on trait_name = recv_arg)
-    select caller as src, id as dst, {EDGE_SQL.format('dyn', 'recv_arg')} from o join fns on owner || '::' || callee_name = qualified""")
+@query(tier_sql("dyn"))
 def resolve_dyn(spark, sf_dir):
     symbols, calls, impls = call_tables(spark, sf_dir)
     return resolve.resolve_dyn(calls, symbols, impls)
 
 
-@query(f"""with {GRAPH}, u as (select distinct caller, callee_name, arity as given from calls where recv_kind = 'unknown' and not contains(callee_name, '::')),
-    c as (select callee_name, given, id, row_number() over (partition by callee_name, given order by file, start_line, id) as rn
-          from (select distinct callee_name, given from u) a join fns on name = callee_name and (fns.arity < 0 or fns.arity = given))
-    select u.caller as src, c.id as dst, {EDGE_SQL.format('name', chr(39) * 2)} from u join c using (callee_name, given) where rn <= 8 and c.id <> u.caller""")
+@query(f"with {GRAPH} select caller as src, id as dst, 'call' as kind, 'name' as confidence, '' as detail from named")
 def resolve_name(spark, sf_dir):
     symbols, calls, impls = call_tables(spark, sf_dir)
-    resolved = resolve.resolved_calls(resolve.first_tiers(calls, symbols, impls), symbols)
-    return resolve.resolve_name(calls.filter("recv_kind = 'unknown'"), symbols, resolved)
+    return resolve.resolve_name(calls, symbols, resolve.resolved(calls, symbols, impls))
+
+
+def graph_edges(spark, sf_dir):
+    """All edges of call_tables, with a reference of every third function to its type and trait, and every second one a method of its type."""
+    symbols, calls, impls = call_tables(spark, sf_dir)
+    p = table(spark, sf_dir, "part").select(F.concat(F.lit("f"), "p_partkey").alias("id"), "p_partkey", F.regexp_replace("p_brand", "#", "").alias("type_name"))
+    some = p.filter("p_partkey % 3 = 0").join(impls, "type_name", "left")
+    refs = some.select(F.col("id").alias("referrer"), "type_name").unionByName(some.filter("trait_name is not null").select(F.col("id").alias("referrer"), F.col("trait_name").alias("type_name")))
+    methods = p.filter("p_partkey % 2 = 0").select(F.col("id").alias("method_id"), F.col("type_name").alias("type_qualified"))
+    return symbols, resolve.resolve_edges(calls, symbols, impls, methods, refs)
+
+
+ALL_EDGES = f"""{GRAPH}, refs as (select id as referrer, brand as type_name from fns where p_partkey % 3 = 0 union select id, trait_name from fns join impls on brand = type_name where p_partkey % 3 = 0),
+    syms as (select id, file from fns union all select id, file from types union all select id, file from traits),
+    every as (select caller as src, id as dst, 'call' as kind, confidence, detail from hits union select caller, id, 'call', 'name', '' from named
+        union select referrer, id, 'reference', 'direct', '' from refs join (select id, name from types union all select id, name from traits) on name = type_name
+        union select fns.id, types.id, 'method_of', 'direct', '' from fns join types on brand = types.qualified where p_partkey % 2 = 0
+        union select types.id, traits.id, 'impl_of', 'direct', trait_name from impls join types on type_name = types.name join traits on trait_name = traits.name),
+    edges as (select every.*, file from every join syms on src = syms.id)"""
+
+
+@query(f"with {ALL_EDGES} select * from edges")
+def resolve_edges(spark, sf_dir):
+    return graph_edges(spark, sf_dir)[1]
 
 
 @query("""select 'm' || s_suppkey as src, 'n' || n_nationkey as dst, 'method_of' as kind, 'direct' as confidence, '' as detail from supplier join nation on s_nationkey = n_nationkey""")
@@ -280,7 +323,7 @@ def method_of(spark, sf_dir):
     return resolve.method_of(m, n)
 
 
-@query("""select 'n' || n_nationkey as src, 'r' || r_regionkey as dst, 'impl_of' as kind, 'direct' as confidence, '' as detail from nation join region on n_regionkey = r_regionkey""")
+@query("""select 'n' || n_nationkey as src, 'r' || r_regionkey as dst, 'impl_of' as kind, 'direct' as confidence, r_name as detail from nation join region on n_regionkey = r_regionkey""")
 def impl_of(spark, sf_dir):
     r, n = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
     traits = r.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), F.col("r_name").alias("name"), F.col("r_name").alias("qualified"), F.lit("trait").alias("kind"), F.lit("b").alias("file"), F.col("r_regionkey").alias("start_line"))
@@ -294,7 +337,12 @@ def impl_of(spark, sf_dir):
 @query("""select 'c' || c_custkey as src, 'n' || n_nationkey as dst, 'reference' as kind, 'direct' as confidence, '' as detail from customer join nation on c_nationkey = n_nationkey""")
 def type_refs(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
-    types = n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("qualified"), F.when(F.col("n_nationkey") % 2 == 0, "type").otherwise("trait").alias("kind"))
+    types = n.select(
+        F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name"), F.concat(F.lit("m::"), "n_name").alias("qualified"),
+        F.when(F.col("n_nationkey") % 2 == 0, "type").otherwise("trait").alias("kind"), F.lit("b").alias("file"), F.lit(1).alias("start_line"),
+    )
+    hidden = types.filter("kind = 'trait'").withColumn("id", F.concat(F.lit("old"), "id")).withColumn("file", F.lit("a"))  # an earlier trait of the name
+    types = types.unionByName(hidden)
     refs = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("referrer"), F.col("n_name").alias("type_name"))
     return resolve.type_references(refs, types)
 
@@ -302,7 +350,7 @@ def type_refs(spark, sf_dir):
 # Graph: users in the order of events call one another.
 
 EDGES = """edges as (select distinct 'u' || user_id as src, 'u' || nxt as dst, case when nxt % 7 = 0 then 'method_of' else 'call' end as kind,
-        case et when 'view' then 'direct' when 'click' then 'typed' when 'purchase' then 'dyn' else 'name' end as confidence
+        case et when 'view' then 'direct' when 'click' then 'typed' when 'purchase' then 'dyn' else 'name' end as confidence, case when et = 'purchase' then 't' || nxt % 3 else '' end as detail
     from (select user_id, event_type as et, lead(user_id) over (order by event_id) as nxt from events) where nxt is not null)"""
 
 
@@ -311,15 +359,12 @@ def user_edges(spark, sf_dir):
     after = e.select((F.col("event_id") - 1).alias("event_id"), F.col("user_id").alias("nxt"))  # ids are dense
     tier = F.when(F.col("event_type") == "view", "direct").when(F.col("event_type") == "click", "typed").when(F.col("event_type") == "purchase", "dyn").otherwise("name")
     u = lambda c: F.concat(F.lit("u"), F.col(c).cast("string"))
-    return e.join(after, "event_id").select(u("user_id").alias("src"), u("nxt").alias("dst"), F.when(F.col("nxt") % 7 == 0, "method_of").otherwise("call").alias("kind"), tier.alias("confidence"), F.lit("").alias("detail")).distinct()
+    return e.join(after, "event_id").select(u("user_id").alias("src"), u("nxt").alias("dst"), F.when(F.col("nxt") % 7 == 0, "method_of").otherwise("call").alias("kind"), tier.alias("confidence"), F.when(F.col("event_type") == "purchase", F.concat(F.lit("t"), (F.col("nxt") % 3).cast("string"))).otherwise("").alias("detail")).distinct()
 
 
-@query(f"""with {EDGES}, t as (select dst, src, case when confidence in ('direct', 'typed') then 'c' when confidence = 'dyn' then 'd' else 'n' end as tier from edges where kind = 'call')
-    select dst, coalesce(string_agg(distinct src, ',' order by src) filter (where tier = 'c'), '') as confirmed, coalesce(string_agg(distinct src, ',' order by src) filter (where tier = 'd'), '') as dynamic,
-           coalesce(string_agg(distinct src, ',' order by src) filter (where tier = 'n'), '') as named from t group by 1""")
+@query(f"""with {EDGES} select distinct dst, case when confidence in ('direct', 'typed') then 'confirmed' when confidence = 'dyn' then 'dynamic' else 'named' end as tier, src, detail from edges where kind = 'call'""")
 def callers_tiers(spark, sf_dir):
-    rows = graph.callers_of(user_edges(spark, sf_dir))
-    return rows.select("dst", *[F.array_join(c, ",").alias(c) for c in ("confirmed", "dynamic", "named")])
+    return graph.caller_rows(user_edges(spark, sf_dir))
 
 
 @query(f"""with recursive {EDGES}, b as (select dst as node, src as id, confidence = 'dyn' as dyn from edges where kind in ('call', 'method_of') and confidence in ('direct', 'typed', 'dyn')),
@@ -329,12 +374,20 @@ def blast_radius(spark, sf_dir):
     return graph.blast_radius(user_edges(spark, sf_dir), spark.createDataFrame([("u3",)], "start string"))
 
 
-@query(f"""with recursive {EDGES}, x as (select 'u1' as id, 0 as hops union select e.dst, x.hops + 1 from x join edges e on e.src = x.id and e.kind = 'call' where x.hops < 8)
-    select 'u1' as source, 'u9' as target, cast(min(hops) as int) as hops from x where id = 'u9'""")
+PATH = f"""{EDGES}, hops as (select src, dst, min(confidence) as confidence from edges where kind = 'call' and confidence = 'name' group by 1, 2),
+    x as (select 'u1' as id, 0 as hops union select h.dst, x.hops + 1 from x join hops h on h.src = x.id where x.hops < 30),
+    level as (select id, min(hops) as hops from x group by 1),
+    parent as (select h.dst as id, arg_min(h.src, (h.src, h.confidence)) as parent, arg_min(h.confidence, (h.src, h.confidence)) as confidence from hops h join level a on a.id = h.src join level b on b.id = h.dst and b.hops = a.hops + 1 group by 1)"""
+
+
+@query(f"""with recursive {PATH}, walk as (select l.id as target, l.id, l.hops, p.parent, p.confidence from level l left join parent p using (id) where l.id in ('u6', 'u50')
+        union all select w.target, l.id, l.hops, p.parent, p.confidence from walk w join level l on l.id = w.parent left join parent p on p.id = l.id)
+    select target, cast(hops as int) as hop, id, case when hops = 0 then '' else confidence end as confidence from walk""")
 def call_path(spark, sf_dir):
+    edges = user_edges(spark, sf_dir).filter("confidence = 'name'")  # the sparsest tier, so that paths have several hops
     one = lambda x: spark.createDataFrame([(x,)], "id string")
-    path = graph.call_path(user_edges(spark, sf_dir), one("u1"), one("u9"))
-    return spark.createDataFrame([("u1", "u9", len(path) - 1 if path else None)], "source string, target string, hops int")
+    rows = [(target, i, n, c) for target in ("u6", "u50") for i, (n, c) in enumerate(graph.call_path(edges, one("u1"), one(target)))]
+    return spark.createDataFrame(rows, "target string, hop int, id string, confidence string")
 
 
 SPANS = """spans as (select user_id as file, event_id as id, cast(floor(value) as int) as s, cast(floor(value) as int) + cast(event_id % 40 as int) as e from events where event_type = 'view'),
@@ -458,7 +511,7 @@ def line_shift(spark, sf_dir):
     return intervals.line_shift(e, ["l_orderkey"], "l_linenumber").select("l_orderkey", "l_linenumber", "shift")
 
 
-@query("""with s as (select distinct l_suppkey, l_partkey as s, l_partkey + l_linenumber as e from lineitem where l_orderkey % 10 = 0),
+@query("""with s as (select distinct l_suppkey, l_partkey as s, l_partkey + l_linenumber as e from lineitem),
     g as (select *, max(e) over (partition by l_suppkey order by s, e rows between unbounded preceding and 1 preceding) as m from s)
     select l_suppkey, s, e, cast(sum(case when m is null or s - m > 6 then 1 else 0 end) over (partition by l_suppkey order by s, e rows unbounded preceding) as bigint) as hunk from g""")
 def hunk_groups(spark, sf_dir):
@@ -492,7 +545,7 @@ def apply_hunks(spark, sf_dir):
     return edits.apply_hunks(lines, rows)
 
 
-@query("""with t as (select l_orderkey as path, cast(l_partkey % 60 as int) as line from lineitem where l_orderkey % 5 = 0), s as (select o_orderkey as path, cast(o_custkey % 50 as int) as s, cast(o_custkey % 50 + 20 as int) as e from orders)
+@query("""with t as (select l_orderkey as path, cast(l_partkey % 60 as int) as line from lineitem), s as (select o_orderkey as path, cast(o_custkey % 50 as int) as s, cast(o_custkey % 50 + 20 as int) as e from orders)
     select distinct path, line from t where not exists (select 1 from s where s.path = t.path and t.line between s.s and s.e)""")
 def unseen_lines(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), (F.col("l_partkey") % 60).cast("int").alias("line")).distinct()
@@ -500,7 +553,7 @@ def unseen_lines(spark, sf_dir):
     return intervals.unseen(t, s, ["path"])
 
 
-@query("""with e as (select l_orderkey as path, cast(l_partkey % 30 as int) as s, cast(l_partkey % 30 + l_linenumber as int) as e from lineitem where l_orderkey % 5 = 0)
+@query("""with e as (select l_orderkey as path, cast(l_partkey % 30 as int) as s, cast(l_partkey % 30 + l_linenumber as int) as e from lineitem)
     select path, cast(line as int) as line, count(*) as n from e, unnest(range(s, e + 1)) as u(line) group by 1, 2 having count(*) > 1""")
 def edit_overlaps(spark, sf_dir):
     e = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), (F.col("l_partkey") % 30).cast("int").alias("start"), (F.col("l_partkey") % 30 + F.col("l_linenumber")).cast("int").alias("end"))
@@ -509,15 +562,19 @@ def edit_overlaps(spark, sf_dir):
 
 # Vectors. The SQL uses doubles as Spark does.
 
-UNIT = """u as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double) / n) as unit from (select vec_id, label, embedding, sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double)))) as n from embeddings)),
+def unit_sql(source: str) -> str:
+    return f"""u as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double) / n) as unit from (select vec_id, label, embedding, sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double)))) as n from {source})),
     sc as (select 127.0::double / max(list_max(list_transform(unit, lambda x: abs(x)))) as scale from u),
     ix as (select vec_id, label, unit, scale, list_transform(unit, lambda x: cast(greatest(-127, least(127, round(x * scale))) as bigint)) as code from u, sc),
     nb as (select c.vec_id, c.label, c.scale, cast(list_sum(list_transform(list_zip(c.code, q.code), lambda p: p[1] * p[2])) as bigint) as idot,
         cast(list_sum(list_transform(list_zip(c.unit, q.unit), lambda p: case when (p[1] >= 0) = (p[2] >= 0) then 0 else 1 end)) as int) as hamming from ix c, ix q where q.vec_id = 0 and c.vec_id <> 0)"""
 
 
+UNIT = unit_sql("embeddings")
+
+
 def vector_index(spark, sf_dir):
-    rows = vectors.index(vectors.usable(table(spark, sf_dir, "embeddings")), 64)
+    rows = vectors.index(vectors.usable(table(spark, sf_dir, "embeddings")))
     return rows, rows.filter("vec_id = 0")
 
 
@@ -541,14 +598,46 @@ def common_names(spark, sf_dir):
     return vectors.common_names(table(spark, sf_dir, "embeddings"), "label")
 
 
-@query(f"""with {UNIT}, k as (select *, vec_id % 3 as lang, vec_id // 2 as name from nb order by idot desc, vec_id limit 16)
-    select vec_id, idot from k where idot / (scale * scale) >= 0.65 and lang <> 0 and name not in (select vec_id // 2 from embeddings group by 1 having count(*) >= greatest((select count(*) // 40 from embeddings), 5)) order by idot desc, vec_id limit 5""")
+#: Vectors and, of some, further ones at growing distances, and rows that no index may hold.
+COPIES = """vecs as (select vec_id, label, embedding from embeddings
+    union all select vec_id + 1000000 * k, label, list_transform(embedding, lambda x, i: cast(cast(x as double) * (1 + k / 8.0::double * ((i - 1) % 5 - 2)) as float)) from embeddings, range(1, 7) r(k) where vec_id < 100)"""
+
+
+def vector_copies(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    k = e.filter("vec_id < 100").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(6))))
+    moved = F.transform("embedding", lambda x, i: (x.cast("double") * (1 + F.col("k") / F.lit(8.0) * (i % 5 - 2))).cast("float"))
+    copies = k.select((F.col("vec_id") + 1000000 * F.col("k")).alias("vec_id"), "label", moved.alias("embedding"))
+    bad = e.limit(1).select((F.col("vec_id") - 1).alias("vec_id"), "label", F.array(F.lit(1.0).cast("float"), F.lit("NaN").cast("float")).alias("embedding"))
+    return vectors.usable(e.unionByName(copies).unionByName(bad))
+
+
+@query(f"""with {COPIES}, {unit_sql("vecs")}, k as (select *, vec_id % 3 as lang, vec_id // 2 as name from nb order by idot desc, vec_id limit 16)
+    select vec_id, idot from k where idot / (scale * scale) >= 0.65 and lang <> 0 and name not in (select vec_id // 2 from vecs group by 1 having count(*) >= greatest((select count(*) // 40 from vecs), 5)) order by idot desc, vec_id limit 5""")
 def kin(spark, sf_dir):
-    rows, _ = vector_index(spark, sf_dir)
-    rows = rows.withColumn("lang", F.col("vec_id") % 3).withColumn("name", F.floor(F.col("vec_id") / 2))
+    rows = vectors.index(vector_copies(spark, sf_dir)).withColumn("lang", F.col("vec_id") % 3).withColumn("name", F.floor(F.col("vec_id") / 2))
     return vectors.kin(rows, rows.filter("vec_id = 0"), "lang", "name").select("vec_id", "idot")
 
 
+@query(f"""with {COPIES}, {unit_sql("vecs")} select a.vec_id as a, b.vec_id as b, cast(list_sum(list_transform(list_zip(a.code, b.code), lambda p: p[1] * p[2])) as bigint) / (a.scale * a.scale) as score
+    from (select vec_id as va, vec_id + 1000000 as vb from embeddings where vec_id < 200) p left join ix a on a.vec_id = va left join ix b on b.vec_id = vb where a.vec_id is not null and b.vec_id is not null
+    union all select va, vb, null from (select vec_id as va, vec_id + 1000000 as vb from embeddings where vec_id >= 100 and vec_id < 200)""")
+def relatedness(spark, sf_dir):
+    pairs = table(spark, sf_dir, "embeddings").filter("vec_id < 200").select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1000000).alias("b"))
+    return vectors.relatedness(pairs, vectors.index(vector_copies(spark, sf_dir)))
+
+
+@query(r"""with w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\p{L}\p{N}_]+') as w from documents),
+    g as (select doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as unit from w),
+    h as (select doc_id, cast('0x' || md5(unit)[1:8] as bigint) as h from g),
+    c as (select doc_id, h % 64 as i, sum(case when h >= 2147483648 then 1 else -1 end)::double as v from h group by 1, 2)
+    select doc_id, cast(round(1000000 * v / sqrt(sum(v * v) over (partition by doc_id))) as bigint) as micros, cast(i as int) as i from c where v <> 0""")
+def embed_documents(spark, sf_dir):
+    rows = vectors.embedded(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cells = rows.select("doc_id", F.posexplode("embedding").alias("i", "v")).filter("v <> 0")
+    return cells.select("doc_id", F.round(F.col("v") * 1000000).cast("long").alias("micros"), "i")
+
+
 # Sessions
 
 
@@ -577,8 +666,10 @@ def miss_runs(spark, sf_dir):
     return sessions.miss_runs(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), ["user_id"], [F.col("event_id")], ~F.col("event_type").isin("purchase", "click"))
 
 
-@query("""with s as (select user_id, event_id, case event_type when 'click' then 1 when 'purchase' then -1 else 0 end as d from events)
-    select user_id, event_id, cast(sum(d) over w as bigint) as open, d = 1 and sum(d) over w > 8 as refused from s window w as (partition by user_id order by event_id rows unbounded preceding)""")
+@query("""with recursive s as (select user_id, event_id, case event_type when 'click' then 1 when 'purchase' then -1 else 0 end as d, row_number() over (partition by user_id order by event_id) as rn from events),
+    f as (select user_id, event_id, rn, greatest(0, d) as open, false as refused from s where rn = 1
+          union all select s.user_id, s.event_id, s.rn, greatest(0, least(8, f.open + s.d)), s.d = 1 and f.open >= 8 from f join s on s.user_id = f.user_id and s.rn = f.rn + 1)
+    select user_id, event_id, cast(open as bigint) as open, refused from f""")
 def in_flight(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
     return sessions.in_flight(e, ["user_id"], [F.col("event_id")], F.col("event_type") == "click", F.col("event_type") == "purchase").select("user_id", "event_id", "open", "refused")

@@ -66,10 +66,16 @@ def _quoted(path: str) -> str:
     return "".join("\\" + c if c in r"\.^$|?*+()[]{}" else c for c in path.split(":", 1)[-1].lstrip("/"))
 
 
+#: Build commands by marker file, in order of priority.
+BUILD_COMMANDS = (
+    ("Cargo.toml", "cargo build"), ("go.mod", "go build ./..."), ("Makefile", "make"), ("package.json", "npm run build"),
+    ("pyproject.toml", "python -m compileall -q ."), ("setup.py", "python -m compileall -q ."),
+)
+
+
 def markers(paths: DataFrame, path: str = "path") -> DataFrame:
     """The build command of the marker file that comes first in priority, one row at most."""
-    order = [("Cargo.toml", "cargo check"), ("go.mod", "go build ./..."), ("Makefile", "make"), ("package.json", "npm run build"), ("pyproject.toml", "python -m compileall -q ."), ("setup.py", "python -m compileall -q .")]
-    found = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(name).alias("marker"), F.lit(command).alias("command")) for i, (name, command) in enumerate(order)])
+    found = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(name).alias("marker"), F.lit(command).alias("command")) for i, (name, command) in enumerate(BUILD_COMMANDS)])
     hits = paths.select(F.explode(F.filter(found, lambda x: x["marker"] == F.col(path))).alias("x")).select("x.*")
     return hits.orderBy("rank").limit(1)
 
