@@ -1,14 +1,15 @@
 """Exact top-k inner-product search by no-random-access aggregation (NRA) over blocks of sorted lists.
 
 The scores of a query are sums over dimensions, and every block of candidates has one list a dimension, sorted by value.
-A query reads all lists of a block in step, from the end that its sign wants. After depth t, a component that has been
-read is known; one that has not lies between the list's last value and the value read last. Lower and upper bounds of all
-candidates follow, for a whole block of queries at once, as products with clipped copies of the block:
+A query reads lists from the end that its sign wants: all to a common depth, then one after the other to their ends, those
+first that can move its score most (the component's size times the list's spread). A component that has been read is known;
+one that has not lies between the list's last value and the value read last. So every candidate has bounds,
 
-    upper: components clipped to the value at the frontier,  lower: unread components replaced by the list's worst value.
+    upper: unread components at the list's frontier,  lower: unread components at the list's worst value,
 
-A query stops as soon as all but a few candidates have upper bounds below the k-th best lower bound (which earlier blocks
-and rounds may have set); the final scores of the few are then resolved. All lists read to their end give exact scores.
+which for a block of queries are products with clipped copies of the block. A candidate whose upper bound is below the k-th
+best lower bound is an outsider and is read no further. A query stops when few candidates are left that can qualify, and
+their final scores are resolved; one that reads all lists to their ends has exact scores, as the bounds meet there.
 
 Queries and candidates meet in cells, each a block of either; both sides are dealt to cells by a hash, so no side is
 broadcast and a cell's memory is bounded.
@@ -24,8 +25,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Shares of a block's lists after which bounds are computed.
-DEPTHS = (1 / 16, 1 / 4)
+#: The depth to which all lists are read, as a share of their entries.
+DEPTH = 1 / 16
+#: Shares of the lists read to their ends after which bounds are computed.
+ROUNDS = (3 / 4, 7 / 8, 15 / 16, 1)
 EXACT = 2**53
 
 
@@ -65,60 +68,79 @@ def _exact(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k:
     return out
 
 
-def block_top_k(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, few: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the indexes and scores of its k best among the rows of x but its own."""
+class _Lists:
+    """The sorted lists of a block at the common depth: clipped copies for the bounds of components not read on."""
+
+    def __init__(self, x: np.ndarray, k: int) -> None:
+        n = len(x)
+        lists = np.sort(x, axis=0)
+        t = min(n, max(k + 1, int(n * DEPTH)))
+        top, bottom = lists[n - t], lists[t - 1]
+        self.x, self.share = x, t / n
+        self.spread = lists[-1] - lists[0]
+        self.best = np.maximum(x, top), np.minimum(x, bottom)
+        self.worst = np.where(x >= top, x, lists[0]), np.where(x <= bottom, x, lists[-1])
+
+
+def block_top_k(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, few: int = 64, read: list[float] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the indexes and scores of its k best among the rows of x but its own.
+
+    read gets, for each query, the share of the lists' entries that it read before it stopped; 1 is all of them.
+    """
     n = len(x)
     if float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * x.shape[1] >= EXACT:
         return _exact(q, q_ids, x, ids, k)
-    x = x.astype(np.float64)
+    lists = _Lists(x.astype(np.float64), k)
     own: dict[int, list[int]] = {}
     for j in np.flatnonzero(np.isin(ids, q_ids)).tolist():
         own.setdefault(int(ids[j]), []).append(j)
-    rounds = []
-    if n > 8 * few:
-        lists = np.sort(x, axis=0)  # one list a dimension, read from the end that a query's sign wants
-        for share in DEPTHS:
-            t = max(k + 1, int(n * share))
-            top, bottom = lists[n - t], lists[t - 1]
-            upper = np.maximum(x, top), np.minimum(x, bottom)
-            lower = np.where(x >= top, x, lists[0]), np.where(x <= bottom, x, lists[-1])
-            rounds.append((upper, lower))
     found: list[tuple[np.ndarray, np.ndarray]] = []
     some = max(1, (1 << 20) // max(1, n))
     for a in range(0, len(q), some):
-        found += _search(q[a : a + some].astype(np.float64), q_ids[a : a + some], x, ids, k, few, own, rounds)
+        found += _search(q[a : a + some].astype(np.float64), q_ids[a : a + some], lists, ids, k, few, own, [] if read is None else read)
     return found
 
 
-def _search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, few: int, own: dict[int, list[int]], rounds: list) -> list[tuple[np.ndarray, np.ndarray]]:
-    up, down = np.maximum(q, 0), np.minimum(q, 0)
-    found: list = [None] * len(q)
-    floor = np.full(len(q), -np.inf)
-    open_q = np.arange(len(q))
-    for (best_up, best_down), (worst_up, worst_down) in rounds:
-        upper = up[open_q] @ best_up.T + down[open_q] @ best_down.T
-        lower = up[open_q] @ worst_up.T + down[open_q] @ worst_down.T
-        still = []
-        for row, i in enumerate(open_q.tolist()):
-            mine = own.get(int(q_ids[i]), [])
-            lower[row, mine] = upper[row, mine] = -np.inf
-            floor[i] = max(floor[i], np.partition(lower[row], len(x) - k)[len(x) - k])
-            able = np.flatnonzero((upper[row] >= floor[i]) & np.isfinite(upper[row]))  # no other can qualify
+def _search(q: np.ndarray, q_ids: np.ndarray, lists: _Lists, ids: np.ndarray, k: int, few: int, own: dict[int, list[int]], read: list[float]) -> list[tuple[np.ndarray, np.ndarray]]:
+    x, dim = lists.x, q.shape[1]
+    n = len(x)
+    order = np.argsort(-np.abs(q) * lists.spread, axis=1, kind="stable")
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(dim)[None], axis=1)
+    whole = place < int(np.ceil(dim * ROUNDS[0]))  # the lists that the first round reads to their ends
+    known, up, down = np.where(whole, q, 0), np.where(whole, 0, np.maximum(q, 0)), np.where(whole, 0, np.minimum(q, 0))
+    score = known @ x.T
+    upper = score + up @ lists.best[0].T + down @ lists.best[1].T
+    lower = score + up @ lists.worst[0].T + down @ lists.worst[1].T
+    found: list = []
+    for i in range(len(q)):
+        mine = own.get(int(q_ids[i]), [])
+        upper[i, mine] = lower[i, mine] = -np.inf
+        floor = np.partition(lower[i], n - k)[n - k] if n > k else -np.inf
+        able = np.flatnonzero((upper[i] >= floor) & np.isfinite(upper[i]))  # no other can qualify
+        entries, share = n * dim * lists.share + n * (1 - lists.share) * int(np.ceil(dim * ROUNDS[0])), ROUNDS[0]
+        for further in ROUNDS[1:]:
             if len(able) <= few:
-                score = x[able] @ q[i]
-                best = _best(score, ids[able], k)
-                found[i] = (able[best], score[best].astype(np.int64))
-            else:
-                still.append(i)
-        open_q = np.array(still, np.int64)
-        if not still:
-            return found
-    scores = q[open_q] @ x.T  # the lists are read to their ends, where the bounds meet
-    for row, i in enumerate(open_q.tolist()):
-        scores[row, own.get(int(q_ids[i]), [])] = -np.inf
-        able = np.flatnonzero((scores[row] >= floor[i]) & np.isfinite(scores[row]))
-        best = _best(scores[row, able], ids[able], k)
-        found[i] = (able[best], scores[row, able[best]].astype(np.int64))
+                break
+            # The next lists, to their ends; entries of outsiders are passed over.
+            entries += n * (1 - lists.share) * (int(np.ceil(dim * further)) - int(np.ceil(dim * share)))
+            share = further
+            cut = int(np.ceil(dim * further))
+            done, rest = order[i, :cut], order[i, cut:]
+            part = x[np.ix_(able, done)] @ q[i, done]
+            hi, lo = np.maximum(q[i, rest], 0), np.minimum(q[i, rest], 0)
+            at = np.ix_(able, rest)
+            most = part + lists.best[0][at] @ hi + lists.best[1][at] @ lo
+            least = part + lists.worst[0][at] @ hi + lists.worst[1][at] @ lo
+            if len(able) > k:
+                floor = max(floor, np.partition(least, len(able) - k)[len(able) - k])
+            able = able[most >= floor]
+            if share == 1:
+                break
+        read.append(entries / (n * dim))
+        final = x[able] @ q[i]
+        best = _best(final, ids[able], k)
+        found.append((able[best], final[best].astype(np.int64)))
     return found
 
 
