@@ -48,7 +48,11 @@ def token_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """The parameters; embedding has TABLES tables of BUCKETS rows. About 17 MB."""
+    """The parameters; embedding has TABLES tables of BUCKETS rows, about 17 MB.
+
+    A row that training never moved is the seed's, so a pickled model holds the others alone, which are as many as the
+    bounded sample has words; the rest is drawn again where it is read.
+    """
 
     embedding: np.ndarray
     kernels: list[np.ndarray]
@@ -56,13 +60,24 @@ class Model:
     out: np.ndarray
     shift: float = 0.0
     thresholds: dict[str, float] = field(default_factory=dict)
+    seed: int = 7
 
     @staticmethod
     def new(seed: int = 7) -> Model:
         rng = np.random.default_rng(seed)
         n = FILTERS * len(WIDTHS)
         kernels = [rng.normal(0, 0.5 / np.sqrt(w), (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
-        return Model(rng.normal(0, 0.07, (TABLES, BUCKETS, DIM)).astype(np.float32), kernels, np.zeros(n, np.float32), rng.normal(0, 0.3, n).astype(np.float32))
+        return Model(rng.normal(0, 0.07, (TABLES, BUCKETS, DIM)).astype(np.float32), kernels, np.zeros(n, np.float32), rng.normal(0, 0.3, n).astype(np.float32), seed=seed)
+
+    def __getstate__(self) -> dict:
+        moved = (self.embedding != Model.new(self.seed).embedding).any(-1)
+        return self.__dict__ | {"embedding": (np.flatnonzero(moved).astype(np.int32), self.embedding[moved])}
+
+    def __setstate__(self, state: dict) -> None:
+        at, rows = state["embedding"]
+        embedding = Model.new(state["seed"]).embedding
+        embedding.reshape(-1, DIM)[at] = rows
+        self.__dict__.update(state | {"embedding": embedding})
 
     def embed(self, ids: np.ndarray) -> np.ndarray:
         """The sum of the rows of each word."""
@@ -252,7 +267,7 @@ def score_documents(docs: DataFrame, model: Model, score: str = "score", keep: l
     A null or empty text has the score of no words; repeated rows score alike; a column named as score is replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c != score]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # about 17 MB whatever the corpus
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # some MB whatever the corpus
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(score, T.DoubleType())])
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
