@@ -206,3 +206,18 @@ def stays_inside(path: Column) -> Column:
 def plain_path(path: Column) -> Column:
     """The stricter test of history: relative, and no segment is . or .. ."""
     return ~path.startswith("/") & ~F.exists(F.split(path, "/", -1), lambda p: p.isin(".", ".."))
+
+
+def opaque_name(key: str, x: Column) -> Column:
+    """A name that tells nothing of x without the key: a hash of it under the key's hash."""
+    return F.sha2(F.concat(F.sha2(F.lit(key), 256), x), 256)
+
+
+def sealed(x: Column, key: bytes) -> Column:
+    """x, encrypted and authenticated under a key of 16, 24 or 32 bytes; every call gives other bytes."""
+    return F.aes_encrypt(x, F.lit(key), F.lit("GCM"))
+
+
+def opened(x: Column, key: bytes) -> Column:
+    """What sealed() was given; null if the key is another or the bytes were changed."""
+    return F.try_aes_decrypt(x, F.lit(key), F.lit("GCM")).cast("string")

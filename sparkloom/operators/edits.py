@@ -167,3 +167,51 @@ def compile_edits(edits: Sequence[dict], symbols: Sequence[tuple[str, str, int]]
                 raise ValueError("edits overlap")
             taken |= lines
     return out
+
+
+def anchored(symbols: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked(file, anchor) with n, how many lines of the file begin a symbol of that name or qualified name, and line, the one if n is 1."""
+    names = symbols.filter("kind <> 'file'").select("file", F.explode(F.array_distinct(F.array("name", "qualified"))).alias("anchor"), "start_line")
+    hits = asked.join(names, ["file", "anchor"], "left").groupBy("file", "anchor").agg(F.count_distinct("start_line").alias("n"), F.min("start_line").alias("line"))
+    return hits.withColumn("line", F.when(F.col("n") == 1, F.col("line")))
+
+
+def blocks_at(spans: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked(file, line) with the widest of spans(file, start, end) that starts there: state is block, single (it ends on its own
+    line, so an edit of the line is meant) or missing; end is null unless block."""
+    widest = spans.groupBy("file", F.col("start").alias("line")).agg(F.max("end").alias("last"))
+    state = F.when(F.col("last").isNull(), "missing").when(F.col("last") == F.col("line"), "single").otherwise("block")
+    return asked.join(widest, ["file", "line"], "left").select("file", "line", state.alias("state"), F.when(state == "block", F.col("last")).alias("end"))
+
+
+def cited_states(cites: DataFrame, live: DataFrame, objects: DataFrame) -> DataFrame:
+    """cites(path, cited) with what an edit on that tag starts from: live (the file is that), or a stored object that is found,
+    several (ambiguous) or none (missing); base is the full tag. Tags meet by their first four digits."""
+    head = lambda c: X.ascii_lower(F.substr(c, F.lit(1), F.lit(4)))
+    asked = cites.select("path", "cited").distinct()
+    now = asked.join(live.select("path", F.col("tag").alias("now")), "path", "left")
+    kept = objects.select("tag").distinct().withColumn("head", head(F.col("tag")))
+    near = asked.withColumn("head", head(F.col("cited"))).join(kept, "head").filter(X.tag_matches(F.col("tag"), F.col("cited")))
+    counts = near.groupBy("path", "cited").agg(F.count(F.lit(1)).alias("n"), F.min("tag").alias("tag"))
+    rows = now.join(counts, ["path", "cited"], "left")
+    state = F.when(X.tag_matches(F.col("now"), F.col("cited")), "live").when(F.col("n") == 1, "found").when(F.col("n") > 1, "ambiguous").otherwise("missing")
+    base = F.when(state == "live", F.col("now")).when(state == "found", F.col("tag"))
+    return rows.select("path", "cited", state.alias("state"), base.alias("base"))
+
+
+def moved(files: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """files(path, text) after moves(path, dest), and the moves refused: of a file that is not there, onto one that is, or onto
+    a place that another move takes too."""
+    places = moves.groupBy("dest").agg(F.count(F.lit(1)).alias("n"))
+    rows = moves.join(places, "dest").join(files.select("path", F.lit(True).alias("there")), "path", "left").join(files.select(F.col("path").alias("dest"), F.lit(True).alias("taken")), "dest", "left")
+    fine = F.col("there").isNotNull() & F.col("taken").isNull() & (F.col("n") == 1)
+    good = rows.filter(fine).select("path", "dest")
+    after = files.join(good, "path", "left").withColumn("path", F.coalesce("dest", "path")).select(files.columns)
+    return after, rows.filter(~fine).select("path", "dest")
+
+
+def verified(files: DataFrame, staged: DataFrame) -> DataFrame:
+    """staged(path, read_tag, text) whose file is no longer what was read: (path, read_tag, now); now is null if it is gone.
+    A null read_tag says that the file was not there. Nothing may be committed while there are any."""
+    now = files.select("path", X.tag(F.col("text")).alias("now"))
+    return staged.join(now, "path", "left").filter(~F.col("now").eqNullSafe(F.col("read_tag"))).select("path", "read_tag", "now")

@@ -109,3 +109,26 @@ def first_equal(items: DataFrame, digest: str = "digest") -> DataFrame:
     """items with first_root: the first root that has an item of the same digest."""
     first = items.groupBy(digest).agg(F.min(F.struct("ord", "root")).alias("x")).select(digest, F.col("x.root").alias("first_root"))
     return items.join(first, digest)
+
+
+def saved(journals: DataFrame, objects: DataFrame) -> DataFrame:
+    """journals(path, tag, revision) with saved_at, when the object of each tag was stored; null if it is not."""
+    return journals.join(objects.groupBy("tag").agg(F.max("saved_at").alias("saved_at")), "tag", "left")
+
+
+def lookup(objects: DataFrame, cited: DataFrame) -> DataFrame:
+    """(tag, state) for full tags: found if an object of that tag hashes to it, damaged if one does not, else missing."""
+    found = objects.join(cited.select("tag").distinct(), "tag").groupBy("tag").agg(F.max(F.sha2("content", 256) == F.col("tag")).alias("whole"))
+    state = F.when(F.col("whole"), "found").when(~F.col("whole"), "damaged").otherwise("missing")
+    return cited.select("tag").distinct().join(found, "tag", "left").select("tag", state.alias("state"))
+
+
+def recovery_target(versions: DataFrame, by: str = "path") -> DataFrame:
+    """For each path the newest version of versions(by, revision, tag, valid) whose text parses."""
+    return versions.filter("valid").groupBy(by).agg(F.max(F.struct("revision", "tag")).alias("x")).select(by, "x.revision", "x.tag")
+
+
+def cited_version(versions: DataFrame, cited: DataFrame, by: str = "path") -> DataFrame:
+    """For each of cited(by, cited) the newest version of that path whose tag begins with it."""
+    hit = versions.join(cited, by).filter(X.tag_matches(F.col("tag"), F.col("cited")))
+    return hit.groupBy(by, "cited").agg(F.max(F.struct("revision", "tag")).alias("x")).select(by, "cited", "x.revision", "x.tag")

@@ -85,14 +85,14 @@ def resolve_dyn(calls: DataFrame, symbols: DataFrame, impls: DataFrame) -> DataF
 
 
 def resolve_name(calls: DataFrame, symbols: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Calls that no tier before resolved, without ::, with functions of that name and arity (-1 fits all): the first
+    """Calls that no tier before resolved, without a path, with functions of that name and arity (-1 fits all): the first
     NAME_CANDIDATES by (file, start), of which the caller itself is dropped afterwards.
 
     resolved holds the calls that did resolve. Whether a call falls back is its own matter: another call of the same name
     in the same function does not decide it.
     """
     fns = functions(symbols)
-    open_ = calls.filter(~F.contains("callee_name", F.lit("::"))).select(*CALL).distinct().join(resolved, list(CALL), "left_anti")
+    open_ = calls.filter((F.col("recv_kind") != "path") & ~F.contains("callee_name", F.lit("::"))).select(*CALL).distinct().join(resolved, list(CALL), "left_anti")
     left = open_.select("caller", "callee_name", F.col("arity").alias("given")).distinct()
     # Candidates depend on name and arity alone, so they are ranked once for each such pair, not for each call.
     asked = left.select("callee_name", "given").distinct()

@@ -76,3 +76,15 @@ def transaction(snapshots: Snapshots, steps: Sequence[Step], validate: Callable[
 def run(registry: Mapping[str, Callable[..., object]], steps: Sequence[dict]) -> list[object]:
     """Runs steps {"op": name, ...arguments} against a registry of operators."""
     return [registry[s["op"]](**{k: v for k, v in s.items() if k not in ("op", "label")}) for s in steps]
+
+
+def commit_verified(snapshots: Snapshots, staged: DataFrame) -> int:
+    """Commits staged(path, read_tag, text; a null text removes the file) if every file is still what was read, else nothing."""
+    from ..operators import edits
+
+    files, staged = snapshots.read(), shared.written(staged, "staged")
+    changed = edits.verified(files, staged).orderBy("path").limit(1).collect()
+    if changed:
+        raise ValueError(f"{changed[0]['path']} has changed since it was read; nothing was committed")
+    new = staged.filter("text is not null").select("path", "text")
+    return snapshots.commit(files.join(staged.select("path"), "path", "left_anti").select("path", "text").unionByName(new))

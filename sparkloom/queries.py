@@ -250,7 +250,7 @@ GRAPH = """fns as (select 'f' || p_partkey as id, replace(p_name, ' ', '_') as n
         union all select c.*, id, 'typed', recv_arg from calls c join fns on recv_arg || '::' || callee_name = qualified where recv_kind = 'typed'
         union all select c.*, id, 'typed', recv_arg from calls c join fns on recv_arg || '.' || callee_name = qualified where recv_kind = 'typed'
         union all select c.*, id, 'dyn', recv_arg from calls c join owners using (recv_arg) join fns on owner || '::' || callee_name = qualified where recv_kind = 'dyn'),
-    u as (select distinct caller, callee_name, arity as given from calls c where not contains(callee_name, '::') and not exists
+    u as (select distinct caller, callee_name, arity as given from calls c where recv_kind <> 'path' and not contains(callee_name, '::') and not exists
         (select 1 from hits h where h.caller = c.caller and h.callee_name = c.callee_name and h.arity = c.arity and h.recv_kind = c.recv_kind and h.recv_arg = c.recv_arg)),
     cand as (select callee_name, given, id, row_number() over (partition by callee_name, given order by file, start_line, id) as rn
         from (select distinct callee_name, given from u) a join fns on name = callee_name and (fns.arity < 0 or fns.arity = given)),

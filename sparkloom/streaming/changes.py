@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as X
 from ..operators.sessions import SOLO_READS
+from ..sources import shared
 
 
 def debounced(events: DataFrame, by: str, ts: str = "ts", gap: str = "300 milliseconds", late: str = "10 seconds", what: str | None = None) -> DataFrame:
@@ -66,7 +67,7 @@ def expiring(touches: DataFrame, by: str, ts: str = "ts", ttl_ms: int = 3 * 24 *
             return
         (last,) = state.get if state.exists else (0,)
         for part in parts:
-            last = max(last, int(part[ts].max().timestamp() * 1000))
+            last = max(last, part[ts].max().value // 1_000_000)
         state.update((last,))
         state.setTimeoutTimestamp(max(last + ttl_ms, state.getCurrentWatermarkMs() + 1))
 
@@ -98,3 +99,16 @@ def follow(changes: DataFrame, update: Callable[[DataFrame, int], None], checkpo
 def trace(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Appends events as JSON lines."""
     return events.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).option("compression", "gzip").trigger(availableNow=True).start()
+
+
+def drained(rows: DataFrame, name: str) -> DataFrame:
+    """A stream run over all that its source has now, in append mode, as a written table."""
+    spark = rows.sparkSession
+    path = shared.scratch(spark, name)
+    rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def streamed(table: DataFrame) -> DataFrame:
+    """A written table as the source of a stream."""
+    return table.sparkSession.readStream.schema(table.schema).parquet(table._shared_path)
