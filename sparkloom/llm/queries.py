@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +78,15 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), caps, ranks=(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9_quality_rules that no label decides, for which there is SQL."""
+    from . import quality
+
+    rows = quality.with_statistics(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return rows.select("doc_id", *[F.col(f"q_{c}").alias(c) for c in names], quality.base_failed().alias("base_failed"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_substring_dedup": op2_substring_dedup,
@@ -88,9 +98,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "quality_statistics": quality_statistics,
 }
 
+#: The words of a text column, as a list.
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+#: Base 32 of the hexadecimal text h of a SHA-1.
+BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((cast('0x' || substr(h, 5 * (i // 4) + 1, 5) as int) >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '')"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": f"""
+        with d as (select doc_id, {WORDS.format("text")} as w from documents),
+        g as (select doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) as g from d, unnest(range(1, len(w) - 48)) as u(i)),
+        f as (select g, min(doc_id) as first from g group by 1),
+        r as (select g.doc_id, unnest(range(i, i + 50)) as pos from g join f using (g) where first < g.doc_id),
+        c as (select doc_id, list(distinct pos) as pos from r group by 1),
+        k as (select d.doc_id, w, pos, case when pos is null then w else list_filter(w, lambda x, i: not list_contains(pos, i)) end as kept from d left join c using (doc_id))
+        select doc_id, cast(coalesce(len(w), 0) as bigint) as n_words, cast(coalesce(len(pos), 0) as bigint) as n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) as kept_sha256 from k""",
+    "op5_warc": f"""
+        with p as (select page_id, coalesce(html, '') as html from pages), m as (select page_id, html, max(page_id) over (partition by html) as most, sha1(html) as h from p)
+        select page_id, cast(strlen(html) as bigint) as payload_bytes, {BASE32} as payload_digest, case when page_id = most then 'response' else 'revisit' end as record_type, case when page_id <> most then most end as refers_to from m""",
+    "op8_minhash_dedup": f"""
+        with recursive d as (select doc_id, coalesce({WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}, []) as w from documents),
+        s as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) = 1 then [w[1]] else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as s from d),
+        e as (select doc_id, len(s) as n, unnest(s) as g from s),
+        n as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as common from e a join e b on a.g = b.g and a.doc_id < b.doc_id
+              and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) group by 1, 2),
+        l as (select a, b from n where 100 * common >= 80 * (na + nb - common)), links as (select a, b from l union select b, a from l),
+        reach as (select doc_id as a, doc_id as b from d union select r.a, links.b from reach r join links on links.a = r.b)
+        select s.doc_id, cast(len(s) as bigint) as n_shingles, c.least as component_id, s.doc_id = c.least as kept from s join (select a, min(b) as least from reach group by 1) c on c.a = s.doc_id""",
+    "quality_statistics": f"""
+        with d as (select doc_id, coalesce(text, '') as text, coalesce({WORDS.format("text")}, []) as w from documents),
+        g as (select doc_id, i, md5(array_to_string(w[i : i + 7], ' ')) as g from d, unnest(range(1, len(w) - 6)) as u(i)),
+        t as (select doc_id, i from g qualify count(*) over (partition by doc_id, g) > 1),
+        r as (select doc_id, count(distinct pos) as n from (select doc_id, unnest(range(i, i + 8)) as pos from t) group by 1),
+        l as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l from d),
+        k as (select doc_id, len(w) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+            len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(n, 0) as n_repeat_words from d join l using (doc_id) left join r using (doc_id))
+        select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from k""",
     "op4_tool_calls": """
         with c as (
             select conv_id, cast(turn as varchar) as call_id, min_by(turn, (text is null, text)) as turn, min_by(text, (text is not null, text)) as text
