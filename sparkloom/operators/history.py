@@ -10,9 +10,9 @@ from ..functions import text as X
 MAX_OBJECT = 8 * 1024 * 1024
 
 
-def put(objects: DataFrame, new: DataFrame) -> DataFrame:
-    """objects(tag, content, saved_at) after putting new ones: a tag's latest content wins; contents over 8 MiB are refused."""
-    both = objects.withColumn("o", F.lit(0)).unionByName(new.filter(F.octet_length("content") <= MAX_OBJECT).withColumn("o", F.lit(1)))
+def put(objects: DataFrame, new: DataFrame, most: int = MAX_OBJECT) -> DataFrame:
+    """objects(tag, content, saved_at) after putting new ones: a tag's latest content wins; contents over `most` bytes are refused."""
+    both = objects.withColumn("o", F.lit(0)).unionByName(new.filter(F.octet_length("content") <= most).withColumn("o", F.lit(1)))
     return both.groupBy("tag").agg(F.max(F.struct("o", "saved_at", "content")).alias("x")).select("tag", "x.content", "x.saved_at")
 
 
