@@ -144,12 +144,12 @@ ORACLE_SQL: dict[str, str] = {
             select conv_id, cast(turn - 1 as varchar) as call_id, min_by(text, (text is not null, text)) as content
             from conversations where role = 'assistant' and conv_id is not null and turn is not null group by 1, 2
         )
-        select c.conv_id, c.turn, c.call_id,
-               case when c.call_id = '0' or not exists (select 1 from c z where z.conv_id = c.conv_id and z.call_id = '0') then 0 else 1 end as level,
+        , i as (select conv_id, turn, turn - 2 * row_number() over (partition by conv_id, turn % 2 order by turn) as island from c)
+        select c.conv_id, c.turn, c.call_id, cast(row_number() over (partition by i.conv_id, i.turn % 2, island order by i.turn) - 1 as int) as level,
                r.call_id is not null as linked, c.text is not null as valid,
                sha256('{"arguments":{"role":"user",' || coalesce('"text":' || cast(to_json(c.text) as varchar) || ',', '') || '"turn":' || c.turn
                       || '},"id":"' || c.call_id || '","name":"reply","result":' || coalesce(cast(to_json(r.content) as varchar), 'null') || '}') as json_sha256
-        from c left join r on c.conv_id = r.conv_id and c.call_id = r.call_id""",
+        from c join i using (conv_id, turn) left join r on c.conv_id = r.conv_id and c.call_id = r.call_id""",
     "op1_exact_topk": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
