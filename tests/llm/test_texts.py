@@ -105,6 +105,13 @@ def test_minhash(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and {r.doc_id for r in kept.collect()} == {None, 1, 4, 5, 6, 7, 8, 9, 11} | {r.doc_id for r in kept.filter("doc_id in (10, 13)").collect()}
 
 
+def test_keep_one_judges_rows_of_one_id_by_their_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, a + " end"), (4, None), (None, a)]
+    kept = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 5)
+    assert key(kept.collect()) == key([(1, a), (2, b), (2, b), (4, None), (None, a)])
+
+
 def test_minhash_chain_through_edited_copies(spark):
     rng = np.random.default_rng(3)
     base = [f"b{i}" for i in range(200)]
@@ -206,6 +213,14 @@ def test_rank_file_gives_the_library_ids():
         assert np.frombuffer(ids, "<u4").tolist() == fast.library.encode(t, add_special_tokens=False).ids
 
 
+def test_special_tokens_are_the_librarys():
+    plain = Tokenizer.from_file(JSON)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "no special", "<|endoftext|><|endoftext|> x", "<|endoftext| >"]
+    assert plain.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    for t, ids in zip(texts, packing.Tokenizer(JSON, RANKS).encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_best_fit_under_all_capacities(rule):
     rng = np.random.default_rng(1)
