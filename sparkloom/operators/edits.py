@@ -215,3 +215,19 @@ def verified(files: DataFrame, staged: DataFrame) -> DataFrame:
     A null read_tag says that the file was not there. Nothing may be committed while there are any."""
     now = files.select("path", X.tag(F.col("text")).alias("now"))
     return staged.join(now, "path", "left").filter(~F.col("now").eqNullSafe(F.col("read_tag"))).select("path", "read_tag", "now")
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """rows(base, ours, theirs, ...) with text, their three-way merge by lines, and conflicts, the number of stretches that stay as ours."""
+    from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+    schema = StructType([*rows.schema.fields, StructField("text", StringType()), StructField("conflicts", IntegerType())])
+
+    def run(parts):
+        import pyarrow as pa
+
+        for part in parts:
+            made = [merge3(*(x or "" for x in texts)) for texts in zip(*(part.column(c).to_pylist() for c in ("base", "ours", "theirs")), strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([m.text for m in made], pa.string()), pa.array([len(m.conflicts) for m in made], pa.int32())], schema.names)
+
+    return rows.mapInArrow(run, schema)

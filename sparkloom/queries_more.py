@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from . import sample_sources as S
 from .functions import extract
 from .functions import text as X
-from .operators import catalog, edits, explore, frames, graph, history, intervals, policy, render, search, sessions, vectors
+from .operators import catalog, edits, explore, frames, graph, history, intervals, policy, render, resolve, search, sessions, vectors
 from .plans import indexing, steps
 from .queries import ALL_EDGES, COPIES, EDGES, FOLD, GRAPH, HUNKS, LINES, OPS, TAG, UNIT, call_tables, doc_lines, graph_edges, query, table, user_edges, vector_index
-from .sources import shared, tree
+from .sources import notes, shared, tree
 from .streaming import changes
 
 # Source files of parts
@@ -648,3 +648,117 @@ def stream_trace(spark, sf_dir):
     path = shared.scratch(spark, "trace")
     changes.trace(event_stream(spark, sf_dir).drop("ts"), path, path + "-checkpoint").awaitTermination()
     return tree.json_rows(spark, path, "event_id long, user_id long, event_type string")
+
+
+# Trees, notes, merges, transactions
+
+
+@query("""select path, strlen(n_name) as n_bytes from (select ['src', 'node_modules', 'kept/deep', 'lib/env', 'skipme'][n_regionkey + 1] || '/f' || n_nationkey || ['.py', '.md', '.exe', '.txt'][n_nationkey % 4 + 1] as path, n_name, n_regionkey, n_nationkey from nation)
+    where n_regionkey in (0, 2) and n_nationkey % 4 <> 2 and strlen(n_name) <= 8""")
+def tree_scan(spark, sf_dir):
+    """A tree of a file for each nation, below directories that are scanned, skipped, ignored and a virtual environment."""
+    root = shared.scratch(spark, "tree")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def put(path: str, text: str) -> None:
+        at = jvm.org.apache.hadoop.fs.Path(f"{root}/{path}")
+        out = at.getFileSystem(conf).create(at)
+        out.write(text.encode())
+        out.close()
+
+    put(".gitignore", "# ignored\nskipme/\n*.log\n")
+    put("lib/env/pyvenv.cfg", "home = x")
+    for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", "n_name").collect():  # 25 rows
+        put(f"{('src', 'node_modules', 'kept/deep', 'lib/env', 'skipme')[r.n_regionkey]}/f{r.n_nationkey}{('.py', '.md', '.exe', '.txt')[r.n_nationkey % 4]}", r.n_name)
+    return tree.scan(spark, root, max_bytes=8)[0].select("path", "n_bytes")
+
+
+@query("""select scope, severity, message from (select case event_type when 'click' then 'engine' when 'view' then 'workspace' else event_type end as scope, 'info' as severity, 'note ' || event_id as message, event_id from events) where scope in ('engine', 'workspace') and event_id % 9 <> 0""")
+def notes_kept(spark, sf_dir):
+    scope = F.when(F.col("event_type") == "click", "engine").when(F.col("event_type") == "view", "workspace").otherwise(F.col("event_type"))
+    message = F.when(F.col("event_id") % 18 == 0, "").when(F.col("event_id") % 9 == 0, F.repeat(F.lit("x"), 65537)).otherwise(F.concat(F.lit("note "), F.col("event_id").cast("string")))
+    rows = table(spark, sf_dir, "events").select(scope.alias("scope"), F.lit("info").alias("severity"), message.alias("message"))
+    path = shared.scratch(spark, "notes")
+    for part in (rows.filter("scope = 'engine'"), rows.filter("scope <> 'engine'")):
+        notes.append(part, path, ["engine", "workspace"])
+    return notes.read(spark, path).select("scope", "severity", "message")
+
+
+@query("""select doc_id, case doc_id % 3 when 0 then 'a' || chr(10) || 'ours' || chr(10) || 'c' || chr(10) || 'd' || doc_id || chr(10) || 'e' when 1 then 'a' || chr(10) || 'same' || chr(10) || 'c' || chr(10) || 'd' || doc_id || chr(10) || 'e'
+    else 'a' || chr(10) || 'ours' || chr(10) || 'c' || chr(10) || 'theirs' || chr(10) || 'e' end as text, case when doc_id % 3 = 0 then 1 else 0 end as conflicts from documents""")
+def merges(spark, sf_dir):
+    d = F.col("doc_id").cast("string")
+    lines = lambda b, last: F.concat_ws("\n", F.lit("a"), b, F.lit("c"), last, F.lit("e"))
+    was = lines(F.concat(F.lit("b"), d), F.concat(F.lit("d"), d))
+    k = F.col("doc_id") % 3
+    ours = lines(F.when(k == 1, "same").otherwise("ours"), F.concat(F.lit("d"), d))
+    theirs = F.when(k == 0, lines(F.lit("theirs"), F.concat(F.lit("d"), d))).when(k == 1, lines(F.lit("same"), F.concat(F.lit("d"), d))).otherwise(lines(F.concat(F.lit("b"), d), F.lit("theirs")))
+    return edits.merged(table(spark, sf_dir, "documents").select("doc_id", was.alias("base"), ours.alias("ours"), theirs.alias("theirs"))).select("doc_id", "text", "conflicts")
+
+
+@query("select 'src/m' || p_partkey || '.py' as path, p_partkey % 3 = 1 as refused, case when p_partkey % 3 = 1 then 9 end as line from part")
+def edit_guard(spark, sf_dir):
+    s = sources(spark, sf_dir).filter("path like '%.py'")
+    k = F.col("part").cast("long") % 3
+    broken = F.regexp_replace("text", r"def brake(\d+)\(angle\):", "def brake$1(angle:")
+    # An edit that breaks the text, one that does not, and one of a text that was broken before.
+    return extract.guard_rows(s.select("path", F.when(k == 2, broken).otherwise(F.col("text")).alias("before"), F.when(k == 0, F.concat("text", F.lit("\nx = 1\n"))).otherwise(broken).alias("after")))
+
+
+BLOCK_ROWS = sorted({(path, a, max(y for p, _, _, k, x, y, _ in SYMBOLS if p == path and x == a and k not in ("file", "heading"))) for path, _, _, kind, a, _, _ in SYMBOLS if kind not in ("file", "heading")})
+
+
+@query(f"""with {expected('path line last', BLOCK_ROWS)} select path, line, last as "end" from want""")
+def block_spans(spark, sf_dir):
+    return extract.block_rows(sources(spark, sf_dir))
+
+
+@query("select unnest(['shuffled', 'changed', 'fewer']) as kind, unnest([true, false, false]) as same")
+def fingerprints(spark, sf_dir):
+    f = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").cast("string").alias("path"), X.tag(F.col("text")).alias("tag"))
+    cases = {"as it is": f, "shuffled": f.repartition(7, "tag"), "changed": f.withColumn("tag", F.when(F.col("path") == "1", "0").otherwise(F.col("tag"))), "fewer": f.filter("path <> '1'")}
+    got = {k: history.fingerprint(v).first()["fingerprint"] for k, v in cases.items()}
+    return spark.createDataFrame([(k, got[k] == got["as it is"]) for k in ("shuffled", "changed", "fewer")], "kind string, same boolean")
+
+
+UPWARD = f"""{EDGES}, hops as (select distinct src, dst from edges where kind = 'call' and confidence = 'name' and cast(substr(src, 2) as int) < cast(substr(dst, 2) as int)),
+    x as (select 'u1' as id, 0 as hops union select h.dst, x.hops + 1 from x join hops h on h.src = x.id where x.hops < 200), level as (select id, min(hops) as hops from x group by 1)"""
+
+
+@query(f"""with recursive {UPWARD} select 'u1' as a, t as b, hops, false as leads_back from (select 'u6' as t) left join level on id = t
+    union all select t, 'u1', null, hops is not null from (select 'u6' as t) left join level on id = t""")
+def path_directions(spark, sf_dir):
+    number = lambda c: F.substr(c, F.lit(2)).cast("int")
+    edges = shared.written(user_edges(spark, sf_dir).filter("confidence = 'name'").filter(number("src") < number("dst")), "upward")
+    one = lambda x: spark.createDataFrame([(x,)], "id string")
+    rows = []
+    for a, b in (("u1", "u6"), ("u6", "u1")):
+        path, back = graph.path_between(edges, one(a), one(b))
+        rows.append((a, b, len(path) - 1 if path else None, back))
+    return spark.createDataFrame(rows, "a string, b string, hops int, leads_back boolean")
+
+
+@query(f"""with {GRAPH}, {EDGES.replace("edges as", "ue as")} select 0 as part, id || '|' || name || '|' || qualified || '|type|types|1|9|-1' as row from types
+    union all select 1, src || '|' || dst || '|' || kind || '|' || confidence || '|' || detail from ue""")
+def graph_dump(spark, sf_dir):
+    symbols = call_tables(spark, sf_dir)[0].filter("kind = 'type'")
+    return resolve.dump(symbols, user_edges(spark, sf_dir))
+
+
+@query(f"""with f as (select doc_id as path, text from documents where text is not null) select path, {TAG.format("text")} as tag from f where path % 2 = 0 and path % 3 <> 0 union all select path + 700000, {TAG.format("text")} from f where path % 6 = 3 union all select -7, sha256('one' || chr(10))""")
+def transaction_result(spark, sf_dir):
+    """Files after a transaction of three steps, a failed one that leaves nothing, and a commit that finds its files unchanged."""
+    d = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("path"), "text")
+    store = steps.Snapshots(spark, d)
+    steps.transaction(store, [
+        lambda f: edits.moved(f, f.filter("path % 6 = 3").select("path", (F.col("path") + 700000).alias("dest")))[0],
+        lambda f: edits.delete(f, f.filter("path < 700000 and (path % 2 = 1 or path % 3 = 0)").select("path"))[0],
+        lambda f: edits.create(f, f.limit(1).select(F.lit(-7).cast("long").alias("path"), F.lit("one").alias("text")))[0],
+    ])
+    for refused in (lambda: steps.transaction(store, [lambda f: f.limit(0)], validate=lambda f: not f.isEmpty()), lambda: steps.commit_verified(store, store.read().limit(1).select("path", F.lit("other").alias("read_tag"), "text"))):
+        try:
+            refused()
+        except ValueError:
+            continue
+        raise AssertionError("committed what had to be refused")
+    return store.read().select("path", X.tag(F.col("text")).alias("tag"))
