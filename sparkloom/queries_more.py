@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import sample_sources as S
 from .functions import extract
 from .functions import text as X
-from .operators import catalog, edits, explore, frames, graph, history, intervals, policy, render, resolve, search, sessions, vectors
+from .operators import catalog, edits, explore, frames, graph, history, intervals, policy, precise, render, resolve, search, sessions, vectors
 from .plans import indexing, steps
 from .queries import ALL_EDGES, COPIES, EDGES, FOLD, GRAPH, HUNKS, LINES, OPS, TAG, UNIT, call_tables, doc_lines, graph_edges, query, table, user_edges, vector_index
 from .sources import notes, shared, tree
@@ -762,3 +762,36 @@ def transaction_result(spark, sf_dir):
             continue
         raise AssertionError("committed what had to be refused")
     return store.read().select("path", X.tag(F.col("text")).alias("tag"))
+
+
+REFERENCES = [
+    ("pkg/p@/core.py", 1, "pkg/p@/core.py", 6), ("pkg/p@/core.py", 1, "app/a@.py", 5), ("pkg/p@/core.py", 1, "app/a@.py", 6), ("pkg/p@/core.py", 1, "app/a@.py", 7),
+    ("pkg/p@/core.py", 5, "app/a@.py", 6), ("pkg/p@/core.py", 5, "app/s@.py", 2), ("pkg/p@/core.py", 9, "app/a@.py", 8),
+]
+
+
+def packages(spark, sf_dir) -> DataFrame:
+    """For every part a package whose core is passed on by its __init__, and two files that use it."""
+    n = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("n"))
+    out = None
+    for path, text in S.PACKAGE.items():
+        df = n.select(F.replace(F.lit(path), F.lit("@"), F.col("n")).alias("path"), F.replace(F.lit(text), F.lit("@"), F.col("n")).alias("text"))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+@query(f"with {expected('def_file def_line ref_file ref_line', REFERENCES)} select * from want")
+def precise_references(spark, sf_dir):
+    return precise.references(packages(spark, sf_dir))
+
+
+@query(f"with {expected('def_file def_line ref_file ref_line', REFERENCES)} select 'fresh' as kind, count(*) as n from want union all select 'changed', 0")
+def references_cache(spark, sf_dir):
+    """References kept under the fingerprint of their files: there for the same files, gone after a change."""
+    files = packages(spark, sf_dir)
+    tags = files.select("path", X.tag(F.col("text")).alias("tag"))
+    now = history.fingerprint(tags)
+    cache = shared.written(precise.references(files).join(F.broadcast(now.select("fingerprint")), F.lit(True)), "references")  # one row
+    later = history.fingerprint(tags.filter("path <> 'app/a1.py'"))
+    count = lambda kind, mark: catalog.cached(cache, mark).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
+    return count("fresh", now).unionByName(count("changed", later))
