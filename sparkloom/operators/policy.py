@@ -136,3 +136,29 @@ def narrowing(policies: DataFrame) -> DataFrame:
     denies = pairs.join(side("deny", "c", "current"), "current").join(F.broadcast(side("deny", "n", "n2")), (F.col("next") == F.col("n2")) & contains("n", "c"), "left_anti")
     bad = allows.select("current", "next").union(denies.select("current", "next")).distinct().withColumn("bad", F.lit(True))
     return pairs.join(bad, ["current", "next"], "left").select("current", "next", F.col("bad").isNull().alias("narrows"))
+
+
+def enforced(requests: DataFrame, policies: dict[str, Policy], by: str, order: list[Column], block: int = 512) -> DataFrame:
+    """(by, active): the policy in force for each key after its requests(by, request) in order, null while there is none.
+
+    A request is the name of a policy, or null, which asks for nothing. With a few policies every request is a map from the
+    policy in force to the next one; maps compose, so a block of requests is one map, and a key's blocks are folded in order.
+    """
+    from pyspark.sql import Window
+
+    names = sorted(policies)
+    states = [None, *names]
+
+    def after(active: str | None, request: str) -> int:
+        now, _ = advance(policies[active] if active else None, policies[request])
+        return states.index(request) if now is policies[request] else states.index(active)
+
+    maps = F.create_map(*[x for r in names for x in (F.lit(r), F.array(*[F.lit(after(s, r)) for s in states]))])
+    start = F.array(*[F.lit(i) for i in range(len(states))])
+    rows = requests.filter(F.col("request").isNotNull()).withColumn("_at", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    rows = rows.withColumn("_map", maps[F.col("request")]).withColumn("_block", F.floor(F.col("_at") / block))
+    chain = lambda xs: F.aggregate(xs, start, lambda f, x: F.transform(f, lambda i: x["_map"][i]))
+    blocks = rows.groupBy(by, "_block").agg(F.array_sort(F.collect_list(F.struct("_at", "_map"))).alias("_rows")).select(by, "_block", chain(F.col("_rows")).alias("_map"))
+    last = blocks.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_block", "_map"))).alias("_maps")).select(by, chain(F.col("_maps"))[0].alias("_i"))
+    named = F.array(*[F.lit(s) for s in states])
+    return requests.select(by).distinct().join(last, by, "left").select(by, named[F.coalesce("_i", F.lit(0))].alias("active"))

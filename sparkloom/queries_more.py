@@ -10,7 +10,7 @@ from .functions import extract
 from .functions import text as X
 from .operators import catalog, edits, explore, frames, graph, history, intervals, policy, precise, render, resolve, search, sessions, vectors
 from .plans import indexing, steps
-from .queries import ALL_EDGES, COPIES, EDGES, FOLD, GRAPH, HUNKS, LINES, OPS, TAG, UNIT, call_tables, doc_lines, graph_edges, query, table, user_edges, vector_index
+from .queries import ALL_EDGES, EDGES, FOLD, GRAPH, LINES, OPS, POLICIES, POLICY_SQL, TAG, UNIT, _contains, call_tables, doc_lines, graph_edges, query, table, user_edges, vector_index
 from .sources import notes, shared, tree
 from .streaming import changes
 
@@ -795,3 +795,16 @@ def references_cache(spark, sf_dir):
     later = history.fingerprint(tags.filter("path <> 'app/a1.py'"))
     count = lambda kind, mark: catalog.cached(cache, mark).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
     return count("fresh", now).unionByName(count("changed", later))
+
+
+@query(f"""with recursive {POLICY_SQL}, n as (select distinct policy from p), narrows as (select a.policy as a, b.policy as b,
+    not exists (select 1 from p x where x.policy = b.policy and x.side = 'allow' and not exists (select 1 from p y where y.policy = a.policy and y.side = 'allow' and {_contains("y", "x")}))
+    and not exists (select 1 from p x where x.policy = a.policy and x.side = 'deny' and not exists (select 1 from p y where y.policy = b.policy and y.side = 'deny' and {_contains("y", "x")})) as ok from n a, n b),
+    e as (select user_id, case event_type when 'click' then 'a' when 'view' then 'b' when 'purchase' then 'c' when 'error' then 'd' end as r, event_id from events),
+    s as (select user_id, r, row_number() over (partition by user_id order by event_id) as rn from e where r is not null),
+    f as (select user_id, 1 as rn, r as active from s where rn = 1 union all select f.user_id, s.rn, case when ok then s.r else f.active end from f join s on s.user_id = f.user_id and s.rn = f.rn + 1 join narrows on a = f.active and b = s.r)
+    select u.user_id, arg_max(active, rn) as active from (select distinct user_id from events) u left join f using (user_id) group by 1""")
+def enforcement(spark, sf_dir):
+    request = F.when(F.col("event_type") == "click", "a").when(F.col("event_type") == "view", "b").when(F.col("event_type") == "purchase", "c").when(F.col("event_type") == "error", "d")
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", request.alias("request"))
+    return policy.enforced(e, POLICIES, "user_id", [F.col("event_id")])
