@@ -186,7 +186,7 @@ def _cuts(values: np.ndarray, most: int = 64) -> np.ndarray:
 
 
 def grow(x: dict[str, np.ndarray], bad: np.ndarray, most: int = 4) -> Rule:
-    """Adds the condition of the highest FOIL gain until only bad rows are left, or no condition gains."""
+    """Adds the condition of the highest FOIL gain until only bad rows are left, no condition gains, or there are `most`."""
     rule, inside = Rule([]), np.ones(len(bad), bool)
     while len(rule.conditions) < most:
         p, n = int((bad & inside).sum()), int((~bad & inside).sum())
@@ -228,7 +228,8 @@ def prune(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
 
 
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.85, least: int = 4, most_rules: int = 12, seed: int = 5) -> DecisionList:
-    """Sequential covering. A rule is accepted if on all rows left it covers least bad rows with this precision."""
+    """Sequential covering. A rule is accepted if on all rows left it covers least bad rows with this precision; the list ends
+    with the first that is not, or with most_rules. Both bounds shape the model and drop no row."""
     out, left = DecisionList(), np.ones(len(bad), bool)
     rng = np.random.default_rng(seed)
     part = rng.permutation(len(bad)) % 3
@@ -303,7 +304,7 @@ def keep_good(docs: DataFrame, rules: DecisionList) -> DataFrame:
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The contract's columns for every document."""
+    """The contract's columns for every row of docs(doc_id, text); see apply_rules() on nulls, repeats, long texts and empty tables."""
     rows = apply_rules(docs, fit(docs, labels), keep=["doc_id"])
     cols = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return rows.select("doc_id", *[F.col(f"q_{c}").alias(c) for c in cols], F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"), F.col("q_rule").alias("rule"))

@@ -172,7 +172,11 @@ def _digest_map(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def substring_digest(docs: DataFrame, width: int = 50) -> DataFrame:
-    """The contract's columns for every document."""
+    """The contract's columns for every row of docs(doc_id, text).
+
+    A null or empty text has no words; a null id loses nothing and removes nothing elsewhere; rows that repeat an id with its
+    text lose the same words. Texts of any length are read whole; other columns play no part; an empty table gives an empty table.
+    """
     rows = with_spans(docs.select("doc_id", "text"), width).select("doc_id", "text", "spans")
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     return common.arrow_map(rows, _digest_map, schema)
