@@ -19,6 +19,20 @@ SEGMENT = 1 << 20
 ROWS = 2
 
 
+def power(n: int) -> int:
+    """The least power of two that is n or more."""
+    return 1 << max(0, n - 1).bit_length()
+
+
+def twice(keys: np.ndarray, weight: np.ndarray, width: int) -> np.ndarray:
+    """Whether each key's estimate is two or more in a sketch of ROWS rows that counts all keys by their weights."""
+    out = np.ones(len(keys), bool)
+    for row in range(ROWS):
+        at = cells(keys, row, width)
+        out &= np.bincount(at, weight, width)[at] >= 2
+    return out
+
+
 def width_for(keys: int, most: int = 1 << 26) -> int:
     """Counters a row: about four a key, a power of two between SEGMENT and most."""
     return min(most, max(SEGMENT, 1 << max(0, 4 * keys - 1).bit_length()))
