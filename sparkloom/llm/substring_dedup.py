@@ -80,7 +80,10 @@ def sliced(docs: DataFrame) -> tuple[DataFrame, int]:
     path = common.scratch(spark, "slices")
     name = path.rpartition("/")[2].replace("-", "_")
     rows.write.bucketBy(buckets, "p").option("path", path).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name), n_bytes
+    table = spark.table(name)
+    # The catalog only has to tell of the buckets once: the files under path are not the table's own and stay.
+    spark.sql(f"drop table `{name}`")
+    return table, n_bytes
 
 
 def repeated_anchors(slices: DataFrame, width: int, n_bytes: int, per_shard: int = SHARD) -> DataFrame:
