@@ -30,7 +30,7 @@ CALL = ("caller", "callee_name", "arity", "recv_kind", "recv_arg")
 
 
 def _calls(calls: DataFrame, kind: str) -> DataFrame:
-    return calls.filter(F.col("recv_kind") == kind).select(*CALL).distinct()
+    return calls.filter(F.col("recv_kind") == kind).select(*CALL)
 
 
 def match_free(calls: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -92,7 +92,7 @@ def resolve_name(calls: DataFrame, symbols: DataFrame, resolved: DataFrame) -> D
     in the same function does not decide it.
     """
     fns = functions(symbols)
-    open_ = calls.filter((F.col("recv_kind") != "path") & ~F.contains("callee_name", F.lit("::"))).select(*CALL).distinct().join(resolved, list(CALL), "left_anti")
+    open_ = calls.filter((F.col("recv_kind") != "path") & ~F.contains("callee_name", F.lit("::"))).select(*CALL).join(resolved, list(CALL), "left_anti")
     left = open_.select("caller", "callee_name", F.col("arity").alias("given")).distinct()
     # Candidates depend on name and arity alone, so they are ranked once for each such pair, not for each call.
     asked = left.select("callee_name", "given").distinct()
@@ -135,7 +135,7 @@ def _matches(calls: DataFrame, symbols: DataFrame, impls: DataFrame) -> DataFram
 
 def resolved(calls: DataFrame, symbols: DataFrame, impls: DataFrame) -> DataFrame:
     """The calls (the columns of CALL) that a tier before the name tier resolves."""
-    return _matches(calls, symbols, impls).select(*CALL).distinct()
+    return _matches(calls, symbols, impls).select(*CALL)
 
 
 def resolve_calls(calls: DataFrame, symbols: DataFrame, impls: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, impls: DataFrame) -> Dat
     tier = F.when(F.col("recv_kind") == "typed", "typed").when(F.col("recv_kind") == "dyn", "dyn").otherwise("direct")
     detail = F.when(F.col("recv_kind").isin("typed", "dyn"), F.col("recv_arg")).otherwise("")
     first = hits.select(F.col("caller").alias("src"), F.col("id").alias("dst"), F.lit("call").alias("kind"), tier.alias("confidence"), detail.alias("detail"))
-    return first.unionByName(resolve_name(calls, symbols, hits.select(*CALL).distinct()))
+    return first.unionByName(resolve_name(calls, symbols, hits.select(*CALL)))
 
 
 def resolve_edges(calls: DataFrame, symbols: DataFrame, impls: DataFrame, methods: DataFrame, refs: DataFrame) -> DataFrame:
