@@ -61,5 +61,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies STAGES to documents; each stage's result is written as Parquet and read again as the next one's docs."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        before, docs = docs, common.written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        common.dropped(before)  # a stage's table, once the next one is written; the input is no such table
     return STAGES[-1][1](spark, docs, sf_dir)
