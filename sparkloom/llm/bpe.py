@@ -332,7 +332,11 @@ def decode_documents(rows: DataFrame, path: str, pattern: str, ids: str = "ids",
 
 
 def bpe_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """The contract's columns: encodes every whole text, decodes the ids, and digests both."""
+    """The contract's columns: encodes every whole text of docs(doc_id, text), decodes the ids, and digests both.
+
+    A null text is encoded as an empty one and has no ids; null ids and repeated rows are rows like others; a text or a
+    pre-token of any length is encoded whole; other columns play no part; an empty table gives an empty table.
+    """
     schema = T.StructType([
         T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()),
         T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()),
