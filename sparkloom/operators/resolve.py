@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources import shared
 
 #: Fixed value: candidates of a call in the name tier.
 NAME_CANDIDATES = 8
@@ -92,10 +93,11 @@ def resolve_name(calls: DataFrame, symbols: DataFrame, resolved: DataFrame) -> D
     in the same function does not decide it.
     """
     fns = functions(symbols)
-    open_ = calls.filter((F.col("recv_kind") != "path") & ~F.contains("callee_name", F.lit("::"))).select(*CALL).join(resolved, list(CALL), "left_anti")
-    left = open_.select("caller", "callee_name", F.col("arity").alias("given")).distinct()
-    # Candidates depend on name and arity alone, so they are ranked once for each such pair, not for each call.
-    asked = left.select("callee_name", "given").distinct()
+    bare = calls.filter((F.col("recv_kind") != "path") & ~F.contains("callee_name", F.lit("::"))).select(*CALL)
+    left = bare.join(resolved, list(CALL), "left_anti").select("caller", "callee_name", F.col("arity").alias("given")).distinct()
+    # Candidates depend on name and arity alone, so they are ranked once for each such pair, not for each call; the pairs are
+    # those of all bare calls, so that what is resolved need not be worked out for them too.
+    asked = bare.select("callee_name", F.col("arity").alias("given")).distinct()
     fits = asked.join(fns.select("id", F.col("name").alias("callee_name"), "arity", "file", "start_line"), "callee_name").filter("arity < 0 or arity = given")
     w = Window.partitionBy("callee_name", "given").orderBy("file", "start_line", "id")
     top = fits.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= NAME_CANDIDATES).select("callee_name", "given", "id")
@@ -139,9 +141,10 @@ def resolved(calls: DataFrame, symbols: DataFrame, impls: DataFrame) -> DataFram
 
 
 def resolve_calls(calls: DataFrame, symbols: DataFrame, impls: DataFrame) -> DataFrame:
-    """The call edges of all tiers; a call reaches the name tier only if its own tier found nothing."""
+    """The call edges of all tiers; a call reaches the name tier only if its own tier found nothing. What the tiers find is
+    written, as it is read twice: as edges, and to tell which calls are left."""
     calls = calls.select(*[F.coalesce(c, F.lit("")).alias(c) if c in ("recv_kind", "recv_arg") else F.col(c) for c in CALL])
-    hits = _matches(calls, symbols, impls)
+    hits = shared.written(_matches(calls, symbols, impls), "hits")
     tier = F.when(F.col("recv_kind") == "typed", "typed").when(F.col("recv_kind") == "dyn", "dyn").otherwise("direct")
     detail = F.when(F.col("recv_kind").isin("typed", "dyn"), F.col("recv_arg")).otherwise("")
     first = hits.select(F.col("caller").alias("src"), F.col("id").alias("dst"), F.lit("call").alias("kind"), tier.alias("confidence"), detail.alias("detail"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .operators import edits, graph, history, intervals, policy, resolve, search, sessions, vectors
+from .sources import shared
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -294,6 +295,7 @@ def resolve_name(spark, sf_dir):
 def graph_edges(spark, sf_dir):
     """All edges of call_tables, with a reference of every third function to its type and trait, and every second one a method of its type."""
     symbols, calls, impls = call_tables(spark, sf_dir)
+    calls = shared.written(calls, "calls")
     p = table(spark, sf_dir, "part").select(F.concat(F.lit("f"), "p_partkey").alias("id"), "p_partkey", F.regexp_replace("p_brand", "#", "").alias("type_name"))
     some = p.filter("p_partkey % 3 = 0").join(impls, "type_name", "left")
     refs = some.select(F.col("id").alias("referrer"), "type_name").unionByName(some.filter("trait_name is not null").select(F.col("id").alias("referrer"), F.col("trait_name").alias("type_name")))
