@@ -71,7 +71,7 @@ EDGE_ROWS = [
 ]
 
 
-@query(f"with {expected('path name qualified kind start_line end_line arity', SYMBOLS)} select * from want")
+@query(f"with {expected('path name qualified kind start_line end_line arity', SYMBOLS)} select * replace (cast(arity as bigint) as arity) from want")
 def extract_symbols(spark, sf_dir):
     return extracted(spark, sf_dir).select("path", F.explode("symbols").alias("s")).select("path", "s.*")
 
@@ -176,7 +176,7 @@ def blast_files(spark, sf_dir):
     return explore.reach(user_edges(spark, sf_dir), symbols, spark.createDataFrame([("u3",), ("u4",)], "start string"))
 
 
-@query("select p_brand, sum(least(p_partkey % 300 + 1, 160)) as lines, sum(least(p_partkey % 300 + 1, 160)) > 400 as compact from part where p_size = 7 or p_brand like '%1' group by 1")
+@query("select p_brand, cast(sum(least(p_partkey % 300 + 1, 160)) as bigint) as lines, sum(least(p_partkey % 300 + 1, 160)) > 400 as compact from part where p_size = 7 or p_brand like '%1' group by 1")
 def explore_size(spark, sf_dir):
     p = table(spark, sf_dir, "part").filter("p_size = 7 or p_brand like '%1'")  # what some exploration selects
     return explore.size(p.select("p_brand", F.col("p_size").alias("start_line"), (F.col("p_size") + F.col("p_partkey") % 300).alias("end_line")), "p_brand")
@@ -291,7 +291,7 @@ def vector_pack(spark, sf_dir) -> DataFrame:
     return catalog.pack(stored, new.withColumn("vector", F.when(F.col("saved_at") % 7 == 0, spoilt).otherwise(F.col("vector"))))
 
 
-@query(f"with {PACKED} select model, key, saved_at, n from k")
+@query(f"with {PACKED} select model, key, saved_at, cast(n as int) as n from k")
 def pack_rows(spark, sf_dir):
     return vector_pack(spark, sf_dir).select("model", "key", "saved_at", F.size("vector").alias("n"))
 
@@ -571,7 +571,7 @@ def type_text(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", X.strip_generics(t).alias("bare"), X.dyn_trait(t).alias("trait_name"))
 
 
-@query(f"""with {LINES}, a as (select path, list(text order by line) as l from lines group by 1) select path, len(l) as n, case when len(l) > 52 then 53 else len(l) end as shown, case when len(l) > 52 then '... ' || len(l) - 52 || ' lines ...' end as marker from a""")
+@query(f"""with {LINES}, a as (select path, list(text order by line) as l from lines group by 1) select path, cast(len(l) as int) as n, cast(case when len(l) > 52 then 53 else len(l) end as int) as shown, case when len(l) > 52 then '... ' || len(l) - 52 || ' lines ...' end as marker from a""")
 def elided(spark, sf_dir):
     a = table(spark, sf_dir, "documents").filter("text is not null and text <> ''").select(F.col("doc_id").alias("path"), X.split_lines(F.col("text")).alias("l"))
     short = X.elide(F.col("l"))
