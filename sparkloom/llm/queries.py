@@ -78,6 +78,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), caps, ranks=(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lexical
+
+    return lexical.ranked_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import centroids
+
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op9_quality_rules that no label decides, for which there is SQL."""
     from . import quality
@@ -98,6 +110,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_centroids": op13_centroids,
     "quality_statistics": quality_statistics,
 }
 
@@ -106,7 +120,41 @@ WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 #: Base 32 of the hexadecimal text h of a SHA-1.
 BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((cast('0x' || substr(h, 5 * (i // 4) + 1, 5) as int) >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '')"""
 
+
+
+def _centroid_sql(k: int = 40, rounds: int = 5) -> str:
+    """Rounds of assignment and floor means, written out one after the other."""
+    assigned = """a{i} as materialized (
+            select vec_id, v, min(struct_pack(d := cast(list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as bigint), c := c)) as b
+            from v, c{i} group by vec_id, v
+        )"""
+    moved = """s{i} as (select b.c as c, i, cast(sum(v[i]) as bigint) as s, count(*) as n from a{i}, unnest(range(1, 65)) as u(i) group by 1, 2),
+        m{i} as (select c, list((s - ((s % n) + n) % n) // n order by i) as m from s{i} group by c),
+        c{j} as materialized (select c, coalesce(m{i}.m, c{i}.m) as m from c{i} left join m{i} using (c))"""
+    steps = [x for i in range(rounds) for x in (assigned.format(i=i), moved.format(i=i, j=i + 1))] + [assigned.format(i=rounds)]
+    return f"""
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+            where embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ),
+        c0 as materialized (select row_number() over (order by h) - 1 as c, v as m from (select v, sha256('2:' || vec_id) as h from v order by h limit {k})),
+        {", ".join(steps)},
+        t as (select b.c as c, cast(sum(b.d) as bigint) as of from a{rounds} group by 1)
+        select vec_id, cast(b.c as int) as cluster, b.d as distance, t.of as cluster_inertia, cast((select sum(of) from t) as bigint) as inertia, sha256(array_to_string(m, ',')) as centroid_sha256
+        from a{rounds} join t on t.c = b.c join c{rounds} on c{rounds}.c = b.c"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_centroids": _centroid_sql(),
+    "op12_ranked_search": r"""
+        with d as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from documents),
+        b as (select distinct item_id, t from (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark)),
+        n as (select doc_id, count(*) as n from d group by 1), g as (select count(*) as docs, cast(sum(n) as bigint) as terms from n),
+        p as (select doc_id, t, count(*) as tf from d where t in (select t from b) group by 1, 2),
+        w as (select t, cast(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) as bigint) as w from p, g group by 1),
+        s as (select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms)))) as bigint) as score from b join w using (t) join p using (t) join n using (doc_id), g group by 1, 2)
+        select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank, doc_id, score from s where score > 0
+        qualify row_number() over (partition by item_id order by score desc, doc_id) <= 10""",
     "op2_substring_dedup": f"""
         with d as (select doc_id, {WORDS.format("text")} as w from documents),
         g as (select doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) as g from d, unnest(range(1, len(w) - 48)) as u(i)),
