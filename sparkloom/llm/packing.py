@@ -94,20 +94,25 @@ def best_fit(histogram: dict[int, int], caps: Capacities, rule: str = "norm", we
                 first, count = held[k].pop()
                 state = residual[k].copy()
                 live[k] = bool(held[k])
+                each = int((state[cost > 0] // cost[cost > 0]).min()) if rule == "norm" else 1
             else:
-                take = left
-                first, count, state = n_bins, take, np.where(slack, 0, limits)
-                n_bins += take
-                k = -1
-            take = min(left, count)
-            if take < count:
-                add(state, first + take, count - take)
-            runs.append(Run(length, rank, take, first, caps.tokens - int(state[0])))
-            after = state - cost
-            if after[0] > 0:
-                add(after, first, take)
-            left -= take
-            rank += take
+                state = np.where(slack, 0, limits)
+                each = int((state[cost > 0] // cost[cost > 0]).min())
+                first, count = n_bins, -(-left // each)
+                n_bins += count
+            bins = min(count, -(-left // each))
+            whole, rest = divmod(min(left, bins * each), each)  # bins with `each` items; items of a last one
+            if bins < count:
+                add(state, first + bins, count - bins)
+            for i in range(each if whole else rest):
+                n = whole + (i < rest)
+                runs.append(Run(length, rank, n, first, caps.tokens - int(state[0]) + i * length))
+                rank += n
+                left -= n
+            for n, at_, items in ((whole, first, each), (int(rest > 0), first + whole, rest)):
+                after = state - items * cost
+                if n and after[0] > 0:
+                    add(after, at_, n)
     return runs, n_bins
 
 
@@ -266,8 +271,9 @@ def pieces(docs: DataFrame, path: str, caps: Capacities, end: int = 2, with_ids:
 def pack_documents(docs: DataFrame, path: str, caps: Capacities = Capacities(), rule: str = "norm", end: int = 2, with_ids: bool = False, ranks: tuple[str, str] | None = None) -> DataFrame:
     """The pieces of every document with sequence_id and offset.
 
-    Every row of docs is packed: repeated rows and null ids too. Only doc_id and text are read, so other columns cannot
-    clash. An empty table gives an empty table.
+    Every row of docs is packed: repeated rows and null ids too; a null or empty text is its end token alone. Texts of any
+    length are read whole, and cut into pieces of a sequence where they are longer. Only doc_id and text are read, so other
+    columns cannot clash. An empty table gives an empty table.
     """
     made = common.written(pieces(docs, path, caps, end, with_ids, ranks), "pieces")
     return place(made, caps, rule).drop("part", "local")
