@@ -78,6 +78,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), caps, ranks=(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram_join
+
+    return ngram_join.ngram_digest(table(spark, sf_dir, "documents"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lexical
 
@@ -110,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_ngram_join": op11_ngram_join,
     "op12_ranked_search": op12_ranked_search,
     "op13_centroids": op13_centroids,
     "quality_statistics": quality_statistics,
@@ -146,6 +153,15 @@ def _centroid_sql(k: int = 40, rounds: int = 5) -> str:
 
 ORACLE_SQL: dict[str, str] = {
     "op13_centroids": _centroid_sql(),
+    "op11_ngram_join": f"""
+        with recursive d as (select doc_id, coalesce({WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}, []) as w from documents),
+        s as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) end) as s from d),
+        e as (select doc_id, len(s) as n, unnest(s) as g from s),
+        n as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as common from e a join e b on a.g = b.g and a.doc_id < b.doc_id
+              and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) group by 1, 2),
+        l as (select a, b from n where 100 * common >= 85 * (na + nb - common)), links as (select a, b from l union select b, a from l),
+        reach as (select doc_id as a, doc_id as b from d union select r.a, links.b from reach r join links on links.a = r.b)
+        select s.doc_id, cast(len(s) as bigint) as n_shingles, c.least as component_id from s join (select a, min(b) as least from reach group by 1) c on c.a = s.doc_id""",
     "op12_ranked_search": r"""
         with d as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from documents),
         b as (select distinct item_id, t from (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark)),

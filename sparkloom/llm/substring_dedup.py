@@ -34,8 +34,10 @@ from . import words as W
 GRAM = 16
 #: About so many bytes of text have one anchor.
 ANCHOR_BYTES = 110
-#: A slice has 2 ** SLICE rows at most, all of one partition of the input.
+#: A slice has 2 ** SLICE rows at most, all of one partition of the input and of about one length: texts up to SMALL bytes are
+#: together, and of those up to 2 ** i times as long there are 2 ** i times fewer. So it has 32 MB of text, or one longer text.
 SLICE = 13
+SMALL = 1 << 12
 #: Anchors of a shard, of which the sketch has four counters each in every row.
 SHARD = 1 << 18
 _WORD = W.word_bytes()
@@ -76,7 +78,10 @@ def sliced(docs: DataFrame) -> tuple[DataFrame, int]:
     n, n_bytes = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
     most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
     buckets = min(most, max(1, n >> SLICE, n_bytes >> 24))
-    rows = docs.withColumn("row", F.monotonically_increasing_id()).withColumn("p", F.shiftright("row", SLICE))
+    size = F.ceil(F.log2(F.greatest(F.octet_length("text"), F.lit(1)) / SMALL)).cast("int")
+    size = F.coalesce(F.greatest(F.lit(0), F.least(F.lit(SLICE), size)), F.lit(0))
+    rows = docs.withColumn("row", F.monotonically_increasing_id()).withColumn("_size", size)
+    rows = rows.withColumn("p", F.expr(f"shiftright(row, {SLICE} - _size) * 32 + _size")).drop("_size")
     path = common.scratch(spark, "slices")
     name = path.rpartition("/")[2].replace("-", "_")
     rows.write.bucketBy(buckets, "p").option("path", path).option("compression", "zstd").saveAsTable(name)
