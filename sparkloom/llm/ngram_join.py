@@ -97,7 +97,7 @@ def _frequencies(slices: DataFrame, chosen: DataFrame, k: int, shards: int) -> D
             held = [counters(np.concatenate(sets), shards) for _, sets in _chosen(rows, mine.column("rows")[0].values.to_numpy(), k)]
             keys, count = np.unique(np.concatenate([*held, keys]), return_counts=True)
         ids, first = np.unique(keys >> W.U64(32), return_index=True)
-        parts = list(zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True))
+        parts = list(zip(first.tolist(), np.append(first, len(keys))[1:].tolist(), strict=True))
         low, few = keys.astype(np.uint32), np.minimum(count, 65535).astype(np.uint16)
         p = [rows.column("p")[0].as_py()] * len(ids) if rows.num_rows else []
         shut = [pa.compress(few[a:b].tobytes(), codec="zstd", asbytes=True) for a, b in parts]

@@ -122,6 +122,12 @@ def test_prefixes_of_linked_sets_meet_under_every_order(percent):
             assert len(np.intersect1d(p, q))
 
 
+def test_slices_without_a_class_of_their_own(spark):
+    """Copies only, in every slice but one, and a slice without words."""
+    docs = [(i, "one two three four five six") for i in range(40)] + [(100 + i, None) for i in range(5)]
+    assert sorted(map(tuple, ngram_join.linked(frame(spark, docs, 8), 4, 85).collect()), key=str) == brute(docs, 4, 85)
+
+
 def test_nothing(spark):
     assert ngram_join.ngram_digest(frame(spark, [(1, "a")]).limit(0)).collect() == []
     assert [tuple(r) for r in ngram_join.ngram_digest(frame(spark, [(1, "one two three four five")], 1)).collect()] == [(1, 2, 1)]
