@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from . import stabbing
+
 #: Fixed value: how far a blast radius reaches.
 BLAST_DEPTH = 3
 
@@ -108,17 +110,11 @@ def path_between(edges: DataFrame, a: DataFrame, b: DataFrame) -> tuple[list[tup
 
 def enclosing(points: DataFrame, spans: DataFrame, by: str = "file") -> DataFrame:
     """points(by, line) with the span(by, start, end, id) that holds the line: the smallest, the first of equals; else the
-    last span that starts at or before the line, even if it has ended. The range is a residual of an equi-join on `by`."""
+    last span that starts at or before the line, even if it has ended. Both by dyadic buckets."""
     key = [by, "line"]
-    asked = points.select(*key).distinct()
-    inside = asked.join(spans.filter("`end` >= start"), by).filter("line between start and `end`")
-    small = inside.groupBy(*key).agg(F.min(F.struct((F.col("end") - F.col("start")).alias("size"), "start", "id")).alias("x")).select(*key, F.col("x.id").alias("inner_id"))
-    # The as-of fallback: running maximum over starts and points in line order.
-    order = Window.partitionBy(by).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    marks = spans.select(by, F.col("start").alias("at"), F.lit(0).alias("kind"), F.struct("start", "id").alias("s")).unionByName(
-        asked.select(by, F.col("line").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(spans.select(F.struct("start", "id").alias("s")).schema["s"].dataType).alias("s"))
-    )
-    last = marks.withColumn("m", F.max("s").over(order)).filter("kind = 1").select(by, F.col("at").alias("line"), F.col("m.id").alias("last_id"))
+    size = F.struct((F.col("end") - F.col("start")).alias("size"), "start", "id")
+    small = stabbing.least_holding(points, spans.select(by, "start", "end", "id"), [by], "line", F.col("start"), F.col("end"), size).select(*key, F.col("least.id").alias("inner_id"))
+    last = stabbing.last_before(points, spans, [by], "line", F.col("start"), F.struct("start", "id")).select(*key, F.col("last.id").alias("last_id"))
     return points.join(small, key, "left").join(last, key, "left").withColumn("enclosing_id", F.coalesce("inner_id", "last_id")).withColumn("exact", F.col("inner_id").isNotNull()).drop("inner_id", "last_id")
 
 

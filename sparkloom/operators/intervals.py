@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import stabbing
+
 
 def _islands(rows: DataFrame, by: list[str], order: list[Column], new: Column) -> DataFrame:
     """rows with `island`: how many rows that open one come before or at each."""
@@ -47,12 +49,8 @@ def struct_diff(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFr
 
 
 def unseen(touched: DataFrame, seen: DataFrame, by: list[str]) -> DataFrame:
-    """touched(by, line) that no seen(by, start, end) run holds; the range is a residual of the equi-join on by."""
-    s = seen.select(*[F.col(c).alias(f"s_{c}") for c in by], F.col("start").alias("s_start"), F.col("end").alias("s_end"))
-    cond = F.col("line").between(F.col("s_start"), F.col("s_end"))
-    for c in by:
-        cond = cond & (F.col(c) == F.col(f"s_{c}"))
-    return touched.join(s, cond, "left_anti")
+    """touched(by, line) that no seen(by, start, end) run holds."""
+    return touched.join(stabbing.held(touched, seen, by, "line", F.col("start"), F.col("end")), [*by, "line"], "left_anti")
 
 
 def overlaps(edits: DataFrame, by: list[str], start: str = "start", end: str = "end") -> DataFrame:
@@ -79,5 +77,4 @@ def seen_ranges(text: Column) -> Column:
 
 def distance(points: DataFrame, regions: DataFrame, by: list[str], at: str = "line") -> DataFrame:
     """points(by, at) with the distance to the nearest of regions(by, start, end); 0 inside. Files without a region drop out."""
-    near = F.greatest(F.lit(0), F.col("start") - F.col(at), F.col(at) - F.col("end"))
-    return points.join(regions.select(*by, "start", "end"), by).groupBy(*by, at).agg(F.min(near).alias("distance"))
+    return stabbing.nearest(points, regions, by, at, F.col("start"), F.col("end"))
