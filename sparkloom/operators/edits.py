@@ -1,11 +1,7 @@
-"""Edits: hunks applied as joins on lines, and the texts around them (diff, three-way merge) as plain functions."""
+"""Edits: hunks applied as joins on lines, what must not be applied, files made, moved and deleted, anchors and cited texts."""
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Sequence
-from dataclasses import dataclass, field
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,107 +64,6 @@ def balance(texts: DataFrame, text: str = "text") -> DataFrame:
     return texts.select("*", X.balance(x, "{}").alias("braces"), X.balance(x, "()").alias("parens"), X.balance(x, "[]").alias("brackets"))
 
 
-def unified_diff(old: str, new: str, path: str = "", context: int = 3) -> str:
-    a, b = old.split("\n"), new.split("\n")
-    return "\n".join(difflib.unified_diff(a, b, path, path, lineterm="", n=context))
-
-
-@dataclass
-class Merge:
-    text: str
-    conflicts: list[tuple[list[str], list[str], list[str]]] = field(default_factory=list)
-
-
-def merge3(base: str, ours: str, theirs: str) -> Merge:
-    """Three-way merge of lines: stretches of base that both keep are fixed points, between which the side that changed
-    wins; a stretch that both changed differently is a conflict and stays as ours."""
-    b, x, y = (t.split("\n") for t in (base, ours, theirs))
-
-    def same(other: list[str]) -> dict[int, int]:
-        out = {}
-        for i, j, n in difflib.SequenceMatcher(None, b, other, autojunk=False).get_matching_blocks():
-            out |= {i + k: j + k for k in range(n)}
-        return out
-
-    in_x, in_y = same(x), same(y)
-    fixed = [(i, in_x[i], in_y[i]) for i in range(len(b)) if i in in_x and i in in_y] + [(len(b), len(x), len(y))]
-    out: list[str] = []
-    merge = Merge("")
-    pb = px = py = 0
-    for i, j, k in fixed:
-        mine, their, was = x[px:j], y[py:k], b[pb:i]
-        if mine == their or their == was:
-            out += mine
-        elif mine == was:
-            out += their
-        else:
-            merge.conflicts.append((was, mine, their))
-            out += mine
-        if i < len(b):
-            out.append(b[i])
-        pb, px, py = i + 1, j + 1, k + 1
-    merge.text = "\n".join(out)
-    return merge
-
-
-def recover(base: str, edited: str, live: str) -> Merge:
-    """An edit made on base, replayed on live text that has moved on."""
-    return Merge(edited) if live == base else merge3(base, edited, live)
-
-
-def anchor_line(symbols: Sequence[tuple[str, str, int]], name: str) -> int:
-    """The one line that symbols(name, qualified, line) give for a name or qualified name."""
-    lines = sorted({line for n, q, line in symbols if name in (n, q)})
-    if len(lines) != 1:
-        raise ValueError(f"{name!r} has {'no definition' if not lines else f'definitions on lines {lines}'}")
-    return lines[0]
-
-
-def compile_edits(edits: Sequence[dict], symbols: Sequence[tuple[str, str, int]] = (), n_lines: int = 0, block=None) -> list[dict]:
-    """Edit steps as hunk rows (seq, action, start, end, body).
-
-    A step has action replace, insert, delete; its place is `lines` [start, end], `symbol` or `block` (a line; block(line)
-    gives its span), or for insert `before` or `after`: a line, ^ (start of file) or $ (its end).
-    """
-    out: list[dict] = []
-    for seq, step in enumerate(edits):
-        action = step.get("action")
-        body = step.get("with", [])
-        body = body.split("\n") if isinstance(body, str) else list(body)
-        if action == "insert":
-            where = "before" if "before" in step else "after"
-            at = step.get(where)
-            if at == "^":
-                row = ("bof", 0, 0)
-            elif at == "$":
-                row = ("eof", 0, 0)
-            elif isinstance(at, int) and 1 <= at <= n_lines:
-                row = (f"insert_{where}", at, at)
-            else:
-                raise ValueError(f"bad place {at!r}")
-        elif action in ("replace", "delete"):
-            if "lines" in step:
-                start, end = step["lines"]
-            else:
-                line = anchor_line(symbols, step["symbol"]) if "symbol" in step else step["block"]
-                start, end = block(line)
-            if not 1 <= start <= end <= n_lines:
-                raise ValueError(f"lines {start}..{end} are not in 1..{n_lines}")
-            row = ("cut" if action == "delete" else "replace", start, end)
-            body = [] if action == "delete" else body
-        else:
-            raise ValueError(f"unknown action {action!r}")
-        out.append({"seq": seq, "action": row[0], "start": row[1], "end": row[2], "body": body})
-    taken: set[int] = set()
-    for h in out:
-        if h["action"] in ("replace", "cut"):
-            lines = set(range(h["start"], h["end"] + 1))
-            if lines & taken:
-                raise ValueError("edits overlap")
-            taken |= lines
-    return out
-
-
 def anchored(symbols: DataFrame, asked: DataFrame) -> DataFrame:
     """asked(file, anchor) with n, how many lines of the file begin a symbol of that name or qualified name, and line, the one if n is 1."""
     names = symbols.filter("kind <> 'file'").select("file", F.explode(F.array_distinct(F.array("name", "qualified"))).alias("anchor"), "start_line")
@@ -215,19 +110,3 @@ def verified(files: DataFrame, staged: DataFrame) -> DataFrame:
     A null read_tag says that the file was not there. Nothing may be committed while there are any."""
     now = files.select("path", X.tag(F.col("text")).alias("now"))
     return staged.join(now, "path", "left").filter(~F.col("now").eqNullSafe(F.col("read_tag"))).select("path", "read_tag", "now")
-
-
-def merged(rows: DataFrame) -> DataFrame:
-    """rows(base, ours, theirs, ...) with text, their three-way merge by lines, and conflicts, the number of stretches that stay as ours."""
-    from pyspark.sql.types import IntegerType, StringType, StructField, StructType
-
-    schema = StructType([*rows.schema.fields, StructField("text", StringType()), StructField("conflicts", IntegerType())])
-
-    def run(parts):
-        import pyarrow as pa
-
-        for part in parts:
-            made = [merge3(*(x or "" for x in texts)) for texts in zip(*(part.column(c).to_pylist() for c in ("base", "ours", "theirs")), strict=True)]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([m.text for m in made], pa.string()), pa.array([len(m.conflicts) for m in made], pa.int32())], schema.names)
-
-    return rows.mapInArrow(run, schema)

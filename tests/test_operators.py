@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
-from sparkloom.operators import edits, graph, history, intervals, policy, search, sessions
+from sparkloom.operators import edits, graph, history, intervals, policy, requests, search, sessions
 from sparkloom.plans import steps
 from sparkloom.sources import tree
 from sparkloom.streaming import changes
@@ -85,13 +85,20 @@ def test_outline_and_marks(spark):
     assert sorted(got) == [1, 2, 3, 4, 5, 6] and got[6] == ("6-12: … (long_body)", True) and got[5] == ("l5", False)
 
 
+def compiled(spark, steps, symbols=(), spans=()):
+    """Sections, hunks and faults of one request on the file f."""
+    body = json.dumps({"path": "f", "tag": "abcd", "edits": steps})
+    names = spark.createDataFrame(list(symbols), "file string, name string, qualified string, kind string, start_line int")
+    return requests.compiled(spark.createDataFrame([(1, body)], "req long, body string"), names, spark.createDataFrame(list(spans), "file string, start int, end int"))
+
+
 def test_edits(spark):
     text = "alpha\nbeta\ngamma\ndelta"
     lines = X.lines(spark.createDataFrame([("f", text)], "path string, text string"))
-    plan = edits.compile_edits(
-        [{"action": "replace", "lines": [2, 3], "with": "B\nC"}, {"action": "insert", "after": "$", "with": ["end"]}, {"action": "insert", "before": "^", "with": "top"}, {"action": "delete", "symbol": "d"}], [("d", "x.d", 4)], 4, lambda n: (n, n)
-    )
-    hunks = spark.createDataFrame([("f", h["seq"], h["action"], h["start"], h["end"], h["body"]) for h in plan], "path string, seq int, action string, start int, end int, body array<string>")
+    steps = [{"replace": {"lines": [2, 3]}, "with": "B\nC"}, {"insert": {"after": "$"}, "body": "end"}, {"insert": {"before": "^"}, "body": "top"}, {"delete": {"symbol": "d"}}]
+    _, hunks, faults = compiled(spark, steps, [("f", "d", "x.d", "fn", 4)], [("f", 4, 4)])
+    assert faults.count() == 0
+    hunks = hunks.select("path", "seq", "action", "start", "end", "body")
     assert edits.joined(edits.apply_hunks(lines, hunks)).first().text == "top\nalpha\nB\nC\nend\n"
     seen = spark.createDataFrame([("f", 1, 3)], "path string, start int, end int")
     bad = spark.createDataFrame([("f", 0, "replace", 2, 9, ["x"]), ("f", 1, "cut", 3, 4, []), ("f", 2, "cut", 4, 4, [])], hunks.schema)
@@ -100,27 +107,14 @@ def test_edits(spark):
     assert edits.refused(lines, hunks).count() == 0
 
 
-@pytest.mark.parametrize("bad", [{"action": "x"}, {"action": "replace", "lines": [0, 1]}, {"action": "replace", "symbol": "no"}, {"action": "insert", "before": 99}, {"action": "replace", "lines": [3, 2]}])
-def test_refused_steps(bad):
-    with pytest.raises((ValueError, KeyError)):
-        edits.compile_edits([bad], [], 4, lambda n: (n, n))
-    with pytest.raises(ValueError, match="overlap"):
-        edits.compile_edits([{"action": "replace", "lines": [1, 2]}, {"action": "delete", "lines": [2, 3]}], [], 4)
-
-
-def test_merge():
-    base = "alpha\nbeta\ngamma\ndelta"
-    merged = edits.recover(base, base.replace("beta", "BETA"), base + "\nepsilon")
-    assert merged.text == "alpha\nBETA\ngamma\ndelta\nepsilon" and not merged.conflicts
-    assert edits.recover(base, base.replace("beta", "BETA"), base.replace("beta", "other")).conflicts
-    assert edits.recover(base, "x", base).text == "x"
-    assert "+four" in edits.unified_diff("one\ntwo", "one\ntwo\nfour")
-    rng = random.Random(5)
-    for _ in range(200):
-        b = [rng.choice("abcd") for _ in range(rng.randint(0, 8))]
-        o = [x for x in b if rng.random() > 0.3]
-        assert edits.merge3("\n".join(b), "\n".join(o), "\n".join(b)).text == "\n".join(o)
-        assert edits.merge3("\n".join(b), "\n".join(b), "\n".join(o)).text == "\n".join(o)
+@pytest.mark.parametrize(
+    "bad", [{"action": "x"}, {"replace": {"lines": [0, 1]}, "with": ""}, {"replace": {"symbol": "no"}, "with": ""}, {"insert": {"before": 0}, "body": ""}, {"replace": {"lines": [3, 2]}, "with": ""}, {"replace": {"lines": [1, 2]}}]
+)
+def test_refused_steps(spark, bad):
+    fine = {"replace": {"lines": [1, 1]}, "with": "x"}
+    sections, hunks, faults = compiled(spark, [fine, bad])
+    assert [(r["req"], r["section"], r["seq"]) for r in faults.collect()] == [(1, 0, 1)]
+    assert sections.count() == hunks.count() == 0
 
 
 def test_history(spark):

@@ -3,7 +3,7 @@
 import oracle
 import pytest
 
-from sparkloom import queries, queries_more  # noqa: F401
+from sparkloom import queries, queries_edits, queries_index, queries_more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
