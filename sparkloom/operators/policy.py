@@ -97,45 +97,56 @@ def stored(text: str | None) -> Policy | None:
 
 
 def rows(spark: SparkSession, policies: dict[str, Policy]) -> DataFrame:
-    """(policy, side, base, exact, subtree): a row for each place that a side takes something of; the root's base is '*'."""
-    out = []
-    for name, p in policies.items():
-        for side, taken in (("allow", p.allow), ("deny", p.deny)):
-            for place in sorted({place for _, place in taken}):
-                out.append((name, side, place or "*", place == "" or (AT, place) in taken, (BELOW, place) in taken))
-    return spark.createDataFrame(out, "policy string, side string, base string, exact boolean, subtree boolean")
+    """(policy, side, kind, place): what each side of a policy takes, a row a part of the tree."""
+    out = [(name, side, *part) for name, p in policies.items() for side, taken in (("allow", p.allow), ("deny", p.deny)) for part in sorted(taken)]
+    return spark.createDataFrame(out, "policy string, side string, kind string, place string")
 
 
-def matches(op: Column, base: Column, exact: Column, subtree: Column) -> Column:
-    below = op.startswith(F.concat(base, F.lit("."))) & (F.length(op) > F.length(base) + 1)
-    return (base == "*") | (exact & (op == base)) | (subtree & below)
+def _places_above(place: Column) -> Column:
+    """_above() of a column."""
+    steps = F.split(place, r"\.", -1)
+    inner = F.size(steps) - 1 - (F.element_at(steps, -1) == "").cast("int")
+    return F.concat(F.array(F.lit("")), F.when(inner > 0, F.transform(F.sequence(F.lit(1), inner), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "."))).otherwise(F.array().cast("array<string>")))
 
 
-def verdicts(ops: DataFrame, policies: DataFrame) -> DataFrame:
-    """(policy, op, permitted) for every op under every policy. Policies are configuration and stay small (joined by broadcast)."""
-    hit = ops.select("op").distinct().join(F.broadcast(policies), F.lit(True)).withColumn("hit", matches(F.col("op"), F.col("base"), F.col("exact"), F.col("subtree")))
-    out = hit.groupBy("policy", "op").agg(F.max((F.col("side") == "deny") & F.col("hit")).alias("denied"), F.max((F.col("side") == "allow") & F.col("hit")).alias("allowed"))
-    return out.select("policy", "op", (~F.col("denied") & F.col("allowed")).alias("permitted"))
+def _holders(parts: DataFrame) -> DataFrame:
+    """parts(kind, place, ...) with in_kind and in_place: a row for each part of the tree that holds all of it, itself first."""
+    root = (F.col("kind") == BELOW) & (F.col("place") == "")
+    above = F.when(root, F.array().cast("array<string>")).otherwise(_places_above(F.col("place")))
+    both = F.concat(F.array(F.struct(F.col("kind").alias("k"), F.col("place").alias("p"))), F.transform(above, lambda x: F.struct(F.lit(BELOW).alias("k"), x.alias("p"))))
+    return parts.select("*", F.explode(F.array_distinct(both)).alias("_in")).select("*", F.col("_in.k").alias("in_kind"), F.col("_in.p").alias("in_place")).drop("_in")
 
 
-def contains(outer: str, inner: str) -> Column:
-    """Pattern containment over columns named with these prefixes."""
-    ob, oe, os_, ib, ie, is_ = (F.col(f"{p}_{c}") for p in (outer, inner) for c in ("base", "exact", "subtree"))
-    below = os_ & ((ib == ob) | ib.startswith(F.concat(ob, F.lit("."))))
-    return (ob == "*") | ((ib != "*") & (~ie | matches(ib, ob, oe, os_)) & (~is_ | below))
+def verdicts(ops: DataFrame, policies: DataFrame) -> DataFrame:
+    """(policy, op, permitted) for every op under every policy: an op meets what holds it by an equi-join on the parts of the tree."""
+    asked = ops.select("op").distinct()
+    held = _holders(asked.select("op", F.lit(AT).alias("kind"), F.col("op").alias("place"))).select("op", F.col("in_kind").alias("kind"), F.col("in_place").alias("place"))
+    hits = held.join(policies, ["kind", "place"]).groupBy("policy", "op").agg(F.bool_or(F.col("side") == "deny").alias("denied"), F.bool_or(F.col("side") == "allow").alias("allowed"))
+    every = asked.crossJoin(policies.select("policy").distinct())  # the result has a row for each of these
+    return every.join(hits, ["policy", "op"], "left").select("policy", "op", F.coalesce(F.col("allowed") & ~F.col("denied"), F.lit(False)).alias("permitted"))
 
 
 def narrowing(policies: DataFrame) -> DataFrame:
-    """(current, next, narrows) for every pair of policies, as NOT EXISTS over their patterns (configuration, broadcast)."""
-    def side(which: str, prefix: str, name: str) -> DataFrame:
-        return policies.filter(F.col("side") == which).select(F.col("policy").alias(name), *[F.col(c).alias(f"{prefix}_{c}") for c in ("base", "exact", "subtree")])
+    """(current, next, narrows) for every pair of policies: what next allows, current does, and what current denies, next does.
+
+    A policy that takes a part of the tree is held by those that take a part around it; the parts of a policy that
+    another one holds are counted, and all of them must be.
+    """
+    def held(side: str, inner: str, outer: str) -> DataFrame:
+        """(inner, outer, n): how many parts of a policy's side lie in what the other one's takes."""
+        parts = policies.filter(F.col("side") == side).select("policy", "kind", "place").distinct()
+        around = _holders(parts.withColumnRenamed("policy", inner)).join(parts.select(F.col("policy").alias(outer), F.col("kind").alias("in_kind"), F.col("place").alias("in_place")), ["in_kind", "in_place"])
+        return around.select(inner, outer, "kind", "place").distinct().groupBy(inner, outer).agg(F.count(F.lit(1)).alias(f"{side}_held"))
+
+    def counted(side: str, name: str) -> DataFrame:
+        return policies.filter(F.col("side") == side).select("policy", "kind", "place").distinct().groupBy(F.col("policy").alias(name)).agg(F.count(F.lit(1)).alias(f"{side}_parts"))
 
     names = policies.select("policy").distinct()
-    pairs = names.select(F.col("policy").alias("current")).join(F.broadcast(names.select(F.col("policy").alias("next"))), F.lit(True))
-    allows = pairs.join(side("allow", "n", "next"), "next").join(F.broadcast(side("allow", "c", "c2")), (F.col("current") == F.col("c2")) & contains("c", "n"), "left_anti")
-    denies = pairs.join(side("deny", "c", "current"), "current").join(F.broadcast(side("deny", "n", "n2")), (F.col("next") == F.col("n2")) & contains("n", "c"), "left_anti")
-    bad = allows.select("current", "next").union(denies.select("current", "next")).distinct().withColumn("bad", F.lit(True))
-    return pairs.join(bad, ["current", "next"], "left").select("current", "next", F.col("bad").isNull().alias("narrows"))
+    pairs = names.select(F.col("policy").alias("current")).crossJoin(names.select(F.col("policy").alias("next")))  # the result has a row for each of these
+    rows = pairs.join(counted("allow", "next"), "next", "left").join(counted("deny", "current"), "current", "left")
+    rows = rows.join(held("allow", "next", "current"), ["current", "next"], "left").join(held("deny", "current", "next"), ["current", "next"], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return rows.select("current", "next", ((zero("allow_parts") == zero("allow_held")) & (zero("deny_parts") == zero("deny_held"))).alias("narrows"))
 
 
 def enforced(requests: DataFrame, policies: dict[str, Policy], by: str, order: list[Column], block: int = 512) -> DataFrame:

@@ -703,28 +703,52 @@ POLICIES = {
     "c": policy.Policy.of([], ["mutate"]),
     "d": policy.Policy.of(["mutate.edit", "verify."], []),
 }
-POLICY_SQL = """p as (select * from (values ('a', 'allow', 'context', false, true), ('a', 'allow', 'state.status', true, false), ('a', 'deny', 'context.log', true, true), ('b', 'allow', 'context.read', true, false),
-        ('b', 'deny', 'context.log', true, true), ('b', 'deny', 'mutate', true, true), ('c', 'allow', '*', true, true), ('c', 'deny', 'mutate', true, true), ('d', 'allow', 'mutate.edit', true, false), ('d', 'allow', 'verify', false, true)) t(policy, side, base, exact, subtree))"""
+PARTS = [("a", "allow", "below", "context"), ("a", "allow", "at", "state.status"), ("a", "deny", "at", "context.log"), ("a", "deny", "below", "context.log"), ("b", "allow", "at", "context.read")]
+PARTS += [("b", "deny", k, x) for k in ("at", "below") for x in ("context.log", "mutate")] + [("c", "allow", "below", "")] + [("c", "deny", k, "mutate") for k in ("at", "below")]
+PARTS += [("d", "allow", "at", "mutate.edit"), ("d", "allow", "below", "verify")]
+POLICY_SQL = f"p as (select * from (values {', '.join(map(str, PARTS))}) t(policy, side, kind, place))"
 
 
-def _match(op: str, p: str) -> str:
-    return f"({p}.base = '*' or ({p}.exact and {op} = {p}.base) or ({p}.subtree and starts_with({op}, {p}.base || '.') and length({op}) > length({p}.base) + 1))"
+def held_sql(place: str, kind: str, taken: str) -> str:
+    """Whether a part of the tree lies in a row of parts: it is that, or the row takes all below a place above it."""
+    pieces = f"string_split({place}, '.')"
+    above = f"list_contains(list_prepend('', list_transform(range(1, len({pieces}) - case when {pieces}[-1] = '' then 1 else 0 end), lambda i: array_to_string({pieces}[:i], '.'))), {taken}.place)"
+    return f"(({taken}.kind = {kind} and {taken}.place = {place}) or ({taken}.kind = 'below' and not ({kind} = 'below' and {place} = '') and {above}))"
 
 
-@query(f"""with {POLICY_SQL}, o as (select distinct {OPS} as op from events) select policy, op, not bool_or(side = 'deny' and {_match('op', 'p')}) and bool_or(side = 'allow' and {_match('op', 'p')}) as permitted from o, p group by 1, 2""")
+@query(f"""with {POLICY_SQL}, o as (select distinct {OPS} as op from events) select policy, op, not bool_or(side = 'deny' and {held_sql('op', "'at'", 'p')}) and bool_or(side = 'allow' and {held_sql('op', "'at'", 'p')}) as permitted from o, p group by 1, 2""")
 def policy_eval(spark, sf_dir):
     return policy.verdicts(table(spark, sf_dir, "events").select(F.expr(OPS).alias("op")), policy.rows(spark, POLICIES))
 
 
-def _contains(o: str, i: str) -> str:
-    return f"({o}.base = '*' or ({i}.base <> '*' and (not {i}.exact or {_match(i + '.base', o)}) and (not {i}.subtree or ({o}.subtree and ({i}.base = {o}.base or starts_with({i}.base, {o}.base || '.'))))))"
+def narrows_sql(current: str, following: str) -> str:
+    """Whether a policy narrows another, over the parts p(policy, side, kind, place)."""
+    inside = lambda side, inner, outer: f"not exists (select 1 from p x where x.policy = {inner} and x.side = '{side}' and not exists (select 1 from p y where y.policy = {outer} and y.side = '{side}' and {held_sql('x.place', 'x.kind', 'y')}))"
+    return f"{inside('allow', following, current)} and {inside('deny', current, following)}"
 
 
-@query(f"""with {POLICY_SQL}, n as (select distinct policy from p) select a.policy as current, b.policy as next,
-    not exists (select 1 from p x where x.policy = b.policy and x.side = 'allow' and not exists (select 1 from p y where y.policy = a.policy and y.side = 'allow' and {_contains('y', 'x')}))
-    and not exists (select 1 from p x where x.policy = a.policy and x.side = 'deny' and not exists (select 1 from p y where y.policy = b.policy and y.side = 'deny' and {_contains('y', 'x')})) as narrows from n a, n b""")
+# A policy for each nation: what it may do, and what it must not.
+NATION_PARTS = """raw as (select distinct n_name as policy, unnest(case n_nationkey % 4 when 0 then [{s: 'allow', k: 'below', p: ''}] when 1 then [{s: 'allow', k: 'below', p: 'context'}] when 2 then [{s: 'allow', k: 'at', p: 'context.read'}, {s: 'allow', k: 'at', p: 'mutate.edit'}]
+        else [{s: 'allow', k: 'below', p: 'context'}, {s: 'allow', k: 'below', p: 'mutate'}, {s: 'allow', k: 'at', p: 'state'}] end
+        || case n_regionkey when 0 then [{s: 'deny', k: 'at', p: 'context.log'}] when 1 then [{s: 'deny', k: 'at', p: 'mutate'}, {s: 'deny', k: 'below', p: 'mutate'}] when 2 then [{s: 'deny', k: 'below', p: 'context'}] else [] end) as x from nation),
+    p as (select policy, x.s as side, x.k as kind, x.p as place from raw)"""
+
+
+@query(f"""with {NATION_PARTS}, n as (select distinct policy from p)
+    select a.policy as current, b.policy as next, {narrows_sql('a.policy', 'b.policy')} as narrows from n a, n b""")
 def policy_narrow(spark, sf_dir):
-    return policy.narrowing(policy.rows(spark, POLICIES))
+    n = table(spark, sf_dir, "nation")
+    part = lambda side, kind, place: F.struct(F.lit(side).alias("side"), F.lit(kind).alias("kind"), F.lit(place).alias("place"))
+    allow = (
+        F.when(F.col("n_nationkey") % 4 == 0, F.array(part("allow", "below", ""))).when(F.col("n_nationkey") % 4 == 1, F.array(part("allow", "below", "context")))
+        .when(F.col("n_nationkey") % 4 == 2, F.array(part("allow", "at", "context.read"), part("allow", "at", "mutate.edit")))
+        .otherwise(F.array(part("allow", "below", "context"), part("allow", "below", "mutate"), part("allow", "at", "state")))
+    )
+    deny = (
+        F.when(F.col("n_regionkey") == 0, F.array(part("deny", "at", "context.log"))).when(F.col("n_regionkey") == 1, F.array(part("deny", "at", "mutate"), part("deny", "below", "mutate")))
+        .when(F.col("n_regionkey") == 2, F.array(part("deny", "below", "context"))).otherwise(F.array().cast("array<struct<side:string,kind:string,place:string>>"))
+    )
+    return policy.narrowing(n.select(F.col("n_name").alias("policy"), F.explode(F.concat(allow, deny)).alias("x")).select("policy", "x.*"))
 
 
 # Paths and distances

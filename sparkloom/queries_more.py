@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from . import sample_sources as S
 from .functions import extract
 from .functions import text as X
-from .operators import catalog, edits, explore, frames, graph, history, intervals, policy, precise, render, resolve, search, sessions, vectors
+from .operators import catalog, diffs, edits, explore, frames, graph, history, intervals, policy, precise, render, resolve, search, sessions, vectors
 from .plans import indexing, steps
-from .queries import ALL_EDGES, EDGES, FOLD, GRAPH, LINES, OPS, POLICIES, POLICY_SQL, TAG, UNIT, _contains, call_tables, doc_lines, graph_edges, query, table, user_edges, vector_index
+from .queries import ALL_EDGES, EDGES, FOLD, GRAPH, LINES, OPS, POLICIES, POLICY_SQL, TAG, UNIT, call_tables, doc_lines, graph_edges, narrows_sql, query, table, user_edges, vector_index
 from .sources import notes, shared, tree
 from .streaming import changes
 
@@ -595,11 +595,11 @@ def precise_callers(spark, sf_dir):
     return graph.precise_callers(refs, spans).select("def_file", "ref_line", "enclosing_id")
 
 
-@query("""with p as (select unnest(['readonly', 'review', 'edit', 'observe', 'full']) as profile), o as (select unnest(['context.read', 'mutate.edit', 'verify.check', 'session.request', 'state.status', 'macro.run']) as op)
-    select profile, op, case profile when 'full' then true when 'observe' then op in ('context.read', 'state.status', 'session.request') when 'readonly' then op in ('context.read', 'state.status')
-        when 'review' then op in ('context.read', 'state.status', 'verify.check') else op in ('context.read', 'state.status', 'verify.check', 'mutate.edit') end as permitted from p, o""")
+@query(f"""with p as (select unnest(['readonly', 'review', 'edit', 'observe', 'full']) as profile), o as (select distinct {OPS} as op from events)
+    select profile, op, case profile when 'full' then true when 'observe' then op in ('context.read', 'context.prompt', 'session.request') when 'readonly' then op in ('context.read', 'context.prompt')
+        when 'review' then op in ('context.read', 'context.prompt', 'verify.build') else op in ('context.read', 'context.prompt', 'verify.build', 'mutate.edit') end as permitted from p, o""")
 def profiles(spark, sf_dir):
-    ops = spark.createDataFrame([(o,) for o in ("context.read", "mutate.edit", "verify.check", "session.request", "state.status", "macro.run")], "op string")
+    ops = table(spark, sf_dir, "events").select(F.expr(OPS).alias("op"))
     return policy.verdicts(ops, policy.rows(spark, policy.PROFILES)).withColumnRenamed("policy", "profile")
 
 
@@ -693,7 +693,7 @@ def merges(spark, sf_dir):
     k = F.col("doc_id") % 3
     ours = lines(F.when(k == 1, "same").otherwise("ours"), F.concat(F.lit("d"), d))
     theirs = F.when(k == 0, lines(F.lit("theirs"), F.concat(F.lit("d"), d))).when(k == 1, lines(F.lit("same"), F.concat(F.lit("d"), d))).otherwise(lines(F.concat(F.lit("b"), d), F.lit("theirs")))
-    return edits.merged(table(spark, sf_dir, "documents").select("doc_id", was.alias("base"), ours.alias("ours"), theirs.alias("theirs"))).select("doc_id", "text", "conflicts")
+    return diffs.merged(table(spark, sf_dir, "documents").select("doc_id", was.alias("base"), ours.alias("ours"), theirs.alias("theirs")), "doc_id").select("doc_id", "text", "conflicts")
 
 
 @query("select 'src/m' || p_partkey || '.py' as path, p_partkey % 3 = 1 as refused, case when p_partkey % 3 = 1 then 9 end as line from part")
@@ -717,8 +717,10 @@ def block_spans(spark, sf_dir):
 def fingerprints(spark, sf_dir):
     f = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").cast("string").alias("path"), X.tag(F.col("text")).alias("tag"))
     cases = {"as it is": f, "shuffled": f.repartition(7, "tag"), "changed": f.withColumn("tag", F.when(F.col("path") == "1", "0").otherwise(F.col("tag"))), "fewer": f.filter("path <> '1'")}
-    got = {k: history.fingerprint(v).first()["fingerprint"] for k, v in cases.items()}
-    return spark.createDataFrame([(k, got[k] == got["as it is"]) for k in ("shuffled", "changed", "fewer")], "kind string, same boolean")
+    one = lambda kind: history.fingerprint(cases[kind]).select(F.lit(kind).alias("kind"), "fingerprint")
+    was = history.fingerprint(cases["as it is"]).select(F.col("fingerprint").alias("was"))  # one row
+    every = one("shuffled").unionByName(one("changed")).unionByName(one("fewer"))
+    return every.join(F.broadcast(was), F.lit(True)).select("kind", (F.col("fingerprint") == F.col("was")).alias("same"))
 
 
 UPWARD = f"""{EDGES}, hops as (select distinct src, dst from edges where kind = 'call' and confidence = 'name' and cast(substr(src, 2) as int) < cast(substr(dst, 2) as int)),
@@ -797,9 +799,7 @@ def references_cache(spark, sf_dir):
     return count("fresh", now).unionByName(count("changed", later))
 
 
-@query(f"""with recursive {POLICY_SQL}, n as (select distinct policy from p), narrows as (select a.policy as a, b.policy as b,
-    not exists (select 1 from p x where x.policy = b.policy and x.side = 'allow' and not exists (select 1 from p y where y.policy = a.policy and y.side = 'allow' and {_contains("y", "x")}))
-    and not exists (select 1 from p x where x.policy = a.policy and x.side = 'deny' and not exists (select 1 from p y where y.policy = b.policy and y.side = 'deny' and {_contains("y", "x")})) as ok from n a, n b),
+@query(f"""with recursive {POLICY_SQL}, n as (select distinct policy from p), narrows as (select a.policy as a, b.policy as b, {narrows_sql("a.policy", "b.policy")} as ok from n a, n b),
     e as (select user_id, case event_type when 'click' then 'a' when 'view' then 'b' when 'purchase' then 'c' when 'error' then 'd' end as r, event_id from events),
     s as (select user_id, r, row_number() over (partition by user_id order by event_id) as rn from e where r is not null),
     f as (select user_id, 1 as rn, r as active from s where rn = 1 union all select f.user_id, s.rn, case when ok then s.r else f.active end from f join s on s.user_id = f.user_id and s.rn = f.rn + 1 join narrows on a = f.active and b = s.r)
