@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import resolve
+from .operators import paths, resolve
 from .plans import refresh
 from .queries import ALL_EDGES, call_tables, query, table
 from .sources import shared
@@ -64,3 +64,43 @@ def refresh_delta(spark, sf_dir) -> DataFrame:
     got = refreshed(spark, sf_dir)
     one = lambda df, change: df.select(F.lit(change).alias("change"), *resolve.EDGE, "file")
     return one(got.removed, "removed").unionByName(one(got.added, "added"))
+
+
+# Every part is a module with a class, whose base is the class of the next part unless its number ends a run of five; makers' modules
+# have the classes of their brands' modules, which name those of their parts. Suppliers use methods of the parts they deliver.
+
+
+def name_facts(spark, sf_dir) -> paths.Facts:
+    text = lambda c: F.col(c).cast("string")
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("m"), text("p_partkey")).alias("m"), F.lower(F.regexp_replace("p_brand", "#", "")).alias("brand"))
+    p = p.withColumn("maker", F.concat(F.lit("maker"), F.substr("brand", F.lit(6), F.lit(1)))).withColumn("file", F.concat(F.lit("pkg/"), "m", F.lit(".py")))
+    brands = p.select("brand", "maker").distinct()
+    makers = p.select("maker").distinct()
+    s = li.select(F.concat(F.lit("app/s"), text("l_suppkey"), F.lit(".py")).alias("file")).distinct()
+    file = lambda folder, c: F.concat(F.lit(folder + "/"), c, F.lit(".py")).alias("file")
+    none = F.lit(None).cast("string")
+    modules = p.select("file", F.array(F.lit("pkg"), "m").alias("name")).unionByName(brands.select(file("lib", F.col("brand")), F.array(F.lit("lib"), "brand").alias("name"))).unionByName(makers.select(file("api", F.col("maker")), F.array(F.lit("api"), "maker").alias("name")))
+    scopes = p.select("file", F.lit("C").alias("scope"), F.lit("").alias("parent")).unionByName(s.select("file", F.lit("main").alias("scope"), F.lit("").alias("parent")))
+    of = lambda rows, scope, name, line, inner: rows.select("file", F.lit(scope).alias("scope"), F.lit(name).alias("name"), F.lit(line).alias("line"), inner.alias("inner"))
+    defs = of(p, "", "C", 1, F.lit("C")).unionByName(of(p.filter("p_partkey % 2 = 0"), "C", "run", 2, none)).unionByName(of(p.filter("p_partkey % 3 = 0"), "C", "stop", 3, none))
+    alias = lambda rows, name, target, absolute=True: rows.select("file", F.lit("").alias("scope"), name.alias("name"), target.alias("target"), F.lit(absolute).alias("absolute"))
+    after = F.concat(F.lit("m"), (F.col("p_partkey") + 1).cast("string"))
+    aliases = alias(p, F.lit("Base"), F.array(F.lit("pkg"), after, F.lit("C")))
+    aliases = aliases.unionByName(alias(p.select(file("lib", F.col("brand")), "m"), F.upper("m"), F.array(F.lit("pkg"), "m", F.lit("C"))))
+    aliases = aliases.unionByName(alias(s.crossJoin(F.broadcast(makers)), F.col("maker"), F.array(F.lit("api"), "maker")))  # a few makers
+    aliases = aliases.unionByName(alias(s, F.lit("loop"), F.array(F.lit("loop"), F.lit("on")), False))
+    stars = brands.select(file("api", F.col("maker")), F.lit("").alias("scope"), F.array(F.lit("lib"), "brand").alias("target"))
+    bases = p.filter("p_partkey % 5 <> 0").select("file", F.lit("C").alias("scope"), F.array(F.lit("Base")).alias("target"))
+    used = li.join(p.select(F.col("p_partkey").alias("l_partkey"), "maker", F.upper("m").alias("c")), "l_partkey")
+    use = lambda name: used.select(F.concat(F.lit("app/s"), text("l_suppkey"), F.lit(".py")).alias("file"), F.lit("main").alias("scope"), F.col("l_partkey").cast("int").alias("line"), F.array("maker", "c", F.lit(name)).alias("name"))
+    uses = use("run").unionByName(use("stop")).unionByName(s.select("file", F.lit("main").alias("scope"), F.lit(0).alias("line"), F.array(F.lit("loop")).alias("name")))
+    return paths.Facts(*[shared.written(df, "facts") for df in (modules, scopes, defs, aliases, stars, bases, uses)])
+
+
+@query("""with u as (select distinct l_suppkey as s, l_partkey as p, unnest(['run', 'stop']) as m from lineitem),
+    up as (select p_partkey as p, unnest(range(0, case when p_partkey % 5 = 0 then 1 else 6 - p_partkey % 5 end)) as i from part), q as (select p, p + i as q from up where p + i <= (select max(p_partkey) from part)),
+    d as (select p, 'run' as m, min(q) as q from q where q % 2 = 0 group by 1 union all select p, 'stop', min(q) from q where q % 3 = 0 group by 1)
+    select 'app/s' || s || '.py' as ref_file, cast(p as int) as ref_line, m as name, 'pkg/m' || q || '.py' as def_file, case m when 'run' then 2 else 3 end as def_line from u join d using (p, m)""")
+def member_references(spark, sf_dir):
+    return paths.resolved(name_facts(spark, sf_dir)).withColumn("name", F.element_at("name", -1))
