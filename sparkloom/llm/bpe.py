@@ -13,7 +13,7 @@ import functools
 import hashlib
 import re
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +88,9 @@ class Encoder:
         self.tokens = [b""] * self.size
         for token, rank in ranks.items():
             self.tokens[rank] = token
+        self.table = np.frombuffer(b"".join(self.tokens), np.uint8)
+        self.lengths = np.array(list(map(len, self.tokens)), np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.pairs: dict[int, int] = {}
         for token, rank in ranks.items():
@@ -225,67 +228,102 @@ class Encoder:
             self._push_all(np.concatenate([p[r], b[l][k]]), np.concatenate([right[r], left[k]]))
         return token
 
-    def _fill(self, units: Iterable[str], found: dict[str, bytes]) -> None:
-        """found[unit] = ids of unit as little-endian unsigned 32-bit integers."""
-        cut = {u: self.find(u) for u in units}
-        new = {p for ps in cut.values() for p in ps if p not in self.pieces}
+    def _pieces(self, units: list[str], spaced: bool) -> tuple[list[str], list[int]]:
+        """The pre-tokens of all units, and the len + 1 places where each unit's begin. Units that begin with a space before
+        something else are matched as one text, as no match crosses into such a space."""
+        if spaced:
+            pieces = self.find("".join(units))
+            ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+            cuts = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
+            at = np.searchsorted(ends, cuts) + 1
+            if not len(at) or at[-1] == len(pieces) and (ends[at - 1] == cuts).all():
+                return pieces, [0, *at.tolist()]
+        each = [self.find(u) for u in units]
+        return [p for ps in each for p in ps], np.cumsum([0, *map(len, each)]).tolist()
+
+    def _ids(self, pieces: list[str]) -> None:
+        """self.pieces gets the ids of every one of these pre-tokens as little-endian unsigned 32-bit integers."""
+        known, ranks = self.pieces, self.ranks
         block: list[str] = []
         room = 0
-        fresh: dict[str, bytes] = {}
 
         def flush() -> None:
             for p, ids in zip(block, self.merge([p.encode() for p in block]), strict=True):
-                fresh[p] = pack(ids)
+                known[p] = struct.pack(f"<{len(ids)}I", *ids)
             block.clear()
 
-        def pack(ids: list[int]) -> bytes:
-            return struct.pack(f"<{len(ids)}I", *ids)
-
-        for p in new:
-            rank = self.ranks.get(p.encode())
+        for p in set(pieces) - known.keys():
+            rank = ranks.get(p.encode())
             if rank is not None:
-                fresh[p] = rank.to_bytes(4, "little")
+                known[p] = rank.to_bytes(4, "little")
                 continue
             block.append(p)
             room += len(p)
-            if room >= 1 << 21:
+            if room >= 1 << 22:
                 flush()
                 room = 0
         if block:
             flush()
-        known = self.pieces
-        for u, ps in cut.items():
-            found[u] = b"".join([fresh[p] if p in fresh else known[p] for p in ps])
-        if len(known) + len(fresh) > self.cache:
-            known.clear()
-        known.update((p, ids) for p, ids in fresh.items() if len(p) <= 64)
+
+    def _fill(self, units: list[str], spaced: bool) -> list[bytes]:
+        """The ids of every unit; spaced: all begin with a space before something else."""
+        pieces, at = self._pieces(units, spaced)
+        if len(self.pieces) > self.cache:
+            self.pieces.clear()
+        self._ids(pieces)
+        ids = list(map(self.pieces.__getitem__, pieces))
+        out = [ids[a] if b - a == 1 else b"".join(ids[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        for p in pieces:
+            if len(p) > 64:
+                self.pieces.pop(p, None)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of every text as little-endian unsigned 32-bit integers."""
         parts = [_CUT.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
-        heads = {p[0] for p in parts}
         seen: set[str] = set()
         for p in parts:
             seen.update(p[1:])
         if len(self.units) > self.cache:
             self.units.clear()
         units = self.units
-        found: dict[str, bytes] = {}
-        self._fill([" " + u for u in seen if u not in units], found)
-        units.update((u[1:], ids) for u, ids in found.items())
-        first: dict[str, bytes] = {}
-        self._fill(heads, first)
+        new = [u for u in seen if u not in units]
+        units.update(zip(new, self._fill([" " + u for u in new], True), strict=True))
+        heads = [p[0] for p in parts]
+        first = dict(zip(set(heads), self._fill(list(set(heads)), False), strict=True))
         get = units.__getitem__
         out = [first[p[0]] + b"".join(map(get, p[1:])) for p in parts]
-        for u in found:
+        for u in new:
             if len(u) > 64:
-                del units[u[1:]]
+                del units[u]
         return out
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes of ids given as little-endian unsigned 32-bit integers."""
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
+    def decode_all(self, rows: list[bytes], limit: int = 1 << 20) -> Iterator[bytes]:
+        """decode() of each of these; some are gathered at once from one table of all tokens' bytes."""
+        a = 0
+        while a < len(rows):
+            b, size = a, 0
+            while b < len(rows) and (size == 0 or size + len(rows[b]) <= limit):
+                size += len(rows[b])
+                b += 1
+            if size > limit:  # one very long row
+                yield self.decode(rows[a])
+                a = b
+                continue
+            ids = np.frombuffer(b"".join(rows[a:b]), "<u4")
+            n = self.lengths[ids]
+            ends = np.cumsum(n)
+            at = np.repeat(self.starts[ids] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+            data = self.table[at].tobytes()
+            stops = np.append(0, ends)[np.cumsum([len(r) // 4 for r in rows[a:b]])].tolist()
+            for x, y in zip([0, *stops[:-1]], stops, strict=True):
+                yield data[x:y]
+            a = b
+
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
@@ -295,7 +333,7 @@ def encoder(path: str, pattern: str) -> Encoder:
 
 def encoded(batch: pa.RecordBatch, text: str, path: str, pattern: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of a batch with the ids of their texts (null: empty)."""
-    for part in W.batches(batch, text, 1 << 22):
+    for part in W.batches(batch, text, 1 << 24):
         yield part, encoder(path, pattern).encode([t or "" for t in part.column(text).to_pylist()])
 
 
@@ -344,11 +382,11 @@ def bpe_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part, got in encoded(batch, "text", path, pattern):
-            decode = encoder(path, pattern).decode
+            decoded = encoder(path, pattern).decode_all(got)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"), pa.array([len(x) // 4 for x in got], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in got]), pa.array([hashlib.sha256(decode(x)).hexdigest() for x in got]),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in got]), pa.array([hashlib.sha256(x).hexdigest() for x in decoded]),
                 ],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )

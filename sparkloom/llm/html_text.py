@@ -32,19 +32,26 @@ _BLOCK = frozenset(
     " head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _CONTAINERS = frozenset("article body div main section td blockquote center".split())
-_BOILER_TAGS = frozenset("aside button dialog footer form head header label menu nav".split())
+_BOILER_TAGS = frozenset("aside button dialog footer head header label menu nav".split())
+#: Raw elements whose content is never text, however they end.
+_CODE = frozenset(("script", "style"))
 #: What one start tag ends: itself left open, up to the element that bounds it.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"})}
 #: Words in classes, ids and roles that mark what is no article.
 _BOILER_WORDS = frozenset(
     "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright"
     " discussion disqus footer form gdpr header legal login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo"
-    " promotion related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
+    " promotion related replies reply responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget"
+    # The commonest of these in German, French, Spanish and Italian pages.
+    " anzeige anzeigen fusszeile kommentar kommentare kopfzeile seitenleiste suche werbung commentaire commentaires publicite recherche anuncio anuncios buscar"
+    " comentario comentarios pie publicidad commenti commento pubblicita".split()
 )
+#: Those that mark what readers write. Such an element is no article, however long it is.
+_READER_WORDS = frozenset("comentario comentarios comment commentaire commentaires commenti commento comments discussion disqus kommentar kommentare replies reply responses".split())
 #: Words that may stand beside those in a token that marks; any other, as in has-sidebar or social-science, makes it none.
 _LAYOUT_WORDS = frozenset(
     "area articles bar block body bottom box btn button buttons col column container content count global group icon icons inner item items left link links list main media"
-    " mobile module outer page panel post posts primary region respond right row secondary section site slot stories sub text thread title tools top unit wrap wrapper zone".split()
+    " mobile module outer page panel post posts primary region respond right row secondary section site slot stories sub text reader readers thread title tools top unit user users visitor visitors wrap wrapper zone".split()
 )
 _RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW.split("|")}
 _TAG = re.compile(r"<(?:!--|(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*)?)>|(?P<odd>[a-zA-Z/!?][^>]*(?:>|\Z)))", re.S)
@@ -70,19 +77,20 @@ class Page:
         return ">".join(reversed(out))
 
 
-def _label(tag: str, attrs: str) -> tuple[str, bool]:
-    """The generalised tag-class label, and whether the attributes mark boilerplate."""
+def _label(tag: str, attrs: str) -> tuple[str, bool, bool]:
+    """The generalised tag-class label, whether the attributes mark boilerplate, and whether they mark what readers write."""
     if not attrs:
-        return tag, False
-    label, marked = [tag], False
+        return tag, False, False
+    label, marked, readers = [tag], False, False
     for name, a, b, c in _ATTR.findall(attrs):
         value = a or b or c
         for token in value.split():
             parts = {p.lower() for p in _PART.findall(token)}
-            marked = marked or bool(parts & _BOILER_WORDS) and all(len(p) == 1 or p in _BOILER_WORDS or p in _LAYOUT_WORDS for p in parts)
+            if parts & _BOILER_WORDS and all(len(p) == 1 or p in _BOILER_WORDS or p in _LAYOUT_WORDS for p in parts):
+                marked, readers = True, readers or bool(parts & _READER_WORDS)
             if name.lower() == "class":
                 label.append(re.sub(r"\d+", "#", token.lower()).replace(">", "_"))
-    return ".".join([label[0], *sorted(set(label[1:]))]), marked
+    return ".".join([label[0], *sorted(set(label[1:]))]), marked, readers
 
 
 class _Open:
@@ -125,6 +133,8 @@ def parse(text: str) -> Page:
     chunks: list[str] = []
     by_tag: list[bool] = []
     by_class: list[bool] = []
+    by_readers: list[bool] = []
+    endless: set[str] = set()  # raw elements that nothing ends from here on
     linked = 0
 
     def flush() -> None:
@@ -163,9 +173,16 @@ def parse(text: str) -> Page:
                 opened.close(opened.last(tag))
             continue
         if tag in _RAW_END:
-            end = _RAW_END[tag].search(text, at)
-            at = n if end is None else end.end()
             chunks.append(" ")
+            if tag in ("svg", "math") and m["attrs"].endswith("/"):
+                continue
+            end = None if tag in endless else _RAW_END[tag].search(text, at)
+            if end is not None:
+                at = end.end()
+            elif tag in _CODE:
+                at = n
+            else:  # without an end tag it ends where it starts, or the rest of the page would go
+                endless.add(tag)
             continue
         if tag in _VOID:
             if tag == "hr":
@@ -184,17 +201,19 @@ def parse(text: str) -> Page:
                     opened.close(inner)
             if tag == "body":
                 opened.close(1 if opened.stack and page.tags[opened.stack[0]] == "html" else 0)
-        label, marked = _label(tag, m["attrs"])
+        label, marked, readers = _label(tag, m["attrs"])
         # A heading group inside an article belongs to it.
-        inside = tag == "header" and opened.last("article") >= 0
+        inside = tag == "header" and max(opened.last("article"), opened.last("main")) >= 0
         page.tags.append(tag)
         page.labels.append(label)
         page.parents.append(opened.stack[-1] if opened.stack else -1)
         by_tag.append(tag in _BOILER_TAGS and not inside)
-        by_class.append(marked and tag not in ("html", "body", "article", "main"))
+        # A form may hold a whole page, so it is judged like a marked element.
+        by_class.append(tag == "form" or marked and tag not in ("html", "body", "article", "main"))
+        by_readers.append(readers and by_class[-1])
         opened.push(len(page.tags) - 1)
     flush()
-    page.boiler = _boilerplate(page, by_tag, by_class)
+    page.boiler = _boilerplate(page, by_tag, by_class, by_readers)
     return page
 
 
@@ -215,11 +234,11 @@ def _gathered(page: Page, own: list[int]) -> list[int]:
     return out
 
 
-def _boilerplate(page: Page, by_tag: list[bool], by_class: list[bool]) -> list[bool]:
+def _boilerplate(page: Page, by_tag: list[bool], by_class: list[bool], by_readers: list[bool]) -> list[bool]:
     """Elements in boilerplate. Marks by class are not those of wrappers around a main, or around the largest article if no
     article or main is outside them. After that a marked element is judged by its text too: while one holds more than ten
     times the unlinked text that would be left of the articles and mains around it (of the page, if it has neither), it and
-    what is around it are no boilerplate."""
+    what is around it are no boilerplate; but what readers write stays out at any length."""
     hard = _inherited(page, by_tag)
     if not any(by_class):
         return hard
@@ -260,7 +279,8 @@ def _boilerplate(page: Page, by_tag: list[bool], by_class: list[bool]) -> list[b
         elif kept[i]:
             outside += amount
     # What is around an element holds no less than it and comes first, so one lifted has no marked one around it.
-    for i in sorted((i for i in range(len(own)) if own[i] and not by_tag[i] and kept[i]), key=lambda i: (-plain[i], i)):
+    readers = _inherited(page, [r and o for r, o in zip(by_readers, own, strict=True)])
+    for i in sorted((i for i in range(len(own)) if own[i] and not by_tag[i] and kept[i] and not readers[i]), key=lambda i: (-plain[i], i)):
         if plain[i] <= 10 * outside:
             break
         own[i] = False

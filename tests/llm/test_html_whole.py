@@ -64,3 +64,51 @@ def test_deep_pages_take_time_in_proportion():
         began = time.process_time()
         html_text.extract(page, ["div>div"])
         assert time.process_time() - began < 8, page[:30]
+
+
+@pytest.mark.parametrize("raw", ['<svg class="i"/>', '<svg class="i" />', "<math/>", "<svg>", "<object data='x'>", "<select><option>one", "<title>", "<canvas>", "<video src=x>", "<textarea>"])
+def test_raw_elements_without_an_end(spark, raw):
+    page = f"<article><h1>T</h1>{raw}<p>lead</p>{BODY}</article>"
+    got = extracted(spark, page)[0].split("\n")
+    assert got[0] == "T" and got[-len(PARTS) - 1 :] == ["lead", *PARTS]
+
+
+def test_code_without_an_end_is_no_text(spark):
+    assert extracted(spark, f"<article><h1>T</h1><p>lead</p>{BODY}</article><script>var a = '<p>no</p>'") == [WHOLE]
+
+
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<main>{}</main>", '<div class="story">{}</div>', "{}"])
+def test_page_inside_a_form(spark, inner):
+    page = '<form id="aspnetForm"><input type="hidden">' + inner.format(f"<h1>T</h1><p>lead</p>{BODY}") + "</form>"
+    assert extracted(spark, page) == [WHOLE]
+
+
+def test_form_beside_the_article_stays_out(spark):
+    page = f'<article><h1>T</h1><p>lead</p>{BODY}<form action="/s"><p>Write to us, please</p><input></form></article><form><p>find</p></form>'
+    assert extracted(spark, page) == [WHOLE]
+
+
+@pytest.mark.parametrize("around", ["article", "main"])
+def test_heading_in_a_header(spark, around):
+    assert extracted(spark, f"<{around}><header><h1>T</h1><p>lead</p></header>{BODY}</{around}>") == [WHOLE]
+
+
+@pytest.mark.parametrize("mark", ["comments", "user-comments", "reader_comments", "responses", "kommentare", "commentaires", "comentarios", "disqus thread"])
+@pytest.mark.parametrize("place", ["inside", "beside"])
+def test_long_comments_stay_out(spark, mark, place):
+    said = f'<div class="{mark}">' + "".join(f"<p>I say, {i}, this and that, again and again</p>" for i in range(900)) + "</div>"
+    text = f"<h1>T</h1><p>lead</p>{BODY}"
+    page = f"<article>{text}{said}</article>" if place == "inside" else f'<div class="story">{text}</div>{said}'
+    assert extracted(spark, page) == [WHOLE]
+
+
+@pytest.mark.parametrize("mark", ["werbung", "anzeige", "publicite", "publicidad", "seitenleiste"])
+def test_marks_in_other_languages(spark, mark):
+    assert extracted(spark, f'<div class="story"><h1>T</h1><p>lead</p>{BODY}<div class="{mark}"><p>buy, now, here</p></div></div>') == [WHOLE]
+
+
+def test_many_unclosed_raw_elements_take_time_in_proportion():
+    for raw in ("<svg>", "<select>", "<title>"):
+        began = time.process_time()
+        html_text.extract("<body>" + raw * 200_000 + "<p>x, y</p>", [])
+        assert time.process_time() - began < 8

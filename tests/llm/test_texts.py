@@ -292,3 +292,16 @@ def test_pipeline(spark, odd_docs, some_labels, tmp_path):
     assert 4 not in ids and 5 not in ids and 8 not in ids and 3 not in ids
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.collect()} == set(ids)
+
+
+def test_decoding_of_many_rows():
+    import public_tokenizers
+
+    from sparkloom.llm import bpe
+
+    e = bpe.encoder(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    texts = ["", "a", " leading and  double  spaces ", "Übergröße 漢字 👩‍👩‍👧\n\n x", "word " * 3000, "", "z" * 9000, " a\n b\n\n c \t d"]
+    got = e.encode(texts)
+    for limit in (4, 64, 1 << 20):
+        assert [x.decode() for x in e.decode_all(got, limit)] == texts
+    assert list(e.decode_all([])) == [] and list(e.decode_all([b"", b""])) == [b"", b""]
