@@ -307,7 +307,7 @@ class Encoder:
         a = 0
         while a < len(rows):
             b, size = a, 0
-            while b < len(rows) and (size == 0 or size + len(rows[b]) <= limit):
+            while b < len(rows) and (b == a or size + len(rows[b]) <= limit):
                 size += len(rows[b])
                 b += 1
             if size > limit:  # one very long row
