@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..sources import shared
 from . import stabbing
 
 #: Fixed value: how far a blast radius reaches.
@@ -47,52 +48,68 @@ def blast_radius(edges: DataFrame, starts: DataFrame, depth: int = BLAST_DEPTH)
     return out.groupBy("start", "id").agg(F.min("hops").alias("hops"), F.min("dyn").alias("dyn"))
 
 
-def call_levels(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> tuple[DataFrame | None, int]:
-    """The levels of a breadth-first search over call edges of all tiers as one table (id, parent, confidence, hops), and
-    the number of hops at which a target was met first; (None, -1) if none is reachable. sources and targets are (id).
+def _searched(edges: DataFrame, pairs: DataFrame) -> tuple[DataFrame, int]:
+    """The levels of a breadth-first search over call edges of all tiers for all pairs(a, b) at once: (a, id, parent, confidence,
+    hops), a row for each node that a search from a reaches, and the last level. parent is the smallest of the level before.
 
-    A level is written with its own number, counted by the job that writes it, and what has been reached lives in the
-    tables of the levels, which are merged to one now and then, so plans stay small. It ends when a target is met or a level is empty.
+    Searches from one node are one search. A level is counted by the job that writes it; a search stops when it has met
+    all its targets or a level finds nothing.
     """
-    from ..sources import shared
-
     hops = shared.written(edges.filter("kind = 'call'").groupBy("src", "dst").agg(F.min("confidence").alias("confidence")), "calls")
-    wanted = targets.select("id", F.lit(True).alias("wanted")).distinct()
+    wanted = pairs.select("a", F.col("b").alias("id")).distinct()
 
-    def settle(rows: DataFrame) -> tuple[DataFrame, int, int]:
+    def settle(rows: DataFrame) -> tuple[DataFrame, int]:
         seen = Observation()
-        marked = rows.join(wanted, "id", "left").observe(seen, F.count(F.lit(1)).alias("n"), F.count("wanted").alias("met"))
-        table = shared.written(marked, "level")
-        return table, seen.get["n"], seen.get["met"]
+        return shared.written(rows.observe(seen, F.count(F.lit(1)).alias("n")), "level"), seen.get["n"]
 
-    start = sources.select("id").distinct().select("id", F.lit(None).cast("string").alias("parent"), F.lit("").alias("confidence"), F.lit(0).alias("hops"))
-    level, n, met = settle(start)
+    start = pairs.select("a").distinct().select("a", F.col("a").alias("id"), F.lit(None).cast("string").alias("parent"), F.lit("").alias("confidence"), F.lit(0).alias("hops"))
+    level, n = settle(start)
     reached, depth = level, 0
-    while n and not met:
-        depth += 1
-        near = level.select(F.col("id").alias("src")).join(hops, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("src", "confidence")).alias("by"))
-        fresh = near.join(reached.select("id"), "id", "left_anti").select("id", F.col("by.src").alias("parent"), F.col("by.confidence").alias("confidence"), F.lit(depth).alias("hops"))
-        level, n, met = settle(fresh)
+    while n:
+        open_ = wanted.join(reached.select("a", "id"), ["a", "id"], "left_anti").select("a").distinct()
+        near = level.join(open_, "a", "left_semi").select("a", F.col("id").alias("src")).join(hops, "src").groupBy("a", F.col("dst").alias("id")).agg(F.min(F.struct("src", "confidence")).alias("by"))
+        fresh = near.join(reached.select("a", "id"), ["a", "id"], "left_anti").select("a", "id", F.col("by.src").alias("parent"), F.col("by.confidence").alias("confidence"), F.lit(depth + 1).alias("hops"))
+        level, n = settle(fresh)
+        depth += 1 if n else 0
         reached = reached.union(level)
-        if depth % 16 == 0:
+        if depth % 16 == 15:
             reached = shared.written(reached, "reached")
-    return (reached, depth) if met else (None, -1)
+    return reached, depth
 
 
-def call_path(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> list[tuple[str, str]]:
-    """The fewest-hop path over call edges of all tiers from one of sources(id) to one of targets(id), as (node,
-    confidence of the hop that leads to it), the first with ''; of several the one to the smallest target, through the
-    smallest parents. Empty if there is none. Only the path reaches the driver.
+def call_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, hop, id, confidence): for each of pairs(a, b) the fewest-hop path over call edges of all tiers, hop 0 being a with
+    confidence '', the others with that of the hop that leads to them; through the smallest parents. A pair without a path
+    has no rows. All pairs are searched and traced together.
     """
-    reached, depth = call_levels(edges, sources, targets)
-    if reached is None:
-        return []
-    row = reached.filter(F.col("wanted") & (F.col("hops") == depth)).orderBy("id").first()
-    path = [(row["id"], row["confidence"])]
-    for hop in range(depth - 1, -1, -1):
-        row = reached.filter((F.col("id") == row["parent"]) & (F.col("hops") == hop)).first()
-        path.append((row["id"], row["confidence"]))
-    return path[::-1]
+    reached, depth = _searched(edges, pairs)
+    at = pairs.select("a", "b").distinct().join(reached.withColumnRenamed("id", "b"), ["a", "b"]).select("a", "b", F.col("hops").alias("hop"), F.col("b").alias("id"), "confidence", "parent")
+    out = at = shared.written(at, "ends")
+    for k in range(depth):  # one hop back for every pair; a long path makes a long plan, which is cut now and then
+        back = at.filter("parent is not null").select("a", "b", F.col("parent").alias("id"))
+        at = back.join(reached, ["a", "id"]).select("a", "b", F.col("hops").alias("hop"), "id", "confidence", "parent")
+        out = out.union(at)
+        if k % 8 == 7:
+            out, at = shared.written(out, "paths"), shared.written(at, "ends")
+    return out.select("a", "b", "hop", "id", "confidence")
+
+
+def call_path(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """The fewest-hop path of call_paths() from one of sources(id) to one of targets(id); of several the one to the smallest
+    target, from the smallest source."""
+    every = sources.select(F.col("id").alias("a")).distinct().crossJoin(targets.select(F.col("id").alias("b")).distinct())  # the few functions that two names mean
+    paths = shared.written(call_paths(edges, every), "paths")
+    best = paths.groupBy("a", "b").agg(F.max("hop").alias("hops")).orderBy("hops", "b", "a").limit(1).select("a", "b")
+    return paths.join(F.broadcast(best), ["a", "b"]).select("hop", "id", "confidence")
+
+
+def path_directions(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, hops, leads_back): how many hops it is from a to b, null without a path, and if so whether one leads from b to a."""
+    both = pairs.select("a", "b").distinct()
+    ways = both.union(both.select("b", "a")).distinct()
+    lengths = shared.written(call_paths(edges, ways).groupBy("a", "b").agg(F.max("hop").alias("hops")), "lengths")
+    back = lengths.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(True).alias("back"))
+    return both.join(lengths, ["a", "b"], "left").join(back, ["a", "b"], "left").select("a", "b", "hops", (F.col("hops").isNull() & F.coalesce("back", F.lit(False))).alias("leads_back"))
 
 
 def named(symbols: DataFrame, text: str, most: int = 16) -> DataFrame:
@@ -102,12 +119,6 @@ def named(symbols: DataFrame, text: str, most: int = 16) -> DataFrame:
     return symbols_matching(symbols, text, most).filter((F.col("kind") == "fn") & ((F.col("name") == text) | (F.col("qualified") == text))).select("id")
 
 
-def path_between(edges: DataFrame, a: DataFrame, b: DataFrame) -> tuple[list[tuple[str, str]], bool]:
-    """A call path from a to b, or if there is none whether one leads back."""
-    path = call_path(edges, a, b)
-    return path, bool(not path and call_path(edges, b, a))
-
-
 def enclosing(points: DataFrame, spans: DataFrame, by: str = "file") -> DataFrame:
     """points(by, line) with the span(by, start, end, id) that holds the line: the smallest, the first of equals; else the
     last span that starts at or before the line, even if it has ended. Both by dyadic buckets."""

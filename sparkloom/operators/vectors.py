@@ -123,9 +123,18 @@ def neighbours(rows: DataFrame, query: DataFrame, k: int, id_: str = "vec_id") -
 def relatedness(pairs: DataFrame, rows: DataFrame, id_: str = "vec_id") -> DataFrame:
     """pairs(a, b) with score: the dot product of their codes over the squared scale, null where either has no vector."""
     side = lambda c: rows.select(F.col(id_).alias(c), F.col("code").alias(f"_{c}"), F.col("scale").alias(f"_s{c}"))
-    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    dot = F.aggregate(F.zip_with("_a", "_b", lambda x, y: (x * y).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
-    return both.select(*pairs.columns, (dot / (F.col("_sa") * F.col("_sa"))).alias("score"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").withColumn("_has", F.col("_a").isNotNull() & F.col("_b").isNotNull())
+
+    def make(part: pa.RecordBatch) -> list[pa.Array]:
+        has = np.flatnonzero(part.column("_has").to_numpy(zero_copy_only=False))
+        score, mask = np.zeros(part.num_rows), np.ones(part.num_rows, bool)
+        if len(has):
+            x, y = (_matrix(part.column(c).take(pa.array(has)), np.int64) for c in ("_a", "_b"))
+            scale = part.column("_sa").take(pa.array(has)).to_numpy()
+            score[has], mask[has] = (x * y).sum(1) / (scale * scale), False
+        return [pa.array(score, mask=mask)]
+
+    return _with(both, [T.StructField("score", T.DoubleType())], make).select(*pairs.columns, "score")
 
 
 class HashingEmbedder:

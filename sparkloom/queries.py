@@ -293,21 +293,21 @@ def resolve_name(spark, sf_dir):
 
 
 def graph_edges(spark, sf_dir):
-    """All edges of call_tables, with a reference of every third function to its type and trait, and every second one a method of its type."""
+    """All edges of call_tables, with a reference of every function to its type and trait, and every function a method of its type."""
     symbols, calls, impls = call_tables(spark, sf_dir)
     calls = shared.written(calls, "calls")
     p = table(spark, sf_dir, "part").select(F.concat(F.lit("f"), "p_partkey").alias("id"), "p_partkey", F.regexp_replace("p_brand", "#", "").alias("type_name"))
-    some = p.filter("p_partkey % 3 = 0").join(impls, "type_name", "left")
+    some = p.join(impls, "type_name", "left")
     refs = some.select(F.col("id").alias("referrer"), "type_name").unionByName(some.filter("trait_name is not null").select(F.col("id").alias("referrer"), F.col("trait_name").alias("type_name")))
-    methods = p.filter("p_partkey % 2 = 0").select(F.col("id").alias("method_id"), F.col("type_name").alias("type_qualified"))
+    methods = p.select(F.col("id").alias("method_id"), F.col("type_name").alias("type_qualified"))
     return symbols, resolve.resolve_edges(calls, symbols, impls, methods, refs)
 
 
-ALL_EDGES = f"""{GRAPH}, refs as (select id as referrer, brand as type_name from fns where p_partkey % 3 = 0 union select id, trait_name from fns join impls on brand = type_name where p_partkey % 3 = 0),
+ALL_EDGES = f"""{GRAPH}, refs as (select id as referrer, brand as type_name from fns union select id, trait_name from fns join impls on brand = type_name),
     syms as (select id, file from fns union all select id, file from types union all select id, file from traits),
     every as (select caller as src, id as dst, 'call' as kind, confidence, detail from hits union select caller, id, 'call', 'name', '' from named
         union select referrer, id, 'reference', 'direct', '' from refs join (select id, name from types union all select id, name from traits) on name = type_name
-        union select fns.id, types.id, 'method_of', 'direct', '' from fns join types on brand = types.qualified where p_partkey % 2 = 0
+        union select fns.id, types.id, 'method_of', 'direct', '' from fns join types on brand = types.qualified
         union select types.id, traits.id, 'impl_of', 'direct', trait_name from impls join types on type_name = types.name join traits on trait_name = traits.name),
     edges as (select every.*, file from every join syms on src = syms.id)"""
 
@@ -376,7 +376,7 @@ def blast_radius(spark, sf_dir):
     return graph.blast_radius(user_edges(spark, sf_dir), spark.createDataFrame([("u3",)], "start string"))
 
 
-PATH = f"""{EDGES}, hops as (select src, dst, min(confidence) as confidence from edges where kind = 'call' and confidence = 'name' group by 1, 2),
+PATH = f"""{EDGES}, hops as (select src, dst, min(confidence) as confidence from edges where kind = 'call' group by 1, 2),
     x as (select 'u1' as id, 0 as hops union select h.dst, x.hops + 1 from x join hops h on h.src = x.id where x.hops < 30),
     level as (select id, min(hops) as hops from x group by 1),
     parent as (select h.dst as id, arg_min(h.src, (h.src, h.confidence)) as parent, arg_min(h.confidence, (h.src, h.confidence)) as confidence from hops h join level a on a.id = h.src join level b on b.id = h.dst and b.hops = a.hops + 1 group by 1)"""
@@ -386,10 +386,8 @@ PATH = f"""{EDGES}, hops as (select src, dst, min(confidence) as confidence from
         union all select w.target, l.id, l.hops, p.parent, p.confidence from walk w join level l on l.id = w.parent left join parent p on p.id = l.id)
     select target, cast(hops as int) as hop, id, case when hops = 0 then '' else confidence end as confidence from walk""")
 def call_path(spark, sf_dir):
-    edges = user_edges(spark, sf_dir).filter("confidence = 'name'")  # the sparsest tier, so that paths have several hops
-    one = lambda x: spark.createDataFrame([(x,)], "id string")
-    rows = [(target, i, n, c) for target in ("u6", "u50") for i, (n, c) in enumerate(graph.call_path(edges, one("u1"), one(target)))]
-    return spark.createDataFrame(rows, "target string, hop int, id string, confidence string")
+    pairs = spark.createDataFrame([("u1", "u6"), ("u1", "u50")], "a string, b string")
+    return graph.call_paths(user_edges(spark, sf_dir), pairs).select(F.col("b").alias("target"), "hop", "id", "confidence")
 
 
 SPANS = """spans as (select user_id as file, event_id as id, cast(floor(value) as int) as s, cast(floor(value) as int) + cast(event_id % 40 as int) as e from events where event_type = 'view'),
@@ -600,14 +598,14 @@ def common_names(spark, sf_dir):
     return vectors.common_names(table(spark, sf_dir, "embeddings"), "label")
 
 
-#: Vectors and, of some, further ones at growing distances, and rows that no index may hold.
+#: Vectors and, of each, further ones at growing distances, and rows that no index may hold.
 COPIES = """vecs as (select vec_id, label, embedding from embeddings
-    union all select vec_id + 1000000 * k, label, list_transform(embedding, lambda x, i: cast(cast(x as double) * (1 + k / 8.0::double * ((i - 1) % 5 - 2)) as float)) from embeddings, range(1, 7) r(k) where vec_id < 100)"""
+    union all select vec_id + 1000000 * k, label, list_transform(embedding, lambda x, i: cast(cast(x as double) * (1 + k / 8.0::double * ((i - 1) % 5 - 2)) as float)) from embeddings, range(1, 7) r(k))"""
 
 
 def vector_copies(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    k = e.filter("vec_id < 100").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(6))))
+    k = e.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(6))))
     moved = F.transform("embedding", lambda x, i: (x.cast("double") * (1 + F.col("k") / F.lit(8.0) * (i % 5 - 2))).cast("float"))
     copies = k.select((F.col("vec_id") + 1000000 * F.col("k")).alias("vec_id"), "label", moved.alias("embedding"))
     bad = e.limit(1).select((F.col("vec_id") - 1).alias("vec_id"), "label", F.array(F.lit(1.0).cast("float"), F.lit("NaN").cast("float")).alias("embedding"))
@@ -622,10 +620,11 @@ def kin(spark, sf_dir):
 
 
 @query(f"""with {COPIES}, {unit_sql("vecs")} select a.vec_id as a, b.vec_id as b, cast(list_sum(list_transform(list_zip(a.code, b.code), lambda p: p[1] * p[2])) as bigint) / (a.scale * a.scale) as score
-    from (select vec_id as va, vec_id + 1000000 as vb from embeddings where vec_id < 200) p left join ix a on a.vec_id = va left join ix b on b.vec_id = vb where a.vec_id is not null and b.vec_id is not null
-    union all select va, vb, null from (select vec_id as va, vec_id + 1000000 as vb from embeddings where vec_id >= 100 and vec_id < 200)""")
+    from (select vec_id as va, vec_id + 1000000 as vb from embeddings) p join ix a on a.vec_id = va join ix b on b.vec_id = vb
+    union all select vec_id, vec_id + 9000000, null from embeddings""")
 def relatedness(spark, sf_dir):
-    pairs = table(spark, sf_dir, "embeddings").filter("vec_id < 200").select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1000000).alias("b"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("a"))
+    pairs = e.withColumn("b", F.col("a") + 1000000).unionByName(e.withColumn("b", F.col("a") + 9000000))  # there is nothing at the latter
     return vectors.relatedness(pairs, vectors.index(vector_copies(spark, sf_dir)))
 
 

@@ -176,9 +176,9 @@ def blast_files(spark, sf_dir):
     return explore.reach(user_edges(spark, sf_dir), symbols, spark.createDataFrame([("u3",), ("u4",)], "start string"))
 
 
-@query("select p_brand, cast(sum(least(p_partkey % 300 + 1, 160)) as bigint) as lines, sum(least(p_partkey % 300 + 1, 160)) > 400 as compact from part where p_size = 7 or p_brand like '%1' group by 1")
+@query("select p_brand, cast(sum(least(p_partkey % 300 + 1, 160)) as bigint) as lines, sum(least(p_partkey % 300 + 1, 160)) > 400 as compact from part group by 1")
 def explore_size(spark, sf_dir):
-    p = table(spark, sf_dir, "part").filter("p_size = 7 or p_brand like '%1'")  # what some exploration selects
+    p = table(spark, sf_dir, "part")
     return explore.size(p.select("p_brand", F.col("p_size").alias("start_line"), (F.col("p_size") + F.col("p_partkey") % 300).alias("end_line")), "p_brand")
 
 
@@ -312,14 +312,10 @@ def precise_sources(spark, sf_dir):
     return catalog.precise_sources(files).select("doc_id", "path", "language")
 
 
-@query("""with t as (select doc_id, sha256(text) as tag from documents where text is not null) select tag, min(case when doc_id % 5 = 0 then 'damaged' when doc_id % 5 = 1 then 'missing' else 'found' end) as state
-    from t group by tag having count(distinct case when doc_id % 5 < 2 then doc_id % 5 else 2 end) = 1""")
+@query("""select sha256(text) as tag, case min(doc_id) % 5 when 0 then 'damaged' when 1 then 'missing' else 'found' end as state from documents where text is not null group by 1""")
 def object_lookup(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text", F.sha2("text", 256).alias("tag"))
-    kind = F.when(F.col("doc_id") % 5 < 2, F.col("doc_id") % 5).otherwise(2)
-    alike = t.groupBy("tag").agg(F.count_distinct(kind).alias("k")).filter("k = 1")  # texts whose copies are all treated alike
-    t = t.join(alike, "tag", "left_semi")
-    objects = t.filter("doc_id % 5 <> 1").select("tag", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("content"))
+    t = table(spark, sf_dir, "documents").filter("text is not null").groupBy("text").agg((F.min("doc_id") % 5).alias("k")).withColumn("tag", F.sha2("text", 256))
+    objects = t.filter("k <> 1").select("tag", F.when(F.col("k") == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("content"))
     return history.lookup(objects, t)
 
 
@@ -415,12 +411,12 @@ def block_states(spark, sf_dir):
     return edits.blocks_at(spans, p.select(F.col("p_type").alias("file"), (F.col("p_partkey") % 60).alias("line")).distinct())
 
 
-@query(f"""with f as (select doc_id as path, text from documents where text is not null and doc_id % 2 = 0) select path, {TAG.format("text")} as tag from f where path % 3 <> 0
-    union all select doc_id + 500000, {TAG.format("case when ends_with(text, chr(10)) then text else text || chr(10) end")} from documents where text is not null and doc_id % 5 = 0""")
+@query(f"""with f as (select doc_id as path, text from documents where text is not null) select path, {TAG.format("text")} as tag from f where path % 3 <> 0
+    union all select path + 500000, {TAG.format("case when ends_with(text, chr(10)) then text else text || chr(10) end")} from f""")
 def create_delete(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("path"), "text")
-    files = d.filter("path % 2 = 0")
-    new = d.filter("path % 5 = 0").withColumn("path", F.col("path") + 500000).unionByName(files.filter("path % 7 = 0").withColumn("text", F.lit("there is one")))
+    """A copy of every file is created, files that are there are refused, and every third one is deleted."""
+    files = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("path"), "text")
+    new = files.withColumn("path", F.col("path") + 500000).unionByName(files.withColumn("text", F.lit("there is one")))
     after, _ = edits.create(files, new)
     left, _, _ = edits.delete(after, files.filter("path % 3 = 0").select("path"))
     return left.select("path", X.tag(F.col("text")).alias("tag"))
@@ -445,13 +441,13 @@ def refused_edits(spark, sf_dir):
     return edits.refused(every, hunks).select("reason", "path", "line")
 
 
-@query("""select l_orderkey, string_agg(case when s = e then '' || s else s || '-' || e end, ',' order by s) as seen from (
-    select l_orderkey, min(l) as s, max(l) as e from (select distinct l_orderkey, l_linenumber as l, l_linenumber - row_number() over (partition by l_orderkey order by l_linenumber) as k from (select distinct l_orderkey, l_linenumber from lineitem where l_partkey % 3 <> 0)) group by l_orderkey, k) group by 1""")
+@query("""select l_suppkey, string_agg(case when s = e then '' || s else s || '-' || e end, ',' order by s) as seen from (
+    select l_suppkey, min(l) as s, max(l) as e from (select l_suppkey, l_partkey as l, l_partkey - row_number() over (partition by l_suppkey order by l_partkey) as k from (select distinct l_suppkey, l_partkey from lineitem)) group by l_suppkey, k) group by 1""")
 def seen_codec(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_partkey % 3 <> 0").select("l_orderkey", F.col("l_linenumber").cast("int").alias("line"))
-    runs = intervals.runs(li, ["l_orderkey"]).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("r"))
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_partkey").cast("int").alias("line"))
+    runs = intervals.runs(li, ["l_suppkey"]).groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("r"))
     there_and_back = intervals.seen_ranges(F.concat(intervals.seen_text(F.col("r")), F.lit(",oops")))
-    return runs.select("l_orderkey", there_and_back.alias("r")).select("l_orderkey", intervals.seen_text(F.col("r")).alias("seen"))
+    return runs.select("l_suppkey", there_and_back.alias("r")).select("l_suppkey", intervals.seen_text(F.col("r")).alias("seen"))
 
 
 # Sessions and frames
@@ -723,7 +719,7 @@ def fingerprints(spark, sf_dir):
     return every.join(F.broadcast(was), F.lit(True)).select("kind", (F.col("fingerprint") == F.col("was")).alias("same"))
 
 
-UPWARD = f"""{EDGES}, hops as (select distinct src, dst from edges where kind = 'call' and confidence = 'name' and cast(substr(src, 2) as int) < cast(substr(dst, 2) as int)),
+UPWARD = f"""{EDGES}, hops as (select distinct src, dst from edges where kind = 'call' and cast(substr(src, 2) as int) < cast(substr(dst, 2) as int)),
     x as (select 'u1' as id, 0 as hops union select h.dst, x.hops + 1 from x join hops h on h.src = x.id where x.hops < 200), level as (select id, min(hops) as hops from x group by 1)"""
 
 
@@ -731,20 +727,16 @@ UPWARD = f"""{EDGES}, hops as (select distinct src, dst from edges where kind =
     union all select t, 'u1', null, hops is not null from (select 'u6' as t) left join level on id = t""")
 def path_directions(spark, sf_dir):
     number = lambda c: F.substr(c, F.lit(2)).cast("int")
-    edges = shared.written(user_edges(spark, sf_dir).filter("confidence = 'name'").filter(number("src") < number("dst")), "upward")
-    one = lambda x: spark.createDataFrame([(x,)], "id string")
-    rows = []
-    for a, b in (("u1", "u6"), ("u6", "u1")):
-        path, back = graph.path_between(edges, one(a), one(b))
-        rows.append((a, b, len(path) - 1 if path else None, back))
-    return spark.createDataFrame(rows, "a string, b string, hops int, leads_back boolean")
+    edges = user_edges(spark, sf_dir).filter(number("src") < number("dst"))  # calls that go up, so that none leads back
+    return graph.path_directions(edges, spark.createDataFrame([("u1", "u6"), ("u6", "u1")], "a string, b string"))
 
 
 @query(f"""with {GRAPH}, {EDGES.replace("edges as", "ue as")} select 0 as part, id || '|' || name || '|' || qualified || '|type|types|1|9|-1' as row from types
+    union all select 0, id || '|' || name || '|' || qualified || '|fn|' || file || '|' || start_line || '|' || (start_line + 5) || '|' || arity from fns
+    union all select 0, 'r' || r_regionkey || '|' || r_name || '|' || r_name || '|trait|traits|' || r_regionkey || '|' || r_regionkey || '|-1' from region
     union all select 1, src || '|' || dst || '|' || kind || '|' || confidence || '|' || detail from ue""")
 def graph_dump(spark, sf_dir):
-    symbols = call_tables(spark, sf_dir)[0].filter("kind = 'type'")
-    return resolve.dump(symbols, user_edges(spark, sf_dir))
+    return resolve.dump(call_tables(spark, sf_dir)[0], user_edges(spark, sf_dir))
 
 
 @query(f"""with f as (select doc_id as path, text from documents where text is not null) select path, {TAG.format("text")} as tag from f where path % 2 = 0 and path % 3 <> 0 union all select path + 700000, {TAG.format("text")} from f where path % 6 = 3 union all select -7, sha256('one' || chr(10))""")

@@ -134,9 +134,11 @@ def test_path_and_cycle(spark):
     edge = lambda a, b, c="direct": (a, b, "call", c, "")
     e = spark.createDataFrame([edge("a", "b"), edge("b", "c", "name"), edge("c", "a"), edge("x", "b", "dyn")], "src string, dst string, kind string, confidence string, detail string")
     one = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id string")
-    assert graph.call_path(e, one("a"), one("c")) == [("a", ""), ("b", "direct"), ("c", "name")]
-    assert graph.call_path(e, one("a"), one("a", "c")) == [("a", "")]
-    assert graph.path_between(e, one("c"), one("zz")) == ([], False) and graph.path_between(e, one("b"), one("x")) == ([], True)
+    path = lambda a, b: [tuple(r)[1:] for r in sorted(graph.call_path(e, a, b).collect())]
+    assert path(one("a"), one("c")) == [("a", ""), ("b", "direct"), ("c", "name")]
+    assert path(one("a"), one("a", "c")) == [("a", "")] and path(one("a"), one("zz")) == []
+    ways = spark.createDataFrame([("c", "zz"), ("b", "x"), ("a", "c"), ("a", "a")], "a string, b string")
+    assert {tuple(r) for r in graph.path_directions(e, ways).collect()} == {("c", "zz", None, False), ("b", "x", None, True), ("a", "c", 2, False), ("a", "a", 0, False)}
     around = graph.blast_radius(e.filter("confidence <> 'name'"), spark.createDataFrame([("b",)], "start string"))
     assert {(r.id, r.hops, r.dyn) for r in around.collect()} == {("a", 1, False), ("x", 1, True), ("c", 2, False)}
 
@@ -234,3 +236,29 @@ def test_transactions(spark):
     with pytest.raises(ValueError):
         macros.save("../m", [])
     assert json.loads(macros.stored["m"])
+
+
+def test_many_paths_at_once(spark):
+    """Every pair of a random graph against a search by definition; long chains too."""
+    rng = random.Random(8)
+    edges = {(f"n{rng.randint(0, 25)}", f"n{rng.randint(0, 25)}"): rng.choice(["direct", "dyn", "name"]) for _ in range(45)} | {(f"c{i}", f"c{i + 1}"): "direct" for i in range(20)}
+    df = spark.createDataFrame([(a, b, "call", c, "") for (a, b), c in edges.items()], "src string, dst string, kind string, confidence string, detail string")
+    pairs = [(f"n{i}", f"n{j}") for i in range(0, 26, 3) for j in range(26)] + [("c0", "c20"), ("c20", "c0"), ("c3", "c9")]
+    expected = {}
+    for a, b in pairs:
+        level, parent = [a], {a: None}
+        while level and b not in parent:
+            fresh: dict = {}
+            for x in sorted(level, reverse=True):
+                fresh |= {d: x for s, d in edges if s == x and d not in parent}
+            parent |= fresh
+            level = list(fresh)
+        path = [b] if b in parent else []
+        while path and parent[path[-1]] is not None:
+            path.append(parent[path[-1]])
+        expected[a, b] = path[::-1]
+    got: dict = {p: [] for p in pairs}
+    for a, b, hop, i, confidence in sorted(graph.call_paths(df, spark.createDataFrame(pairs, "a string, b string")).collect()):
+        got[a, b].append(i)
+        assert hop == len(got[a, b]) - 1 and confidence == (edges[got[a, b][-2], i] if hop else "")
+    assert got == expected
