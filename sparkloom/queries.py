@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.lines(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text"))
+    return X.lines(shared.spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")))
 
 
 #: Shared pieces of the SQL.
@@ -289,6 +289,7 @@ def resolve_dyn(spark, sf_dir):
 @query(f"with {GRAPH} select caller as src, id as dst, 'call' as kind, 'name' as confidence, '' as detail from named")
 def resolve_name(spark, sf_dir):
     symbols, calls, impls = call_tables(spark, sf_dir)
+    calls = shared.written(calls, "calls")  # it is read by every tier
     return resolve.resolve_name(calls, symbols, resolve.resolved(calls, symbols, impls))
 
 

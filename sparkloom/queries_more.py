@@ -11,8 +11,8 @@ from .functions import text as X
 from .operators import catalog, diffs, edits, explore, frames, graph, history, intervals, policy, precise, render, resolve, search, sessions, vectors
 from .plans import indexing, steps
 from .queries import ALL_EDGES, EDGES, FOLD, GRAPH, LINES, OPS, POLICIES, POLICY_SQL, TAG, UNIT, call_tables, doc_lines, graph_edges, narrows_sql, query, table, user_edges, vector_index
-from .sources import notes, shared, tree
-from .streaming import changes
+from .sources import notes, shared, tree, watch
+from .streaming import changes, stability
 
 # Source files of parts
 
@@ -604,7 +604,7 @@ def profiles(spark, sf_dir):
 
 def event_stream(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    return changes.streamed(shared.written(e.coalesce(1), "events"))
+    return changes.streamed(shared.written(e.repartitionByRange(6, "event_id"), "events"))
 
 
 @query("""with g as (select user_id, ts, case when ts > lag(ts) over (partition by user_id order by ts) + interval 1 hour or lag(ts) over (partition by user_id order by ts) is null then 1 else 0 end as n from events),
@@ -639,6 +639,40 @@ def stream_refresh(spark, sf_dir):
     return store.read().select("path", "tag")
 
 
+@query("""with s as (select user_id, ts, event_type as f, row_number() over w as rn, case when lag(event_type) over w = event_type then 0 else 1 end as n from events window w as (partition by user_id order by ts)),
+    r as (select *, sum(n) over (partition by user_id order by ts rows unbounded preceding) as run from s), a as (select *, epoch_us(ts) - min(epoch_us(ts)) over (partition by user_id, run) as age from r),
+    k as (select * from a where age >= 3600 * 1000000::bigint qualify row_number() over (partition by user_id, run order by ts) = 1), i as (select user_id, f as start from s where rn = 1),
+    b as (select k.*, coalesce(lag(f) over (partition by user_id order by run), start) as was from k join i using (user_id))
+    select user_id, epoch_us(ts) as ts_us, f as event_type from b where was <> f and ts <= (select max(ts) - interval 10 second from events)""")
+def stream_stable(spark, sf_dir):
+    """stable_rebuilds as a stream with timers; what the watermark has not passed does not come out."""
+    rows = changes.drained(stability.rebuilds(event_stream(spark, sf_dir), "user_id", "ts", "event_type", 3600, "10 seconds"), "rebuilds")
+    return rows.select("user_id", F.unix_micros("ts").alias("ts_us"), "event_type")
+
+
+@query("""with d as (select doc_id, text from documents where text is not null) select 1 as snapshot, doc_id, 'created' as change, sha256(text) as text from d
+    union all select 2, doc_id, 'deleted', null from d where doc_id % 3 = 0 union all select 2, doc_id, 'created', sha256(text || '!') from d where doc_id % 3 = 0""")
+def stream_tree_changes(spark, sf_dir):
+    """A tree with a file for each document, and the files that every third one is replaced by, as the change source tells them."""
+    spark.dataSource.register(watch.TreeChanges)
+    root = shared.scratch(spark, "watched")
+    d = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text").repartition("doc_id")
+
+    def poll() -> None:
+        rows = spark.readStream.format("tree_changes").option("path", f"{root}/tree").option("log", f"{root}/log").load()
+        query = rows.writeStream.format("parquet").option("path", f"{root}/changes").option("checkpointLocation", f"{root}/checkpoint").start()
+        query.processAllAvailable()
+        query.stop()
+
+    d.write.partitionBy("doc_id").text(f"{root}/tree")
+    poll()
+    d.filter("doc_id % 3 = 0").withColumn("text", F.concat("text", F.lit("!"))).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("doc_id").text(f"{root}/tree")
+    poll()
+    rows = spark.read.schema(watch.SCHEMA).parquet(f"{root}/changes").filter(F.startswith(X.basename(F.col("path")), F.lit("part-")))
+    number = F.regexp_extract("path", r"doc_id=(\d+)/", 1).cast("long")
+    return rows.select(F.col("snapshot").cast("int").alias("snapshot"), number.alias("doc_id"), "change", F.sha2(F.regexp_replace("text", "\n$", ""), 256).alias("text"))
+
+
 @query("select event_id, user_id, event_type from events")
 def stream_trace(spark, sf_dir):
     path = shared.scratch(spark, "trace")

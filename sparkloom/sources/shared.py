@@ -57,3 +57,9 @@ def dropped(*tables: DataFrame | None) -> None:
         path = getattr(table, "_shared_path", None)
         if path:
             delete(table.sparkSession, path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to all cores where it comes in fewer partitions than there are, as from a file of one row group."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
