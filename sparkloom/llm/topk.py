@@ -30,6 +30,8 @@ DEPTH = 1 / 16
 #: Shares of the lists read to their ends after which bounds are computed.
 ROUNDS = (3 / 4, 7 / 8, 15 / 16, 1)
 EXACT = 2**53
+#: Components of a block of candidates: a cell holds some copies of one as doubles, so 8 million are some 400 MB.
+COMPONENTS = 1 << 23
 
 
 def scaled(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 256) -> DataFrame:
@@ -151,8 +153,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 16384
     length are candidates. An empty table on either side gives an empty result.
     """
     spark = vectors.sparkSession
-    n, n_q = vectors.count(), queries.count()
-    # Blocks are no larger than block, and small enough to keep every core busy.
+    n, dim = vectors.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    n_q = queries.count()
+    # Blocks are no larger than block and COMPONENTS allow, and small enough to keep every core busy.
+    block, query_block = (max(1, min(b, COMPONENTS // max(1, dim or 1))) for b in (block, query_block))
     blocks = max(1, -(-n // block), min(-(-n // 1024), 4 * spark.sparkContext.defaultParallelism))
     q_blocks = max(1, -(-n_q // query_block))
     salt = F.xxhash64("vec_id", "v")
@@ -180,6 +184,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 16384
 
 
 def topk_digest(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
-    """The contract's columns: queries are the rows whose vec_id is divisible by `every`."""
-    rows = scaled(embeddings)
+    """The contract's columns: queries are the rows whose vec_id is divisible by `every`.
+
+    Vectors that are null, empty or hold null or non-finite components, and null ids, take no part; rows that repeat an id and
+    its vector count once, and an id with several vectors has a list for each as a query. An empty table gives an empty table;
+    other columns play no part.
+    """
+    from . import common
+
+    rows = common.written(scaled(embeddings), "scaled")
     return top_k(rows, rows.filter(F.col("vec_id") % every == 0), k)

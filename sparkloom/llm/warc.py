@@ -74,8 +74,23 @@ def record_id(page_id: int | None, digest: str) -> str:
     return f"urn:sparkloom:{'' if page_id is None else page_id}:{digest}"
 
 
+#: Names that Hadoop gives to stores which pyarrow has under another one.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+_KNOWN = ("file", "s3", "gs", "gcs", "hdfs", "viewfs", "abfs", "abfss")
+
+
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path)
+    """The file system of a URI as Spark has it, and the place there. Stores that pyarrow knows are opened with its own client, whose
+    settings come from the environment or the URI; any other one through Hadoop's client (libhdfs)."""
+    scheme, found, rest = path.partition("://")
+    if not found or scheme in _KNOWN:
+        return pafs.FileSystem.from_uri(path)
+    if scheme in _SCHEMES:
+        if scheme.startswith("wasb"):
+            rest = rest.replace(".blob.", ".dfs.", 1)
+        return pafs.FileSystem.from_uri(f"{_SCHEMES[scheme]}://{rest}")
+    authority, _, at = rest.partition("/")
+    return pafs.HadoopFileSystem(f"{scheme}://{authority}", 0), f"/{at}"
 
 
 @dataclass
