@@ -29,10 +29,11 @@ def live(registry: DataFrame, now: Column, ttl: str, at: str = "touched") -> Dat
 
 def select_workspace(roots: DataFrame, selectors: DataFrame) -> DataFrame:
     """(selector, state, root): the root that a selector names exactly, else the one that ends in it as whole segments; state is
-    found, ambiguous or missing, and root is null unless found. Both tables are a registry's, and small."""
-    slash = F.concat(F.lit("/"), "selector")
-    hit = (F.col("root") == F.col("selector")) | F.col("root").endswith(slash)
-    rows = selectors.select("selector").distinct().join(F.broadcast(roots.select("root").distinct()), hit, "left")
+    found, ambiguous or missing, and root is null unless found. Every root meets the selectors by each of its endings."""
+    segments = F.split("root", "/", -1)
+    endings = F.transform(F.sequence(F.lit(1), F.size(segments)), lambda i: F.array_join(F.slice(segments, i, F.size(segments)), "/"))
+    ends = roots.select("root").distinct().select("root", F.explode(F.array_distinct(endings)).alias("selector"))
+    rows = selectors.select("selector").distinct().join(ends, "selector", "left")
     exact = F.max(F.when(F.col("root") == F.col("selector"), F.col("root")))
     found = rows.groupBy("selector").agg(exact.alias("exact"), F.count("root").alias("n"), F.min("root").alias("one"))
     state = F.when(F.col("exact").isNotNull() | (F.col("n") == 1), "found").when(F.col("n") == 0, "missing").otherwise("ambiguous")
