@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import paths, resolve
+from .operators import batch_vectors, paths, resolve, vectors
 from .plans import refresh
-from .queries import ALL_EDGES, call_tables, query, table
+from .queries import ALL_EDGES, call_tables, query, table, unit_sql
 from .sources import shared
 
 # Parts are functions in files of ten. Of every 500 one is dropped, one gets another name, one another arity and one another line.
@@ -104,3 +104,31 @@ def name_facts(spark, sf_dir) -> paths.Facts:
     select 'app/s' || s || '.py' as ref_file, cast(p as int) as ref_line, m as name, 'pkg/m' || q || '.py' as def_file, case m when 'run' then 2 else 3 end as def_line from u join d using (p, m)""")
 def member_references(spark, sf_dir):
     return paths.resolved(name_facts(spark, sf_dir)).withColumn("name", F.element_at("name", -1))
+
+
+# Every vector and a moved one beside it, searched for all of them at once.
+
+PAIRED = """vecs as (select vec_id, label, embedding from embeddings
+    union all select vec_id + 1000000, label, list_transform(embedding, lambda x, i: cast(cast(x as double) * (1 + 0.125::double * ((i - 1) % 5 - 2)) as float)) from embeddings)"""
+
+
+def paired_index(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    moved = F.transform("embedding", lambda x, i: (x.cast("double") * (1 + F.lit(0.125) * (i % 5 - 2))).cast("float"))
+    return vectors.index(vectors.usable(e.unionByName(e.select((F.col("vec_id") + 1000000).alias("vec_id"), "label", moved.alias("embedding")))))
+
+
+@query(f"""with {PAIRED}, {unit_sql("vecs")}, p as (select a.vec_id as query, b.vec_id as id, a.scale, cast(list_sum(list_transform(list_zip(a.code, b.code), lambda p: p[1] * p[2])) as bigint) as score from ix a, ix b where a.vec_id <> b.vec_id),
+    k as (select * from p qualify row_number() over (partition by query order by score desc, id) <= 16)
+    select query, id, score, cast(row_number() over (partition by query order by score desc, id) as int) as rank from k where score / (scale * scale) >= 0.65 and query % 3 <> id % 3
+        and id // 2 not in (select vec_id // 2 from vecs group by 1 having count(*) >= greatest((select count(*) // 40 from vecs), 5)) qualify row_number() over (partition by query order by score desc, id) <= 5""")
+def kin_of_all(spark, sf_dir):
+    rows = paired_index(spark, sf_dir).withColumn("lang", F.col("vec_id") % 3).withColumn("name", F.floor(F.col("vec_id") / 2))
+    return batch_vectors.kin(rows, "lang", "name")
+
+
+@query(f"""with {PAIRED}, {unit_sql("vecs")}, p as (select a.vec_id as query, b.vec_id as id, cast(list_sum(list_transform(list_zip(a.unit, b.unit), lambda p: case when (p[1] >= 0) = (p[2] >= 0) then 0 else 1 end)) as bigint) as score
+        from ix a, ix b where a.vec_id <> b.vec_id)
+    select query, id, score, cast(row_number() over (partition by query order by score, id) as int) as rank from p qualify row_number() over (partition by query order by score, id) <= 128""")
+def shortlists_of_all(spark, sf_dir):
+    return batch_vectors.shortlists(paired_index(spark, sf_dir), 4)
