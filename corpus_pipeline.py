@@ -2,7 +2,9 @@
 
 Each stage takes all its predecessor kept. All but the last return the columns of documents; their order is not kept.
 Nulls: a null text fails the quality rules, so it goes in the first stage; other nulls pass through. Rows that repeat an
-id with its text are one document, which near-duplicates keep or drop together.
+id with its text are one document, which near-duplicates keep or drop together. Texts of any length are read whole by every
+stage. Further columns of documents, whatever their names, pass through all stages but the last; an empty table gives an
+empty table with the same columns.
 """
 
 from __future__ import annotations

@@ -95,3 +95,11 @@ def test_run_equals_brute_force(spark, tmp_path, monkeypatch):
     assert key((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == key(expected)
     runs, _ = packing.best_fit(dict(collections.Counter(r[3] for r in expected)), corpus_pipeline.CAPACITIES)
     assert sorted((r.length, r.sequence_id, r.offset) for r in got) == sorted((r.length, r.bin + k, r.offset) for r in runs for k in range(r.count))
+
+
+def test_empty_table(spark, no_docs):
+    """Every stage of a table without rows, and with columns named as the operators' own."""
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, no_docs, "/root/testdata/sf0.001")
+        assert out.count() == 0, name
+        assert name == "packing" or out.columns == no_docs.columns, name
