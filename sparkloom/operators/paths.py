@@ -4,7 +4,7 @@ A partial path leads from one node to another and says what must lie on top of t
 what it puts there in its place (after). A use starts with its dotted name on the stack; a path fits if what it wants is a
 prefix of the stack, and is followed by replacing that prefix. Where nothing is left on the stack a definition is found. So a
 file's facts become paths once, whoever asks, and all uses of all files are followed together, one join a step, keyed by
-the node and the name on top. Nodes are
+the node and what is wanted of the stack. Nodes are
 
     scope   a name as it is seen from a scope: the innermost scope around it that has the name
     inside  a name as a member of a scope, not of those around it
@@ -55,16 +55,15 @@ ROOT = "root"
 
 
 def partial_paths(facts: Facts) -> DataFrame:
-    """(start, top, before, end, after, further, def_file, def_line): every path of the facts.
+    """(start, before, end, after, further, def_file, def_line): every path of the facts.
 
-    top is the first name of before, null where before is empty; further marks the paths that only count where no other of the
-    node fits. A path to a definition has its place, and no end if the definition has no members.
+    further marks the paths that only count where no other of the node fits; they want nothing of the stack, and all others
+    something. A path to a definition has its place, and no end if the definition has no members.
     """
     none, empty = F.lit(None), F.array().cast(_NONE)
 
     def path(df: DataFrame, start: Column, before: Column, end: Column, after: Column, further: bool = False, file: Column = none, line: Column = none) -> DataFrame:
-        row = df.select(start.alias("start"), before.cast(_NONE).alias("before"), end.cast("string").alias("end"), after.cast(_NONE).alias("after"), F.lit(further).alias("further"), file.cast("string").alias("def_file"), line.cast("int").alias("def_line"))
-        return row.withColumn("top", F.when(F.size("before") > 0, F.col("before")[0]))
+        return df.select(start.alias("start"), before.cast(_NONE).alias("before"), end.cast("string").alias("end"), after.cast(_NONE).alias("after"), F.lit(further).alias("further"), file.cast("string").alias("def_file"), line.cast("int").alias("def_line"))
 
     seen, inside, top = _node("scope"), _node("inside"), F.array("name")
     around = facts.bases.join(facts.scopes, ["file", "scope"])
@@ -91,12 +90,13 @@ def partial_paths(facts: Facts) -> DataFrame:
 def _follow(states: DataFrame, paths: DataFrame) -> DataFrame:
     """states(question, node, stack) one path on: question, node, stack and the place of the definition that the path ends in."""
     rows = states.withColumn("id", F.struct("question", "node", "stack"))
-    n = F.size("before")
-    fit = rows.join(paths.filter("top is not null and not further"), (F.col("node") == F.col("start")) & (F.col("stack")[0] == F.col("top")))
-    fit = fit.filter(F.slice("stack", F.lit(1), F.greatest(n, F.lit(1))) == F.col("before"))
+    # Every beginning of the stack that a path of the node may want: modules have names of several parts, all others one name.
+    parts = F.when(F.col("node") == ROOT, F.size("stack")).otherwise(1)
+    wants = rows.withColumn("n", F.explode(F.sequence(F.lit(1), parts))).withColumn("want", F.slice("stack", F.lit(1), F.col("n")))
+    fit = wants.join(paths.filter("not further"), (F.col("node") == F.col("start")) & (F.col("want") == F.col("before"))).drop("n", "want")
     hidden = fit.select("id").distinct()
     out = rows.join(hidden, "id", "left_anti").join(paths.filter("further"), F.col("node") == F.col("start"))
-    rest = F.slice("stack", n + 1, F.greatest(F.size("stack"), F.lit(1)))
+    rest = F.slice("stack", F.size("before") + 1, F.greatest(F.size("stack"), F.lit(1)))
     return fit.unionByName(out).select("question", F.col("end").alias("node"), F.concat("after", rest).alias("stack"), "def_file", "def_line")
 
 
