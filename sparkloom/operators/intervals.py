@@ -14,18 +14,33 @@ def _islands(rows: DataFrame, by: list[str], order: list[Column], new: Column) -
 
 
 def coalesce(spans: DataFrame, by: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Unions of spans that overlap or touch (start <= last end + 1)."""
-    rows = spans.select(*by, start, end).distinct()  # repeats are dropped before the shuffle on by
-    reach = F.max(end).over(Window.partitionBy(*by).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("reach", reach)
-    rows = _islands(rows, by, [F.col(start), F.col(end)], F.col("reach").isNull() | (F.col(start) > F.col("reach") + 1))
-    return rows.groupBy(*by, "island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("island")
+    """Unions of spans that overlap or touch (start <= last end + 1). Repeats change nothing, so one sort is all a task holds."""
+    w = Window.partitionBy(*by).orderBy(start, end)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = spans.select(*by, start, end).withColumn("reach", F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    same = F.struct(start, end).eqNullSafe(F.lag(F.struct(start, end)).over(w))  # matters where spans end before they start
+    rows = rows.withColumn("new", ~same & (F.col("reach").isNull() | (F.col(start) > F.col("reach") + 1)))
+    rows = _islands(rows, by, [F.col(start), F.col(end)], F.col("new"))
+    # Islands are numbered upwards, so the greatest (island, x) so far is the island's own; its last row has the whole island.
+    rows = rows.withColumn("low", F.max(F.struct("island", (-F.col(start).cast("long")).alias("low"))).over(so_far)["low"]).withColumn("high", F.max(F.struct("island", end)).over(so_far)[end])
+    rows = rows.withColumn("next", F.lead("island").over(w)).filter("next is null or next <> island")
+    return rows.select(*by, (-F.col("low")).cast(spans.schema[start].dataType).alias(start), F.col("high").alias(end))
 
 
 def runs(points: DataFrame, by: list[str], at: str = "line") -> DataFrame:
-    """Maximal runs of consecutive lines."""
-    rows = points.select(*by, at).distinct().withColumn("k", F.col(at) - F.row_number().over(Window.partitionBy(*by).orderBy(at)))
-    return rows.groupBy(*by, "k").agg(F.min(at).alias("start"), F.max(at).alias("end")).drop("k")
+    """Maximal runs of consecutive lines. Repeats change nothing, so one sort is all a task holds."""
+    w = Window.partitionBy(*by).orderBy(at)
+    rows = points.select(*by, at).withColumn("_was", F.lag(F.struct(at)).over(w)).withColumn("_next", F.lead(F.struct(at)).over(w))
+
+    def apart(a: Column, b: Column) -> Column:  # a null comes before all lines
+        return F.coalesce(b - a > 1, a.isNull() & b.isNotNull())
+
+    first = F.col("_was").isNull() | apart(F.col(f"_was.{at}"), F.col(at))
+    last = F.col("_next").isNull() | apart(F.col(at), F.col(f"_next.{at}"))
+    # The ends alone: behind the first line of a run comes its last one.
+    ends = rows.withColumn("_first", first).withColumn("_last", last).filter("_first or _last")
+    ends = ends.withColumn("end", F.when(F.col("_last"), F.col(at)).otherwise(F.lead(at).over(w)))
+    return ends.filter("_first").select(*by, F.col(at).alias("start"), "end")
 
 
 def line_shift(edits: DataFrame, by: list[str], at: str = "old_start", delta: str = "delta") -> DataFrame:
