@@ -128,7 +128,9 @@ def build_index(docs: DataFrame, shard: int = SHARD) -> Index:
         if size:
             yield shut(ids, hashes, counts)
 
-    return Index(common.written(docs.mapInArrow(run, schema), "index"), documents, terms)
+    # A shard is a row group of its own: otherwise the writer holds a hundred of them before it looks at their size, and the
+    # reader, which takes up to 4096 rows at once, all of a file.
+    return Index(common.written(docs.mapInArrow(run, schema), "index", **{"parquet.block.row.count.limit": "1"}), documents, terms)
 
 
 class _Block:
