@@ -2,7 +2,7 @@
 
 import pytest
 
-from sparkloom.operators import resolve
+from sparkloom.operators import explore, resolve
 
 CALLS = "caller string, callee_name string, arity long, recv_kind string, recv_arg string"
 SYMBOLS = "id string, name string, qualified string, kind string, file string, start_line int, end_line int, arity long"
@@ -42,3 +42,16 @@ def test_what_is_written_goes_by_calls(spark, tables, monkeypatch):
 
 def test_pairs_are_made_in_all_partitions(spark, tables):
     assert resolve.match_dyn(*tables).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_reports_by_names(spark, tables):
+    calls, symbols, impls = tables
+    calls = calls.unionByName(spark.createDataFrame([("g", "A::run", 0, "free", ""), ("f7", "go", 0, "path", "B"), ("far", "A::run", 0, "free", "")], CALLS))
+    methods = spark.createDataFrame([("f1", "B")], "method_id string, type_qualified string")
+    refs = spark.createDataFrame([], "referrer string, type_name string")
+    symbols = symbols.unionByName(spark.createDataFrame([("B", "B", "B", "type", "b", 1, 2, -1)], SYMBOLS))
+    whole = resolve.resolve_edges(calls, symbols, impls, methods, refs)
+    edges, names = resolve.keyed_edges(calls, symbols, impls, methods)
+    assert edges.count() < 25 < whole.count()
+    shown = spark.createDataFrame([(1, "far"), (2, "f3"), (3, "twice"), (4, "B")], "place int, id string")
+    assert sorted(explore.report(shown, symbols, edges, names).collect()) == sorted(explore.report(shown, symbols, whole).collect())
