@@ -101,7 +101,7 @@ def facts(files: DataFrame) -> DataFrame:
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 3 else pa.string()) for i, c in enumerate(cols)], ["path", "kind", "name", "line", "target", "member"])
 
-    return files.filter("path like '%.py' or path like '%.pyi'").select("path", "text").mapInArrow(run, FACTS)
+    return shared.dealt(files.filter("path like '%.py' or path like '%.pyi'").select("path", "text")).mapInArrow(run, FACTS)
 
 
 def references(files: DataFrame, most: int = 64) -> DataFrame:
@@ -110,7 +110,7 @@ def references(files: DataFrame, most: int = 64) -> DataFrame:
     f = shared.written(facts(files), "facts")
     module = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", r"\.pyi?$", ""), r"/?__init__$", ""), "/", ".")
     modules = files.select("path").withColumn("module", module).filter("path like '%.py' or path like '%.pyi'").groupBy("module").agg(F.min("path").alias("file"))
-    defs = f.filter("kind = 'define'").groupBy(F.col("path").alias("file"), "name").agg(F.max("line").alias("def_line"))
+    defs = shared.written(f.filter("kind = 'define'").groupBy(F.col("path").alias("file"), "name").agg(F.max("line").alias("def_line")), "defs")
     imports = f.filter("kind = 'import'").groupBy("path", "name").agg(F.max(F.struct("line", "target", "member")).alias("i")).select("path", "name", "i.target", "i.member")
     # What a name of a file stands for: a name of another file, or a whole one (member '').
     sub = imports.filter("member <> ''").join(modules.select(F.concat_ws(".", "module").alias("whole"), F.col("file").alias("to_file")), F.concat_ws(".", F.when(F.col("target") != "", F.col("target")), "member") == F.col("whole"))
