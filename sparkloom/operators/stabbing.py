@@ -52,9 +52,41 @@ def least_holding(points: DataFrame, spans: DataFrame, by: list[str], at: str, s
     return _over(asked, F.col(at), low, n).join(nodes, [*by, "k", "i"]).groupBy(*by, at).agg(F.min("_v").alias("least"))
 
 
+#: Fixed value: positions that one mask of 64 bits holds.
+WORD = 64
+
+
+def _mask(first: Column, last: Column) -> Column:
+    """The bits first..last of a word; none if last is before first."""
+    below = lambda n: F.when(n >= WORD, F.lit(-1).cast("long")).otherwise(F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), n.cast("int"))))
+    return below(last + 1).bitwiseAND(F.bitwise_not(below(first)))
+
+
 def held(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: Column, end: Column) -> DataFrame:
-    """The distinct points(by, at) that a span holds."""
-    return least_holding(points, spans, by, at, start, end, F.lit(1)).select(*by, at)
+    """The distinct points(by, at) that a span holds.
+
+    Points of a word are one mask, and so are the ends of spans, which words keep as what they hold in all; only words that lie
+    wholly inside a span are looked for in dyadic nodes. So a point is shuffled about once, not once a level.
+    """
+    low, _ = levels((points, F.col(at), F.col(at)), (spans, start, end))
+    asked = points.filter(F.col(at).isNotNull()).withColumn("_p", F.col(at).cast("long") - low)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_p") % WORD).cast("int"))
+    asked = asked.select(*by, F.expr(f"_p div {WORD}").alias("_w"), bit.alias("_m")).groupBy(*by, "_w").agg(F.bit_or("_m").alias("_m"))
+    s = spans.select(*by, (start.cast("long") - low).alias("_a"), (end.cast("long") - low).alias("_b")).filter("_a <= _b")
+    s = s.withColumn("_l", F.expr(f"_a div {WORD}")).withColumn("_r", F.expr(f"_b div {WORD}"))
+    a, b = F.col("_a") % WORD, F.col("_b") % WORD
+    head = F.struct(F.col("_l").alias("_w"), _mask(a, F.when(F.col("_l") == F.col("_r"), b).otherwise(WORD - 1)).alias("_s"))
+    tail = F.struct(F.col("_r").alias("_w"), _mask(F.lit(0), b).alias("_s"))
+    ends = s.select(*by, F.explode(F.when(F.col("_l") == F.col("_r"), F.array(head)).otherwise(F.array(head, tail))).alias("_e")).select(*by, "_e._w", "_e._s")
+    rows = asked.join(ends.groupBy(*by, "_w").agg(F.bit_or("_s").alias("_s")), [*by, "_w"], "left")
+    inner = s.filter("_r - _l > 1")
+    if not inner.isEmpty():
+        whole = least_holding(asked, inner, by, "_w", F.col("_l") + 1, F.col("_r") - 1, F.lit(1))
+        rows = rows.join(whole, [*by, "_w"], "left").withColumn("_s", F.when(F.col("least").isNotNull(), F.lit(-1).cast("long")).otherwise(F.col("_s")))
+    both = F.coalesce("_s", F.lit(0).cast("long")).bitwiseAND(F.col("_m"))
+    bits = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.call_function("shiftright", both, i).bitwiseAND(F.lit(1)) == 1)
+    place = (F.col("_w") * WORD + F.col("_i") + low).cast(points.schema[at].dataType).alias(at)
+    return rows.select(*by, "_w", F.explode(bits).alias("_i")).select(*by, place)
 
 
 def last_before(points: DataFrame, marks: DataFrame, by: list[str], at: str, place: Column, value: Column) -> DataFrame:

@@ -1,5 +1,6 @@
 """Points and spans by dyadic buckets, against every pair."""
 
+import random
 import re
 import time
 
@@ -69,3 +70,23 @@ def test_one_file_with_many(spark):
     began = time.time()
     assert out.filter("exact").count() == n
     assert time.time() - began < 120
+
+
+@pytest.mark.parametrize("length", [1, 70, 400])
+def test_points_in_spans_by_masks(spark, length):
+    """Spans within a word, over an end of one and over whole words, below and above 0, with nulls and spans that end before they start."""
+    r = random.Random(length)
+    points = [(r.choice("ab"), r.randint(-300, 900)) for _ in range(300)] + [("a", None), (None, 5), ("c", 3)]
+    spans = [(r.choice("ab"), x, x + r.randint(-2, length)) for x in (r.randint(-300, 900) for _ in range(12))] + [("a", None, 5), (None, 0, 9)]
+    p, s = spark.createDataFrame(points, "f string, at int"), spark.createDataFrame(spans, "f string, s int, e int")
+    got = stabbing.held(p, s, ["f"], "at", F.col("s"), F.col("e"))
+    want = {(k, at) for k, at in points if k and at is not None and any(k == k2 and a is not None and a <= at <= b for k2, a, b in spans)}
+    assert sorted(map(tuple, got.collect())) == sorted(want) and got.schema["at"].dataType.simpleString() == "int"
+
+
+def test_points_are_shuffled_once(spark, monkeypatch):
+    """A point is not a row for each level: spans of some lines are masks, and levels are for words that lie inside spans."""
+    p = spark.range(4096).select((F.col("id") % 4).alias("f"), F.expr("cast(id div 4 as int)").alias("at"))
+    s = spark.range(64).select((F.col("id") % 4).alias("f"), (F.col("id") * 16).alias("s"), (F.col("id") * 16 + 4).alias("e"))
+    monkeypatch.setattr(stabbing, "_at_levels", lambda *_: pytest.fail("rows for each level"))
+    assert stabbing.held(p, s, ["f"], "at", F.col("s"), F.col("e")).count() == 64 * 5
