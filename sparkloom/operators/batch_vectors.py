@@ -10,6 +10,8 @@ blocks, as do dot products, for which bits give no bound.
 from __future__ import annotations
 
 import itertools
+import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,10 @@ CHUNK = 16
 ROUNDS = (0, 1)
 #: Codes of a bucket beyond which a query goes to the blocks.
 FULL = 4096
-#: Vectors of a block.
-BLOCK = 4096
+#: Queries of a block, bytes of the vectors of a block, and vectors that a block of queries meets at a time.
+BLOCK = 16384
+BLOCK_BYTES = 32 << 20
+PART = 4096
 
 
 def _masks(t: int) -> list[int]:
@@ -63,15 +67,63 @@ def _near_codes(codes: DataFrame, asked: DataFrame, words: int, t: int) -> tuple
     return found.filter(F.col("hamming") < n * (t + 1)), full
 
 
-def neighbours(rows: DataFrame, asked: DataFrame, k: int, column: str, id_: str = "vec_id") -> DataFrame:
+def _costs(v: np.ndarray, bits: bool, largest: int) -> Callable[[np.ndarray], np.ndarray]:
+    """What gives some queries, of components up to largest, their costs to v, the least for the best: different bits, or the negative dot
+    product. Products go through floats where these hold every sum exactly, as numpy multiplies only those in blocks; else through integers."""
+    if bits:
+        one = lambda q, w: np.bitwise_count((q[:, w, None] ^ v[None, :, w]).view(np.uint64))
+        return lambda q: one(q, 0) if v.shape[1] == 1 else sum(one(q, w).astype(np.int32) for w in range(v.shape[1]))
+    widest = v.shape[1] * int(np.abs(v).max(initial=1)) * largest
+    kind = np.float32 if widest < 2**24 else np.float64 if widest < 2**53 else np.int64
+    across = np.ascontiguousarray(-v.astype(kind).T)
+    return lambda q: q.astype(kind) @ across
+
+
+def _nearest(ids: np.ndarray, v: np.ndarray, own: np.ndarray, q: np.ndarray, k: int, bits: bool, most: int | None) -> list[np.ndarray]:
+    """[query, id, cost]: for each of the queries (own, q) its k least costs among the vectors (ids, v), itself excepted, none above `most`.
+
+    Vectors are met part by part. A cost above what was a query's k-th least is not looked at again, and what is found is merged
+    when it has become as much as is kept.
+    """
+    edge = np.full(len(own), np.iinfo(np.int64).max if most is None else most, np.int64)
+    found, pending = [], 0  # (place of the query, id, cost) of what is kept and what has come since
+    largest = 0 if bits else int(np.abs(q).max(initial=1))
+    for at in range(0, len(ids), PART):
+        cost, there = _costs(v[at : at + PART], bits, largest), ids[at : at + PART]
+        for first in range(0, len(own), 256):
+            c, e = cost(q[first : first + 256]), edge[first : first + 256]
+            limit = e.astype(c.dtype) if c.dtype.kind == "f" else np.clip(e, np.iinfo(c.dtype).min, np.iinfo(c.dtype).max).astype(c.dtype)
+            if most is None and at == 0 and c.shape[1] > k:  # no edge yet: that of this part, the query itself among it
+                limit = np.minimum(limit, np.partition(c, k, axis=1)[:, k])
+            i, j = np.divmod(np.flatnonzero(c <= limit[:, None]), c.shape[1])
+            some = there[j] != own[i + first]
+            i, j = i[some], j[some]
+            found.append((i + first, there[j], c[i, j].astype(np.int64)))
+            pending += len(i)
+        if at == 0 or pending > len(own) * k or at + PART >= len(ids):
+            i, id_, c = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((id_, c, i))
+            i, id_, c = i[order], id_[order], c[order]
+            rank = np.arange(len(i)) - np.searchsorted(i, i)
+            found, pending = [(i[rank < k], id_[rank < k], c[rank < k])], 0
+            edge[i[rank == k - 1]] = c[rank == k - 1]
+    return [own[found[0][0]], *found[0][1:]]
+
+
+def neighbours(rows: DataFrame, asked: DataFrame, k: int, column: str, id_: str = "vec_id", floor: float | None = None) -> DataFrame:
     """(query, id, score, rank): for each of asked the k other rows with the highest integer dot product of their codes (column
-    "code") or the fewest different bits ("bits"); ties to the smaller id.
+    "code") or the fewest different bits ("bits"); ties to the smaller id. With a floor, dot products under it are left out.
 
-    Rows and queries are dealt to cells of blocks by hash; a cell gives k rows a query, which a window merges.
+    Rows and queries are dealt to cells of blocks by hash; a cell gives k rows a query, which a window merges. A block of rows is as large as
+    BLOCK_BYTES allow, as what cells give grows with the number of blocks of rows, and what they are given with those of queries.
     """
     bits = column == "bits"
+    most = None if floor is None or bits else -math.ceil(floor)
     n, n_asked = rows.count(), asked.count()
-    a, b = max(1, -(-n // BLOCK)), max(1, -(-n_asked // BLOCK))
+    first = rows.select(F.size(column)).first()
+    wide = max(1, first[0] if first else 1) * (8 if bits else 4) + 8
+    a = max(1, -(-n * wide // BLOCK_BYTES))
+    b = max(1, -(-n_asked // BLOCK), min(n_asked // 1024, 2 * rows.sparkSession.sparkContext.defaultParallelism))
     salt = F.xxhash64(id_)
     left = rows.select(F.col(id_).alias("id"), F.col(column).alias("v"), F.pmod(salt, F.lit(a)).cast("long").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("b"))
     right = asked.select(F.col(id_).alias("id"), F.col(column).alias("v"), F.pmod(salt, F.lit(b)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(a - 1).cast("long"))).alias("a"))
@@ -81,24 +133,14 @@ def neighbours(rows: DataFrame, asked: DataFrame, k: int, column: str, id_: str
         return vectors._matrix(t.column("v").combine_chunks(), np.int64)
 
     def cell(x: pa.Table, q: pa.Table) -> pa.Table:
-        made = []
+        cols = [np.zeros(0, np.int64)] * 3
         if x.num_rows and q.num_rows:
-            m, ids, own = matrix(x), x.column("id").to_numpy(), q.column("id").to_numpy()
-            asked_ = matrix(q)
-            for at in range(0, len(own), 256):
-                part = asked_[at : at + 256]
-                # As costs, so that the least is the best.
-                cost = -(part @ m.T) if not bits else sum(np.bitwise_count((part[:, w, None] ^ m[None, :, w]).view(np.uint64)).astype(np.int64) for w in range(m.shape[1]))
-                for i, c in enumerate(cost):
-                    c = np.where(ids == own[at + i], np.iinfo(np.int64).max, c)
-                    edge = np.partition(c, min(k, len(c)) - 1)[min(k, len(c)) - 1]
-                    near = np.flatnonzero((c <= edge) & (c < np.iinfo(np.int64).max))
-                    near = near[np.lexsort((ids[near], c[near]))[:k]]
-                    made.append((np.full(len(near), own[at + i]), ids[near], c[near] if bits else -c[near]))
-        cols = [np.concatenate(c) for c in zip(*made, strict=True)] if made else [np.zeros(0, np.int64)] * 3
-        return pa.table([pa.array(c, pa.int64()) for c in cols], names=schema.names)
-
-    near = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(cell, schema)
+            cols = _nearest(x.column("id").to_numpy().astype(np.int64), matrix(x), q.column("id").to_numpy().astype(np.int64), matrix(q), k, bits, most)
+        query, near, cost = cols
+        return pa.table([pa.array(c, pa.int64()) for c in (query, near, cost if bits else -cost)], names=schema.names)
+
+    cells = [shared.dealt(x, "a", "b") for x in (left, right)]
+    near = cells[0].groupBy("a", "b").cogroup(cells[1].groupBy("a", "b")).applyInArrow(cell, schema)
     best = Window.partitionBy("query").orderBy(F.asc("score") if bits else F.desc("score"), "id")
     return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
@@ -139,7 +181,9 @@ def shortlists(rows: DataFrame, k: int, id_: str = "vec_id") -> DataFrame:
 def kin(rows: DataFrame, language: str, name: str, k: int = 16, shown: int = 5, id_: str = "vec_id") -> DataFrame:
     """(query, id, score, rank): vectors.kin() of every row: of its k nearest those with a score of KIN_FLOOR, an uncommon name
     and another language; the first `shown`."""
-    near = neighbours(rows, rows, k, "code", id_).drop("rank")
+    first = rows.select("scale").first()  # one number, the same in all rows
+    # Less than the floor by more than rounding: only lower scores are left out before the floor itself is applied.
+    near = neighbours(rows, rows, k, "code", id_, vectors.KIN_FLOOR * first[0] ** 2 - 1 if first else None).drop("rank")
     told = rows.select(F.col(id_).alias("id"), F.col(language).alias("_theirs"), F.col(name).alias("_name"), "scale")
     own = rows.select(F.col(id_).alias("query"), F.col(language).alias("_own"))
     near = near.join(told, "id").join(own, "query").filter((F.col("score") / (F.col("scale") * F.col("scale")) >= vectors.KIN_FLOOR) & (F.col("_theirs") != F.col("_own")))

@@ -61,3 +61,36 @@ def test_dot_products_in_blocks(spark, monkeypatch):
     got = batch_vectors.neighbours(rows, rows, 7, "code")
     assert {tuple(r) for r in got.select("query", "id", "score", "rank").collect()} == near(x, ids, 7, False)
     assert batch_vectors.neighbours(rows.limit(0), rows.limit(0), 7, "code").count() == 0 == batch_vectors.shortlists(rows.limit(0).withColumnRenamed("code", "bits"), 2).count()
+
+
+@pytest.mark.parametrize("part", [16, 4096])
+@pytest.mark.parametrize("most", [3, 5000, 2**27])
+def test_parts_of_a_block(part, most, monkeypatch):
+    """Floats of both widths and integers, many ties, with and without a floor, met in many parts: as all pairs."""
+    monkeypatch.setattr(batch_vectors, "PART", part)
+    rng = np.random.default_rng(most % 97)
+    x, ids = rng.integers(-most, most + 1, (300, 8)), rng.permutation(300)
+    own = rng.permutation(300)[:90]
+    for floor in (None, int(2 * most**2)):
+        got = batch_vectors._nearest(ids, x, ids[own], x[own], 7, False, None if floor is None else -floor)
+        expected = {(q, j, s) for q, j, s, _ in near(x, ids, 7, False) if q in set(ids[own].tolist()) and (floor is None or s >= floor)}
+        assert {(int(q), int(i), -int(c)) for q, i, c in zip(*got)} == expected and len(got[0]) == len(expected)
+
+
+def test_cells_do_not_multiply(spark):
+    """All vectors that fit a block are one: a cell gives k rows a query, so that what is shuffled would grow with the number of cells."""
+    rng = np.random.default_rng(5)
+    rows = table(spark, rng.integers(-(2**63), 2**63, (9000, 1)), np.arange(9000), "bits")
+    real = spark.sparkContext.accumulator(0)
+
+    def counting(*args):
+        found = counted(*args)
+        real.add(len(found[0]))
+        return found
+
+    counted, batch_vectors._nearest = batch_vectors._nearest, counting
+    try:
+        out = batch_vectors.neighbours(rows, rows.filter("vec_id < 50"), 7, "bits").count()
+    finally:
+        batch_vectors._nearest = counted
+    assert out == 50 * 7 == real.value
