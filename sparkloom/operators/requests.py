@@ -93,7 +93,8 @@ def compiled(requests: DataFrame, symbols: DataFrame, spans: DataFrame) -> tuple
     move, with dest, remove or null. A fault of a section as a whole has seq -1, one of the request section -1. Anchors by
     name need one line of the file that begins a symbol so named; blocks that begin on a line give the widest one.
     """
-    whole = requests.select("req", F.try_parse_json("body").alias("v"))
+    # Requests are small and costly to parse: as they come, a few tasks would have them all, and those of the tables written of them.
+    whole = shared.dealt(requests.select("req", "body"), "req").select("req", F.try_parse_json("body").alias("v"))
     ops = F.when(_kind(F.col("v")) == "ARRAY", F.try_variant_get("v", "$", "array<variant>")).when(_kind(F.col("v")) == "OBJECT", F.array("v"))
     rows = shared.written(whole.select("req", ops.alias("ops")).select("req", F.transform("ops", lambda x: F.to_json(x)).alias("ops")), "requests")
     bad = rows.filter("ops is null or size(ops) = 0").select("req", F.lit(-1).alias("section"), F.lit(-1).alias("seq"), F.lit("no sections").alias("fault"))
