@@ -36,13 +36,12 @@ COPIES = """l as (select doc_id, string_split(coalesce(text, ''), chr(10)) as l
 @query(f"""with {COPIES} select path, removed, added, case when removed + added = 0 then 0 when k = 3 and n > 8 then 2 else 1 end as hunks, sha256(array_to_string(new, chr(10))) as patched from copies""")
 def unified_diff(spark, sf_dir):
     """What the unified text of each document and its copy removes and adds, and the document after the patch."""
-    d = shared.written(_copies(spark, sf_dir), "copies")
-    old, new = diffs.numbered(d, "path", "old"), diffs.numbered(d, "path", "new")
-    hunks = shared.written(diffs.hunks(diffs.script(old, new, "path"), "path"), "hunks")
+    d = _copies(spark, sf_dir)
+    hunks = shared.written(diffs.file_hunks(d, "path", "old", "new"), "hunks")
     text = diffs.unified(hunks, "path").select("path", F.slice(F.split("text", "\n", -1), 3, 1 << 30).alias("lines"))
     with_sign = lambda sign: F.size(F.filter("lines", lambda x: x.startswith(sign))).cast("int")
     counts = text.select("path", with_sign("-").alias("removed"), with_sign("+").alias("added"), with_sign("@").alias("hunks"))
-    after = diffs.texts(diffs.patched(old, hunks, "path"), "path").select("path", F.sha2("text", 256).alias("patched"))
+    after = diffs.applied(d, hunks, "path", "old").select("path", F.sha2("text", 256).alias("patched"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return after.join(counts, "path", "left").select("path", zero("removed"), zero("added"), zero("hunks"), "patched")
 
