@@ -25,6 +25,33 @@ def apply_hunks(lines: DataFrame, hunks: DataFrame, path: str = "path") -> DataF
     return kept.unionByName(new).withColumn("line", F.row_number().over(Window.partitionBy(path).orderBy("k1", "k2", "k3", "k4"))).select(path, "line", "text")
 
 
+def changes_of(hunks: DataFrame, path: str = "path") -> DataFrame:
+    """(path, changes): the hunks of a file in one row, for applied()."""
+    kind = F.col("action")
+    phase = F.when(kind == "bof", BOF).when(kind == "insert_before", BEFORE).when(kind.isin("replace", "cut"), AT).when(kind == "insert_after", AFTER).otherwise(EOF)
+    at = F.when(kind == "bof", 0).when(kind == "eof", 2**31 - 1).otherwise(F.col("start"))
+    # The last line that comes before what a hunk inserts, and the lines that it removes.
+    upto = F.when(kind == "insert_before", F.col("start") - 1).otherwise(at).cast("int")
+    cuts = kind.isin("replace", "cut")
+    change = F.struct(at.cast("int").alias("at"), phase.alias("phase"), "seq", upto.alias("upto"), F.when(cuts, F.col("start")).cast("int").alias("cut"), F.when(cuts, F.col("end")).cast("int").alias("to"), F.when(kind == "cut", F.array().cast("array<string>")).otherwise(F.col("body")).alias("body"))
+    return hunks.groupBy(path).agg(F.array_sort(F.collect_list(change)).alias("changes"))
+
+
+def applied(lines: Column, changes: str) -> Column:
+    """The array lines after a file's changes_of(), which may be null: as apply_hunks(), within the row."""
+    c, n = F.col(changes), F.size(lines)
+
+    def kept(after: Column, upto: Column) -> Column:
+        some = F.slice(lines, after + 1, F.greatest(F.least(upto, n) - after, F.lit(0)))
+        return F.filter(some, lambda _, i: ~F.exists(c, lambda x: x["cut"].isNotNull() & (i + after + 1 >= x["cut"]) & (i + after + 1 <= x["to"])))
+
+    def piece(x: Column, k: Column) -> Column:
+        return F.concat(kept(F.least(F.coalesce(F.get(c, k - 1)["upto"], F.lit(0)), n), x["upto"]), x["body"])
+
+    whole = F.concat(F.flatten(F.transform(c, piece)), kept(F.least(F.element_at(c, -1)["upto"], n), n))
+    return F.when(c.isNull(), lines).otherwise(whole)
+
+
 def refused(lines: DataFrame, hunks: DataFrame, seen: DataFrame | None = None, path: str = "path") -> DataFrame:
     """(path, line, reason) of edits that must not be applied: out of bounds, overlapping, or on lines never shown."""
     ranged = hunks.filter("action not in ('bof', 'eof')").select(path, "seq", "action", "start", F.when(F.col("action").isin("replace", "cut"), F.col("end")).otherwise(F.col("start")).alias("end"))

@@ -23,16 +23,6 @@ def _key(path: str = "path"):
     return F.concat_ws("\x00", "ws", path)
 
 
-def _lines(texts: DataFrame) -> DataFrame:
-    """(file, n, text) of texts(file, text)."""
-    return X.lines(texts.select(_KEY, "text")).select(_KEY, F.col("line").alias("n"), "text")
-
-
-def _joined(lines: DataFrame) -> DataFrame:
-    """(file, text) of (file, n, text), every line ended by a line break."""
-    return diffs.texts(lines, _KEY).select(_KEY, F.concat("text", F.lit("\n")).alias("text"))
-
-
 def _round(state: DataFrame, sections: DataFrame, hunks: DataFrame, objects: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(file, ws, path, text, how) that a round's sections make, a null text for a file that goes, and (ws, reason) of those refused.
 
@@ -57,26 +47,24 @@ def _round(state: DataFrame, sections: DataFrame, hunks: DataFrame, objects: Dat
 
     good = s.filter("reason is null")
     mine = hunks.join(good.select("ws", "section", _KEY), ["ws", "section"]).select(F.col(_KEY).alias("path"), "seq", "action", "start", "end", "body")
-    lines = _lines(good.select(_KEY, F.col("base").alias("text")))
-    of_path = lines.select(F.col(_KEY).alias("path"), F.col("n").alias("line"), "text")
+    count = good.select(F.col(_KEY).alias("path"), F.size(X.split_lines(F.col("base"))).alias("line")).filter("line > 0")
     # Lines that replace or cut nothing of an empty file are out of bounds, so such a file only takes insertions at its ends.
-    bad = edits.refused(of_path, mine).select(F.col("path").alias(_KEY), F.col("reason").alias("bad")).groupBy(_KEY).agg(F.min("bad").alias("bad"))
-    s = s.join(bad, _KEY, "left").withColumn("reason", F.coalesce("reason", "bad")).drop("bad")
-    s = shared.written(s, "tried")
-
-    good = s.filter("reason is null")
-    edited = edits.apply_hunks(of_path.join(good.select(F.col(_KEY).alias("path")), "path", "left_semi"), mine.join(good.select(F.col(_KEY).alias("path")), "path", "left_semi"))
-    edited = shared.written(edited.select(F.col("path").alias(_KEY), F.col("line").alias("n"), "text"), "edited")
-    stale = good.filter("live is not null and live <> base").select(_KEY)
-    part = lambda c: _lines(good.join(stale, _KEY, "left_semi").select(_KEY, F.col(c).alias("text")))
-    merged, conflicts = diffs.merge_lines(part("base"), part("live"), edited.join(stale, _KEY, "left_semi"), _KEY)
-    whole = edited.join(stale, _KEY, "left_anti").unionByName(merged.select(_KEY, "n", "text"))
-    s = s.join(conflicts, _KEY, "left").join(stale.withColumn("stale", F.lit(True)), _KEY, "left").join(_joined(whole), _KEY, "left")
-    s = shared.written(s.withColumn("reason", F.coalesce("reason", F.when(F.col("conflicts") > 0, F.lit("conflict")))), "done")
+    bad = edits.refused(count, mine).select(F.col("path").alias(_KEY), F.col("reason").alias("bad")).groupBy(_KEY).agg(F.min("bad").alias("bad"))
+    changes = edits.changes_of(mine).withColumnRenamed("path", _KEY)
+    s = s.join(bad, _KEY, "left").join(changes, _KEY, "left").withColumn("reason", F.coalesce("reason", "bad"))
+    s = s.withColumn("was", X.split_lines(F.col("base"))).withColumn("lines", F.when(F.col("reason").isNull(), edits.applied(F.col("was"), "changes")))
+    stale = F.col("reason").isNull() & F.col("live").isNotNull() & (F.col("live") != F.col("base"))
+    about = [_KEY, "ws", "path", "file_op", "dest", "to", "reason", F.col("live").isNull().alias("new"), F.coalesce(stale, F.lit(False)).alias("stale")]
+    s = shared.written(s.select(*about, "lines", F.when(stale, F.col("was")).alias("base"), F.when(stale, X.split_lines(F.col("live"))).alias("ours")), "edited")
+    merged = diffs.merged_lines(s.filter("stale").select(_KEY, "base", "ours", F.col("lines").alias("theirs")), _KEY)
+    over = s.filter("stale").drop("base", "ours", "lines").join(merged, _KEY).withColumn("reason", F.when(F.col("conflicts") > 0, F.lit("conflict"))).drop("conflicts")
+    s = s.filter("not stale").drop("base", "ours").unionByName(over)
+    ended = F.when(F.size("lines") > 0, F.concat(F.array_join("lines", "\n"), F.lit("\n")))
+    s = shared.written(s.withColumn("text", ended).drop("lines"), "done")
 
     good = s.filter("reason is null")
     text = F.coalesce("text", F.lit(""))
-    how = F.when(F.col("live").isNull(), "created").when(F.col("stale"), "merged").otherwise("applied")
+    how = F.when(F.col("new"), "created").when(F.col("stale"), "merged").otherwise("applied")
     stay = good.filter("file_op is null").select(_KEY, "ws", "path", text.alias("text"), how.alias("how"))
     gone = good.filter("file_op is not null").select(_KEY, "ws", "path", F.lit(None).cast("string").alias("text"), F.when(F.col("file_op") == "move", "moved").otherwise("removed").alias("how"))
     there = good.filter("file_op = 'move'").select(F.col("to").alias(_KEY), "ws", F.col("dest").alias("path"), text.alias("text"), F.when(F.col("stale"), "merged").otherwise("applied").alias("how"))
