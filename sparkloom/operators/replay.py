@@ -78,7 +78,7 @@ def replayed(files: DataFrame, sections: DataFrame, hunks: DataFrame, objects: D
     body) count lines in, or 'new'; objects(tag, text) are the stored texts. state is kept, applied, merged, created, moved or
     removed (with a null text), or the reason why the workspace's patch is refused. Texts have \\n line ends and end in one.
     """
-    state = shared.written(files.select(_key().alias(_KEY), "ws", "path", "text", F.lit("kept").alias("how")), "state")
+    state = files.select(_key().alias(_KEY), "ws", "path", "text", F.lit("kept").alias("how"))
     left = sections.withColumn("round", F.row_number().over(_by_section()))
     rounds = left.agg(F.max("round")).first()[0] or 0  # as many as the longest patch has sections
     refused = None
@@ -87,8 +87,10 @@ def replayed(files: DataFrame, sections: DataFrame, hunks: DataFrame, objects: D
         if refused is not None:
             mine = mine.join(refused.select("ws"), "ws", "left_anti")
         made, bad = _round(state.filter("text is not null"), mine, hunks, objects)
-        made, bad = shared.written(made, "made"), shared.written(bad, "bad")
-        state = shared.written(state.join(made.select(_KEY), _KEY, "left_anti").unionByName(made.select(state.columns)), "state")
+        state = state.join(made.select(_KEY), _KEY, "left_anti").unionByName(made.select(state.columns))
+        if k < rounds:  # the last one is read once
+            state = shared.written(state, "state")
+        bad = shared.written(bad, "bad")
         refused = bad if refused is None else refused.unionByName(bad)
     if refused is None:
         return state.select("ws", "path", F.col("how").alias("state"), "text")

@@ -109,10 +109,11 @@ def _replayed(spark, sf_dir) -> DataFrame:
     head, tail = F.concat(F.lit("head "), "ws"), F.concat(F.lit("tail "), "ws")
     was = whole(head, tail)
     live = F.when(k.isin(1, 4, 5), whole(head, F.concat(F.lit("live "), "ws"))).when(k == 2, whole(F.lit("other"), tail)).otherwise(was)
-    d = shared.written(d.select("ws", "k", was.alias("was"), live.alias("text")), "replayed")
-    files = d.select("ws", F.lit("a").alias("path"), "text").unionByName(d.filter("k in (7, 8)").select("ws", F.lit("b").alias("path"), F.lit("b\n").alias("text")))
-    objects = d.filter("k <> 3").select(X.tag(F.col("was")).alias("tag"), F.col("was").alias("text"))
-    cite = F.substr(X.tag(F.col("was")), F.lit(1), F.lit(40))
+    whole_texts = d.select("ws", "k", was.alias("was"), live.alias("text"))
+    d = shared.written(whole_texts.select("ws", "k", X.tag(F.col("was")).alias("tag")), "replayed")
+    files = whole_texts.select("ws", F.lit("a").alias("path"), "text").unionByName(d.filter("k in (7, 8)").select("ws", F.lit("b").alias("path"), F.lit("b\n").alias("text")))
+    objects = whole_texts.filter("k <> 3").select(X.tag(F.col("was")).alias("tag"), F.col("was").alias("text"))
+    cite = F.substr("tag", F.lit(1), F.lit(40))
     none = F.lit(None).cast("string")
 
     def section(kinds: list[int], number: int, path: str, cited: Column, op: Column = none, dest: Column = none) -> DataFrame:
