@@ -41,19 +41,21 @@ def _round(state: DataFrame, sections: DataFrame, hunks: DataFrame, objects: Dat
     cited = edits.cited_states(asked.select(F.col(_KEY).alias("path"), "cited"), now, objects).select(F.col("path").alias(_KEY), "state", F.col("base").alias("base_tag"))
     texts = objects.select(F.col("tag").alias("base_tag"), F.col("text").alias("stored")).dropDuplicates(["base_tag"])
     s = s.join(cited, _KEY, "left").join(texts, "base_tag", "left")
-    base = F.when(fresh, F.lit("")).when(F.col("state") == "live", F.col("live")).when(F.col("state") == "found", F.col("stored"))
+    same = F.coalesce(F.col("state") == "live", F.lit(False))  # then the text is written once
+    base = F.when(fresh, F.lit("")).when(F.col("state") == "found", F.col("stored"))
     s = s.withColumn("base", base).withColumn("reason", F.coalesce("reason", F.when(F.col("state").isin("ambiguous", "missing"), F.concat("state", F.lit(" tag")))))
-    s = shared.written(s.select(_KEY, "ws", "path", "section", "file_op", "dest", "to", "live", "base", "reason"), "based")
+    s = shared.written(s.select(_KEY, "ws", "path", "section", "file_op", "dest", "to", "live", "base", same.alias("same"), "reason"), "based")
 
     good = s.filter("reason is null")
     mine = hunks.join(good.select("ws", "section", _KEY), ["ws", "section"]).select(F.col(_KEY).alias("path"), "seq", "action", "start", "end", "body")
-    count = good.select(F.col(_KEY).alias("path"), F.size(X.split_lines(F.col("base"))).alias("line")).filter("line > 0")
+    base = F.when(F.col("same"), F.col("live")).otherwise(F.col("base"))
+    count = good.select(F.col(_KEY).alias("path"), F.size(X.split_lines(base)).alias("line")).filter("line > 0")
     # Lines that replace or cut nothing of an empty file are out of bounds, so such a file only takes insertions at its ends.
     bad = edits.refused(count, mine).select(F.col("path").alias(_KEY), F.col("reason").alias("bad")).groupBy(_KEY).agg(F.min("bad").alias("bad"))
     changes = edits.changes_of(mine).withColumnRenamed("path", _KEY)
     s = s.join(bad, _KEY, "left").join(changes, _KEY, "left").withColumn("reason", F.coalesce("reason", "bad"))
-    s = s.withColumn("was", X.split_lines(F.col("base"))).withColumn("lines", F.when(F.col("reason").isNull(), edits.applied(F.col("was"), "changes")))
-    stale = F.col("reason").isNull() & F.col("live").isNotNull() & (F.col("live") != F.col("base"))
+    s = s.withColumn("was", X.split_lines(base)).withColumn("lines", F.when(F.col("reason").isNull(), edits.applied(F.col("was"), "changes")))
+    stale = F.col("reason").isNull() & F.col("live").isNotNull() & (F.col("live") != base)
     about = [_KEY, "ws", "path", "file_op", "dest", "to", "reason", F.col("live").isNull().alias("new"), F.coalesce(stale, F.lit(False)).alias("stale")]
     s = shared.written(s.select(*about, "lines", F.when(stale, F.col("was")).alias("base"), F.when(stale, X.split_lines(F.col("live"))).alias("ours")), "edited")
     merged = diffs.merged_lines(s.filter("stale").select(_KEY, "base", "ours", F.col("lines").alias("theirs")), _KEY)
