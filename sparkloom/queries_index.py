@@ -93,8 +93,9 @@ def name_facts(spark, sf_dir) -> paths.Facts:
     stars = brands.select(file("api", F.col("maker")), F.lit("").alias("scope"), F.array(F.lit("lib"), "brand").alias("target"))
     bases = p.filter("p_partkey % 5 <> 0").select("file", F.lit("C").alias("scope"), F.array(F.lit("Base")).alias("target"))
     used = li.join(p.select(F.col("p_partkey").alias("l_partkey"), "maker", F.upper("m").alias("c")), "l_partkey")
-    use = lambda name: used.select(F.concat(F.lit("app/s"), text("l_suppkey"), F.lit(".py")).alias("file"), F.lit("main").alias("scope"), F.col("l_partkey").cast("int").alias("line"), F.array("maker", "c", F.lit(name)).alias("name"))
-    uses = use("run").unionByName(use("stop")).unionByName(s.select("file", F.lit("main").alias("scope"), F.lit(0).alias("line"), F.array(F.lit("loop")).alias("name")))
+    methods = F.explode(F.array(F.lit("run"), F.lit("stop"))).alias("method")
+    uses = used.select(F.concat(F.lit("app/s"), text("l_suppkey"), F.lit(".py")).alias("file"), F.lit("main").alias("scope"), F.col("l_partkey").cast("int").alias("line"), "maker", "c", methods)
+    uses = uses.select("file", "scope", "line", F.array("maker", "c", "method").alias("name")).unionByName(s.select("file", F.lit("main").alias("scope"), F.lit(0).alias("line"), F.array(F.lit("loop")).alias("name")))
     return paths.Facts(*[shared.written(df, "facts") for df in (modules, scopes, defs, aliases, stars, bases, uses)])
 
 
